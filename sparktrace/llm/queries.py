@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from sparktrace.llm import quality_rules, sharding
+from sparktrace.llm import near_dedup, quality_rules, sharding
 
-MODULES = (sharding, quality_rules)
+MODULES = (sharding, quality_rules, near_dedup)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
