@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and the SQL of those that SQL can express."""
 
-from sparktrace.llm import decontaminate, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, warc
+from sparktrace.llm import decontaminate, language_id, mixing, near_dedup, quality_classifier, quality_rules, sharding, token_counts, warc
 
-MODULES = (sharding, warc, token_counts, quality_rules, decontaminate, mixing, quality_classifier, near_dedup)
+MODULES = (sharding, warc, token_counts, quality_rules, decontaminate, mixing, quality_classifier, near_dedup, language_id)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
