@@ -4,9 +4,9 @@
    Documents with equal sets form a class, which one node stands for.
 2. In every bucket of a band, the member that shares most buckets overall is the centre. All others are
    compared with it, which links a large group of copies by as many pairs as it has members.
-3. What these links leave in different components but in one bucket is compared completely: small buckets as
-   rows of pairs, large ones in blocks of signatures inside tasks, members outside the bucket's main component
-   against all members. So every pair that shares a bucket is linked by a path or compared.
+3. What these links leave in different components but in one bucket is compared completely, in blocks of
+   signatures inside tasks: members outside the bucket's main component against all
+   members. So every pair that shares a bucket is linked by a path or compared.
 
 Comparison is sequential: after each batch of signature positions a pair is dropped when the posterior
 probability that its similarity reaches the threshold falls below `MISS`. Survivors are confirmed on full sets.
@@ -14,6 +14,7 @@ probability that its similarity reaches the threshold falls below `MISS`. Surviv
 
 from __future__ import annotations
 
+from itertools import chain
 from math import comb
 
 import numpy as np
@@ -32,7 +33,8 @@ LEAST_PERCENT = 85
 BANDS, ROWS = 26, 5
 #: Posterior probability below which a pair is given up.
 MISS = 1e-5
-SMALL, BLOCK = 48, 768
+#: Most members and most shingles on one side of a block; ids that are broadcast at most.
+BLOCK, BLOCK_SHINGLES, BROADCAST_IDS = 768, 2_000_000, 500_000
 
 
 def permutations(n: int = BANDS * ROWS, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +111,7 @@ def pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs (a, b) that sequential Bayesian comparison of their signatures leaves."""
     bounds = batches_of()
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("codes").alias(f"c{s}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(100 * F.least("na", "nb") >= LEAST_PERCENT * F.greatest("na", "nb"))
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").where(100 * F.least("na", "nb") >= LEAST_PERCENT * F.greatest("na", "nb"))
 
     def run(frames):
         for f in frames:
@@ -120,11 +122,23 @@ def pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.select("a", "b", "ca", "cb").mapInPandas(run, "a long, b long")
 
 
+def held_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id and text of the rows whose id is among `nodes(doc_id)`. Few ids are broadcast, more are shuffled."""
+    few = nodes.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
+
+
+def reaches(mine: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two full shingle sets reach the threshold."""
+    shared = len(np.intersect1d(mine, other, assume_unique=True))
+    return 100 * shared >= LEAST_PERCENT * (len(mine) + len(other) - shared)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
-    nodes = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    held = docs.select(F.col("doc_id").cast("long"), "text").join(nodes, "doc_id", "left_semi")
-    both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    held = held_texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    side = lambda s: held.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}")).hint("merge")
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
 
     def run(batches):
         last, mine = None, None
@@ -133,9 +147,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for a, ta, tb in zip(batch.column("a").to_pylist(), texts(batch.column("ta")), texts(batch.column("tb"))):
                 if last is None or last[0] != a or len(last[1]) != len(ta) or not np.array_equal(last[1], ta):
                     last, mine = (a, ta.copy()), shingle_set(ta, WIDTH)
-                other = shingle_set(tb, WIDTH)
-                shared = len(mine) + len(other) - len(np.union1d(mine, other))
-                keep.append(100 * shared >= LEAST_PERCENT * (len(mine) + len(other) - shared))
+                keep.append(reaches(mine, shingle_set(tb, WIDTH)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
@@ -148,41 +160,73 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(centres, "h").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
-def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pruned pairs of one bucket whose ends `named(node, component)` puts in different components."""
-    at = buckets.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("h", "rep", F.coalesce("component", "rep").alias("comp"))
+def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links within buckets whose ends `named(node, component)` puts in different components."""
+    at = buckets.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("h", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     parts = at.groupBy("h", "comp").count()
-    mixed = parts.groupBy("h").agg(F.max(F.struct("count", "comp")).alias("main"), F.sum("count").alias("size"), F.count("*").alias("parts")).where("parts > 1")
-    mixed = mixed.select("h", F.col("main.comp").alias("main"), "size", (F.col("size") - F.col("main.count")).alias("others"))
-    rows = written(at.join(mixed, "h").withColumn("outer", F.col("comp") != F.col("main")), "crossing")
-
-    left = rows.where(f"size <= {SMALL} and outer").select("h", F.col("rep").alias("x"), F.col("comp").alias("cx"))
-    right = rows.where(f"size <= {SMALL}").select("h", F.col("rep").alias("y"), F.col("comp").alias("cy"), "outer")
-    few = left.join(right, "h").where("cx <> cy and (not outer or x < y)").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-    many = rows.where(f"size > {SMALL}").join(classes.select("rep", "n_shingles", "codes"), "rep")
-    part = lambda col, n: F.pmod(F.xxhash64(F.col(col)), n)
-    of_all, of_outer = F.ceil(F.col("size") / BLOCK), F.ceil(F.col("others") / BLOCK)
-    whole = many.withColumn("i", part("rep", of_all)).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), of_outer - 1)))
-    outer = many.where("outer").withColumn("j", part("rep", of_outer)).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), of_all - 1)))
+    mixed = parts.groupBy("h").agg(F.max(F.struct("count", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    rows = at.join(mixed.select("h", F.col("main.comp").alias("main")), "h").withColumn("outer", F.col("comp") != F.col("main"))
+    rows = written(rows.drop("main"), "crossing")
+    rows = rows.join(classes.select("rep", "n_shingles", "codes").hint("merge"), "rep")
+    need = lambda size, shingles: F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES))
+    sizes = rows.groupBy("h").agg(need(F.count("*"), F.sum("n_shingles")).alias("of_all"), need(F.count_if("outer"), F.sum(F.when(F.col("outer"), F.col("n_shingles")))).alias("of_outer"))
+    held = held_texts(docs, rows.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
+    rows = rows.join(sizes, "h").join(held.hint("merge"), "rep")
+    # A member meets its bucket in blocks: (i, j) holds the i-th part of all members and the j-th of the outer ones.
+    part = lambda n: F.pmod(F.xxhash64(F.lit(5), "rep"), n)
+    every = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    of_all, of_outer = F.col("of_all"), F.col("of_outer")
+    here = F.transform(every(of_outer), lambda j: F.struct(part(of_all).alias("i"), j.alias("j"), F.lit(False).alias("asks")))
+    asks = F.transform(every(of_all), lambda i: F.struct(i.alias("i"), part(of_outer).alias("j"), F.lit(True).alias("asks")))
+    keep = ["h", "band", "rep", "comp", "outer", "n_shingles", "codes", "text"]
+    dealt = rows.select(*keep, F.explode(F.when(F.col("outer"), F.concat(here, asks)).otherwise(here)).alias("at"))
+    dealt = dealt.select("at.i", "at.j", "at.asks", *keep).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "asks")
     bounds = batches_of()
 
-    def compare(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(x) and len(y):
-            cx, cy = (np.frombuffer(b"".join(f["codes"]), dtype=np.uint8).reshape(len(f), -1) for f in (x, y))
-            for k in range(len(x)):
-                r, n = int(x["rep"].iat[k]), x["n_shingles"].iat[k]
-                other, size = y["rep"].to_numpy(), y["n_shingles"].to_numpy()
-                fit = (y["comp"].to_numpy() != x["comp"].iat[k]) & (~y["outer"].to_numpy() | (other > r)) & (100 * np.minimum(size, n) >= LEAST_PERCENT * np.maximum(size, n))
-                at = np.flatnonzero(fit)
-                at = at[sequential(np.broadcast_to(cx[k], (len(at), cx.shape[1])), cy[at], bounds)]
-                out.append(pd.DataFrame({"a": np.minimum(other[at], r), "b": np.maximum(other[at], r)}))
-        return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    def compare(block: dict[str, np.ndarray], start: int, end: int, out: list) -> None:
+        """Adds the links between the asking and the present members of one block.
+
+        A pair that shares an earlier band met in that band's bucket and is left to it.
+        """
+        asks = block["asks"][start:end]
+        there = start + np.flatnonzero(~asks)
+        rep, comp, outer, size, codes, text = (block[c] for c in ("rep", "comp", "outer", "n_shingles", "codes", "text"))
+        before, sets = int(block["band"][start]) * ROWS, {}
+
+        def full(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(np.frombuffer(text[k].encode(), dtype=np.uint8), WIDTH)
+            return sets[k]
+
+        for k in start + np.flatnonzero(asks):
+            at = there[(comp[there] != comp[k]) & (~outer[there] | (rep[there] > rep[k])) & (100 * np.minimum(size[there], size[k]) >= LEAST_PERCENT * np.maximum(size[there], size[k]))]
+            if len(at):
+                at = at[sequential(np.broadcast_to(codes[k], (len(at), codes.shape[1])), codes[at], bounds)]
+            if len(at) and before:
+                at = at[~(codes[at, :before] == codes[k, :before]).reshape(len(at), -1, ROWS).all(axis=2).any(axis=1)]
+            out += [(rep[k], rep[x]) for x in at if reaches(full(k), full(x))]
 
-    grouped = lambda df: df.select(*[F.col(c).alias(c) for c in ("h", "i", "j", "rep", "comp", "outer", "n_shingles", "codes")]).groupBy("h", "i", "j")
-    blocks = grouped(outer).cogroup(grouped(whole)).applyInPandas(compare, "a long, b long")
-    return pruned(few, classes).unionByName(blocks.distinct()).distinct()
+    def run(frames):
+        """Blocks come one after the other; only the open one is held."""
+        held = None
+        for f in chain(frames, (None,)):
+            if f is not None:
+                new = {c: f[c].to_numpy() for c in ("h", "i", "j", "asks", "band", "rep", "comp", "outer", "n_shingles", "text")}
+                new["codes"] = np.frombuffer(b"".join(f["codes"]), dtype=np.uint8).reshape(len(f), BANDS * ROWS)
+                held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+            if held is None:
+                return
+            n = len(held["h"])
+            cut = np.flatnonzero((held["h"][1:] != held["h"][:-1]) | (held["i"][1:] != held["i"][:-1]) | (held["j"][1:] != held["j"][:-1])) + 1
+            edges = np.concatenate(([0], cut, [n] if f is None else [])).astype(int)
+            out: list = []
+            for start, end in zip(edges[:-1], edges[1:]):
+                compare(held, start, end, out)
+            held = {c: x[edges[-1] :] for c, x in held.items()}
+            if out:
+                yield pd.DataFrame({"a": [min(x) for x in out], "b": [max(x) for x in out]})
+
+    return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -198,12 +242,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     prints = written(fingerprints(docs), "prints")
     usable = prints.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes"), F.first("bands").alias("bands")), "classes")
-    rows = classes.select("rep", F.explode("bands").alias("h"))
+    rows = classes.select("rep", F.posexplode("bands").alias("band", "h"))
     shared = rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(rows.join(shared, "h"), "buckets")
 
     near = written(confirmed(written(pruned(star_pairs(buckets), classes), "stars"), docs), "links")
-    rest = written(confirmed(written(crossing(buckets, components(near), classes), "crossings"), docs), "links")
+    rest = written(crossing(buckets, components(near), classes, docs), "links")
     # rows that share a doc_id are one document: their classes meet there
     same = usable.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
     again = same.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
