@@ -1,6 +1,6 @@
 """All registered queries over the given tables, with their SQL twins."""
 
-from __future__ import annotations
+from sparktrace.plans import reshape_plans  # noqa: F401
+from sparktrace.plans.registry import QUERIES, SQL
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
