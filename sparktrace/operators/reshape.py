@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TRIAL = ("dataset", "trial")
-ordered = W.partitionBy(*TRIAL).orderBy("i")
+
+def ordered() -> WindowSpec:
+    return W.partitionBy(*TRIAL).orderBy("i")
 
 
 def finite(c: Column | str) -> Column:
@@ -142,7 +144,7 @@ def threshold_rates(rates: DataFrame, mode: int | None, peak: float = 0.0, reach
         return rates
     if mode == 0:
         return rates.withColumn("y", clipped)
-    near = F.max((F.col("y") > peak / 2.718281828459045).cast("int")).over(ordered.rowsBetween(-reach, reach))
+    near = F.max((F.col("y") > peak / 2.718281828459045).cast("int")).over(ordered().rowsBetween(-reach, reach))
     return rates.withColumn("near", near).withColumn("y", F.when(F.col("near") == 1, clipped).otherwise(F.lit(0.0))).drop("near")
 
 
