@@ -8,6 +8,7 @@ from sparktrace.operators import series as S
 from sparktrace.operators import train as K
 from sparktrace.plans.registry import add
 from sparktrace.plans.reshape_plans import MODEL_SQL, named
+from sparktrace.sources import io as IO
 
 TRIAL = ["dataset", "trial"]
 CVS = "SELECT method, corr_sigma_ms, round(avg(correlation), 6) AS mean, round(CASE WHEN count(*) >= 2 THEN stddev_samp(correlation)/sqrt(count(*)) ELSE 0 END, 6) AS sem, count(*) AS n FROM {0} GROUP BY method, corr_sigma_ms"
@@ -104,3 +105,17 @@ add("k3_balanced_training_set", lambda t: K.balanced_training_set(t.frames.withC
 add("k4_segment_training_set", lambda t: K.segment_training_set(t.frames, t.frames.where("y > 0.2").select(*TRIAL, F.col("t").alias("s")), 30.0, 16).select(*TRIAL, "part", F.size("frame").alias("n"), F.aggregate("classes", F.lit(0), lambda a, x: a + x.cast("int")).alias("events")))
 add("k5_downsample_noise_bank", lambda t: S.resample_to(t.frames, 7.5).groupBy(*TRIAL).agg(F.count("*").alias("n"), F.avg("y").alias("mean")), "frames",
     "SELECT dataset, trial, count(*) AS n, round(avg(y), 6) + 0 AS mean FROM (SELECT dataset, trial, i//4 AS k, avg(y) AS y FROM (SELECT *, count(*) OVER (PARTITION BY dataset, trial) AS c FROM frames) WHERE i//4 < c//4 GROUP BY dataset, trial, i//4) GROUP BY dataset, trial")
+
+
+def _manifest(t):
+    rows = t.read("orders").select(F.col("o_custkey").alias("model"), F.when(F.col("o_orderkey") % 3 == 0, "training").otherwise("synthetic").alias("kind"), F.col("o_orderkey").alias("updated"))
+    old = rows.where("updated % 2 = 0")
+    return IO.append_manifest(old, rows.where("updated % 2 = 1").drop("updated"), F.lit(10**9).cast("long")).groupBy("model", "kind").agg(F.count("*").alias("n"), F.max("updated").alias("updated"))
+
+
+add("h2_trace_hash", lambda t: IO.trace_hashes(t.samples))
+add("h11_manifest_append", lambda t: _manifest(t), "",
+    """SELECT o_custkey AS model, CASE WHEN o_orderkey % 3 = 0 THEN 'training' ELSE 'synthetic' END AS kind, CASE WHEN any_value(o_orderkey % 3 = 0) THEN 1 ELSE count(*) END AS n,
+       max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 1000000000 END) AS updated FROM orders GROUP BY ALL""")
+add("a4_read_trial_selection", lambda t: IO.read_trial_selection(t.trialwise.groupBy("dataset").agg(F.collect_list((F.col("trial") % 50).cast("int")).alias("a")).select(F.to_json(F.map_from_entries(F.array(F.struct(F.concat(F.lit("d"), F.col("dataset").cast("string")), "a")))).alias("json"))).select("dataset", F.explode("trials").alias("trial")), "trialwise",
+    "SELECT DISTINCT 'd' || dataset AS dataset, trial % 50 AS trial FROM trialwise")
