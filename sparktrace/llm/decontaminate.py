@@ -48,7 +48,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, tolerated: int = TOLERA
     """One row per row of `docs`: doc_id, text, contaminated, n_windows, n_items, first_item.
 
     `n_windows` counts the document's windows that match a benchmark window with at most `tolerated` changed
-    words; `n_items` and `first_item` are the benchmark items that those windows belong to. Benchmark items
+    words (a word that the document's end cuts off counts as changed); `n_items` and `first_item` are the benchmark items that those windows belong to. Benchmark items
     of fewer than 12 words are matched as a whole without tolerance if they have six words or more;
     shorter ones are too common to tell and are left out. Words are compared without case and punctuation.
 

@@ -42,7 +42,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = 4
     total = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
     subs = max(1, math.ceil(total / (shards * bucket_bytes)))
     spread = docs.select(
-        F.struct(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text).alias("h"), *kept).alias("record"),
+        F.struct(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text).alias("order"), F.struct(*kept).alias("row")).alias("record"),
         shard_of(F.col("doc_id"), shards, seed).alias("shard"),
         shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
         F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), text), F.lit(subs)).alias("sub"),
@@ -63,7 +63,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = 4
         buckets.join(offsets, ["shard", "sub"])
         .select("shard", "start", F.posexplode("records").alias("at", "r"))
         .select(
-            *[F.col(f"r.record.`{c}`").alias(c) for c in docs.columns if c.lower() not in OWN],
+            *[F.col(f"r.record.row.`{c}`").alias(c) for c in docs.columns if c.lower() not in OWN],
             "shard",
             (F.col("start") + F.col("at")).alias("slot"),
             F.col("r.grown_shard").alias("grown_shard"),
