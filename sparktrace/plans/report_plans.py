@@ -26,7 +26,7 @@ add("d29_directory_eval", lambda t: P.directory_eval(t.trialwise, "dataset"), "t
 
 
 def models(t):
-    rows = t.read("part").withColumn("name", named).withColumn("score", F.when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice") % 97 / 97))
+    rows = t.read("part").withColumn("name", named()).withColumn("score", F.when(F.col("p_partkey") % 13 != 0, F.col("p_retailprice") % 97 / 97))
     return rows.select("p_partkey", "name", "score")
 
 
@@ -119,3 +119,20 @@ add("h11_manifest_append", lambda t: _manifest(t), "",
        max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 1000000000 END) AS updated FROM orders GROUP BY ALL""")
 add("a4_read_trial_selection", lambda t: IO.read_trial_selection(t.trialwise.groupBy("dataset").agg(F.collect_list((F.col("trial") % 50).cast("int")).alias("a")).select(F.to_json(F.map_from_entries(F.array(F.struct(F.concat(F.lit("d"), F.col("dataset").cast("string")), "a")))).alias("json"))).select("dataset", F.explode("trials").alias("trial")), "trialwise",
     "SELECT DISTINCT 'd' || dataset AS dataset, trial % 50 AS trial FROM trialwise")
+
+
+def _through_csv(t):
+    path = IO.shared_path(t.spark, "scores")
+    rows = t.trialwise.select("run", F.concat(F.lit("d"), F.col("dataset").cast("string")).alias("dataset"), "smoothing", "method", F.col("method").alias("label"), "corr_sigma_ms", F.col("trial").cast("int").alias("trial"), F.lit(0.0).alias("start_s"), F.lit(1.0).alias("end_s"), "correlation")
+    rows.write.csv(path, header=True)
+    return IO.read_trialwise_csv(t.spark, path).groupBy("dataset", "method").agg(F.count("*").alias("n"), F.avg("correlation").alias("mean"))
+
+
+def _through_partitions(t):
+    path = IO.shared_path(t.spark, "results")
+    IO.write_results(t.preds, path)
+    return t.spark.read.parquet(path).groupBy("method", F.col("dataset").cast("long").alias("dataset")).agg(F.count("*").alias("n"), F.sum("prob").alias("total"))
+
+
+add("a5_read_trialwise_csv", _through_csv, "trialwise", "SELECT 'd' || dataset AS dataset, method, count(*) AS n, round(avg(correlation), 6) AS mean FROM trialwise GROUP BY ALL")
+add("a11_write_results", _through_partitions, "preds", "SELECT method, dataset, count(*) AS n, round(sum(prob), 6) AS total FROM preds GROUP BY ALL")

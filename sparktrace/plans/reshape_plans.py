@@ -66,17 +66,29 @@ add("b24_display_snippet", lambda t: R.display_snippet(t.samples, t.spikes, 96.0
        c AS (SELECT dataset, trial, f, l, coalesce(mid, (f + l)/2) AS mid FROM b LEFT JOIN m USING (dataset, trial)), d AS (SELECT *, greatest(least(mid - 48, l - 96), f) AS a FROM c)
        SELECT dataset, trial, round(a, 6) AS start_s, round(least(a + 96, l), 6) AS end_s FROM d WHERE least(a + 96, l) > a""")
 
-config = F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
-add("h1_config_signature", lambda t: t.read("part").select("p_partkey", X.config_signature(config).alias("key")), "",
+
+def config():
+    return F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
+
+
+def named():
+    """Model names of the parts; every ninth is a baseline."""
+    model = F.format_string("k%d_r%d_s%dp%d_d0p%d_sb%d", F.col("p_size"), F.col("p_partkey") % 30, F.col("p_size") % 5, F.col("p_partkey") % 10, F.col("p_partkey") % 7, F.col("p_partkey"))
+    return F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("baseline_"), F.col("p_name"))).otherwise(model)
+
+
+def tag():
+    epoch = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_epoch"), (F.col("p_partkey") % 5).cast("string"))).otherwise(F.lit(""))
+    return F.format_string("rec%d%s_s0p%d_ms%d_trial%d", F.col("p_size"), epoch, F.col("p_partkey") % 8, F.col("p_partkey") % 3, F.col("p_partkey") % 11)
+
+
+add("h1_config_signature", lambda t: t.read("part").select("p_partkey", X.config_signature(config()).alias("key")), "",
     """SELECT p_partkey, substr(sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":"' || p_size || '"}'), 1, 16) AS key FROM part""")
-model = F.format_string("k%d_r%d_s%dp%d_d0p%d_sb%d", F.col("p_size"), F.col("p_partkey") % 30, F.col("p_size") % 5, F.col("p_partkey") % 10, F.col("p_partkey") % 7, F.col("p_partkey"))
-named = F.when(F.col("p_partkey") % 9 == 0, F.concat(F.lit("baseline_"), F.col("p_name"))).otherwise(model)
 MODEL_SQL = "CASE WHEN p_partkey % 9 = 0 THEN 'baseline_' || p_name ELSE 'k' || p_size || '_r' || p_partkey % 30 || '_s' || p_size % 5 || 'p' || p_partkey % 10 || '_d0p' || p_partkey % 7 || '_sb' || p_partkey END"
-add("h4_parse_model_name", lambda t: t.read("part").select("p_partkey", *[c.alias(k) for k, c in X.model_parameters(named).items()]), "",
+add("h4_parse_model_name", lambda t: t.read("part").select("p_partkey", *[c.alias(k) for k, c in X.model_parameters(named()).items()]), "",
     """SELECT p_partkey, CASE WHEN ok THEN CAST(p_size AS DOUBLE) END AS k, CASE WHEN ok THEN CAST(p_partkey % 30 AS DOUBLE) END AS rate, CASE WHEN ok THEN round(p_size % 5 + (p_partkey % 10)/1e1, 6) END AS smooth,
        CASE WHEN ok THEN round((p_partkey % 7)/1e1, 6) END AS duty, CASE WHEN ok THEN CAST(p_partkey AS DOUBLE) END AS spike_bias FROM (SELECT *, p_partkey % 9 <> 0 AS ok FROM part)""")
-tag = F.format_string("rec%d%s_s0p%d_ms%d_trial%d", F.col("p_size"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_epoch"), (F.col("p_partkey") % 5).cast("string"))).otherwise(F.lit("")), F.col("p_partkey") % 8, F.col("p_partkey") % 3, F.col("p_partkey") % 11)
-add("h5_parse_cache_tag", lambda t: t.read("part").select("p_partkey", tag.alias("tag")).select("p_partkey", X.tag_epoch(F.col("tag")).alias("epoch"), X.tag_stem(F.col("tag")).alias("stem"), X.tag_trial(F.col("tag")).alias("trial")), "",
+add("h5_parse_cache_tag", lambda t: t.read("part").select("p_partkey", tag().alias("tag")).select("p_partkey", X.tag_epoch(F.col("tag")).alias("epoch"), X.tag_stem(F.col("tag")).alias("stem"), X.tag_trial(F.col("tag")).alias("trial")), "",
     "SELECT p_partkey, 'rec' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_epoch' || p_partkey % 5 ELSE '' END AS epoch, 'rec' || p_size AS stem, p_partkey % 11 AS trial FROM part")
 add("h6_infer_dataset_name", lambda t: t.read("part").select("p_partkey", X.infer_dataset(F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 2 == 0, F.lit("CAttached_")).otherwise(F.lit("x_")), F.col("p_size").cast("string"), F.lit(".mat")), "^CAttached_(.+)$").alias("dataset")), "",
     "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'x_' END || p_size AS dataset FROM part")

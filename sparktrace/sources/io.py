@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -103,3 +105,12 @@ def append_manifest(entries: DataFrame, new: DataFrame, stamp) -> DataFrame:
     both = entries.unionByName(new.withColumn("updated", stamp))
     r = F.row_number().over(W.partitionBy("model", "kind").orderBy(F.desc("updated")))
     return both.withColumn("r", r).where("kind = 'synthetic' or r = 1").drop("r")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of `spark.checkpoint.dir`; a temporary folder is set only where that is unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        found = "file://" + tempfile.mkdtemp(prefix="sparktrace-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1 +1 @@
-
+"""Empty on purpose: recordings arrive complete, and no operator of the inventory is incremental."""
