@@ -8,9 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space of the word definition `[^\x20\x09-\x0D]+`.
-BLANKS = " \t\n\x0b\x0c\r"
-
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which the driver and all executors share.
@@ -44,8 +41,7 @@ def let(value: Column, body) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of a text in order; none for null."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.array_remove(F.split(spaced, " ", -1), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), "[ \\t-\\r]+", -1), "")
 
 
 def row_key(*columns: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import BLANKS, let, words_of
+from sparktrace.llm.common import let, words_of
 
 SYMBOLS = "#*$%&|<>"
 #: Frequent function words of the languages of the corpus.
@@ -59,16 +59,16 @@ def repeated_words(words: Column) -> Column:
 def measures(text: Column, words: Column) -> dict[str, Column]:
     """Counts of a text, all long. `words` is a column that holds the text's words."""
     text = F.coalesce(text, F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, BLANKS, "") != "")
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
     stops = sorted({w for some in STOP_WORDS.values() for w in some})
     out = {
         "n_words": F.size(words),
-        "word_chars": F.length(F.translate(text, BLANKS, "")),
-        "n_symbols": F.length(text) - F.length(F.translate(text, SYMBOLS, "")),
+        "word_chars": F.length(F.array_join(words, "")),
+        "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")),
         "n_lines": F.size(lines),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": repeated_words(words),
-        "n_upper": F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "")),
+        "n_upper": F.regexp_count(text, F.lit("[A-Z]")),
         "n_letter_words": F.size(F.filter(words, lambda w: w.rlike("\\p{L}"))),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(F.rtrim(w, F.lit(",.;:!?"))).isin(stops))),
         "n_stutters": F.size(F.filter(F.transform(words, lambda w, i: w == F.get(words, i - 1)), lambda x: x)),
