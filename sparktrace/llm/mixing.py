@@ -19,7 +19,7 @@ PERIOD = 720
 BLOCK_DOCS = 16
 #: Power of the source's size in the default weights; below 1 small sources weigh more than their share.
 TEMPER = 0.7
-CHUNK_DOCS = 4096
+CHUNK_DOCS = 1024
 #: The schedule's tables have at most PERIOD rows a phase and a phase a source.
 MOST_SOURCES = 512
 OWN = ("block", "slot", "place")
