@@ -37,7 +37,7 @@ def method_variant(key: Column) -> Column:
 
 
 #: The order of methods in reports.
-METHOD_ORDER = ("pgas", "ens2", "cascade")
+METHOD_ORDER = ("sampler", "unet", "cnn")
 
 
 def method_rank(key: Column) -> Column:

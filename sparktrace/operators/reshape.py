@@ -112,7 +112,7 @@ def flatten_trials(samples: DataFrame) -> DataFrame:
     return samples.select("dataset", "t", "y", (F.row_number().over(W.partitionBy("dataset").orderBy("t", "trial", "i")) - 1).alias("k"))
 
 
-def shift_left_for_method(preds: DataFrame, shifted: str = "pgas") -> DataFrame:
+def shift_left_for_method(preds: DataFrame, shifted: str = "sampler") -> DataFrame:
     """For right-labelled methods each value is the next one's and the last is 0, in trials of two samples or more."""
     w = W.partitionBy(*TRIAL, "method").orderBy("i")
     n = F.count("*").over(W.partitionBy(*TRIAL, "method"))

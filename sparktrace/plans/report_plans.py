@@ -62,7 +62,7 @@ for how, order in (("replace", "new DESC, line DESC"), ("keep", "new, CASE WHEN
     add(f"g1_merge_trialwise_{how}", lambda t, how=how: P.upsert(lines(t).where("part <> 2 and key % 5 <> 0").drop("part"), lines(t).where("part = 2 or key % 5 = 0").drop("part"), ["key"], "line", how), "",
         f"""SELECT key, line, round(v, 6) AS v FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY {order}) AS r FROM (SELECT o_custkey % 400 AS key, o_orderkey AS line, o_totalprice AS v,
             CASE WHEN o_orderkey % 3 = 2 OR (o_custkey % 400) % 5 = 0 THEN 1 ELSE 0 END AS new FROM orders)) WHERE r = 1""")
-add("g2_union_run_families", lambda t: P.union_families(t.trialwise.where("method = 'pgas'"), t.trialwise.where("method <> 'pgas'")).groupBy("kind", "run").agg(F.count("*").alias("n")), "trialwise", "SELECT CASE WHEN method = 'pgas' THEN 'main' ELSE 'single' END AS kind, run, count(*) AS n FROM trialwise GROUP BY ALL")
+add("g2_union_run_families", lambda t: P.union_families(t.trialwise.where("method = 'sampler'"), t.trialwise.where("method <> 'sampler'")).groupBy("kind", "run").agg(F.count("*").alias("n")), "trialwise", "SELECT CASE WHEN method = 'sampler' THEN 'main' ELSE 'single' END AS kind, run, count(*) AS n FROM trialwise GROUP BY ALL")
 
 
 def summary(t, methods):
@@ -70,13 +70,13 @@ def summary(t, methods):
     return m.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("method", "v"))).alias("correlations"))
 
 
-add("g3_upsert_summary", lambda t: P.upsert_summary(summary(t, ["pgas", "ens2"]), summary(t, ["ens2", "cascade"]).withColumn("correlations", F.transform_values("correlations", lambda k, v: v + 1)), "dataset").select("dataset", F.explode("correlations").alias("method", "v")), "trialwise",
-    "SELECT dataset, method, round(max(correlation) + CASE WHEN method = 'pgas' THEN 0 ELSE 1 END, 6) AS v FROM trialwise WHERE correlation IS NOT NULL GROUP BY dataset, method")
+add("g3_upsert_summary", lambda t: P.upsert_summary(summary(t, ["sampler", "unet"]), summary(t, ["unet", "cnn"]).withColumn("correlations", F.transform_values("correlations", lambda k, v: v + 1)), "dataset").select("dataset", F.explode("correlations").alias("method", "v")), "trialwise",
+    "SELECT dataset, method, round(max(correlation) + CASE WHEN method = 'sampler' THEN 0 ELSE 1 END, 6) AS v FROM trialwise WHERE correlation IS NOT NULL GROUP BY dataset, method")
 add("g4_ordered_distinct", lambda t: P.ordered_distinct(t.read("part"), "p_name", "p_partkey"), "", "SELECT trim(p_name) AS token, min(p_partkey) AS first FROM part WHERE trim(p_name) <> '' GROUP BY ALL")
 add("g5_upsert_method_entry", lambda t: P.upsert(t.read("orders").where("o_orderkey % 2 = 0").select("o_custkey", F.col("o_orderstatus").alias("method"), "o_orderkey"), t.read("orders").where("o_orderkey % 2 = 1").select("o_custkey", F.col("o_orderstatus").alias("method"), "o_orderkey"), ["o_custkey", "method"], "o_orderkey"), "",
     "SELECT o_custkey, o_orderstatus AS method, coalesce(max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END), max(o_orderkey)) AS o_orderkey FROM orders GROUP BY ALL")
-add("g6_union_method_outputs", lambda t: t.preds.where("method = 'ens2'").unionByName(t.preds.where("method = 'ens2'").withColumn("method", X.method_key(F.col("method"), F.lit("custom")))).groupBy("dataset", "method").agg(F.sum("prob").alias("total")), "preds",
-    "SELECT dataset, m AS method, round(sum(prob), 6) AS total FROM preds, (VALUES ('ens2'), ('ens2::custom')) v(m) WHERE method = 'ens2' GROUP BY ALL")
+add("g6_union_method_outputs", lambda t: t.preds.where("method = 'unet'").unionByName(t.preds.where("method = 'unet'").withColumn("method", X.method_key(F.col("method"), F.lit("custom")))).groupBy("dataset", "method").agg(F.sum("prob").alias("total")), "preds",
+    "SELECT dataset, m AS method, round(sum(prob), 6) AS total FROM preds, (VALUES ('unet'), ('unet::custom')) v(m) WHERE method = 'unet' GROUP BY ALL")
 add("a13_epoch_catalogue", lambda t: t.wide.select("dataset", "trial", F.format_string("rec%d_epoch%d", "dataset", F.col("trial") + 1).alias("epoch_id"), F.exists("y", lambda v: v > 0.3).alias("has_spikes")), "frames",
     "SELECT dataset, trial, 'rec' || dataset || '_epoch' || (trial + 1) AS epoch_id, max(y) > 0.3e0 AS has_spikes FROM frames GROUP BY ALL")
 add("a14_artefact_catalogue", lambda t: t.read("lineitem").select(F.format_string("/run/%s_%d_trial%d.dat", F.when(F.col("l_linenumber") % 2 == 0, "traj_samples").otherwise("param_samples"), "l_suppkey", F.col("l_orderkey") % 20).alias("p")).select(F.regexp_extract("p", "/([a-z]+)_samples_", 1).alias("kind"), F.regexp_extract("p", "_samples_(.+)_trial", 1).alias("tag"), F.regexp_extract("p", "_trial([0-9]+)", 1).cast("long").alias("trial")).groupBy("tag", "trial").pivot("kind", ["traj", "param"]).count(), "",

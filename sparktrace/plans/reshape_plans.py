@@ -37,7 +37,7 @@ add("b12_mask_padding", lambda t: R.mask_padding(t.frames, t.wide.select("datase
     "SELECT dataset, trial, i, CASE WHEN i < 40 + trial % 20 THEN round(y, 6) END AS y FROM frames")
 add("b13_flatten_trials", lambda t: R.flatten_trials(t.samples), "samples", "SELECT dataset, round(t, 6) AS t, round(y, 6) AS y, row_number() OVER (PARTITION BY dataset ORDER BY t, trial, i) - 1 AS k FROM samples")
 add("b14_shift_left", lambda t: R.shift_left_for_method(t.preds), "preds",
-    """SELECT dataset, trial, i, round(t, 6) AS t, method, round(CASE WHEN method = 'pgas' AND count(*) OVER (PARTITION BY dataset, trial, method) >= 2 THEN
+    """SELECT dataset, trial, i, round(t, 6) AS t, method, round(CASE WHEN method = 'sampler' AND count(*) OVER (PARTITION BY dataset, trial, method) >= 2 THEN
          CASE WHEN i = max(i) OVER (PARTITION BY dataset, trial, method) THEN 0 ELSE lead(prob) OVER (PARTITION BY dataset, trial, method ORDER BY i) END ELSE prob END, 6) AS prob FROM preds""")
 add("b15_normalize_01", lambda t: R.normalize_01(t.samples).select("dataset", "trial", "i", "y"), "samples",
     "SELECT dataset, trial, i, round(coalesce((y - min(y) OVER w) / nullif(max(y) OVER w - min(y) OVER w, 0), 0), 6) AS y FROM samples WINDOW w AS (PARTITION BY dataset, trial)")
@@ -60,7 +60,7 @@ add("b22_expand_counts", lambda t: R.expand_counts(t.samples.select("dataset", "
     "SELECT dataset, trial, round(t, 6) AS s FROM (SELECT dataset, trial, t, unnest(range(0, CAST(round_even(y/10, 0) AS BIGINT))) FROM samples)")
 add("b23_method_key", lambda t: t.trialwise.select("method", "smoothing").distinct().withColumn("key", X.method_key(F.col("method"), F.when(F.col("smoothing") != "raw", F.col("smoothing")))).select("key", X.method_base(F.col("key")).alias("base"), X.method_variant(F.col("key")).alias("variant"), X.method_rank(F.col("key")).alias("rank")), "trialwise",
     """WITH k AS (SELECT DISTINCT method, CASE WHEN smoothing = 'raw' THEN '' ELSE smoothing END AS v FROM trialwise)
-       SELECT method || CASE WHEN v = '' THEN '' ELSE '::' || v END AS key, method AS base, v AS variant, CAST(list_position(['pgas', 'ens2', 'cascade'], method) AS BIGINT) AS rank FROM k""")
+       SELECT method || CASE WHEN v = '' THEN '' ELSE '::' || v END AS key, method AS base, v AS variant, CAST(list_position(['sampler', 'unet', 'cnn'], method) AS BIGINT) AS rank FROM k""")
 add("b24_display_snippet", lambda t: R.display_snippet(t.samples, t.spikes, 96.0), "samples spikes",
     """WITH m AS (SELECT dataset, trial, quantile_cont(s, 0.5) AS mid FROM spikes GROUP BY ALL), b AS (SELECT dataset, trial, min(t) AS f, max(t) AS l FROM samples GROUP BY ALL),
        c AS (SELECT dataset, trial, f, l, coalesce(mid, (f + l)/2) AS mid FROM b LEFT JOIN m USING (dataset, trial)), d AS (SELECT *, greatest(least(mid - 48, l - 96), f) AS a FROM c)
@@ -90,7 +90,7 @@ add("h4_parse_model_name", lambda t: t.read("part").select("p_partkey", *[c.alia
        CASE WHEN ok THEN round((p_partkey % 7)/1e1, 6) END AS duty, CASE WHEN ok THEN CAST(p_partkey AS DOUBLE) END AS spike_bias FROM (SELECT *, p_partkey % 9 <> 0 AS ok FROM part)""")
 add("h5_parse_cache_tag", lambda t: t.read("part").select("p_partkey", tag().alias("tag")).select("p_partkey", X.tag_epoch(F.col("tag")).alias("epoch"), X.tag_stem(F.col("tag")).alias("stem"), X.tag_trial(F.col("tag")).alias("trial")), "",
     "SELECT p_partkey, 'rec' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_epoch' || p_partkey % 5 ELSE '' END AS epoch, 'rec' || p_size AS stem, p_partkey % 11 AS trial FROM part")
-add("h6_infer_dataset_name", lambda t: t.read("part").select("p_partkey", X.infer_dataset(F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 2 == 0, F.lit("CAttached_")).otherwise(F.lit("x_")), F.col("p_size").cast("string"), F.lit(".mat")), "^CAttached_(.+)$").alias("dataset")), "",
+add("h6_infer_dataset_name", lambda t: t.read("part").select("p_partkey", X.infer_dataset(F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 2 == 0, F.lit("Set_")).otherwise(F.lit("x_")), F.col("p_size").cast("string"), F.lit(".mat")), "^Set_(.+)$").alias("dataset")), "",
     "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'x_' END || p_size AS dataset FROM part")
 add("h7_build_tag", lambda t: t.read("part").select("p_partkey", X.tag_token(F.concat_ws("_", "p_name", F.col("p_retailprice").cast("string"))).alias("tag")).where("p_partkey < 100000000").select("p_partkey", F.length("tag").alias("n"), F.substring("tag", 1, 5).alias("head")), "",
     "SELECT p_partkey, length(p_name || '_' || CAST(p_retailprice AS VARCHAR)) AS n, substr(replace(p_name, ' ', '_') || '_', 1, 5) AS head FROM part")

@@ -45,11 +45,11 @@ add("c5_missing_windows", lambda t: M.missing_windows(t.samples.select(*TRIAL).d
 
 
 def specs(t):
-    return t.spark.sql("SELECT * FROM VALUES ('pgas', 'A', 'first'), ('pgas', NULL, 'any'), ('ens2', NULL, 'net') AS s(method, run, key)")
+    return t.spark.sql("SELECT * FROM VALUES ('sampler', 'A', 'first'), ('sampler', NULL, 'any'), ('unet', NULL, 'net') AS s(method, run, key)")
 
 
 add("c6_resolve_series", lambda t: M.resolve_series(t.trialwise, specs(t)).groupBy("method", "run", "key").agg(F.count("*").alias("n")), "trialwise",
-    "SELECT method, run, CASE WHEN method = 'pgas' AND run = 'A' THEN 'first' WHEN method = 'pgas' THEN 'any' ELSE 'net' END AS key, count(*) AS n FROM trialwise WHERE method IN ('pgas', 'ens2') GROUP BY ALL")
+    "SELECT method, run, CASE WHEN method = 'sampler' AND run = 'A' THEN 'first' WHEN method = 'sampler' THEN 'any' ELSE 'net' END AS key, count(*) AS n FROM trialwise WHERE method IN ('sampler', 'unet') GROUP BY ALL")
 add("c7_common_trials", lambda t: M.common_trials(t.trialwise.where("correlation is not null"), ["trial"], F.col("method"), 3), "trialwise", "SELECT trial FROM trialwise WHERE correlation IS NOT NULL GROUP BY trial HAVING count(DISTINCT method) = 3")
 
 

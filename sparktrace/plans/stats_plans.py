@@ -49,7 +49,7 @@ GRID = f"""g0 AS (SELECT dataset, trial, start_s, end_s, CAST(ceil((end_s - star
   {kernel(SIGMA / 1000 * FSREF)}, kr AS (SELECT CAST(k AS BIGINT) AS k, w FROM ker),
   ref AS (SELECT a.dataset, a.trial, a.i AS k, a.q, sum(w*b.v) AS rate FROM (SELECT raw.*, kr.w, {REFLECT} AS j FROM raw, kr) a JOIN raw b ON b.trial = a.trial AND b.dataset = a.dataset AND b.i = a.j GROUP BY a.dataset, a.trial, a.i, a.q)"""
 PAIRS = f"""{FS}, {GRID},
-  sh AS (SELECT dataset, trial, method, i, t, CASE WHEN method = 'pgas' AND count(*) OVER w >= 2 THEN coalesce(lead(prob) OVER (PARTITION BY dataset, trial, method ORDER BY i), 0) ELSE prob END AS y FROM preds WINDOW w AS (PARTITION BY dataset, trial, method)),
+  sh AS (SELECT dataset, trial, method, i, t, CASE WHEN method = 'sampler' AND count(*) OVER w >= 2 THEN coalesce(lead(prob) OVER (PARTITION BY dataset, trial, method ORDER BY i), 0) ELSE prob END AS y FROM preds WINDOW w AS (PARTITION BY dataset, trial, method)),
   fin AS (SELECT sh.*, fs FROM sh JOIN fs ON fs.trial = sh.trial AND fs.dataset = sh.dataset WHERE y IS NOT NULL),
   gp AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY dataset, trial, method ORDER BY i) > 4/fs THEN 1 ELSE 0 END AS g FROM fin),
   sg AS (SELECT *, sum(g) OVER (PARTITION BY dataset, trial, method ORDER BY i) AS seg FROM gp),
@@ -66,11 +66,11 @@ add("d7_corr_per_trial", lambda t: C.corr_per_trial(pairs(t)), "samples spikes w
 
 
 def two(t):
-    p = t.preds.groupBy(*TRIAL, "i").pivot("method", ["pgas", "cascade"]).agg(F.max("prob"))
-    return p.select(*TRIAL, "i", F.col("pgas").alias("x"), F.col("cascade").alias("y"))
+    p = t.preds.groupBy(*TRIAL, "i").pivot("method", ["sampler", "cnn"]).agg(F.max("prob"))
+    return p.select(*TRIAL, "i", F.col("sampler").alias("x"), F.col("cnn").alias("y"))
 
 
-TWO = "two AS (SELECT a.dataset, a.trial, a.i, a.prob AS x, b.prob AS y FROM preds a JOIN preds b ON a.trial = b.trial AND a.dataset = b.dataset AND a.i = b.i WHERE a.method = 'pgas' AND b.method = 'cascade')"
+TWO = "two AS (SELECT a.dataset, a.trial, a.i, a.prob AS x, b.prob AS y FROM preds a JOIN preds b ON a.trial = b.trial AND a.dataset = b.dataset AND a.i = b.i WHERE a.method = 'sampler' AND b.method = 'cnn')"
 add("d8_corr_global", lambda t: D.trace_agreement(two(t), ["dataset"]).select("dataset", "r"), "preds", f"WITH {TWO} SELECT dataset, {corr('x', 'y')} AS r FROM two GROUP BY ALL")
 add("d9_corr_global_per_trial", lambda t: D.trace_agreement(R.trim_to_window(two(t).join(t.samples.select(*TRIAL, "i", "t"), [*TRIAL, "i"]), t.windows), TRIAL).select(*TRIAL, "r"), "preds samples windows",
     f"WITH {TWO} SELECT two.dataset, two.trial, {corr('two.x', 'two.y')} AS r FROM two JOIN samples s ON s.trial = two.trial AND s.dataset = two.dataset AND s.i = two.i JOIN windows w ON w.trial = two.trial AND w.dataset = two.dataset WHERE s.t BETWEEN start_s - 1e-6 AND end_s + 1e-6 GROUP BY ALL")

@@ -42,10 +42,10 @@ class Tables:
 
     @cached_property
     def preds(self) -> DataFrame:
-        """dataset, trial, i, t, method, prob: three methods over the samples; prob is null at the start of ens2."""
+        """dataset, trial, i, t, method, prob: three methods over the samples; prob is null at the start of unet."""
         prev = F.lag("y").over(W.partitionBy(*TRIAL).orderBy("t", "event_id"))
         k = F.get_json_object("props", "$.k").cast("double")
-        each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("prob")) for m, c in (("pgas", "y"), ("ens2", "prev"), ("cascade", "yk"))]))
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).alias("prob")) for m, c in (("sampler", "y"), ("unet", "prev"), ("cnn", "yk"))]))
         rows = self.samples.withColumn("prev", prev).withColumn("yk", F.col("y") + k)
         return rows.select(*TRIAL, "i", "t", each.alias("m")).select(*TRIAL, "i", "t", "m.method", "m.prob")
 
@@ -66,7 +66,7 @@ class Tables:
             "l_returnflag AS run",
             "l_suppkey AS dataset",
             "CASE l_linenumber % 3 WHEN 0 THEN 'raw' WHEN 1 THEN '30Hz' ELSE '10Hz' END AS smoothing",
-            "CASE l_partkey % 3 WHEN 0 THEN 'pgas' WHEN 1 THEN 'ens2' ELSE 'cascade' END AS method",
+            "CASE l_partkey % 3 WHEN 0 THEN 'sampler' WHEN 1 THEN 'unet' ELSE 'cnn' END AS method",
             "CAST(10 * (1 + CAST(l_quantity AS INT) % 5) AS DOUBLE) AS corr_sigma_ms",
             "l_orderkey AS trial",
             "CASE WHEN l_linenumber = 7 THEN NULL ELSE 10 * l_discount END AS correlation",
@@ -91,14 +91,14 @@ SQL = {
     "spikes": "SELECT dataset, trial, t AS s FROM samples WHERE event_type = 'error'",
     "windows": """SELECT dataset, trial, CASE WHEN trial % 7 = 0 THEN NULL ELSE min(t) + 24 END AS start_s,
   CASE WHEN trial % 7 = 0 THEN NULL ELSE min(t) + 360 END AS end_s FROM samples GROUP BY dataset, trial""",
-    "preds": """SELECT dataset, trial, i, t, 'pgas' AS method, y AS prob FROM samples
-  UNION ALL SELECT dataset, trial, i, t, 'ens2', lag(y) OVER (PARTITION BY dataset, trial ORDER BY i) FROM samples
-  UNION ALL SELECT dataset, trial, i, t, 'cascade', y + CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM samples""",
+    "preds": """SELECT dataset, trial, i, t, 'sampler' AS method, y AS prob FROM samples
+  UNION ALL SELECT dataset, trial, i, t, 'unet', lag(y) OVER (PARTITION BY dataset, trial ORDER BY i) FROM samples
+  UNION ALL SELECT dataset, trial, i, t, 'cnn', y + CAST(json_extract_string(props, '$.k') AS DOUBLE) FROM samples""",
     "frames": """SELECT CAST(label AS BIGINT) AS dataset, vec_id AS trial, i, i/30e0 AS t, CAST(embedding[i + 1] AS DOUBLE) AS y
   FROM (SELECT label, vec_id, embedding, unnest(range(0, len(embedding))) AS i FROM embeddings)""",
     "trialwise": """SELECT l_returnflag AS run, l_suppkey AS dataset,
   CASE l_linenumber % 3 WHEN 0 THEN 'raw' WHEN 1 THEN '30Hz' ELSE '10Hz' END AS smoothing,
-  CASE l_partkey % 3 WHEN 0 THEN 'pgas' WHEN 1 THEN 'ens2' ELSE 'cascade' END AS method,
+  CASE l_partkey % 3 WHEN 0 THEN 'sampler' WHEN 1 THEN 'unet' ELSE 'cnn' END AS method,
   CAST(10 * (1 + CAST(l_quantity AS INT) % 5) AS DOUBLE) AS corr_sigma_ms, l_orderkey AS trial,
   CASE WHEN l_linenumber = 7 THEN NULL ELSE 10 * l_discount END AS correlation FROM lineitem""",
     "posterior": """SELECT l_suppkey AS tag, CAST(l_linenumber - 1 AS BIGINT) AS sample,

@@ -143,14 +143,14 @@ def test_readers(spark, tmp_path):
         io.read_posterior(spark, str(tmp_path / "traj"), 3).collect()
     leaf = tmp_path / "tree" / "run1" / "d1" / "30Hz"
     leaf.mkdir(parents=True)
-    (leaf / "summary.json").write_text(json.dumps({"correlations": {"pgas": 0.5, "ens2": None}, "gt_count": 3}))
+    (leaf / "summary.json").write_text(json.dumps({"correlations": {"sampler": 0.5, "unet": None}, "gt_count": 3}))
     tree = io.read_run_tree(spark, str(tmp_path / "tree"), runs=["run1"]).collect()
-    assert sorted((r["run"], r["dataset"], r["smoothing"], r["method"], r["correlation"]) for r in tree) == [("run1", "d1", "30Hz", "ens2", None), ("run1", "d1", "30Hz", "pgas", 0.5)]
+    assert sorted((r["run"], r["dataset"], r["smoothing"], r["method"], r["correlation"]) for r in tree) == [("run1", "d1", "30Hz", "unet", None), ("run1", "d1", "30Hz", "sampler", 0.5)]
     bad = spark.createDataFrame([('{"a": [1, -2]}',)], "json string")
     with pytest.raises(Exception, match="invalid trials"):
         io.read_trial_selection(bad).collect()
-    (tmp_path / "p.csv").write_text("G_tot,gamma\n1,2\n3,4\n")
-    assert {(r["sample"], r["name"], r["value"]) for r in io.read_params(spark, str(tmp_path / "p.csv")).collect()} == {(0, "G_tot", 1.0), (1, "G_tot", 3.0), (0, "gamma", 2.0), (1, "gamma", 4.0)}
+    (tmp_path / "p.csv").write_text("alpha,gamma\n1,2\n3,4\n")
+    assert {(r["sample"], r["name"], r["value"]) for r in io.read_params(spark, str(tmp_path / "p.csv")).collect()} == {(0, "alpha", 1.0), (1, "alpha", 3.0), (0, "gamma", 2.0), (1, "gamma", 4.0)}
     assert io.file_fingerprints(spark, str(tmp_path / "p.csv")).count() == 1
     head = io.TRIALWISE.replace(" string", "").replace(" double", "").replace(" int", "").replace(", ", ",")
     (tmp_path / "s.csv").write_text(head + "\nr,d,raw,m,m,50,1,0,1,0.5\n")
