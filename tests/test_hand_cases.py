@@ -145,7 +145,7 @@ def test_readers(spark, tmp_path):
     leaf.mkdir(parents=True)
     (leaf / "summary.json").write_text(json.dumps({"correlations": {"sampler": 0.5, "unet": None}, "gt_count": 3}))
     tree = io.read_run_tree(spark, str(tmp_path / "tree"), runs=["run1"]).collect()
-    assert sorted((r["run"], r["dataset"], r["smoothing"], r["method"], r["correlation"]) for r in tree) == [("run1", "d1", "30Hz", "unet", None), ("run1", "d1", "30Hz", "sampler", 0.5)]
+    assert sorted((r["run"], r["dataset"], r["smoothing"], r["method"], r["correlation"]) for r in tree) == [("run1", "d1", "30Hz", "sampler", 0.5), ("run1", "d1", "30Hz", "unet", None)]
     bad = spark.createDataFrame([('{"a": [1, -2]}',)], "json string")
     with pytest.raises(Exception, match="invalid trials"):
         io.read_trial_selection(bad).collect()
