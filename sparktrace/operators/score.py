@@ -15,26 +15,24 @@ PIECE = [*TRIAL, "method"]
 def reference(windows: DataFrame, spikes: DataFrame, fs: float, sigma_ms: float) -> DataFrame:
     """Smoothed event rate on the grid of each window: dataset, trial, start_s, k, q, rate."""
     rates = series.event_rates(series.event_grid(windows, fs), spikes)
-    smooth = series.smooth_rows(rates.select(*TRIAL, "start_s", "k", "rate"), [*TRIAL, "start_s"], sigma_ms / 1000 * fs, "rate")
-    return rates.select(*TRIAL, "start_s", "k", "q").join(smooth, [*TRIAL, "start_s", "k"])
+    return series.smooth_rows(rates.select(*TRIAL, "start_s", "k", "q", "rate"), [*TRIAL, "start_s"], sigma_ms / 1000 * fs, "rate", ("q",))
 
 
 def smoothed_predictions(preds: DataFrame, rates: DataFrame, sigma_ms: float) -> DataFrame:
-    """Predictions by method, shifted where right-labelled, smoothed at their trial's own rate: ..., k, t, seg, y."""
+    """Predictions by method, shifted where right-labelled, smoothed at their trial's own rate: dataset, trial (with the method), seg, k, y, t."""
     rows = reshape.shift_left_for_method(preds).where(reshape.finite("prob"))
     keyed = rows.select("dataset", F.col("trial").alias("own"), "method", "i", "t", F.col("prob").alias("y"))
     named = keyed.withColumn("trial", F.concat_ws(":", F.col("own").cast("string"), "method")).join(rates.withColumnRenamed("trial", "own"), ["dataset", "own"])
-    cut = series.gap_segments(named.drop("fs"), named.select("dataset", "trial", "fs").distinct()).select("dataset", "trial", "own", "method", F.col("i").alias("k"), "t", "y", "seg", "fs")
-    smooth = series.smooth_rows(cut, ["dataset", "trial", "seg"], sigma_ms / 1000 * F.col("fs"), "y")
-    return cut.drop("y").join(smooth, ["dataset", "trial", "seg", "k"])
+    cut = series.gap_segments(named).withColumn("k", F.col("i"))
+    return series.smooth_rows(cut, ["dataset", "trial", "seg"], sigma_ms / 1000 * F.col("fs"), "y", ("t",))
 
 
 def aligned(preds: DataFrame, spikes: DataFrame, windows: DataFrame, rates: DataFrame, fs: float, sigma_ms: float) -> DataFrame:
     """Pairs (rate, y) of reference and prediction at the grid points of each window; y is null in gaps."""
     ref = reference(windows, spikes, fs, sigma_ms)
     smooth = smoothed_predictions(preds, rates, sigma_ms)
-    methods = smooth.select("dataset", "trial", "own", "method").distinct()
-    points = ref.withColumnRenamed("trial", "own").join(methods, ["dataset", "own"]).select("dataset", "trial", "own", "method", "k", "q", "rate")
+    methods = preds.where(reshape.finite("prob")).select("dataset", F.col("trial").alias("own"), "method").distinct()
+    points = ref.withColumnRenamed("trial", "own").join(methods, ["dataset", "own"]).select("dataset", F.concat_ws(":", F.col("own").cast("string"), "method").alias("trial"), "own", "method", "k", "q", "rate")
     return series.align_piecewise(smooth.select("dataset", "trial", "t", "y", "seg"), points).select("dataset", F.col("own").alias("trial"), "method", "k", "rate", "y")
 
 

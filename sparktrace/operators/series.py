@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparktrace.operators.match import neighbours
 
@@ -24,9 +25,9 @@ def sampling_rate(samples: DataFrame) -> DataFrame:
     return d.groupBy(*TRIAL).agg((1 / F.median("d")).alias("fs"))
 
 
-def gap_segments(samples: DataFrame, rates: DataFrame, gap_factor: float = 4.0) -> DataFrame:
-    """Number of the segment of each sample; a new one starts where t - prev > gap_factor / fs."""
-    rows = samples.join(rates, list(TRIAL))
+def gap_segments(samples: DataFrame, rates: DataFrame | None = None, gap_factor: float = 4.0) -> DataFrame:
+    """Number of the segment of each sample; a new one starts where t - prev > gap_factor / fs. Without `rates` the samples have fs."""
+    rows = samples if rates is None else samples.join(rates, list(TRIAL))
     gap = F.col("t") - F.lag("t").over(ordered()) > gap_factor / F.col("fs")
     return rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("seg", F.sum("_new").over(ordered())).drop("_new")
 
@@ -87,20 +88,20 @@ def causal_smooth(wide: DataFrame, fs: float) -> DataFrame:
     return convolve_arrays(wide, inverse_gaussian_kernel(fs), "constant")
 
 
-def smooth_rows(rows: DataFrame, by: list[str], sigma: float | Column, value: str, edges: str = "reflect") -> DataFrame:
-    """Long rows smoothed in each group in the order of `k`; `sigma` in samples, a number or a column of the group."""
-    kinds = dict(rows.dtypes)
+def smooth_rows(rows: DataFrame, by: list[str], sigma: float | Column, value: str, carry: tuple[str, ...] = (), edges: str = "reflect") -> DataFrame:
+    """Long rows smoothed in each group in the order of `k`; `sigma` in samples, a number or a column of the group.
 
-    def run(frames):
-        for f in frames:
-            f["v"] = [convolved(np.asarray([np.nan if x is None else x for x in v], dtype=float), gaussian_kernel(s), edges).tolist() for v, s in zip(f["v"], f["_sigma"])]
-            yield f[[*by, "k", "v"]]
+    The `carry` columns of the rows stay beside the value; only values and widths pass through Python.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def smooth(values: pd.Series, sigmas: pd.Series) -> pd.Series:
+        return pd.Series([convolved(np.asarray([np.nan if x is None else x for x in v], dtype=float), gaussian_kernel(s), edges) for v, s in zip(values, sigmas)])
 
     width = F.lit(float(sigma)) if isinstance(sigma, (int, float)) else sigma
-    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", value))).alias("a"), F.max(width).alias("_sigma"))
-    packed = packed.select(*by, F.col("a.k").alias("k"), F.col(f"a.{value}").alias("v"), "_sigma")
-    out = packed.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in by) + f", k array<{kinds['k']}>, v array<double>")
-    return out.select(*by, F.inline(F.arrays_zip("k", "v"))).withColumnRenamed("v", value)
+    packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("k", F.col(value).cast("double").alias(value), *carry))).alias("a"), F.max(width).alias("_sigma"))
+    smoothed = packed.withColumn("v", smooth(F.col(f"a.{value}"), F.col("_sigma")))
+    return smoothed.select(*by, F.explode(F.arrays_zip("a", "v")).alias("p")).select(*by, "p.a.k", F.col("p.v").alias(value), *[f"p.a.{c}" for c in carry])
 
 
 def sliding_frames(samples: DataFrame, width: int, before: float) -> DataFrame:
