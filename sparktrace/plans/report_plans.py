@@ -136,3 +136,12 @@ def _through_partitions(t):
 
 add("a5_read_trialwise_csv", _through_csv, "trialwise", "SELECT 'd' || dataset AS dataset, method, count(*) AS n, round(avg(correlation), 6) AS mean FROM trialwise GROUP BY ALL")
 add("a11_write_results", _through_partitions, "preds", "SELECT method, dataset, count(*) AS n, round(sum(prob), 6) AS total FROM preds GROUP BY ALL")
+
+
+def _through_param_files(t):
+    path = IO.shared_path(t.spark, "params")
+    t.posterior.select("b", "c").write.csv(path, header=True)
+    return IO.read_params(t.spark, path).groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
+add("a8_read_params", _through_param_files, "posterior", "SELECT 'b' AS name, count(*) AS n, round(sum(b), 6) AS total FROM posterior UNION ALL SELECT 'c', count(*), round(sum(c), 6) FROM posterior")
