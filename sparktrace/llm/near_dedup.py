@@ -250,7 +250,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rest = written(crossing(buckets, components(near), classes, docs), "links")
     # rows that share a doc_id are one document: their classes meet there
     same = usable.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
-    again = same.where("doc_id <> rep").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")
+    several = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
+    again = same.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     named = components(near.unionByName(rest).unionByName(again))
     of_class = classes.select("d1", "d2", "rep").join(named, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     found = prints.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")

@@ -83,6 +83,14 @@ def test_near_duplicates_with_a_large_group_and_chains(spark, monkeypatch):
     assert out == brute_components(rows)
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(30))
+    rows = [(5, text("a")), (5, text("b")), (5, text("c")), (2, text("b")), (9, text("c")), (7, text("a")), (8, text("d")), (8, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    out = Counter((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(docs).collect())
+    assert out == Counter({(5, 2): 3, (2, 2): 1, (9, 2): 1, (7, 2): 1, (8, 8): 2})
+
+
 def test_posterior_bound_is_monotone_and_cautious():
     bounds = near_dedup.batches_of()
     assert all(0 < m < n for n, m in bounds) and [m for _, m in bounds] == sorted(m for _, m in bounds)
