@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import new_folder
+from sparktrace.llm.common import new_folder, written
 
 MODEL = "piece_bpe_32k.model"
 LIMIT = 4096
@@ -66,7 +66,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache: str, limit: int = LIMI
     misses = keyed.join(known().select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
     encode_counts(misses, model_path, version).write.mode("append").option("compression", "zstd").parquet(cache)
     rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), content_digest().alias("digest"))
-    counts = known().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
+    # Written first, so that the join has a plain exchange on both sides and Spark can split a text with very many copies.
+    counts = written(known().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-counts")
     return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
