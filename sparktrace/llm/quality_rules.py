@@ -21,8 +21,8 @@ THRESHOLDS: dict[str, tuple[float | None, float | None]] = {
     "symbols_per_word": (None, 0.25),
     "upper_share": (None, 0.5),
     "letter_word_share": (0.6, None),
-    "sstutter_share": (0.01, None),
-    "dup_line_share": (None, 0.3),
+    "stop_word_share": (0.01, None),
+    "dup_line_share": (None, 0.5),
     "stutter_share": (None, 0.3),
 }
 RATIOS: dict[str, tuple[str, str]] = {
@@ -30,7 +30,7 @@ RATIOS: dict[str, tuple[str, str]] = {
     "symbols_per_word": ("n_symbols", "n_words"),
     "upper_share": ("n_upper", "word_chars"),
     "letter_word_share": ("n_letter_words", "n_words"),
-    "sstutter_share": ("n_stop_words", "n_words"),
+    "stop_word_share": ("n_stop_words", "n_words"),
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "stutter_share": ("n_stutters", "n_words"),
 }
