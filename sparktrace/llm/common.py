@@ -4,21 +4,23 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+@cache
+def own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sparktrace-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of `spark.checkpoint.dir`, which the driver and all executors share.
 
-    Only where that setting is absent (tests on one machine) is a temporary folder made and set.
+    Only where that setting is absent (tests on one machine) is it a temporary folder of this process.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sparktrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or own_folder()).rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
