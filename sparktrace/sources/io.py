@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -107,10 +108,11 @@ def append_manifest(entries: DataFrame, new: DataFrame, stamp) -> DataFrame:
     return both.withColumn("r", r).where("kind = 'synthetic' or r = 1").drop("r")
 
 
+@cache
+def own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sparktrace-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of `spark.checkpoint.dir`; a temporary folder is set only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="sparktrace-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder of `spark.checkpoint.dir`; a temporary folder of this process only where that is unset."""
+    return f"{(spark.conf.get('spark.checkpoint.dir', None) or own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
