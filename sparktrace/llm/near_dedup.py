@@ -167,7 +167,7 @@ def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
     mixed = parts.groupBy("h").agg(F.max(F.struct("count", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     rows = at.join(mixed.select("h", F.col("main.comp").alias("main")), "h").withColumn("outer", F.col("comp") != F.col("main"))
     rows = written(rows.drop("main"), "crossing")
-    rows = rows.join(classes.select("rep", "n_shingles", "codes").hint("merge"), "rep")
+    rows = rows.join(classes.select("rep", "n_shingles", "codes", "bands").hint("merge"), "rep")
     need = lambda size, shingles: F.ceil(F.greatest(size / BLOCK, shingles / BLOCK_SHINGLES))
     sizes = rows.groupBy("h").agg(need(F.count("*"), F.sum("n_shingles")).alias("of_all"), need(F.count_if("outer"), F.sum(F.when(F.col("outer"), F.col("n_shingles")))).alias("of_outer"))
     held = held_texts(docs, rows.select(F.col("rep").alias("doc_id")).distinct()).withColumnRenamed("doc_id", "rep")
@@ -178,7 +178,7 @@ def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
     of_all, of_outer = F.col("of_all"), F.col("of_outer")
     here = F.transform(every(of_outer), lambda j: F.struct(part(of_all).alias("i"), j.alias("j"), F.lit(False).alias("asks")))
     asks = F.transform(every(of_all), lambda i: F.struct(i.alias("i"), part(of_outer).alias("j"), F.lit(True).alias("asks")))
-    keep = ["h", "band", "rep", "comp", "outer", "n_shingles", "codes", "text"]
+    keep = ["h", "band", "rep", "comp", "outer", "n_shingles", "codes", "bands", "text"]
     dealt = rows.select(*keep, F.explode(F.when(F.col("outer"), F.concat(here, asks)).otherwise(here)).alias("at"))
     dealt = dealt.select("at.i", "at.j", "at.asks", *keep).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "asks")
     bounds = batches_of()
@@ -186,12 +186,12 @@ def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
     def compare(block: dict[str, np.ndarray], start: int, end: int, out: list) -> None:
         """Adds the links between the asking and the present members of one block.
 
-        A pair that shares an earlier band met in that band's bucket and is left to it.
+        A pair with an equal key of an earlier band met in that band's bucket and is left to it.
         """
         asks = block["asks"][start:end]
         there = start + np.flatnonzero(~asks)
-        rep, comp, outer, size, codes, text = (block[c] for c in ("rep", "comp", "outer", "n_shingles", "codes", "text"))
-        before, sets = int(block["band"][start]) * ROWS, {}
+        rep, comp, outer, size, codes, bands, text = (block[c] for c in ("rep", "comp", "outer", "n_shingles", "codes", "bands", "text"))
+        before, sets = int(block["band"][start]), {}
 
         def full(k: int) -> np.ndarray:
             if k not in sets:
@@ -203,7 +203,7 @@ def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
             if len(at):
                 at = at[sequential(np.broadcast_to(codes[k], (len(at), codes.shape[1])), codes[at], bounds)]
             if len(at) and before:
-                at = at[~(codes[at, :before] == codes[k, :before]).reshape(len(at), -1, ROWS).all(axis=2).any(axis=1)]
+                at = at[~(bands[at, :before] == bands[k, :before]).any(axis=1)]
             out += [(rep[k], rep[x]) for x in at if reaches(full(k), full(x))]
 
     def run(frames):
@@ -213,6 +213,7 @@ def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
             if f is not None:
                 new = {c: f[c].to_numpy() for c in ("h", "i", "j", "asks", "band", "rep", "comp", "outer", "n_shingles", "text")}
                 new["codes"] = np.frombuffer(b"".join(f["codes"]), dtype=np.uint8).reshape(len(f), BANDS * ROWS)
+                new["bands"] = np.array(f["bands"].tolist(), dtype=np.int64).reshape(len(f), BANDS)
                 held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             if held is None:
                 return

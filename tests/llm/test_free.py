@@ -91,6 +91,19 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert out == Counter({(5, 2): 3, (2, 2): 1, (9, 2): 1, (7, 2): 1, (8, 8): 2})
 
 
+def test_equal_signature_bytes_are_not_a_shared_bucket(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")
+    first, second = near_dedup.fingerprints(docs).orderBy("doc_id").collect()
+    # the bytes agree in all bands, the keys differ in band 0 and meet in band 1
+    bands = [list(first["bands"]), [first["bands"][0] + 1, *first["bands"][1:]]]
+    rows = [(r["doc_id"], r["n_shingles"], first["codes"], b) for r, b in zip((first, second), bands)]
+    classes = spark.createDataFrame(rows, "rep long, n_shingles long, codes binary, bands array<long>")
+    buckets = spark.createDataFrame([(first["bands"][1], 1, i, 2) for i in (1, 2)], "h long, band int, rep long, size long")
+    named = spark.createDataFrame([], "node long, component long")
+    assert [tuple(r) for r in near_dedup.crossing(buckets, named, classes, docs).collect()] == [(1, 2)]
+
+
 def test_posterior_bound_is_monotone_and_cautious():
     bounds = near_dedup.batches_of()
     assert all(0 < m < n for n, m in bounds) and [m for _, m in bounds] == sorted(m for _, m in bounds)
