@@ -23,9 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs.select(*COLUMNS), model).where("quality_score >= 0.5").select(*COLUMNS)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Rows with a null id stay."""
-    gone = near_dedup.near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent: int = near_dedup.LEAST_PERCENT) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id. Rows with a null id stay.
+
+    Documents whose similarity is `percent` hundredths or more are near duplicates.
+    """
+    gone = near_dedup.near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -29,7 +29,8 @@ from sparktrace.llm.text_arrays import BASE, U64, mix, powers, shingle_set, text
 
 WIDTH = 5
 LEAST_PERCENT = 85
-#: With 26 bands of 5 rows, a pair of similarity 0.85 shares no bucket with probability (1 - 0.85^5)^26 < 4e-7.
+#: With 26 bands of 5 rows, a pair of similarity J shares no bucket with probability (1 - J^5)^26: below 4e-7 at 0.85,
+#: 3.3e-5 at 0.8. Lower thresholds need more bands.
 BANDS, ROWS = 26, 5
 #: Posterior probability below which a pair is given up.
 MISS = 1e-5
@@ -103,15 +104,15 @@ def sequential(left: np.ndarray, right: np.ndarray, bounds: list[tuple[int, int]
     return alive
 
 
-def batches_of(step: int = 26) -> list[tuple[int, int]]:
-    return [(n, least_matches(n)) for n in range(step, BANDS * ROWS + 1, step)]
+def batches_of(step: int = 26, percent: int = LEAST_PERCENT) -> list[tuple[int, int]]:
+    return [(n, least_matches(n, percent)) for n in range(step, BANDS * ROWS + 1, step)]
 
 
-def pruned(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+def pruned(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sequential Bayesian comparison of their signatures leaves."""
-    bounds = batches_of()
+    bounds = batches_of(percent=percent)
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("codes").alias(f"c{s}"))
-    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").where(100 * F.least("na", "nb") >= LEAST_PERCENT * F.greatest("na", "nb"))
+    both = pairs.join(side("b").hint("merge"), "b").join(side("a").hint("merge"), "a").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
 
     def run(frames):
         for f in frames:
@@ -128,13 +129,13 @@ def held_texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
 
 
-def reaches(mine: np.ndarray, other: np.ndarray) -> bool:
+def reaches(mine: np.ndarray, other: np.ndarray, percent: int) -> bool:
     """Whether two full shingle sets reach the threshold."""
     shared = len(np.intersect1d(mine, other, assume_unique=True))
-    return 100 * shared >= LEAST_PERCENT * (len(mine) + len(other) - shared)
+    return 100 * shared >= percent * (len(mine) + len(other) - shared)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full shingle sets reach the threshold."""
     held = held_texts(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     side = lambda s: held.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}")).hint("merge")
@@ -147,7 +148,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             for a, ta, tb in zip(batch.column("a").to_pylist(), texts(batch.column("ta")), texts(batch.column("tb"))):
                 if last is None or last[0] != a or len(last[1]) != len(ta) or not np.array_equal(last[1], ta):
                     last, mine = (a, ta.copy()), shingle_set(ta, WIDTH)
-                keep.append(reaches(mine, shingle_set(tb, WIDTH)))
+                keep.append(reaches(mine, shingle_set(tb, WIDTH), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
@@ -160,7 +161,7 @@ def star_pairs(buckets: DataFrame) -> DataFrame:
     return buckets.join(centres, "h").where("rep <> centre").select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
-def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """Links within buckets whose ends `named(node, component)` puts in different components."""
     at = buckets.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("h", "band", "rep", F.coalesce("component", "rep").alias("comp"))
     parts = at.groupBy("h", "comp").count()
@@ -181,7 +182,7 @@ def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
     keep = ["h", "band", "rep", "comp", "outer", "n_shingles", "codes", "bands", "text"]
     dealt = rows.select(*keep, F.explode(F.when(F.col("outer"), F.concat(here, asks)).otherwise(here)).alias("at"))
     dealt = dealt.select("at.i", "at.j", "at.asks", *keep).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "asks")
-    bounds = batches_of()
+    bounds = batches_of(percent=percent)
 
     def compare(block: dict[str, np.ndarray], start: int, end: int, out: list) -> None:
         """Adds the links between the asking and the present members of one block.
@@ -199,12 +200,12 @@ def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
             return sets[k]
 
         for k in start + np.flatnonzero(asks):
-            at = there[(comp[there] != comp[k]) & (~outer[there] | (rep[there] > rep[k])) & (100 * np.minimum(size[there], size[k]) >= LEAST_PERCENT * np.maximum(size[there], size[k]))]
+            at = there[(comp[there] != comp[k]) & (~outer[there] | (rep[there] > rep[k])) & (100 * np.minimum(size[there], size[k]) >= percent * np.maximum(size[there], size[k]))]
             if len(at):
                 at = at[sequential(np.broadcast_to(codes[k], (len(at), codes.shape[1])), codes[at], bounds)]
             if len(at) and before:
                 at = at[~(bands[at, :before] == bands[k, :before]).any(axis=1)]
-            out += [(rep[k], rep[x]) for x in at if reaches(full(k), full(x))]
+            out += [(rep[k], rep[x]) for x in at if reaches(full(k), full(x), percent)]
 
     def run(frames):
         """Blocks come one after the other; only the open one is held."""
@@ -230,11 +231,11 @@ def crossing(buckets: DataFrame, named: DataFrame, classes: DataFrame, docs: Dat
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when their sets of distinct 5-word shingles (A-Z lower-cased) have a Jaccard
-    similarity of 0.85 or more; `component_id` is the smallest doc_id that links reach. Texts that are null
+    similarity of `percent` hundredths or more; `component_id` is the smallest doc_id that links reach. Texts that are null
     or have no words have size 0, are linked with nothing and are kept. Rows that share a doc_id count as
     one document. A null doc_id is linked with nothing itself. An empty table gives no rows. Only doc_id and
     text are read.
@@ -247,8 +248,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("h").agg(F.count("*").alias("size")).where("size > 1")
     buckets = written(rows.join(shared, "h"), "buckets")
 
-    near = written(confirmed(written(pruned(star_pairs(buckets), classes), "stars"), docs), "links")
-    rest = written(crossing(buckets, components(near), classes, docs), "links")
+    near = written(confirmed(written(pruned(star_pairs(buckets), classes, percent), "stars"), docs, percent), "links")
+    rest = written(crossing(buckets, components(near), classes, docs, percent), "links")
     # rows that share a doc_id are one document: their classes meet there
     same = usable.select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "rep"), ["d1", "d2"])
     several = same.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z")
@@ -261,7 +262,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
 
 
 QUERIES = {"op8_near_dedup": op8_near_dedup}

@@ -91,6 +91,21 @@ def test_rows_that_share_an_id_are_one_document(spark):
     assert out == Counter({(5, 2): 3, (2, 2): 1, (9, 2): 1, (7, 2): 1, (8, 8): 2})
 
 
+def test_threshold_of_near_duplicates(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(30):
+        words = [f"w{draw.randrange(10**6)}" for _ in range(200)]
+        rows.append((2 * i, " ".join(words)))
+        for k in range(4):  # four changed words of 200, apart from each other: similarity 176 / 216
+            words[20 + 45 * k + i % 7] = f"x{i}_{k}"
+        rows.append((2 * i + 1, " ".join(words)))
+    assert all(0.8 < len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.85 for (_, a), (_, b) in zip(rows[::2], rows[1::2]))
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    kept = lambda percent: {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER, percent).collect()}
+    assert kept(80) == {d for d, _ in rows[::2]} and kept(85) == {d for d, _ in rows}
+
+
 def test_equal_signature_bytes_are_not_a_shared_bucket(spark):
     text = " ".join(f"w{i}" for i in range(60))
     docs = spark.createDataFrame([(1, text), (2, text + " more")], "doc_id long, text string")
