@@ -40,13 +40,16 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture, so any first part of the table has the target weights."""
-    placed = written(mixing.mix(docs.select(*COLUMNS)), "mixture")
+    """All documents in the order of the mixture, so any first part of the table has the target weights.
+
+    Documents of scarce sources are repeated until the table as a whole has these weights too.
+    """
+    placed = written(mixing.mix(docs.select(*COLUMNS), epochs=True), "mixture")
     return placed.orderBy("slot", "place").select(*COLUMNS)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in shuffled shards: the columns of documents, shard, slot and grown_shard."""
+    """All rows of the mixture in shuffled shards: the columns of documents, shard, slot and grown_shard."""
     return sharding.shuffle_into_shards(docs.select(*COLUMNS))
 
 

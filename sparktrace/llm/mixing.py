@@ -83,10 +83,18 @@ def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERI
     return steps, marks
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 11) -> DataFrame:
+def repeated(sizes: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
+    """Least rows of each source, its own at least, whose shares are the weights (to the nearest row)."""
+    scale = max((n / weights[s] for s, n in sizes.items()), default=0)
+    return {s: max(n, round(scale * weights[s])) for s, n in sizes.items()}
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 11, epochs: bool = False) -> DataFrame:
     """All rows and columns of `docs` plus block (of its source), slot (of the block) and place (in the block).
 
-    Ordered by (slot, place) the rows are the mixture. Every row appears once. Without `weights` a source's
+    Ordered by (slot, place) the rows are the mixture. Every row appears once; with `epochs` the rows of scarce
+    sources are repeated, whole epochs and the start of one more, until each source's share of all rows is its
+    target weight, so the source that is largest for its weight appears once and none is dropped. Without `weights` a source's
     weight is its number of rows to the power 0.7; sources missing from given weights get the least one given.
     Rows of a source are numbered in hashed order inside chunks, so no task holds a whole source.
 
@@ -105,7 +113,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     chunks = {s: math.ceil(n / CHUNK_DOCS) for s, n in sizes.items()}
 
     # Numbers in a source: rows in a chunk, then the chunks before it.
-    per = spark.createDataFrame([(s, c) for s, c in chunks.items()], "s string, chunks int")
+    totals = repeated(sizes, weights) if epochs else sizes
+    per = spark.createDataFrame([(s, c, sizes[s], totals[s]) for s, c in chunks.items()], "s string, chunks int, size long, total long")
     order = F.xxhash64(F.lit(seed), F.col("r.doc_id"), F.col("r.text"))
     rows = docs.select(F.struct(*kept).alias("r"), source.alias("s")).join(F.broadcast(per), "s")
     rows = rows.withColumn("o", order).withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 1), "o"), F.col("chunks")))
@@ -113,9 +122,12 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     starts = rows.groupBy("s", "chunk").count().select("s", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     in_chunk = W.partitionBy("s", "chunk").orderBy("o", "r.doc_id", "r.text")
     numbered = rows.withColumn("n", F.row_number().over(in_chunk) - 1).join(starts, ["s", "chunk"]).withColumn("n", F.col("n") + F.col("start"))
+    if epochs:
+        last = F.floor((F.col("total") - 1 - F.col("n")) / F.col("size"))
+        numbered = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("n", F.col("n") + F.col("epoch") * F.col("size"))
     numbered = numbered.select("r", "s", F.floor(F.col("n") / block_docs).alias("block"), (F.col("n") % block_docs).alias("place"))
 
-    steps, marks = phases({s: math.ceil(n / block_docs) for s, n in sizes.items()}, weights, period)
+    steps, marks = phases({s: math.ceil(n / block_docs) for s, n in totals.items()}, weights, period)
     steps = spark.createDataFrame(steps, "s string, phase int, first long, blocks long, start long, quota long, length long")
     marks = spark.createDataFrame(marks, "s string, phase int, k long, offset long")
     placed = numbered.join(F.broadcast(steps), "s").where("block >= first and block < first + blocks").withColumn("k", (F.col("block") - F.col("first")) % F.col("quota"))

@@ -243,6 +243,24 @@ def test_pipeline_stages(spark):
     assert Counter(map(tuple, last.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
 
 
+def test_pipeline_gives_sources_their_target_shares(spark, tmp_path):
+    draw = random.Random(9)
+    sizes = {"hot": 400, "a": 90, "b": 25, "": 6}
+    sources = [s or None for s, n in sizes.items() for _ in range(n)]
+    docs = spark.createDataFrame([(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(20)), "en", s, 0) for i, s in enumerate(sources)], SCHEMA)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{FOLDER}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{FOLDER}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(r["doc_id"], r["source"] or "") for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    target = {s: n**0.7 / sum(x**0.7 for x in sizes.values()) for s, n in sizes.items()}
+    seen, copies = Counter(s for _, s in rows), Counter(d for d, _ in rows)
+    assert set(copies) == set(range(len(sources))) and seen["hot"] == 400
+    assert all(abs(seen[s] - target[s] * len(rows)) < 1.5 for s in sizes)
+    for s in sizes:
+        n = {copies[i] for i, x in enumerate(sources) if (x or "") == s}
+        assert max(n) - min(n) <= 1
+
+
 def test_pipeline_on_awkward_rows(spark, tmp_path):
     clashing(awkward(spark)).write.parquet(str(tmp_path / "documents.parquet"))
     for t in ("labels", "benchmark"):
