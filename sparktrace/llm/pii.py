@@ -1,9 +1,9 @@
 """Personal data: identifiers by pattern, and terms that reveal them by information content.
 
-Identifiers (the protected entities) are matched by patterns. The corpus then tells how strongly a term beside an
-entity reveals it: the share of the entity's information content that their pointwise mutual information
+Identifiers (the protected entities) are matched by patterns. The corpus then tells how strongly a term in a text
+with an entity reveals it: the share of the entity's information content that their pointwise mutual information
 supplies, log(N c_et / (c_e c_t)) / log(N / c_e) over documents. Terms at or above the disclosure threshold are
-sanitised beside that entity, like the entity itself.
+sanitised wherever they stand in the texts that hold that entity, like the entity itself.
 """
 
 from __future__ import annotations
@@ -26,15 +26,17 @@ PATTERNS = {
 #: A cheap test that texts without a match of the kind fail.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 REPLACED = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
-#: Characters of context on either side of an entity, the least letters of a term.
-CONTEXT, LETTERS = 48, 4
+#: The least letters of a term.
+LETTERS = 4
+WORD = f"[\\p{{L}}\\p{{M}}]{{{LETTERS},}}+"
 #: Least share of an entity's information that a term must reveal, least number of different texts that show both.
 DISCLOSURE, SUPPORT = 0.9, 3
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str | Column) -> Column:
     """Start, stop (code points) and value of the non-overlapping matches, in order."""
-    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -75,41 +77,51 @@ def identifiers(text: Column, kind: str) -> Column:
     return F.when(seen, F.filter(matches(text, PATTERNS[kind]), lambda s: VALID[kind](s["value"]))).otherwise(F.array().cast(SPAN))
 
 
-def terms_beside(m: Column) -> Column:
-    """Words of letters in the context of a mention, with their place in the text; words that the cut may split are left out."""
-    word = f"\\p{{L}}[\\p{{L}}\\p{{M}}]{{{LETTERS - 1},}}+"
-    left = F.filter(matches(m["left"], word), lambda s: (s["start"] > 0) | (m["from"] == 0))
-    right = F.filter(matches(m["right"], word), lambda s: (s["stop"] < F.length(m["right"])) | (F.length(m["right"]) < CONTEXT))
-    move = lambda spans, by: F.transform(spans, lambda s: F.struct((s["start"] + by).alias("start"), (s["stop"] + by).alias("stop"), F.lower(s["value"]).alias("value")))
-    return F.concat(move(left, m["from"]), move(right, m["stop"]))
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with spaces in place of the spans, so all other characters keep their places."""
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.repeat(F.lit(" "), s["stop"] - F.greatest(acc["at"], s["start"])))
+        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.array_append(acc["out"], piece).alias("out"))
+
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
+    return let(F.aggregate(ordered, begin, step), lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def occurrences(blank: Column, terms: Column) -> Column:
+    """Spans of all words of the text that are among the (lower-case) terms."""
+    forms = F.array_distinct(F.filter(F.regexp_extract_all(blank, F.lit(WORD), F.lit(0)), lambda w: F.array_contains(terms, F.lower(w))))
+    edge = "[\\p{L}\\p{M}]"
+    return let(F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(forms, "|"), F.lit(f")(?!{edge})")), lambda p: matches(blank, p))
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, base (all identifiers in the order of kinds), mentions (with contexts); without texts."""
+    """row, doc_id, text_key, base (all identifiers in the order of kinds), entities, blank (the text without identifiers; null if it has none)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     rows = rows.select("*", *[identifiers(F.col("text"), k).alias(k) for k in KINDS])
     tag = lambda k: F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
     rows = rows.select("doc_id", "row", "text_key", "text", F.concat(*[tag(k) for k in KINDS]).alias("base"))
 
-    def mention(s: Column) -> Column:
-        begin = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        return F.struct(
-            F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(digits_of(s["value"]))).alias("entity"),
-            begin.alias("from"), s["stop"].alias("stop"),
-            F.substring(F.col("text"), begin + 1, s["start"] - begin).alias("left"), F.substring(F.col("text"), s["stop"] + 1, F.lit(CONTEXT)).alias("right"),
-        )
+    def entity(s: Column) -> Column:
+        return F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(digits_of(s["value"])))
 
     bare = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return rows.select("doc_id", "row", "text_key", bare.alias("base"), F.transform("base", mention).alias("mentions"))
+    return rows.select("doc_id", "row", "text_key", bare.alias("base"), F.array_distinct(F.transform("base", entity)).alias("entities"), F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base"))).alias("blank"))
 
 
-def disclosing_terms(beside: DataFrame, docs: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """(entity, term) pairs of `beside(row, text_key, entity, term)` over the thresholds; counts are over all documents."""
+def disclosing_terms(holders: DataFrame, docs: DataFrame, disclosure: float, support: int) -> DataFrame:
+    """(entity, term) pairs over the thresholds, counted over whole texts `holders(text_key, copies, entities, blank)`."""
     n = docs.count()
-    pairs = beside.groupBy("entity", "term").agg(F.countDistinct("text_key").alias("texts"), F.countDistinct("row").alias("c_et")).where(F.col("texts") >= support)
+    of_text = holders.select("text_key", "copies", F.explode("entities").alias("entity"))
+    # an entity in fewer texts has no pair in `support` texts
+    entities = written(of_text.groupBy("entity").agg(F.sum("copies").alias("c_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"), "pii-entities")
+    often = of_text.join(entities, "entity").groupBy("text_key").agg(F.collect_set("entity").alias("often"))
+    words = F.array_distinct(F.transform(F.regexp_extract_all("blank", F.lit(WORD), F.lit(0)), F.lower))
+    pairs = holders.join(often, "text_key").select("copies", "often", F.explode(words).alias("term")).select("copies", F.explode("often").alias("entity"), "term")
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("c_et")).where(F.col("texts") >= support)
     pairs = written(pairs, "pii-pairs")
-    entities = beside.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("c_e"))
     wanted = pairs.select("term").distinct()
     seen = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{M}]+", -1))).alias("term")).where(F.length("term") >= LETTERS)
     # joined after the count: a semi join would be pushed below it, to every occurrence
@@ -123,15 +135,17 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support:
 
     Kinds are email, ip, card, phone and term. A null text is empty and has no spans; repeated rows each get a row;
     an empty table gives no rows. Only doc_id and text are read. Whole texts; starts and stops are code points.
+    A disclosing term is marked wherever it stands in a text that holds its entity.
     """
     docs = docs.select("doc_id", "text")
     base = written(base_table(docs), "pii-base")
-    inside = lambda t: F.exists("base", lambda s: (s["start"] < t["stop"]) & (t["start"] < s["stop"]))
-    near = base.where(F.size("mentions") > 0).select("row", "text_key", "base", F.explode("mentions").alias("m"))
-    near = near.select("row", "text_key", F.col("m.entity").alias("entity"), F.explode(F.filter(terms_beside(F.col("m")), lambda t: ~inside(t))).alias("t"))
-    near = written(near.select("row", "text_key", "entity", "t.start", "t.stop", F.col("t.value").alias("term")), "pii-beside")
-    told = disclosing_terms(near.select("row", "text_key", "entity", "term"), docs, disclosure, support)
-    added = near.join(told, ["entity", "term"]).groupBy("row").agg(F.sort_array(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "stop"))).alias("terms"))
+    holders = base.where(F.size("entities") > 0).groupBy("text_key").agg(F.countDistinct("row").alias("copies"), F.first("entities").alias("entities"), F.first("blank").alias("blank"))
+    holders = written(holders, "pii-holders")
+    told = written(disclosing_terms(holders, docs, disclosure, support), "pii-told")
+    terms = holders.select("text_key", F.explode("entities").alias("entity")).join(told, "entity").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
+    found = holders.join(terms, "text_key").select("text_key", occurrences(F.col("blank"), F.col("terms")).alias("hits"))
+    found = found.select("text_key", F.transform("hits", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("terms"))
+    added = base.where(F.size("entities") > 0).select("row", "text_key").distinct().join(found, "text_key").drop("text_key")
     spans = F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
     return base.join(added, "row", "left").select("doc_id", "row", spans.alias("spans"))
 

@@ -161,6 +161,15 @@ def test_disclosing_terms_are_generalised(spark):
     assert out[0] == "number 0 ask <TERM> at <EMAIL> about thing0 now" and out[50] == rows[5][1]
 
 
+def test_disclosing_terms_far_from_the_address_are_generalised(spark):
+    far = "plain text asks about the thing and more words " * 12
+    rows = [(i, f"Zyxwvut {far}owner@site.org {far}number {i} for ZYXWVUT", "en", "s", 0) for i in range(5)]
+    rows += [(50 + i, f"{far} number {i}", "en", "s", 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = {r["doc_id"]: r["sanitised"] for r in pii.sanitise(docs).collect()}
+    assert out[0] == f"<TERM> {far}<EMAIL> {far}number 0 for <TERM>" and out[50] == rows[5][1]
+
+
 @pytest.mark.parametrize("name", ["op1_sharding", "op4_quality_rules", "op5_decontaminate", "op6_mixing", "op9_pii", "op2_warc", "op3_token_counts", "op7_quality_classifier", "op8_near_dedup", "op10_language_id", "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
     for t in "documents pages benchmark labels".split():
