@@ -2,7 +2,8 @@
 
 Identifiers (the protected entities) are matched by patterns. The corpus then tells how strongly a term in a text
 with an entity reveals it: the share of the entity's information content that their pointwise mutual information
-supplies, log(N c_et / (c_e c_t)) / log(N / c_e) over documents. Terms at or above the disclosure threshold are
+supplies, log(P(e | t) / P(e)) / -log P(e), where P(e) = c_e / N and P(e | t) = (c_et + a P(e)) / (c_t + a) are counted over
+documents and `a` prior observations smooth small counts. Terms at or above the disclosure threshold are
 sanitised wherever they stand in the texts that hold that entity, like the entity itself.
 """
 
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import let, row_key, written
+from sparktrace.llm.common import folded, let, row_key, written
 
 SPAN = "array<struct<start:int,stop:int,value:string>>"
 KINDS = ("email", "ip", "card", "phone")
@@ -26,25 +27,23 @@ PATTERNS = {
 #: A cheap test that texts without a match of the kind fail.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
 REPLACED = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
-#: The least letters of a term.
-LETTERS = 4
-WORD = f"[\\p{{L}}\\p{{M}}]{{{LETTERS},}}+"
-#: Least share of an entity's information that a term must reveal, least number of different texts that show both.
-DISCLOSURE, SUPPORT = 0.9, 3
+#: A term is a run of letters and marks of any length, compared in lower case.
+WORD = "[\\p{L}\\p{M}]++"
+#: Least share of an entity's information that a term must reveal, and the weight of the prior in observations.
+DISCLOSURE, PRIOR = 0.9, 0.5
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
     """Start, stop (code points) and value of the non-overlapping matches, in order."""
     pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
     pieces = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)), lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["at"] + x["gap"]
-        span = F.struct(at.alias("start"), (at + F.length(x["hit"])).alias("stop"), x["hit"].alias("value"))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct((at + F.length(x["hit"])).alias("at"), F.array_append(acc["out"], span).alias("out")))
+    def step(at: Column, x: Column) -> Column:
+        start, stop = at + x["gap"], at + x["gap"] + F.length(x["hit"])
+        span = F.array(F.struct(start.alias("start"), stop.alias("stop"), x["hit"].alias("value")))
+        return F.struct(F.coalesce(stop, start).alias("at"), F.when(x["hit"].isNotNull(), span).otherwise(F.array().cast(SPAN)).alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return folded(pieces, F.lit(0), SPAN, step)["out"]
 
 
 def luhn(digits: Column) -> Column:
@@ -79,96 +78,114 @@ def identifiers(text: Column, kind: str) -> Column:
 
 def blanked(text: Column, spans: Column) -> Column:
     """The text with spaces in place of the spans, so all other characters keep their places."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.repeat(F.lit(" "), s["stop"] - F.greatest(acc["at"], s["start"])))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.array_append(acc["out"], piece).alias("out"))
+    def step(at: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(text, at + 1, s["start"] - at), F.repeat(F.lit(" "), s["stop"] - F.greatest(at, s["start"])))
+        return F.struct(F.greatest(at, s["stop"]).alias("at"), F.array(piece).alias("out"))
 
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))))
-    return let(F.aggregate(ordered, begin, step), lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
-
-
-def occurrences(blank: Column, terms: Column) -> Column:
-    """Spans of all words of the text that are among the (lower-case) terms."""
-    forms = F.array_distinct(F.filter(F.regexp_extract_all(blank, F.lit(WORD), F.lit(0)), lambda w: F.array_contains(terms, F.lower(w))))
-    edge = "[\\p{L}\\p{M}]"
-    return let(F.concat(F.lit(f"(?<!{edge})(?:"), F.array_join(forms, "|"), F.lit(f")(?!{edge})")), lambda p: matches(blank, p))
+    return let(folded(ordered, F.lit(0), "array<string>", step), lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def base_table(docs: DataFrame) -> DataFrame:
-    """row, doc_id, text_key, base (all identifiers in the order of kinds), entities, blank (the text without identifiers; null if it has none)."""
+    """doc_id, text_key, base (all identifiers in the order of kinds), entities, blank (the text without identifiers; null if it has none)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", row_key("doc_id", "text").alias("row"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    rows = docs.select("doc_id", row_key(text).alias("text_key"), text.alias("text"))
     rows = rows.select("*", *[identifiers(F.col("text"), k).alias(k) for k in KINDS])
     tag = lambda k: F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), s["value"].alias("value")))
-    rows = rows.select("doc_id", "row", "text_key", "text", F.concat(*[tag(k) for k in KINDS]).alias("base"))
+    rows = rows.select("doc_id", "text_key", "text", F.concat(*[tag(k) for k in KINDS]).alias("base"))
 
     def entity(s: Column) -> Column:
         return F.concat(s["kind"], F.lit(":"), F.when(s["kind"] == "email", F.lower(s["value"])).when(s["kind"] == "ip", s["value"]).otherwise(digits_of(s["value"])))
 
     bare = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))
-    return rows.select("doc_id", "row", "text_key", bare.alias("base"), F.array_distinct(F.transform("base", entity)).alias("entities"), F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base"))).alias("blank"))
+    return rows.select("doc_id", "text_key", bare.alias("base"), F.array_distinct(F.transform("base", entity)).alias("entities"), F.when(F.size("base") > 0, blanked(F.col("text"), F.col("base"))).alias("blank"))
+
+
+def term_set(text: Column) -> Column:
+    """The distinct lower-case terms of a text."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(text), "[^\\p{L}\\p{M}]++", -1)), "")
 
 
-def disclosing_terms(holders: DataFrame, docs: DataFrame, disclosure: float, support: int) -> DataFrame:
-    """(entity, term) pairs over the thresholds, counted over whole texts `holders(text_key, copies, entities, blank)`."""
-    n = docs.count()
+def groups_of(holders: DataFrame) -> DataFrame:
+    """Groups of entities that stand in the same texts, which terms reveal alike: text_key, group, c_e."""
     of_text = holders.select("text_key", "copies", F.explode("entities").alias("entity"))
-    # an entity in fewer texts has no pair in `support` texts
-    entities = written(of_text.groupBy("entity").agg(F.sum("copies").alias("c_e"), F.count("*").alias("texts")).where(F.col("texts") >= support).drop("texts"), "pii-entities")
-    often = of_text.join(entities, "entity").groupBy("text_key").agg(F.collect_set("entity").alias("often"))
-    words = F.array_distinct(F.transform(F.regexp_extract_all("blank", F.lit(WORD), F.lit(0)), F.lower))
-    pairs = holders.join(often, "text_key").select("copies", "often", F.explode(words).alias("term")).select("copies", F.explode("often").alias("entity"), "term")
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("texts"), F.sum("copies").alias("c_et")).where(F.col("texts") >= support)
-    pairs = written(pairs, "pii-pairs")
-    wanted = pairs.select("term").distinct()
-    seen = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.coalesce("text", F.lit(""))), "[^\\p{L}\\p{M}]+", -1))).alias("term")).where(F.length("term") >= LETTERS)
-    # joined after the count: a semi join would be pushed below it, to every occurrence
-    terms = seen.groupBy("term").agg(F.count("*").alias("c_t")).join(wanted, "term")
-    share = F.try_divide(F.log(F.col("c_et") * float(n) / F.col("c_e") / F.col("c_t")), F.log(float(n) / F.col("c_e")))
-    return pairs.join(entities, "entity").join(terms, "term").where(share >= disclosure).select("entity", "term")
-
-
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT) -> DataFrame:
-    """One row per row of `docs`: doc_id, row (content key), spans (array of kind, start, stop; kinds in order, then start).
-
-    Kinds are email, ip, card, phone and term. A null text is empty and has no spans; repeated rows each get a row;
-    an empty table gives no rows. Only doc_id and text are read. Whole texts; starts and stops are code points.
+    part = lambda k, c: F.sum(F.xxhash64(F.lit(k), "text_key").cast("decimal(20,0)")).alias(c)
+    alike = of_text.groupBy("entity").agg(part(1, "x"), part(2, "y"), F.count("*").alias("texts"), F.sum("copies").alias("c_e"))
+    alike = alike.select("entity", "c_e", row_key(F.col("x").cast("string"), F.col("y").cast("string"), F.col("texts")).alias("group"))
+    return of_text.join(alike, "entity").select("text_key", "group", "c_e").distinct()
+
+
+def shares(holders: DataFrame, docs: DataFrame, prior: float = PRIOR, least: float = 0.0) -> DataFrame:
+    """text_key, term, share: of each term of each of the texts `holders(text_key, copies, entities, blank)` the greatest share of
+    the information of one of the text's entities that it reveals, where that is at least `least`. Counted over whole texts.
+
+    Terms that are in too many documents to reach `least` for any entity are dropped before pairs are counted: with
+    P(e | t) <= 1 and c_et <= c_e a share of `least` needs (c_t + a) P(e)^(1 - least) <= c_e + a P(e).
+    """
+    n = float(docs.count())
+    groups = written(groups_of(holders), "pii-groups")
+    counts = docs.select(F.explode(term_set(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
+    most = float(groups.agg(F.max("c_e")).first()[0] or 0)
+    # the bound grows with c_e, as (c_e + a c_e / n) (n / c_e)^(1 - least)
+    bound = (most + prior * most / max(n, 1)) * (n / max(most, 1)) ** (1 - least) - prior
+    counts = counts.where(F.col("c_t") <= bound * (1 + 1e-9))
+    here = holders.select("text_key", "copies", F.explode(term_set(F.col("blank"))).alias("term")).join(counts, "term")
+    here = written(here, "pii-terms")
+    p_e = F.col("c_e") / n
+    pairs = here.join(groups, "text_key").where((F.col("c_t") + prior) * F.pow(p_e, F.lit(1 - least)) <= (F.col("c_e") + prior * p_e) * (1 + 1e-9))
+    told = pairs.groupBy("group", "term").agg(F.sum("copies").alias("c_et"), F.max("c_e").alias("c_e"), F.max("c_t").alias("c_t"))
+    given = (F.col("c_et") + prior * p_e) / (F.col("c_t") + prior)
+    share = F.try_divide(F.log(given / p_e), -F.log(p_e))
+    told = told.select("group", "term", share.alias("share")).where(F.col("share") >= least)
+    return groups.select("text_key", "group").join(told, "group").groupBy("text_key", "term").agg(F.max("share").alias("share"))
+
+
+def found_holders(base: DataFrame) -> DataFrame:
+    """The distinct texts with identifiers: text_key, copies (rows), entities, blank."""
+    return base.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("blank").alias("blank"))
+
+
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+    """One row per row of `docs`: doc_id, text_key (of the content), spans (array of kind, start, stop; kinds in order, then start).
+
+    Kinds are email, ip, card, phone and term. A null text is empty and has no spans; repeated rows each get a row and
+    count each as a document; an empty table gives no rows; equal shares are all kept, so no result depends on the order of rows.
+    Only doc_id and text are read. Whole texts, however long; starts and stops are code points.
     A disclosing term is marked wherever it stands in a text that holds its entity.
     """
     docs = docs.select("doc_id", "text")
     base = written(base_table(docs), "pii-base")
-    holders = base.where(F.size("entities") > 0).groupBy("text_key").agg(F.countDistinct("row").alias("copies"), F.first("entities").alias("entities"), F.first("blank").alias("blank"))
-    holders = written(holders, "pii-holders")
-    told = written(disclosing_terms(holders, docs, disclosure, support), "pii-told")
-    terms = holders.select("text_key", F.explode("entities").alias("entity")).join(told, "entity").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
-    found = holders.join(terms, "text_key").select("text_key", occurrences(F.col("blank"), F.col("terms")).alias("hits"))
-    found = found.select("text_key", F.transform("hits", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))).alias("terms"))
-    added = base.where(F.size("entities") > 0).select("row", "text_key").distinct().join(found, "text_key").drop("text_key")
+    holders = written(found_holders(base), "pii-holders")
+    told = written(shares(holders, docs, prior, disclosure).select("text_key", "term"), "pii-told")
+    # every place of every term of the texts that have one, joined to those that tell
+    placed = holders.join(told.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.inline(matches(F.col("blank"), WORD)))
+    placed = placed.select("text_key", "start", "stop", F.lower("value").alias("term")).join(told, ["text_key", "term"])
+    found = placed.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "stop"))).alias("terms"))
     spans = F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
-    return base.join(added, "row", "left").select("doc_id", "row", spans.alias("spans"))
+    plain = F.size("entities") == 0
+    rows = base.where(~plain).join(written(found, "pii-found"), "text_key", "left").select("doc_id", "text_key", spans.alias("spans"))
+    return rows.unionByName(base.where(plain).select("doc_id", "text_key", F.col("base").alias("spans")))
 
 
 def replaced(text: Column, spans: Column) -> Column:
     """The text with each span generalised to its kind; a span that begins inside the one before is part of it."""
     names = F.create_map(*[F.lit(x) for kv in REPLACED.items() for x in kv])
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("o"), s["kind"].alias("kind"))))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        piece = F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), names[s["kind"]])
-        longer = F.struct(F.greatest(acc["at"], -s["o"]).alias("at"), acc["out"].alias("out"))
-        return F.when(s["start"] < acc["at"], longer).otherwise(F.struct((-s["o"]).alias("at"), F.array_append(acc["out"], piece).alias("out")))
+    def step(at: Column, s: Column) -> Column:
+        piece = F.concat(F.substring(text, at + 1, s["start"] - at), names[s["kind"]])
+        return F.struct(F.greatest(at, -s["o"]).alias("at"), F.when(s["start"] < at, F.array().cast("array<string>")).otherwise(F.array(piece)).alias("out"))
 
-    return let(F.aggregate(ordered, begin, step), lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
+    return let(folded(ordered, F.lit(0), "array<string>", step), lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, text and sanitised text of every row."""
-    spans = find_personal_data(docs, **options).select("row", "spans").dropDuplicates(["row"])
-    keyed = docs.select("doc_id", "text", row_key("doc_id", "text").alias("row"))
-    return keyed.join(spans, "row").select("doc_id", "text", replaced(F.coalesce("text", F.lit("")), F.col("spans")).alias("sanitised"))
+    """doc_id, text and sanitised text of every row. Rows with equal texts are sanitised alike."""
+    spans = find_personal_data(docs, **options).where(F.size("spans") > 0).select("text_key", "spans").dropDuplicates(["text_key"])
+    keyed = docs.select("doc_id", "text", row_key(F.coalesce("text", F.lit(""))).alias("text_key"))
+    clean = F.coalesce("text", F.lit(""))
+    return keyed.join(spans, "text_key", "left").select("doc_id", "text", F.when(F.col("spans").isNull(), clean).otherwise(replaced(clean, F.col("spans"))).alias("sanitised"))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
