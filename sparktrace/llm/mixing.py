@@ -1,95 +1,83 @@
 """Mixing sources to target weights by Pfair scheduling of their blocks.
 
-Time is a sequence of slots, one block each. A source of weight w has its i-th block released at slot
-floor(i / w) and due before ceil((i + 1) / w). In each slot the released block with the earliest deadline goes,
-so at any slot t a source has had w * t blocks to within less than one. Weights are whole parts of a period, so
-one period's schedule (a small table) places every block, and the places of all documents are joins.
+Time is a sequence of slots, one block each. The ideal mixture serves all sources at once at their weights; when a source
+has nothing left, the others share its rate by theirs. A block is released in the slot in which the ideal begins it and due
+when the ideal has finished it (for a source of weight w: block i from i / w to (i + 1) / w). In each slot the released
+block with the earliest deadline goes. No deadline is missed then, as the ideal itself fits, so at every slot a
+source has had as many blocks as in the ideal to within less than one.
+
+The schedule is a table of (source, block, slot) with at most about SLOTS rows: beyond that blocks grow with the
+input. It is made in one task from a row for each source; the places of all documents are joins with it.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-PERIOD = 720
-BLOCK_DOCS = 16
+from sparktrace.llm.common import dealt, written
+
+#: Least documents of a block, and about the most slots of a schedule: larger inputs get larger blocks.
+BLOCK_DOCS, SLOTS = 16, 1 << 18
 #: Power of the source's size in the default weights; below 1 small sources weigh more than their share.
 TEMPER = 0.7
-CHUNK_DOCS = 1024
-#: The schedule's tables have at most PERIOD rows a phase and a phase a source.
-MOST_SOURCES = 512
+#: Documents of a chunk, in which rows are numbered, up to FINE chunks a source; larger sources have larger ones.
+CHUNK_DOCS, FINE = 1024, 1 << 18
+#: Weights are whole parts of this many; a source has one at least.
+PARTS = 1 << 40
+#: Up to so many rows of the schedule or of the table of sources are broadcast (some 60 bytes each).
+BROADCAST_ROWS = 500_000
 OWN = ("block", "slot", "place")
 
 
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole parts of the period by largest remainder, one at least for each source."""
-    period = max(period, len(weights))
-    total = sum(weights.values())
-    exact = {s: max(1.0, period * w / total) for s, w in weights.items()}
-    out = {s: int(x) for s, x in exact.items()}
-    spare = period - sum(out.values())
-    order = sorted(exact, key=lambda s: (int(exact[s]) - exact[s], s))
-    for k in range(spare):
-        out[order[k % len(order)]] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], s))] -= 1
-    return out
-
-
-def one_period(parts: dict[str, int]) -> list[str]:
-    """The source of each slot of a period: earliest deadline first among released blocks."""
-    period, released, waiting, order = sum(parts.values()), [], [], []
-    for s, q in parts.items():
-        waiting += [(i * period // q, -(-(i + 1) * period // q), s) for i in range(q)]
-    waiting.sort(reverse=True)
-    for t in range(period):
-        while waiting and waiting[-1][0] <= t:
-            _, due, s = waiting.pop()
-            heapq.heappush(released, (due, s))
-        order.append(heapq.heappop(released)[1])
-    return order
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> tuple[list[tuple], list[tuple]]:
-    """Schedule of all blocks. When a source has none left, the others go on with their weights renormalised.
-
-    Rows (source, phase, first block, blocks, first slot, quota, period) and (source, phase, k-th in a period, offset).
-    """
-    left, done, start, steps, marks = dict(blocks), dict.fromkeys(blocks, 0), 0, [], []
-    left = {s: n for s, n in left.items() if n > 0}
-    for phase in range(len(left)):
-        if not left:
-            break
-        parts = quotas({s: weights[s] for s in left}, period)
-        order = one_period(parts)
-        at = {s: [t for t, x in enumerate(order) if x == s] for s in left}
-        length = len(order)
-        ends = {s: (n - 1) // parts[s] * length + at[s][(n - 1) % parts[s]] + 1 for s, n in left.items()}
-        upto = min(ends.values())
-        for s in list(left):
-            whole, rest = divmod(upto, length)
-            n = min(left[s], whole * parts[s] + sum(t < rest for t in at[s]))
-            steps.append((s, phase, done[s], n, start, parts[s], length))
-            marks += [(s, phase, k, t) for k, t in enumerate(at[s])]
-            done[s] += n
-            left[s] -= n
-            if not left[s]:
-                del left[s]
-        start += upto
-    return steps, marks
-
-
-def repeated(sizes: dict[str, int], weights: dict[str, float]) -> dict[str, int]:
-    """Least rows of each source, its own at least, whose shares are the weights (to the nearest row)."""
-    scale = max((n / weights[s] for s, n in sizes.items()), default=0)
-    return {s: max(n, round(scale * weights[s])) for s, n in sizes.items()}
-
-
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, period: int = PERIOD, seed: int = 11, epochs: bool = False) -> DataFrame:
+def schedule(blocks: list[int], weights: list[float]) -> list[np.ndarray]:
+    """The slots of each source's blocks in order, by earliest deadline first."""
+    scale = PARTS / sum(weights)
+    rate = [max(1, round(w * scale)) for w in weights]
+    # The ideal's time is piecewise linear in the work per weight: `held` blocks are done, `active` weights go on.
+    ends = sorted((n / r, n, r) for n, r in zip(blocks, rate))
+    at = np.array([e[0] for e in ends])
+    held = np.concatenate(([0], np.cumsum([e[1] for e in ends])))
+    active = sum(rate) - np.concatenate(([0], np.cumsum([e[2] for e in ends])))
+    release, due, owner = [], [], []
+    for k, (n, r) in enumerate(zip(blocks, rate)):
+        i = np.arange(n + 1)
+        piece = np.searchsorted(at, i / r, side="left")
+        whole, part = np.divmod(active[piece] * i, r)
+        whole = whole + held[piece]
+        release.append(whole[:-1])
+        due.append((whole + (part > 0))[1:])
+        owner.append(np.full(n, k))
+    release, due, owner = (np.concatenate(x) if x else np.zeros(0, int) for x in (release, due, owner))
+    order = np.argsort(release, kind="stable")
+    waiting = list(zip(release[order].tolist(), due[order].tolist(), owner[order].tolist()))
+    released, places, nxt = [], [[] for _ in blocks], 0
+    for t in range(len(waiting)):
+        while nxt < len(waiting) and waiting[nxt][0] <= t:
+            heapq.heappush(released, waiting[nxt][1:])
+            nxt += 1
+        places[heapq.heappop(released)[1]].append(t)
+    return [np.array(p, dtype=np.int64) for p in places]
+
+
+def slots_of(sources: DataFrame) -> DataFrame:
+    """(s, block, slot) of all blocks of `sources(s, blocks, weight)`. One task holds a row for each source."""
+
+    def run(frames):
+        all_ = pd.concat([f for f in frames if len(f)] or [pd.DataFrame({"s": [], "blocks": [], "weight": []})]).sort_values("s")
+        if len(all_):
+            for s, places in zip(all_["s"], schedule(all_["blocks"].tolist(), all_["weight"].tolist())):
+                yield pd.DataFrame({"s": s, "block": np.arange(len(places)), "slot": places})
+
+    return sources.select("s", "blocks", "weight").repartition(1).mapInPandas(run, "s string, block long, slot long")
+
+
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: int = BLOCK_DOCS, seed: int = 11, epochs: bool = False) -> DataFrame:
     """All rows and columns of `docs` plus block (of its source), slot (of the block) and place (in the block).
 
     Ordered by (slot, place) the rows are the mixture. Every row appears once; with `epochs` the rows of scarce
@@ -98,42 +86,46 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     weight is its number of rows to the power 0.7; sources missing from given weights get the least one given.
     Rows of a source are numbered in hashed order inside chunks, so no task holds a whole source.
 
-    A null source is the source ''. Null or empty texts are mixed like others; repeated rows each get a place;
-    an empty table gives no rows. Input columns named like the three new ones are replaced.
+    A null source is the source ''. Null, empty or very long texts are mixed like others, as a block is a number of rows; repeated rows
+    each get a place; rows equal in doc_id and text may change places with each other on another run; an empty table gives
+    no rows. Input columns named like the three new ones are replaced.
     """
     spark = docs.sparkSession
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN]
-    source = F.coalesce(F.col("source"), F.lit(""))
-    sizes = {r[0]: r[1] for r in docs.groupBy(source.alias("s")).count().limit(MOST_SOURCES + 1).collect()}
-    if len(sizes) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    names = [c for c in docs.columns if c.lower() not in OWN]
+    rows = dealt(docs).withColumn("s", F.coalesce(F.col("r.source"), F.lit("")))
+    rows = rows.withColumn("o", F.xxhash64(F.lit(seed), F.col("r.doc_id"), F.col("r.text"), F.col("piece")))
+    rows = rows.withColumn("fine", F.pmod(F.xxhash64(F.lit(seed + 1), "o"), F.lit(FINE)))
+    counts = written(rows.groupBy("s", "fine").count(), "mixing-counts")
+
+    sizes = counts.groupBy("s").agg(F.sum("count").alias("size"))
     if weights is None:
-        weights = {s: n**TEMPER for s, n in sizes.items()}
-    weights = {s: weights.get(s, min(weights.values())) for s in sizes}
-    chunks = {s: math.ceil(n / CHUNK_DOCS) for s, n in sizes.items()}
+        sizes = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(TEMPER)))
+    else:
+        given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")
+        sizes = sizes.join(given, "s", "left").withColumn("weight", F.coalesce("weight", F.lit(float(min(weights.values())))))
+    scale = sizes.agg(F.max(F.col("size") / F.col("weight"))).first()[0] or 0.0
+    total = F.greatest(F.col("size"), F.rint(F.lit(scale) * F.col("weight")).cast("long")) if epochs else F.col("size")
+    sizes = written(sizes.withColumn("total", total), "mixing-sizes")
+    n_sources, n_rows = sizes.agg(F.count("*"), F.coalesce(F.sum("total"), F.lit(0))).first()
+    block_docs = max(block_docs, -(-n_rows // SLOTS))
+    chunks = F.least(F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(F.col("size") / CHUNK_DOCS, F.lit(1.0))))).cast("long"), F.lit(FINE))
+    sources = sizes.select("s", "size", "total", "weight", chunks.alias("chunks"), F.ceil(F.col("total") / block_docs).alias("blocks"))
+    slots = written(slots_of(sources), "mixing-slots")
+    few = lambda df, n: F.broadcast(df) if n <= BROADCAST_ROWS else df
+    per = few(sources.select("s", "size", "total", "chunks"), n_sources)
 
     # Numbers in a source: rows in a chunk, then the chunks before it.
-    totals = repeated(sizes, weights) if epochs else sizes
-    per = spark.createDataFrame([(s, c, sizes[s], totals[s]) for s, c in chunks.items()], "s string, chunks int, size long, total long")
-    order = F.xxhash64(F.lit(seed), F.col("r.doc_id"), F.col("r.text"))
-    rows = docs.select(F.struct(*kept).alias("r"), source.alias("s")).join(F.broadcast(per), "s")
-    rows = rows.withColumn("o", order).withColumn("chunk", F.pmod(F.xxhash64(F.lit(seed + 1), "o"), F.col("chunks")))
     before = W.partitionBy("s").orderBy("chunk").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy("s", "chunk").count().select("s", "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    chunk = (F.col("fine") % F.col("chunks")).alias("chunk")
+    starts = counts.join(per, "s").groupBy("s", chunk).agg(F.sum("count").alias("n")).select("s", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     in_chunk = W.partitionBy("s", "chunk").orderBy("o", "r.doc_id", "r.text")
-    numbered = rows.withColumn("n", F.row_number().over(in_chunk) - 1).join(starts, ["s", "chunk"]).withColumn("n", F.col("n") + F.col("start"))
+    numbered = rows.join(per, "s").withColumn("chunk", chunk).withColumn("n", F.row_number().over(in_chunk) - 1).join(starts, ["s", "chunk"]).withColumn("n", F.col("n") + F.col("start"))
     if epochs:
         last = F.floor((F.col("total") - 1 - F.col("n")) / F.col("size"))
         numbered = numbered.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), last))).withColumn("n", F.col("n") + F.col("epoch") * F.col("size"))
     numbered = numbered.select("r", "s", F.floor(F.col("n") / block_docs).alias("block"), (F.col("n") % block_docs).alias("place"))
-
-    steps, marks = phases({s: math.ceil(n / block_docs) for s, n in totals.items()}, weights, period)
-    steps = spark.createDataFrame(steps, "s string, phase int, first long, blocks long, start long, quota long, length long")
-    marks = spark.createDataFrame(marks, "s string, phase int, k long, offset long")
-    placed = numbered.join(F.broadcast(steps), "s").where("block >= first and block < first + blocks").withColumn("k", (F.col("block") - F.col("first")) % F.col("quota"))
-    placed = placed.join(F.broadcast(marks), ["s", "phase", "k"])
-    slot = F.col("start") + F.floor((F.col("block") - F.col("first")) / F.col("quota")) * F.col("length") + F.col("offset")
-    return placed.select(*[F.col(f"r.`{c}`").alias(c) for c in docs.columns if c.lower() not in OWN], "block", slot.alias("slot"), "place")
+    placed = numbered.join(few(slots, n_rows // block_docs + n_sources), ["s", "block"])
+    return placed.select(*[F.col(f"r.`{c}`").alias(c) for c in names], "block", "slot", "place")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -200,7 +200,7 @@ def test_schedule_deviates_by_less_than_a_block(blocks, weights):
     seen, total = Counter(), len(slots)
     for t in range(total):
         seen[slots[t]] += 1
-        if t % max(1, total // 150) == 0 or t == total - 1:
+        if t % max(1, total // 40) == 0 or t == total - 1:
             want = ideal(blocks, weights, t + 1)
             assert all(abs(seen[s] - want[s]) < 1 + 1e-9 for s in names), t
 
