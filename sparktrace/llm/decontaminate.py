@@ -26,6 +26,8 @@ GAPS = (BLOCK, 2 * BLOCK, 3 * BLOCK)
 TOLERATED = 2
 #: Up to so many seeds, and keys of windows, of the benchmark are broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS, BROADCAST_KEYS = 2_000_000, 300_000
+#: Up to so many keys of documents with hits are broadcast (16 bytes each), so that only their texts are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def tokens(text: Column) -> Column:
@@ -133,7 +135,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, tolerated: int = TOLERA
 
     # The words at the places found; texts come only for rows with hits.
     per_row = hits.groupBy("row").agg(F.collect_set(F.struct("start", "n")).alias("hits"))
-    near = docs.select(row_key("doc_id", "text").alias("row"), "text").join(per_row, "row").dropDuplicates(["row"]).select("row", tokens(F.col("text")).alias("words"), F.explode("hits").alias("h"))
+    near = docs.select(row_key("doc_id", "text").alias("row"), "text")
+    found = written(hits.select("row").distinct(), "hit-rows")
+    near = near.join(F.broadcast(found), "row", "left_semi") if found.count() <= BROADCAST_ROWS else near
+    near = near.join(per_row, "row").dropDuplicates(["row"]).select("row", tokens(F.col("text")).alias("words"), F.explode("hits").alias("h"))
     there = F.slice("words", F.col("h.start") + 1, F.col("h.n"))
     places = near.select("row", "h.start", F.concat(there, F.array_repeat(F.lit(""), F.col("h.n") - F.size(there))).alias("w"))
     places = written(places.select("row", "start", row_key("w").alias("words"), "w"), "places")
