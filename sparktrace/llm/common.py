@@ -85,7 +85,7 @@ def row_key(*columns: Column) -> Column:
     return F.struct(F.xxhash64(F.lit(8191), *columns).alias("a"), F.xxhash64(F.lit(131071), *columns).alias("b"))
 
 
-def folded(items: Column, at: Column, out: str, step, chunk: int = 512) -> Column:
+def folded(items: Column, at: Column, out: str, step, chunk: int = 64) -> Column:
     """The arrays that `step(at, item)` gives for the items in order, joined, and the last `at`: struct(at, out).
 
     `step` gives struct(at, out) with `out` an array of type `out`; its `at` goes to the next item. Items are taken in chunks, so

@@ -10,6 +10,7 @@ sanitised wherever they stand in the texts that hold that entity, like the entit
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.llm.common import folded, let, row_key, written
@@ -138,7 +139,7 @@ def shares(holders: DataFrame, docs: DataFrame, prior: float = PRIOR, least: flo
     given = (F.col("c_et") + prior * p_e) / (F.col("c_t") + prior)
     share = F.try_divide(F.log(given / p_e), -F.log(p_e))
     told = told.select("group", "term", share.alias("share")).where(F.col("share") >= least)
-    return groups.select("text_key", "group").join(told, "group").groupBy("text_key", "term").agg(F.max("share").alias("share"))
+    return pairs.select("text_key", "group", "term").join(told, ["group", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
 
 
 def found_holders(base: DataFrame) -> DataFrame:
@@ -146,6 +147,18 @@ def found_holders(base: DataFrame) -> DataFrame:
     return base.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("blank").alias("blank"))
 
 
+def word_places(texts: DataFrame) -> DataFrame:
+    """text_key, term, start, stop of every place of every term of `texts(text_key, blank)`.
+
+    The words of a text become rows, whose places are running sums of lengths, so a long text costs no more a word than a short one.
+    """
+    words = F.regexp_extract_all("blank", F.lit(WORD), F.lit(0))
+    pieces = F.arrays_zip(F.transform(F.split("blank", WORD, -1), lambda gap: F.length(gap)).alias("gap"), words.alias("word"))
+    rows = texts.select("text_key", F.posexplode_outer(pieces).alias("k", "p")).where("p.word is not null").select("text_key", "k", F.col("p.word").alias("word"), (F.col("p.gap") + F.length("p.word")).alias("n"))
+    stop = F.sum("n").over(W.partitionBy("text_key").orderBy("k"))
+    return rows.withColumn("stop", stop.cast("int")).select("text_key", F.lower("word").alias("term"), (F.col("stop") - F.length("word")).alias("start"), "stop")
+
+
 def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
     """One row per row of `docs`: doc_id, text_key (of the content), spans (array of kind, start, stop; kinds in order, then start).
 
@@ -158,9 +171,7 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, prior: f
     base = written(base_table(docs), "pii-base")
     holders = written(found_holders(base), "pii-holders")
     told = written(shares(holders, docs, prior, disclosure).select("text_key", "term"), "pii-told")
-    # every place of every term of the texts that have one, joined to those that tell
-    placed = holders.join(told.select("text_key").distinct(), "text_key", "left_semi").select("text_key", F.inline(matches(F.col("blank"), WORD)))
-    placed = placed.select("text_key", "start", "stop", F.lower("value").alias("term")).join(told, ["text_key", "term"])
+    placed = word_places(holders.join(told.select("text_key").distinct(), "text_key", "left_semi")).join(told, ["text_key", "term"])
     found = placed.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "stop"))).alias("terms"))
     spans = F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
     plain = F.size("entities") == 0
