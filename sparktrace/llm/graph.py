@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import written
+from sparktrace.llm.common import mark, removed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,8 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = written(both, "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")), "labels")
-    last = None
+    last, begun = None, mark() - 1
     while True:
+        removed(edges.sparkSession, begun, keep=1)  # labels of earlier rounds
         now = tuple(labels.agg(F.sum(F.col("component").cast("decimal(38,0)")), F.count("*")).first())
         if now == last or not now[1]:
             return labels

@@ -73,15 +73,24 @@ def train(x: np.ndarray, y: np.ndarray, classes: int, seed: int = 3) -> tuple[np
     return table, w, b
 
 
+def calibrated(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The temperature of least log loss, and the score that all but LOST of the correct rows reach at it."""
+    best = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(y)), y] + 1e-12).mean())
+    sure = softmax(logits / best)
+    right = np.sort(sure.max(axis=1)[sure.argmax(axis=1) == y])
+    return best, float(right[int(LOST * len(right))]) if len(right) else 0.0
+
+
 def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     """Model of the languages of `docs.lang`, from at most `sample` rows outside the held-out fold; None without rows.
 
-    Rows are chosen by id alone, then their whole texts are counted in tasks; the driver gets `sample` vectors at
-    most. Rows with a null id, text or lang are left out, as are rows whose lang is the name for unknown.
+    Rows are chosen by id alone, one for each id (that with the smallest lang and text), then their whole texts are counted in
+    tasks; the driver gets `sample` vectors at most. Rows with a null id, text or lang are left out, as are rows whose lang is the name for unknown.
     """
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
-    rows = docs.where(usable).select(F.col("doc_id").cast("long"), "lang", "text")
+    rows = docs.where(usable).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
     chosen = rows.select("doc_id").distinct().orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(sample)
+    picked = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("r")).select("doc_id", "r.lang", "r.text")
 
     def run(batches):
         for batch in batches:
@@ -92,7 +101,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
                 packed.append(at.astype(np.int32).tobytes() + c[at].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(packed, pa.binary())], names=["doc_id", "lang", "x"])
 
-    got = sorted(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, x binary").collect())
+    got = sorted(picked.mapInArrow(run, "doc_id string, lang string, x binary").collect())
     if not got:
         return None
     langs = sorted({r["lang"] for r in got})
@@ -105,10 +114,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
     check, learn = (rest[: len(got) // 5], rest[len(got) // 5 :]) if len(got) >= 50 else (rest, rest)
     table, w, b = train(x[learn], y[learn], len(langs))
     logits = x[check] @ (table @ w) + b
-    best = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 5.0), key=lambda t: -np.log(softmax(logits / t)[np.arange(len(check)), y[check]] + 1e-12).mean())
-    sure = softmax(logits / best)
-    right = np.sort(sure.max(axis=1)[sure.argmax(axis=1) == y[check]])
-    return {"langs": langs, "fold": (table @ w).astype(np.float32), "bias": b, "temperature": best, "least": float(right[int(LOST * len(right))]) if len(right) else 0.0}
+    temperature, least = calibrated(logits, y[check])
+    return {"langs": langs, "fold": (table @ w).astype(np.float32), "bias": b, "temperature": temperature, "least": least}
 
 
 def identify(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -138,7 +145,8 @@ def language_id(docs: DataFrame) -> DataFrame:
     """One row per row of `docs`: doc_id, held_out, lang_pred, score, rejected.
 
     Learns from text and lang outside the fold crc32(doc_id) mod 5 = 0; lang, source and doc_id enter no
-    prediction. Repeated rows each get a row; an empty table gives no rows.
+    prediction. Repeated rows each get a row; empty texts are `und`; an empty table gives no rows; very long texts count whole;
+    of languages with equal scores the first by name is predicted. Only doc_id, text and lang are read, whatever other columns are called.
     """
     out = identify(docs, fit(docs))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score", "rejected")

@@ -237,10 +237,11 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     Documents are linked when their sets of distinct 5-word shingles (A-Z lower-cased) have a Jaccard
     similarity of `percent` hundredths or more; `component_id` is the smallest doc_id that links reach. Texts that are null
     or have no words have size 0, are linked with nothing and are kept. Rows that share a doc_id count as
-    one document. A null doc_id is linked with nothing itself. An empty table gives no rows. Only doc_id and
-    text are read.
+    one document. A null doc_id, or one that is no whole number (then null here), is linked with nothing itself. An empty table gives no rows. Very long
+    texts count whole. Of equally good centres the smallest id is taken, so no result depends on the order of rows. Only doc_id and
+    text are read, whatever other columns are called.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("string").try_cast("long").alias("doc_id"), "text")
     prints = written(fingerprints(docs), "prints")
     usable = prints.where("n_shingles > 0 and doc_id is not null")
     classes = written(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("codes").alias("codes"), F.first("bands").alias("bands")), "classes")
@@ -256,9 +257,10 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     again = same.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
     named = components(near.unionByName(rest).unionByName(again))
     of_class = classes.select("d1", "d2", "rep").join(named, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
-    found = prints.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2"], "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id"))
-    return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    # Written, so that Spark can split the rows of a set with very many copies; rows that are linked with nothing are not joined.
+    found = usable.select("doc_id", "n_shingles", "d1", "d2").join(written(of_class, "class-components"), ["d1", "d2"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    alone = prints.where(~((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return found.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparktrace.llm.common import written
 from sparktrace.llm.text_arrays import lower, texts, word_bounds, word_hashes
 
 PASSAGE = 64
@@ -19,8 +20,9 @@ PAIRS = 48
 SHARES = 15
 FEATURES = SHARES + PAIRS
 HIDDEN, GATE = 16, 8
-#: The most labelled documents that training takes, drawn by hash from all labelled rows of the training folds.
-SAMPLE = 6000
+#: The most labelled documents that training takes, drawn by hash from all labelled rows of the training folds, and the most
+#: passages of them all that the driver holds (252 bytes each). Each document counts with all of its passages.
+SAMPLE, PASSAGES = 6000, 400_000
 EPOCHS, BATCH, RATE = 12, 64, 0.01
 
 
@@ -75,35 +77,43 @@ def forward(p: dict, x: np.ndarray, starts: np.ndarray) -> tuple:
     return 1 / (1 + np.exp(-np.clip(pooled @ p["c"] + p["d"], -30, 30))), (z, h, t, g, a, pooled, sizes)
 
 
+SHAPE = {"W": (FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": ()}
+
+
+def gradient(p: dict, x: np.ndarray, starts: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict:
+    """Derivatives of the weighted mean log loss of the bags by the parameters."""
+    score, (z, h, t, g, a, pooled, sizes) = forward(p, x, starts)
+    out = (score - labels) * weight / len(labels)
+    grad = {"c": pooled.T @ out, "d": out.sum()}
+    back = np.repeat(out[:, None] * p["c"], sizes, axis=0)  # of the pooled vector, at each passage
+    da = (back * h).sum(axis=1)
+    de = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
+    grad["w"] = (t * g).T @ de
+    dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
+    grad["V"], grad["U"] = h.T @ dt, h.T @ dg
+    dh = (back * a[:, None] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
+    grad["W"], grad["b"] = z.T @ dh, dh.sum(axis=0)
+    return grad
+
+
 def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> dict:
     """Learns encoder, gates and output by Adam on the log loss, with both labels weighing the same."""
     rng = np.random.default_rng(seed)
-    rows = np.concatenate(bags)
-    p = {"mean": rows.mean(axis=0), "scale": rows.std(axis=0) + 1e-3}
-    shape = {"W": (FEATURES, HIDDEN), "b": (HIDDEN,), "V": (HIDDEN, GATE), "U": (HIDDEN, GATE), "w": (GATE,), "c": (HIDDEN,), "d": ()}
-    p |= {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if s else np.zeros(()) for k, s in shape.items()}
-    m, v, step = {k: np.zeros(s) for k, s in shape.items()}, {k: np.zeros(s) for k, s in shape.items()}, 0
+    n = sum(len(b) for b in bags)
+    mean = sum(b.sum(axis=0, dtype=np.float64) for b in bags) / n
+    p = {"mean": mean, "scale": np.sqrt(sum(((b - mean) ** 2).sum(axis=0) for b in bags) / n) + 1e-3}
+    p |= {k: rng.normal(0, 1 / np.sqrt(s[0]), s) if s else np.zeros(()) for k, s in SHAPE.items()}
+    m, v, step = {k: np.zeros(s) for k, s in SHAPE.items()}, {k: np.zeros(s) for k, s in SHAPE.items()}, 0
     share = np.clip(labels.mean(), 1e-6, 1 - 1e-6)
     weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
     for _ in range(EPOCHS):
         order = rng.permutation(len(bags))
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            x = np.concatenate([bags[i] for i in pick])
             starts = np.cumsum([0, *(len(bags[i]) for i in pick[:-1])])
-            score, (z, h, t, g, a, pooled, sizes) = forward(p, x, starts)
-            out = (score - labels[pick]) * weight[pick] / len(pick)
-            grad = {"c": pooled.T @ out, "d": out.sum()}
-            back = np.repeat(out[:, None] * p["c"], sizes, axis=0)  # of the pooled vector, at each passage
-            da = (back * h).sum(axis=1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, starts), sizes))
-            grad["w"] = (t * g).T @ de
-            dt, dg = de[:, None] * p["w"] * g * (1 - t * t), de[:, None] * p["w"] * t * g * (1 - g)
-            grad["V"], grad["U"] = h.T @ dt, h.T @ dg
-            dh = (back * a[:, None] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
-            grad["W"], grad["b"] = z.T @ dh, dh.sum(axis=0)
+            grad = gradient(p, np.concatenate([bags[i] for i in pick]), starts, labels[pick], weight[pick])
             step += 1
-            for k in shape:
+            for k in SHAPE:
                 d = grad[k] + 1e-5 * p[k]
                 m[k] = 0.9 * m[k] + 0.1 * d
                 v[k] = 0.999 * v[k] + 0.001 * d * d
@@ -111,28 +121,32 @@ def train(bags: list[np.ndarray], labels: np.ndarray, seed: int = 5) -> dict:
     return p
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = PASSAGES) -> dict | None:
     """Trains on at most `sample` labelled documents outside the held-out fold; None if there are none.
 
-    The labelled ids are narrowed by hash before their texts are joined. Texts are encoded whole, in tasks; the
-    driver gets passage vectors, for which long documents are thinned to 64 evenly spaced passages. A row with a
-    null id or label is left out; of a repeated id the greatest label counts.
+    The labelled ids are narrowed by hash before their texts are joined. Texts are encoded whole, in tasks, and their
+    passage vectors written. In the order of the hash the driver takes documents whole while their passages are at most `passages` together.
+    A row with a null id or label is left out, as is one whose id is no whole number; of a repeated id the greatest label and the smallest text count.
     """
-    marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y")).where(~held_out(F.col("doc_id")))
-    chosen = marked.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(sample)
+    number = F.col("doc_id").cast("string").try_cast("long").alias("doc_id")
+    marked = labels.select(number, "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y")).where(~held_out(F.col("doc_id")))
+    order = F.xxhash64(F.lit(3), "doc_id")
+    chosen = marked.orderBy(order, "doc_id").limit(sample)
 
     def run(batches):
         for batch in batches:
-            kept = []
-            for raw in texts(batch.column("text")):
-                x = encode(raw)
-                kept.append((x[np.linspace(0, len(x) - 1, 64).astype(int)] if len(x) > 64 else x).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(kept, pa.binary())], names=["doc_id", "y", "x"])
-
-    picked = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").withColumn("y", F.col("y").cast("int"))
-    rows = sorted(picked.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, x binary").collect())
-    if not rows:
+            vectors = [encode(raw) for raw in texts(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array([len(x) for x in vectors], pa.int64()), pa.array([x.tobytes() for x in vectors], pa.binary())], names=["doc_id", "y", "n", "x"])
+
+    picked = docs.select(number, "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("y").cast("int")).alias("y"))
+    encoded = written(picked.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, n long, x binary"), "passages")
+    sizes = encoded.select("doc_id", "n").orderBy(order, "doc_id").collect()
+    held = np.cumsum([r["n"] for r in sizes])
+    some = sizes[: max(1, int((held <= passages).sum()))]
+    if not some or some[0]["n"] > passages:
         return None
+    last = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in some], "doc_id long")
+    rows = sorted(encoded.join(F.broadcast(last), "doc_id", "left_semi").select("doc_id", "y", "x").collect())
     return train([np.frombuffer(r["x"], dtype=np.float32).reshape(-1, FEATURES) for r in rows], np.array([r["y"] for r in rows], dtype=float))
 
 
@@ -156,7 +170,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Learns from `labels.quality` outside the fold crc32(doc_id) mod 3 = 1; ids, lang and source never enter a
     score. Null and empty texts are scored as one passage of zeros; repeated rows each get a row; an empty table
-    gives no rows; without usable labels every score is 0.5. Only doc_id and text are read.
+    gives no rows; without usable labels every score is 0.5. Very long texts are encoded and scored whole. No score depends on
+    the order of rows. Only doc_id and text are read, whatever other columns are called.
     """
     model = fit(docs, labels)
     return score(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))

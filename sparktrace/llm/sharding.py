@@ -12,8 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from sparktrace.llm.common import dealt, written
+
 OWN = ("shard", "slot", "grown_shard")
 SEED = 20240229
+#: Bytes of text of a bucket, which one task holds; the most partitions of a shuffle (beyond, a task holds several
+#: buckets); the most buckets of a shard.
+BUCKET_BYTES, MOST_PARTITIONS, FINE = 64 << 20, 100_000, 1 << 16
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -25,49 +30,56 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(F.array(*tickets))["i"]
 
 
-def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = 4 << 20, seed: int = SEED) -> DataFrame:
+def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """All columns of `docs` plus `shard`, `slot` (gapless from 0 in each shard) and `grown_shard`.
 
     `doc_id` and the number of shards alone decide `shard`; `grown_shard` is the one with a further shard.
     Bucket numbers come from the hash of (doc_id, text), so one hot id still spreads over all buckets of its
-    shard. The number of buckets follows from the bytes of the input, so a bucket stays near `bucket_bytes`
-    at any size; a longer single text makes a bucket of its own size.
+    shard; rows that share both very often are dealt apart. The number of buckets follows from the bytes of the input, so a
+    bucket stays near `bucket_bytes` at any size; a longer single text makes a bucket of its own size.
 
-    A null `doc_id` is one more key, a null text counts as empty, repeated rows each keep a slot of their
-    own, an empty table gives no rows. Input columns named like the three new ones are replaced. All
-    columns must be orderable (no maps), as ties inside a bucket are ordered by the whole record.
+    A null `doc_id` is one more key, a null or empty text counts as empty, repeated rows each keep a slot of their
+    own, an empty table gives no rows. Input columns named like the three new ones are replaced. Rows that differ only in map
+    columns may change places with each other on another run; all others get the same slots whatever their order.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in OWN]
-    total = docs.agg(F.sum(F.octet_length(text) + 1)).first()[0] or 0
-    subs = max(1, math.ceil(total / (shards * bucket_bytes)))
-    spread = docs.select(
-        F.struct(F.xxhash64(F.lit(seed + 1), F.col("doc_id"), text).alias("order"), F.struct(*kept).alias("row")).alias("record"),
-        shard_of(F.col("doc_id"), shards, seed).alias("shard"),
-        shard_of(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
-        F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id"), text), F.lit(subs)).alias("sub"),
+    names = [c for c in docs.columns if c.lower() not in OWN]
+    plain = [c for c in names if "map<" not in docs.schema[c].dataType.simpleString()]
+    text = F.coalesce(F.col("r.text"), F.lit(""))
+    spread = dealt(docs).select(
+        F.struct(F.xxhash64(F.lit(seed + 1), F.col("r.doc_id"), text, F.col("piece")).alias("order"), F.xxhash64(*[F.col(f"r.`{c}`") for c in plain]).alias("ties"), F.struct(*[F.col(f"r.`{c}`") for c in names]).alias("row")).alias("record"),
+        shard_of(F.col("r.doc_id"), shards, seed).alias("shard"),
+        shard_of(F.col("r.doc_id"), shards + 1, seed).alias("grown_shard"),
+        F.pmod(F.xxhash64(F.lit(seed + 2), F.col("r.doc_id"), text, F.col("piece")), F.lit(FINE)).alias("fine"),
+        (F.octet_length(text) + 1).alias("bytes"),
     )
+    # One scan of the sizes of fine buckets gives the number of buckets and where each begins.
+    sizes = written(spread.groupBy("shard", "fine").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "bucket-sizes")
+    total = sizes.agg(F.sum("bytes")).first()[0] or 0
+    subs = min(FINE, 1 << math.ceil(math.log2(max(1.0, total / (shards * bucket_bytes)))))
+    sub = (F.col("fine") % subs).alias("sub")
+    before = W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.groupBy("shard", sub).agg(F.sum("n").alias("n")).select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     # Pass 1. The sorted array makes a bucket the same however its rows arrive, and the sort of buckets makes
     # the shuffle's generator see them in the same order, so a task that runs again gives equal slots.
+    records = F.collect_list(F.struct("record", "grown_shard"))
+    if len(plain) < len(names):
+        key = lambda x: F.struct(x["record"]["order"], x["record"]["ties"])
+        records = F.array_sort(records, lambda a, b: F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0))
+    else:
+        records = F.sort_array(records)
     buckets = (
-        spread.repartition(shards * subs, "shard", "sub")
+        spread.select("record", "grown_shard", "shard", sub)
+        .repartition(min(shards * subs, MOST_PARTITIONS), "shard", "sub")
         .groupBy("shard", "sub")
-        .agg(F.sort_array(F.collect_list(F.struct("record", "grown_shard"))).alias("records"))
+        .agg(records.alias("records"))
         .sortWithinPartitions("shard", "sub")
         .select("shard", "sub", F.shuffle("records", seed).alias("records"))
     )
-    before = W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
-    offsets = spread.groupBy("shard", "sub").count().select("shard", "sub", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
     # Pass 2.
     return (
         buckets.join(offsets, ["shard", "sub"])
         .select("shard", "start", F.posexplode("records").alias("at", "r"))
-        .select(
-            *[F.col(f"r.record.row.`{c}`").alias(c) for c in docs.columns if c.lower() not in OWN],
-            "shard",
-            (F.col("start") + F.col("at")).alias("slot"),
-            F.col("r.grown_shard").alias("grown_shard"),
-        )
+        .select(*[F.col(f"r.record.row.`{c}`").alias(c) for c in names], "shard", (F.col("start") + F.col("at")).alias("slot"), F.col("r.grown_shard").alias("grown_shard"))
     )
 
 

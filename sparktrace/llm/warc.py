@@ -17,10 +17,13 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparktrace.llm.common import new_folder
+from sparktrace.llm.common import new_folder, written
 
 MAGIC = b"\x1f\x8b\x08"
-SPLIT_BYTES = 8 << 20
+#: Bytes of a range, and the most tasks; beyond, a task reads several ranges in a row.
+SPLIT_BYTES, MOST_TASKS = 16 << 20, 50_000
+#: Up to so many digests of repeated payloads are broadcast (some 50 bytes each).
+BROADCAST_DIGESTS = 500_000
 CHUNK = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary"
@@ -58,12 +61,17 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0) -> Non
     others are revisits of it. A null html is an empty payload; a null page_id is a response; rows that
     repeat the smallest page_id are all responses; an empty table writes archives without records. A file is
     written under a name of its own attempt and renamed when complete, so a task that runs again replaces it.
-    Other columns are not read.
+    Very long payloads are records of their own size, in the memory of one task. Other columns are not read.
     """
     raw = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", raw.alias("payload"), F.sha1(raw).alias("key"), F.octet_length(raw).alias("size"))
-    first = rows.where(F.col("page_id").isNotNull() & (F.col("size") >= least_revisit)).groupBy("key").agg(F.min("page_id").alias("first"))
-    told = rows.join(first, "key", "left").withColumn("first", F.when((F.col("size") >= least_revisit) & (F.col("page_id") > F.col("first")), F.col("first"))).sortWithinPartitions("page_id", "url")
+    rows = pages.select("page_id", "url", raw.alias("payload"), F.unhex(F.sha1(raw)).alias("key"), F.octet_length(raw).alias("size"))
+    # Only digests of repeated payloads are joined, found from digests and ids alone: payloads stay where they are when
+    # these are few, and else the written table leaves Spark free to split a very common one.
+    repeats = F.col("page_id").isNotNull() & (F.col("size") >= least_revisit)
+    first = rows.where(repeats).groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    first = written(first, "repeated-payloads")
+    first = F.broadcast(first) if first.count() <= BROADCAST_DIGESTS else first
+    told = rows.join(first, "key", "left").withColumn("first", F.when(repeats & (F.col("page_id") > F.col("first")), F.col("first"))).sortWithinPartitions("page_id", "url")
 
     def run(batches):
         from pyspark import TaskContext
@@ -78,7 +86,7 @@ def write_archives(pages: DataFrame, folder: str, least_revisit: int = 0) -> Non
             for batch in batches:
                 for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "size", "key", "first"))):
                     page_id, url, payload, size, key, other = row
-                    out.write(record(page_id, url, payload, size, base64.b32encode(bytes.fromhex(key)).decode(), other))
+                    out.write(record(page_id, url, payload, size, base64.b32encode(key).decode(), other))
                     n += 1
         store.move(part, name)
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64())], names=["file", "records"])
@@ -104,7 +112,7 @@ class Window:
     """Bytes of a file from a moving position; holds what one record needs and no more."""
 
     def __init__(self, file, start: int):
-        self.file, self.start, self.data = file, start, b""
+        self.file, self.start, self.data = file, start, bytearray()
         file.seek(start)
 
     def upto(self, end: int) -> bool:
@@ -117,7 +125,8 @@ class Window:
         return True
 
     def drop(self, before: int) -> None:
-        self.data, self.start = self.data[before - self.start :], before
+        del self.data[: before - self.start]
+        self.start = before
 
 
 def member(window: Window, at: int) -> tuple[bytes, int] | None:
@@ -127,7 +136,7 @@ def member(window: Window, at: int) -> tuple[bytes, int] | None:
         while not unpack.eof:
             if not window.upto(end + 1):
                 return None
-            piece = window.data[end - window.start :]
+            piece = bytes(memoryview(window.data)[end - window.start :])
             out.append(unpack.decompress(piece))
             end += len(piece) - len(unpack.unused_data)
             if head is not None:
@@ -178,7 +187,7 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYT
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path", "length").where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    tasks = max(1, int(ranges.count()))
+    tasks = max(1, min(MOST_TASKS, ranges.count()))
     page = lambda x: int(x) if (x := (x or "").removeprefix("<urn:x-page:").removesuffix(">")) else None
 
     def run(batches):
@@ -209,7 +218,7 @@ def read_archives(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYT
                 if rows:
                     yield packed(rows)
 
-    return ranges.repartition(tasks, "path", "start").mapInArrow(run, SCHEMA)
+    return ranges.repartitionByRange(tasks, "path", "start").mapInArrow(run, SCHEMA)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -23,12 +24,12 @@ def shingles(t):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def linked(a, b):
+def linked(a, b, percent=85):
     n = len(a & b)
-    return bool(a and b) and 100 * n >= 85 * (len(a) + len(b) - n)
+    return bool(a and b) and 100 * n >= percent * (len(a) + len(b) - n)
 
 
-def brute_components(rows):
+def brute_components(rows, percent=85):
     sets = [(d, shingles(t)) for d, t in rows]
     ids = sorted({d for d, _ in sets})
     root = {d: d for d in ids}
@@ -40,7 +41,7 @@ def brute_components(rows):
 
     for i, (a, s) in enumerate(sets):
         for b, z in sets[:i]:
-            if linked(s, z):
+            if linked(s, z, percent):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     return {d: find(d) for d in ids}
@@ -177,9 +178,12 @@ def test_token_counts_and_cache(spark):
     for _ in range(2):
         assert Counter(tuple(r) for r in token_counts.count_tokens(clashing(docs), path, cache).collect()) == want
         assert spark.read.parquet(cache).count() == len({t or "" for _, t, *_ in rows})
+    other = spark.createDataFrame([(bytes(32), 5, "another")], token_counts.CACHE)
+    other.write.mode("append").partitionBy("tokenizer").parquet(cache)
+    assert token_counts.known_counts(spark, cache, "another").count() == 1
     more = docs.unionByName(spark.createDataFrame([(900, "a new text", "en", "s", 0)], SCHEMA))
     token_counts.count_tokens(more, path, cache).collect()
-    assert spark.read.parquet(cache).count() == len({t or "" for _, t, *_ in rows}) + 1
+    assert spark.read.parquet(cache).count() == len({t or "" for _, t, *_ in rows}) + 2
 
 
 def test_classifier_on_held_out_labels(spark):
@@ -198,12 +202,55 @@ def test_classifier_ignores_held_out_labels_and_ids(spark):
     assert one == two
 
 
-def test_classifier_gradient():
+def brute_score(p, bag):
+    """A bag's score by loops over passages and units."""
+    from math import exp, tanh
+
+    hidden, attention = [], []
+    for x in bag:
+        z = [(a - m) / s for a, m, s in zip(x, p["mean"], p["scale"])]
+        h = [tanh(sum(a * w for a, w in zip(z, p["W"][:, j])) + p["b"][j]) for j in range(p["W"].shape[1])]
+        e = 0.0
+        for j in range(p["V"].shape[1]):
+            gate = 1 / (1 + exp(-sum(a * w for a, w in zip(h, p["U"][:, j]))))
+            e += p["w"][j] * tanh(sum(a * w for a, w in zip(h, p["V"][:, j]))) * gate
+        hidden.append(h)
+        attention.append(exp(e))
+    pooled = [sum(a * h[j] for a, h in zip(attention, hidden)) / sum(attention) for j in range(len(hidden[0]))]
+    return 1 / (1 + exp(-sum(a * b for a, b in zip(pooled, p["c"])) - p["d"]))
+
+
+def test_classifier_forward_and_gradient_equal_brute_force():
     rng = np.random.default_rng(0)
-    bags = [rng.normal(size=(n, quality_classifier.FEATURES)).astype(np.float32) + y for n, y in ((3, 0), (1, 1), (5, 0), (2, 1)) * 10]
-    model = quality_classifier.train(bags, np.array([0, 1, 0, 1] * 10, dtype=float))
-    score, (*_, a, pooled, sizes) = quality_classifier.forward(model, np.concatenate(bags[:4]), np.array([0, 3, 4, 9]))
-    assert np.allclose(np.add.reduceat(a, [0, 3, 4, 9]), 1) and ((score > 0.5) == [False, True, False, True]).all()
+    bags = [rng.normal(size=(n, quality_classifier.FEATURES)) for n in (3, 1, 5, 2)]
+    labels, weight = np.array([0.0, 1, 0, 1]), np.array([0.5, 1.5, 1.0, 1.0])
+    p = {k: rng.normal(0, 0.3, s) for k, s in quality_classifier.SHAPE.items()} | {"mean": rng.normal(size=63), "scale": rng.uniform(0.5, 2, 63)}
+    x, starts = np.concatenate(bags), np.array([0, 3, 4, 9])
+    assert np.allclose(quality_classifier.forward(p, x, starts)[0], [brute_score(p, b) for b in bags])
+
+    def loss(q):
+        s = quality_classifier.forward(q, x, starts)[0]
+        return -(weight * (labels * np.log(s) + (1 - labels) * np.log(1 - s))).mean()
+
+    grad = quality_classifier.gradient(p, x, starts, labels, weight)
+    for k, shape in quality_classifier.SHAPE.items():
+        for at in [tuple(rng.integers(0, n) for n in shape) for _ in range(4)]:
+            up, down = ({**p, k: np.array(p[k], dtype=float)} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - np.asarray(grad[k])[at]) < 1e-6, k
+
+
+def test_classifier_takes_all_passages_of_its_documents(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality_classifier, "train", lambda bags, labels: seen.update(n=[len(b) for b in bags]))
+    docs = spark.createDataFrame([(i, "a word " * 32 * (1 if i else 300)) for i in range(9)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)], "doc_id long, quality int")
+    quality_classifier.fit(docs, labels)
+    ids = [i for i in range(9) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(seen["n"]) == sorted(300 if i == 0 else 1 for i in ids)
+    quality_classifier.fit(docs, labels, passages=2)
+    assert len(seen["n"]) <= 2
 
 
 def test_classifier_on_awkward_rows(spark):
@@ -218,6 +265,45 @@ def test_languages_on_held_out_rows(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in out) >= 0.97 * len(out) > 100
 
 
+def test_language_average_equals_brute_force():
+    def grams(text):
+        x = b" " + re.sub(rb"[ \t-\r]+", b" ", text.translate(LOWER).encode()) + b" "
+        out = Counter()
+        for n in language_id.GRAMS:
+            for i in range(len(x) - n + 1):
+                h = 0
+                for byte in x[i : i + n]:
+                    h = (h * 0x01000193 ^ byte) & 0xFFFFFFFF
+                out[((h ^ n * 0x9E37) * 0x85EBCA6B & 0xFFFFFFFF) >> 19] += 1
+        return out
+
+    for text in ("", "A", "Été  at\n\tsea, the sea", "x" * 500):
+        want, got = grams(text), language_id.gram_counts(np.frombuffer(text.encode(), dtype=np.uint8))
+        assert set(np.flatnonzero(got)) == set(want) and all(abs(got[k] - v / sum(want.values())) < 1e-6 for k, v in want.items())
+
+
+def test_temperature_and_rejection():
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 2000)
+    logits = rng.normal(0, 1, (2000, 3))
+    logits[np.arange(2000), y] += 2.5
+    # of normal scores with unit spread the posterior's are 2.5 times the scores, so these are twice as sure as they should be
+    temperature, least = language_id.calibrated(logits * 5, y)
+    assert temperature == 2.0
+    p = language_id.softmax(logits * 2.5)
+    right = p.max(axis=1)[p.argmax(axis=1) == y]
+    assert abs((right < least).mean() - language_id.LOST) < 2e-3
+
+
+def test_text_in_no_learned_language_is_rejected(spark):
+    docs = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet")
+    model = language_id.fit(docs)
+    strange = spark.createDataFrame([(i, "".join(chr(0x4E00 + (i * 37 + k * 101) % 5000) for k in range(80))) for i in range(20)], "doc_id long, text string")
+    known = language_id.identify(docs.select("doc_id", "text").where("lang is not null").limit(200), model)
+    share = lambda df: df.agg(F.avg(F.col("rejected").cast("double"))).first()[0]
+    assert share(language_id.identify(strange, model)) >= 0.5 and share(known) < 0.1
+
+
 def test_languages_of_awkward_rows(spark):
     out = language_id.language_id(clashing(awkward(spark))).collect()
     assert len(out) == len(awkward_rows())
@@ -235,7 +321,7 @@ def test_pipeline_stages(spark):
     kept = {r["doc_id"] for r in quality.collect()}
     assert quality.columns == docs.columns and len(clean - kept) <= 0.05 * len(clean)
     near = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, FOLDER).collect()}
-    root = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    root = brute_components([(r["doc_id"], r["text"]) for r in docs.collect()], 80)
     assert near == {d for d, c in root.items() if d == c}
     mixed = corpus_pipeline.mixture(spark, docs, FOLDER)
     assert Counter(map(tuple, mixed.collect())) == Counter(map(tuple, docs.collect()))
@@ -243,6 +329,38 @@ def test_pipeline_stages(spark):
     assert Counter(map(tuple, last.select(*docs.columns).collect())) == Counter(map(tuple, docs.collect()))
 
 
+def test_near_duplicate_stage_keeps_one_row_of_each_document(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(40))
+    rows = [(7, text("a"), "en", "s", 1)] * 50 + [(9, text("a"), "en", "s", 1), (5, text("b"), "en", "s", 1), (5, text("b"), "en", "r", 1), (6, None, "en", "s", 0), (6, None, "en", "s", 0), (None, text("a"), None, None, None)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), FOLDER)
+    assert out.columns == list(corpus_pipeline.COLUMNS)
+    assert Counter(map(tuple, out.collect())) == Counter({rows[0]: 1, (5, text("b"), "en", "r", 1): 1, rows[-2]: 1, rows[-1]: 1})
+
+
+def test_benchmark_stage_equals_brute_force(spark):
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    items = {tuple(w[k : k + 12]) for r in spark.read.parquet(f"{FOLDER}/benchmark.parquet").collect() if (w := words(r["text"])) for k in range(max(1, len(w) - 11))}
+    heads = {x[i : i + 3] for x in items for i in range(len(x) - 2)}
+    clean = set()
+    for r in docs.collect():
+        w = words(r["text"])
+        near = {k - i for k in range(len(w) - 2) if tuple(w[k : k + 3]) in heads for i in range(10)}
+        if not any(sum(a == b for a, b in zip(x, w[max(at, 0) :])) >= 10 for at in near if at >= 0 for x in items):
+            clean.add(r["doc_id"])
+    assert {r["doc_id"] for r in corpus_pipeline.benchmark(spark, docs, FOLDER).collect()} == clean and len(clean) < docs.count()
+
+
+def test_mixture_stage_is_in_the_order_of_its_schedule(spark):
+    rows = [(i, f"t{i}", "en", s, 0) for i, s in enumerate(["hot"] * 400 + ["a"] * 120 + ["b"] * 30)]
+    out = [r["source"] for r in corpus_pipeline.mixture(spark, spark.createDataFrame(rows, SCHEMA), FOLDER).collect()]
+    sizes = Counter(r[3] for r in rows)
+    share = {s: n**0.7 / sum(x**0.7 for x in sizes.values()) for s, n in sizes.items()}
+    for t in range(160, len(out), 16):
+        seen = Counter(out[:t])
+        assert all(abs(seen[s] - share[s] * t) <= 2 * 16 for s in share)
+
+
 def test_pipeline_gives_sources_their_target_shares(spark, tmp_path):
     draw = random.Random(9)
     sizes = {"hot": 400, "a": 90, "b": 25, "": 6}

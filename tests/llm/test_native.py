@@ -53,6 +53,16 @@ def test_shard_growth_moves_rows_only_into_the_new_shard(spark):
     assert five == grown and any(v == 4 for v in five.values()) and all(five[k] in (four[k], 4) for k in four)
 
 
+def test_shards_of_a_repeated_row_and_a_map(spark, monkeypatch):
+    monkeypatch.setattr(common, "PIECE", 3)
+    rows = [(1, "same", {"a": 1})] * 40 + [(i, f"t{i}", None) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>")
+    out = sharding.shuffle_into_shards(docs, shards=2, bucket_bytes=30).collect()
+    assert Counter((r["doc_id"], str(r["m"])) for r in out) == Counter((r[0], str(r[2])) for r in rows)
+    for k in range(2):
+        assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
     sharding.write_shards(awkward(spark), str(tmp_path / "shards"), shards=3)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(awkward_rows())
