@@ -36,26 +36,24 @@ def method_variant(key: Column) -> Column:
     return F.split_part(key, F.lit("::"), F.lit(2))
 
 
-#: The order of methods in reports.
-METHOD_ORDER = ("sampler", "unet", "cnn")
-
-
-def method_rank(key: Column) -> Column:
-    at = F.array_position(F.array(*map(F.lit, METHOD_ORDER)), method_base(key))
-    return F.when(at == 0, len(METHOD_ORDER) + 1).otherwise(at)
+def method_rank(key: Column, order: list[str]) -> Column:
+    """Place of the method in the caller's order, from 1; methods that it lacks come after it."""
+    at = F.array_position(F.array(*map(F.lit, order)), method_base(key))
+    return F.when(at == 0, len(order) + 1).otherwise(at)
 
 
 def model_parameters(name: Column) -> dict[str, Column]:
-    """k, rate, smooth, duty and spike bias in a model name like `k1_r12_s2p0_d0p45_sb11000`; null without a match."""
+    """k, rate, smooth, duty and seed base in a model name like `k1_r12_s2p0_d0p45_sb11000`; null without a match."""
     pattern = "k([0-9]+)_r([0-9]+)_s([0-9]+p[0-9]+)_d([0-9]+p[0-9]+)_sb([0-9]+)"
     one = lambda g: F.replace(F.regexp_extract(name, pattern, g), F.lit("p"), F.lit("."))
-    return {c: F.when(one(g) != "", one(g)).try_cast("double") for g, c in enumerate(("k", "rate", "smooth", "duty", "spike_bias"), 1)}
+    return {c: F.when(one(g) != "", one(g)).try_cast("double") for g, c in enumerate(("k", "rate", "smooth", "duty", "seed_base"), 1)}
 
 
 def tag_epoch(tag: Column) -> Column:
-    """Epoch id of a cache tag: up to `_epoch<n>`, else the text before `_s..._ms<d>`."""
+    """Epoch id of a cache tag: up to `_epoch<n>`, else the text before `_s..._ms<d>`, else the tag."""
     explicit = F.regexp_extract(tag, "^(.*_epoch[0-9]+)", 1)
-    return F.when(explicit != "", explicit).otherwise(F.regexp_replace(tag, "_s[^_]*_ms[0-9]+.*$", ""))
+    before = F.regexp_replace(tag, "_s[^_]*_ms[0-9]+.*$", "")
+    return F.when(explicit != "", explicit).when(before != "", before).otherwise(tag)
 
 
 def tag_stem(tag: Column) -> Column:
@@ -80,13 +78,15 @@ def tag_token(value: Column) -> Column:
 
 
 def events_per_bin(target: Column, native: float) -> Column:
-    """Greatest number of events a bin may hold at the target rate."""
+    """Greatest number of events a bin may hold at the target rate; null is the native rate. A rate of 0 or less is an error."""
     r = F.greatest(F.lit(native) / target, F.lit(1.0))
     half = F.ceil(r / 2)
+    near = lambda x, atol: F.abs(target - x) <= atol + 1e-5 * x
     return (
-        F.when(target.isNull() | (F.abs(target - native) < 1e-6), F.lit(2))
-        .when(F.abs(target - 30.0) <= 1.0, F.greatest(F.lit(4), half + 1))
-        .when(F.abs(target - 10.0) <= 1.0, F.greatest(F.lit(7), half))
+        F.when(target.isNull() | near(native, 1e-8), F.lit(2))
+        .when(target <= 0, F.raise_error(F.lit("a target rate must be above 0")).cast("int"))
+        .when(near(30.0, 0.1), F.greatest(F.lit(4), half + 1))
+        .when(near(10.0, 0.1), F.greatest(F.lit(7), half))
         .otherwise(F.greatest(F.lit(3), F.ceil(r) + 1))
         .cast("long")
     )

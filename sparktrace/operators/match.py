@@ -9,18 +9,18 @@ from pyspark.sql import functions as F
 TRIAL = ("dataset", "trial")
 
 
-def neighbours(samples: DataFrame, points: DataFrame, at: str, carry: list[str], strict: bool = True) -> DataFrame:
-    """Each point of `points(dataset, trial, <at>, ...)` with the samples before and after it, as structs `prev` and `next`.
+def neighbours(samples: DataFrame, points: DataFrame, at: str, carry: list[str], strict: bool = True, by: tuple[str, ...] = TRIAL) -> DataFrame:
+    """Each point of `points(*by, <at>, ...)` with the samples before and after it, as structs `prev` and `next`.
 
     One sorted pass per trial over the union of both sides. `strict`: before means t < point, else t <= point.
     """
     sample = F.struct(F.col("t"), *carry)
     side = F.lit(0 if strict else 1)
     own = points.columns
-    left = samples.select(*TRIAL, F.col("t").alias("_at"), (1 - side).alias("_side"), sample.alias("_sample"), F.lit(None).cast(points.select(F.struct(*own)).schema[0].dataType).alias("_point"))
-    right = points.select(*TRIAL, F.col(at).alias("_at"), side.alias("_side"), F.lit(None).cast(left.schema["_sample"].dataType).alias("_sample"), F.struct(*own).alias("_point"))
+    left = samples.select(*by, F.col("t").alias("_at"), (1 - side).alias("_side"), sample.alias("_sample"), F.lit(None).cast(points.select(F.struct(*own)).schema[0].dataType).alias("_point"))
+    right = points.select(*by, F.col(at).alias("_at"), side.alias("_side"), F.lit(None).cast(left.schema["_sample"].dataType).alias("_sample"), F.struct(*own).alias("_point"))
     both = left.unionByName(right)
-    w = W.partitionBy(*TRIAL).orderBy("_at", "_side")
+    w = W.partitionBy(*by).orderBy("_at", "_side")
     before = F.last("_sample", True).over(w.rowsBetween(W.unboundedPreceding, 0))
     after = F.first("_sample", True).over(w.rowsBetween(0, W.unboundedFollowing))
     return both.withColumn("prev", before).withColumn("next", after).where("_point is not null").select("_point.*", "prev", "next")
@@ -40,17 +40,17 @@ def low_activity_mask(samples: DataFrame, spikes: DataFrame, exclusion: float) -
     return near.select(*TRIAL, "i", (F.coalesce(gap >= exclusion, F.lit(True)) | F.lit(exclusion <= 0)).alias("low"))
 
 
-def match_segment(segments: DataFrame, windows: DataFrame) -> DataFrame:
+def match_segment(segments: DataFrame, windows: DataFrame, by: tuple[str, ...] = TRIAL) -> DataFrame:
     """For each window(k, start_s, end_s) of a trial the segment(seg, seg_start, seg_end): the one of its place if
     there are as many, else the one with the greatest overlap, the first of equals; none without overlap."""
-    n_seg, n_win = segments.groupBy(*TRIAL).agg(F.count("*").alias("n_seg")), windows.groupBy(*TRIAL).agg(F.count("*").alias("n_win"))
-    both = windows.join(n_win, list(TRIAL)).join(n_seg, list(TRIAL)).join(segments, list(TRIAL))
+    n_seg, n_win = segments.groupBy(*by).agg(F.count("*").alias("n_seg")), windows.groupBy(*by).agg(F.count("*").alias("n_win"))
+    both = windows.join(n_win, list(by)).join(n_seg, list(by)).join(segments, list(by))
     overlap = F.least("end_s", "seg_end") - F.greatest("start_s", "seg_start")
     placed = F.col("n_seg") == F.col("n_win")
     both = both.withColumn("overlap", overlap).where((placed & (F.col("seg") == F.col("k"))) | (~placed & (F.col("overlap") > 0)))
-    first = F.row_number().over(W.partitionBy(*TRIAL, "k").orderBy(F.desc("overlap"), "seg"))
-    best = both.withColumn("r", first).where("r = 1").select(*TRIAL, "k", "seg")
-    return windows.select(*TRIAL, "k").join(best, [*TRIAL, "k"], "left")
+    first = F.row_number().over(W.partitionBy(*by, "k").orderBy(F.desc("overlap"), "seg"))
+    best = both.withColumn("r", first).where("r = 1").select(*by, "k", "seg")
+    return windows.select(*by, "k").join(best, [*by, "k"], "left")
 
 
 def snap_windows(samples: DataFrame, windows: DataFrame) -> DataFrame:
@@ -94,17 +94,20 @@ def resolve_cached(entries: DataFrame, results: DataFrame) -> DataFrame:
 
 def lookup_result(requests: DataFrame, store: DataFrame) -> DataFrame:
     """Stored result for each request(id, key, trace_hash): keys and hashes match; the first file of several."""
-    first = F.row_number().over(W.partitionBy("id").orderBy("file"))
-    return requests.join(store, ["key", "trace_hash"]).withColumn("r", first).where("r = 1").drop("r")
+    rest = [c for c in store.columns if c not in ("key", "trace_hash")]
+    first = store.groupBy("key", "trace_hash").agg(F.min_by(F.struct(*rest), "file").alias("r")).select("key", "trace_hash", *[F.col(f"r.{c}").alias(c) for c in rest])
+    return requests.join(first, ["key", "trace_hash"])
 
 
 def match_overlay(wanted: DataFrame, offered: DataFrame) -> DataFrame:
     """Best offer for each wanted row: equal label, else equal (tag, trial), else equal tag; first by label."""
-    a, b = wanted.alias("a"), offered.alias("b")
-    both = a.join(b, F.col("a.tag") == F.col("b.tag"))
-    rank = F.when(F.col("a.label") == F.col("b.label"), 0).when(F.col("a.trial") == F.col("b.trial"), 1).otherwise(2)
-    r = F.row_number().over(W.partitionBy("a.id").orderBy(rank, "b.label", "b.trial"))
-    return both.select(F.col("a.id").alias("id"), F.col("b.label").alias("match"), F.col("b.trial").alias("match_trial"), rank.alias("how"), r.alias("r")).where("r = 1").drop("r")
+    first = lambda by: offered.groupBy(*by).agg(F.min(F.struct("label", "trial")).alias("_".join(["by", *by])))
+    both = wanted
+    for by in (["tag", "label"], ["tag", "trial"], ["tag"]):
+        both = both.join(first(by), by, "left")
+    ways = [F.col("by_tag_label"), F.col("by_tag_trial"), F.col("by_tag")]
+    how = F.when(ways[0].isNotNull(), 0).when(ways[1].isNotNull(), 1).otherwise(2)
+    return both.where(ways[2].isNotNull()).withColumn("best", F.coalesce(*ways)).select("id", F.col("best.label").alias("match"), F.col("best.trial").alias("match_trial"), how.alias("how"))
 
 
 def complete_sets(files: DataFrame) -> DataFrame:
@@ -114,11 +117,21 @@ def complete_sets(files: DataFrame) -> DataFrame:
     return per.groupBy("tag").agg(F.max(F.struct("complete", "files", "parent")).alias("best")).select("tag", "best.*").where("complete > 0")
 
 
-def remap_tags(tags: DataFrame, stems: DataFrame) -> DataFrame:
-    """Longest dataset stem that a tag starts with, and the epoch id of its trial."""
-    both = tags.join(stems, F.col("tag").startswith(F.col("stem")))
-    r = F.row_number().over(W.partitionBy("tag").orderBy(F.desc(F.length("stem")), "stem"))
-    return both.withColumn("r", r).where("r = 1").select("tag", "stem", F.concat("stem", F.lit("_epoch"), (F.coalesce("trial", F.lit(0)) + 1).cast("string")).alias("epoch"))
+def remap_tags(tags: DataFrame, stems: DataFrame, epochs: DataFrame | None = None) -> DataFrame:
+    """Longest dataset stem that a tag starts with, and the epoch id of its trial (epoch 1 without a trial).
+
+    Where the valid `epochs(epoch)` are given, an id that is not among them becomes the stem's epoch 1 if that is valid; else the tag drops out.
+    All first parts of a tag are looked up among the stems.
+    """
+    parts = tags.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("tag")), lambda n: F.substring("tag", F.lit(1), n))).alias("stem"))
+    best = parts.join(stems.select("stem").distinct(), "stem").groupBy("tag").agg(F.max_by(F.struct("stem", "trial"), F.length("stem")).alias("b"))
+    best = best.select("tag", "b.stem", F.concat("b.stem", F.lit("_epoch"), (F.coalesce("b.trial", F.lit(0)) + 1).cast("string")).alias("epoch"))
+    if epochs is None:
+        return best
+    valid = epochs.select("epoch").distinct()
+    tried = best.withColumn("default", F.concat("stem", F.lit("_epoch1"))).join(valid.withColumn("ok", F.lit(True)), "epoch", "left")
+    tried = tried.join(valid.select(F.col("epoch").alias("default"), F.lit(True).alias("default_ok")), "default", "left")
+    return tried.where("ok or default_ok").select("tag", "stem", F.when(F.col("ok"), F.col("epoch")).otherwise(F.col("default")).alias("epoch"))
 
 
 def align_components(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -68,11 +68,9 @@ def snippet_window(samples: DataFrame, start: float | None, duration: float | No
 
 def mask_to_windows(samples: DataFrame, windows: DataFrame) -> DataFrame:
     """All samples; values outside every valid window of the trial become null, without windows nothing changes."""
-    valid = windows.where("end_s > start_s")
-    hit = samples.select(*TRIAL, "i", "t").join(valid, list(TRIAL)).where("t between start_s and end_s").select(*TRIAL, "i").distinct().withColumn("hit", F.lit(True))
-    has = valid.select(*TRIAL).distinct().withColumn("has", F.lit(True))
-    both = samples.join(hit, [*TRIAL, "i"], "left").join(has, list(TRIAL), "left")
-    return both.select(*TRIAL, "i", "t", F.when(F.col("hit") | F.col("has").isNull(), F.col("y")).alias("y"))
+    spans = windows.where("end_s > start_s").groupBy(*TRIAL).agg(F.collect_list(F.struct("start_s", "end_s")).alias("spans"))
+    hit = F.exists("spans", lambda w: F.col("t").between(w["start_s"], w["end_s"]))
+    return samples.join(spans, list(TRIAL), "left").select(*TRIAL, "i", "t", F.when(F.coalesce(hit, F.lit(True)), F.col("y")).alias("y"))
 
 
 def spikes_in_windows(spikes: DataFrame, windows: DataFrame) -> DataFrame:
@@ -107,18 +105,26 @@ def mask_padding(frames: DataFrame, lengths: DataFrame) -> DataFrame:
     return frames.join(lengths, list(TRIAL)).withColumn("y", F.when(F.col("i") < F.col("valid_length"), F.col("y"))).drop("valid_length")
 
 
-def flatten_trials(samples: DataFrame) -> DataFrame:
-    """All samples of a dataset on one axis; `k` is the place in it."""
-    return samples.select("dataset", "t", "y", (F.row_number().over(W.partitionBy("dataset").orderBy("t", "trial", "i")) - 1).alias("k"))
+def flatten_trials(samples: DataFrame, bins: int = 4096) -> DataFrame:
+    """All samples of a dataset on one axis in the order of time, trial and i; `k` is the place in it.
 
+    Places are counted inside `bins` stretches of time of a dataset and added to the counts of those before.
+    """
+    span = samples.groupBy("dataset").agg(F.min("t").alias("a"), F.max("t").alias("z"))
+    rows = samples.join(F.broadcast(span), "dataset").withColumn("bin", F.coalesce(F.floor(F.try_divide(F.col("t") - F.col("a"), F.col("z") - F.col("a")) * bins), F.lit(0)))
+    before = W.partitionBy("dataset").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
+    starts = rows.groupBy("dataset", "bin").count().select("dataset", "bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(W.partitionBy("dataset", "bin").orderBy("t", "trial", "i")) - 1
+    return rows.withColumn("k", place).join(starts, ["dataset", "bin"]).select("dataset", "t", "y", (F.col("k") + F.col("start")).alias("k"))
 
-def shift_left_for_method(preds: DataFrame, shifted: str = "sampler") -> DataFrame:
-    """For right-labelled methods each value is the next one's and the last is 0, in trials of two samples or more."""
+
+def shift_left_for_method(preds: DataFrame, right_labelled: list[str]) -> DataFrame:
+    """For the right-labelled methods each value is the next one's and the last is 0, in trials of two samples or more."""
     w = W.partitionBy(*TRIAL, "method").orderBy("i")
     n = F.count("*").over(W.partitionBy(*TRIAL, "method"))
     last = F.row_number().over(w) == n
     moved = F.when(last, F.lit(0.0)).otherwise(F.lead("prob").over(w))
-    return preds.withColumn("prob", F.when((F.col("method") == shifted) & (n >= 2), moved).otherwise(F.col("prob")))
+    return preds.withColumn("prob", F.when(F.col("method").isin(right_labelled) & (n >= 2), moved).otherwise(F.col("prob")))
 
 
 def normalize_01(samples: DataFrame, value: str = "y") -> DataFrame:

@@ -3,42 +3,93 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparktrace.operators import reshape, series
+from sparktrace.operators import match, series
+from sparktrace.operators.reshape import finite
 from sparktrace.operators.stats import pearson
 
-TRIAL = ["dataset", "trial"]
-PIECE = [*TRIAL, "method"]
+TRIAL = ("dataset", "trial")
+PIECE = (*TRIAL, "method")
 
 
-def reference(windows: DataFrame, spikes: DataFrame, fs: float, sigma_ms: float) -> DataFrame:
-    """Smoothed event rate on the grid of each window: dataset, trial, start_s, k, q, rate."""
-    rates = series.event_rates(series.event_grid(windows, fs), spikes)
-    return series.smooth_rows(rates.select(*TRIAL, "start_s", "k", "q", "rate"), [*TRIAL, "start_s"], sigma_ms / 1000 * fs, "rate", ("q",))
+def reference(windows: DataFrame, spikes: DataFrame, fs: float, sigma_ms: float, binning: str = "linear") -> DataFrame:
+    """Smoothed event rate on the grid of each different window: dataset, trial, start_s, end_s, k, q, rate."""
+    spans = windows.select(*TRIAL, "start_s", "end_s").distinct()
+    rates = series.event_rates(series.event_grid(spans, fs), spikes, binning)
+    return series.smooth_rows(rates.select(*TRIAL, "start_s", "end_s", "k", "q", "rate"), [*TRIAL, "start_s", "end_s"], sigma_ms / 1000 * fs, "rate", ("q",))
 
 
-def smoothed_predictions(preds: DataFrame, rates: DataFrame, sigma_ms: float) -> DataFrame:
-    """Predictions by method, shifted where right-labelled, smoothed at their trial's own rate: dataset, trial (with the method), seg, k, y, t."""
-    rows = reshape.shift_left_for_method(preds).where(reshape.finite("prob"))
-    keyed = rows.select("dataset", F.col("trial").alias("own"), "method", "i", "t", F.col("prob").alias("y"))
-    named = keyed.withColumn("trial", F.concat_ws(":", F.col("own").cast("string"), "method")).join(rates.withColumnRenamed("trial", "own"), ["dataset", "own"])
-    cut = series.gap_segments(named).withColumn("k", F.col("i"))
-    return series.smooth_rows(cut, ["dataset", "trial", "seg"], sigma_ms / 1000 * F.col("fs"), "y", ("t",))
+def usable(windows: DataFrame) -> DataFrame:
+    return windows.where(finite("start_s") & finite("end_s") & (F.col("end_s") > F.col("start_s")))
 
 
-def aligned(preds: DataFrame, spikes: DataFrame, windows: DataFrame, rates: DataFrame, fs: float, sigma_ms: float) -> DataFrame:
-    """Pairs (rate, y) of reference and prediction at the grid points of each window; y is null in gaps."""
-    ref = reference(windows, spikes, fs, sigma_ms)
-    smooth = smoothed_predictions(preds, rates, sigma_ms)
-    methods = preds.where(reshape.finite("prob")).select("dataset", F.col("trial").alias("own"), "method").distinct()
-    points = ref.withColumnRenamed("trial", "own").join(methods, ["dataset", "own"]).select("dataset", F.concat_ws(":", F.col("own").cast("string"), "method").alias("trial"), "own", "method", "k", "q", "rate")
-    return series.align_piecewise(smooth.select("dataset", "trial", "t", "y", "seg"), points).select("dataset", F.col("own").alias("trial"), "method", "k", "rate", "y")
+def smoothed_segments(rows: DataFrame, sigma_ms: float, right_labelled: tuple[str, ...]) -> DataFrame:
+    """Predictions `rows(.., i, t, prob, fs, seg)` smoothed inside each of their segments: .., seg, t, y, part.
 
+    Values that are not finite are dropped first; values of right-labelled methods then move to the place before them, the last is
+    0; segments of fewer than two values drop out. `part` numbers the pieces between gaps that the dropped values left.
+    """
+    whole = W.partitionBy(*PIECE, "seg")
+    kept = rows.where(finite("prob")).withColumn("n", F.count("*").over(whole)).where("n >= 2")
+    moved = F.lead("prob", 1, 0.0).over(whole.orderBy("i"))
+    kept = kept.withColumn("y", F.when(F.col("method").isin(list(right_labelled)), moved).otherwise(F.col("prob")))
+    kept = series.gap_segments(kept, by=(*PIECE, "seg"), name="part").withColumn("k", F.col("i"))
+    return series.smooth_rows(kept, [*PIECE, "seg"], sigma_ms / 1000 * F.col("fs"), "y", ("t", "part"))
+
+
+def window_pairs(preds: DataFrame, spikes: DataFrame, windows: DataFrame, rates: DataFrame, fs: float, sigma_ms: float, right_labelled: tuple[str, ...] = (), binning: str = "linear") -> DataFrame:
+    """Pairs (rate, y) of the event rate and each prediction on the own grid of each window(dataset, trial, k, start_s, end_s).
+
+    A method's time stamps are cut at gaps; one segment answers for a window: that of its place if there are as many
+    segments as windows, else the one with the greatest overlap. `y` is null where it does not reach. Windows
+    that are not finite or not longer than 0 give no pairs.
+    """
+    ref = reference(usable(windows), spikes, fs, sigma_ms, binning).withColumnRenamed("k", "place")
+    rows = series.gap_segments(preds, rates, by=PIECE)
+    bounds = rows.groupBy(*PIECE, "seg").agg(F.min("t").alias("seg_start"), F.max("t").alias("seg_end"))
+    chosen = match.match_segment(bounds, windows.join(bounds.select(*PIECE).distinct(), list(TRIAL)), PIECE)
+    points = usable(windows).select(*TRIAL, "k", "start_s", "end_s").join(ref, [*TRIAL, "start_s", "end_s"]).join(chosen, [*TRIAL, "k"])
+    points = points.select(*PIECE, F.coalesce("seg", F.lit(-1)).alias("seg"), "k", "place", "q", "rate")
+    aligned = series.align_piecewise(smoothed_segments(rows, sigma_ms, right_labelled), points, by=(*PIECE, "seg"), piece="part")
+    return aligned.select(*PIECE, "k", "place", "rate", "y")
 
-def corr_per_trial(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy(*PIECE).agg(pearson(F.col("rate"), F.col("y")).alias("correlation"))
+
+def corr_per_trial(pairs: DataFrame, windows: DataFrame, preds: DataFrame) -> DataFrame:
+    """One correlation for each window and method; null where a window is invalid or fewer than two pairs are finite."""
+    found = pairs.groupBy(*PIECE, "k").agg(pearson(F.col("rate"), F.col("y")).alias("correlation"))
+    return windows.select(*TRIAL, "k").join(preds.select(*PIECE).distinct(), list(TRIAL)).join(found, [*PIECE, "k"], "left").select(*PIECE, "k", "correlation")
 
 
 def corr_pooled(pairs: DataFrame) -> DataFrame:
+    """One correlation for each dataset and method over the pairs of all windows."""
     return pairs.groupBy("dataset", "method").agg(pearson(F.col("rate"), F.col("y")).alias("correlation"))
+
+
+def global_pairs(preds: DataFrame, reference: DataFrame, rates: DataFrame, sigma_ms: float) -> DataFrame:
+    """Pairs (rate, y) on one given grid `reference(dataset, trial, q, rate)` of each trial: dataset, trial, method, q, rate, y.
+
+    Each prediction is smoothed once over all its samples in their order, gaps or not; a value that is not finite spreads over
+    the kernel's radius. It is then interpolated inside the pieces between gaps.
+    """
+    rows = series.gap_segments(preds.withColumn("y", F.when(finite("prob"), F.col("prob"))), rates, by=PIECE).withColumn("k", F.col("i"))
+    smooth = series.smooth_rows(rows, list(PIECE), sigma_ms / 1000 * F.col("fs"), "y", ("t", "seg"))
+    points = reference.select(*TRIAL, "q", "rate").join(preds.select(*PIECE).distinct(), list(TRIAL))
+    return series.align_piecewise(smooth, points.select(*PIECE, "q", "rate"), by=PIECE).select(*PIECE, "q", "rate", "y")
+
+
+def corr_global(pairs: DataFrame, windows: DataFrame | None = None) -> DataFrame:
+    """One correlation for each trial and method over the grid, or over what any of the trial's windows(start_s, end_s) covers."""
+    if windows is not None:
+        spans = windows.where(finite("start_s") & finite("end_s") & (F.col("end_s") >= F.col("start_s"))).groupBy(*TRIAL).agg(F.collect_list(F.struct("start_s", "end_s")).alias("spans"))
+        covered = F.exists("spans", lambda w: (F.col("q") >= w["start_s"]) & (F.col("q") <= w["end_s"]))
+        pairs = pairs.join(spans, list(TRIAL), "left").withColumn("y", F.when(covered, F.col("y")))
+    return pairs.groupBy(*PIECE).agg(pearson(F.col("rate"), F.col("y")).alias("correlation"))
+
+
+def corr_global_per_window(pairs: DataFrame, windows: DataFrame) -> DataFrame:
+    """One correlation for each window(k) and method over the grid points that the window covers."""
+    each = windows.select(*TRIAL, "k", "start_s", "end_s").join(pairs, list(TRIAL))
+    inside = (F.col("q") >= F.col("start_s")) & (F.col("q") <= F.col("end_s"))
+    return each.groupBy(*PIECE, "k").agg(pearson(F.col("rate"), F.when(inside, F.col("y"))).alias("correlation"))

@@ -25,11 +25,12 @@ def sampling_rate(samples: DataFrame) -> DataFrame:
     return d.groupBy(*TRIAL).agg((1 / F.median("d")).alias("fs"))
 
 
-def gap_segments(samples: DataFrame, rates: DataFrame | None = None, gap_factor: float = 4.0) -> DataFrame:
+def gap_segments(samples: DataFrame, rates: DataFrame | None = None, gap_factor: float = 4.0, by: tuple[str, ...] = TRIAL, name: str = "seg") -> DataFrame:
     """Number of the segment of each sample; a new one starts where t - prev > gap_factor / fs. Without `rates` the samples have fs."""
     rows = samples if rates is None else samples.join(rates, list(TRIAL))
-    gap = F.col("t") - F.lag("t").over(ordered()) > gap_factor / F.col("fs")
-    return rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("seg", F.sum("_new").over(ordered())).drop("_new")
+    order = W.partitionBy(*by).orderBy("i")
+    gap = F.col("t") - F.lag("t").over(order) > gap_factor / F.col("fs")
+    return rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn(name, F.sum("_new").over(order)).drop("_new")
 
 
 def gap_segments_resetting(samples: DataFrame, factor: float = 5.0, floor: float = 1e-9) -> DataFrame:
@@ -197,15 +198,15 @@ def event_rates(grid: DataFrame, spikes: DataFrame, binning: str = "linear") ->
         parts = F.explode(F.array(F.struct(low.alias("k"), (1 - (F.col("x") - low)).alias("v")), F.struct((low + 1).alias("k"), (F.col("x") - low).alias("v")))).alias("p")
     else:
         parts = F.explode(F.array(F.struct((F.rint("x") if binning == "round" else low).cast("long").alias("k"), F.lit(1.0).alias("v")))).alias("p")
-    sums = at.select(*TRIAL, "start_s", "n", parts).where("p.k < n").groupBy(*TRIAL, "start_s", F.col("p.k").cast("int").alias("k")).agg(F.sum("p.v").alias("rate"))
-    return grid.join(sums, [*TRIAL, "start_s", "k"], "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
+    sums = at.select(*TRIAL, "start_s", "end_s", "n", parts).where("p.k < n").groupBy(*TRIAL, "start_s", "end_s", F.col("p.k").cast("int").alias("k")).agg(F.sum("p.v").alias("rate"))
+    return grid.join(sums, [*TRIAL, "start_s", "end_s", "k"], "left").withColumn("rate", F.coalesce("rate", F.lit(0.0)))
 
 
-def align_piecewise(segments: DataFrame, grid: DataFrame, value: str = "y") -> DataFrame:
+def align_piecewise(segments: DataFrame, grid: DataFrame, value: str = "y", by: tuple[str, ...] = TRIAL, piece: str = "seg") -> DataFrame:
     """Value at each grid point by interpolation inside its gap segment; null between segments."""
-    near = neighbours(segments, grid, "q", [value, "seg"], strict=False)
+    near = neighbours(segments, grid, "q", [value, piece], strict=False, by=by)
     t0, v0, t1, v1 = F.col("prev.t"), F.col(f"prev.{value}"), F.col("next.t"), F.col(f"next.{value}")
-    inside = F.col("prev.seg") == F.col("next.seg")
+    inside = F.col(f"prev.{piece}") == F.col(f"next.{piece}")
     at = F.when(t0 == F.col("q"), v0).when(inside, v0 + (v1 - v0) * (F.col("q") - t0) / (t1 - t0))
     return near.withColumn(value, at).drop("prev", "next")
 
@@ -244,39 +245,53 @@ def fourier_resample(wide: DataFrame, fs: float, target: float) -> DataFrame:
 
 
 def slice_by_length(axis: DataFrame, lengths: DataFrame) -> DataFrame:
-    """A flat axis(dataset, k) cut into trials by running sums of lengths(dataset, trial, n)."""
+    """A flat axis(dataset, k) cut into trials by running sums of lengths(dataset, trial, n).
+
+    Both sides meet in stretches of the axis as long as a mean trial, so a sample meets few trials.
+    """
     end = F.sum("n").over(W.partitionBy("dataset").orderBy("trial"))
-    cuts = lengths.withColumn("stop", end).withColumn("first", F.col("stop") - F.col("n"))
-    return axis.join(cuts, "dataset").where("k >= first and k < stop").withColumn("i", F.col("k") - F.col("first")).drop("first", "stop", "n")
+    size = F.greatest(F.ceil(F.avg("n").over(W.partitionBy("dataset"))), F.lit(1))
+    cuts = lengths.where("n > 0").withColumn("stop", end).withColumn("first", F.col("stop") - F.col("n")).withColumn("size", size)
+    sizes = cuts.groupBy("dataset").agg(F.first("size").alias("size"))
+    near = cuts.select("dataset", "trial", "first", "stop", F.explode(F.sequence(F.floor(F.col("first") / F.col("size")), F.floor((F.col("stop") - 1) / F.col("size")))).alias("stretch"))
+    placed = axis.join(F.broadcast(sizes), "dataset").withColumn("stretch", F.floor(F.col("k") / F.col("size"))).drop("size")
+    return placed.join(near, ["dataset", "stretch"]).where("k >= first and k < stop").withColumn("i", F.col("k") - F.col("first")).drop("first", "stop", "stretch")
+
+
+def fit_events(v: np.ndarray, kernel: np.ndarray) -> list[int]:
+    """Places of the events whose smoothed sum fits `v`: one at the peak if the sum is 0.5 or more, then the best-fitting one
+    while the squared error falls by 1e-8 or more.
+
+    An event at k changes the error by |shape_k|^2 - 2 <shape_k, left>; both are convolutions, updated around each event.
+    """
+    r, n = len(kernel) // 2, len(v)
+    norm = np.convolve(np.ones(n), kernel[::-1] ** 2, mode="full")[r : r + n]
+    left = v.astype(float).copy()
+
+    def add(k: int) -> None:
+        a, z = max(0, k - r), min(n, k + r + 1)
+        left[a:z] -= kernel[a - k + r : z - k + r]
+
+    events = [int(v.argmax())] if v.sum() >= 0.5 else []
+    for k in events:
+        add(k)
+    while n:
+        change = norm - 2 * np.convolve(left, kernel[::-1], mode="full")[r : r + n]
+        k = int(change.argmin())
+        if -change[k] < 1e-8:
+            break
+        events.append(k)
+        add(k)
+    return events
 
 
 def rates_to_counts(slices: DataFrame, sigma: float) -> DataFrame:
-    """Events(dataset, trial, first, at) of each slice(values): one at the peak if the sum is 0.5 or more, then the best-fitting
-    event while the squared error of the smoothed events falls by more than 1e-8."""
-
-    def solve(v: np.ndarray) -> list[int]:
-        if v.sum() < 0.5:
-            return []
-        r = int(4 * sigma + 0.5)
-        n, kernel = len(v), gaussian_kernel(sigma)
-        shapes = np.zeros((n, n))
-        for k in range(n):
-            a, z = max(0, k - r), min(n, k + r + 1)
-            shapes[k, a:z] = kernel[a - k + r : z - k + r]
-        events = [int(v.argmax())]
-        left = v - shapes[events[0]]
-        while len(events) < 10 * n:
-            errors = ((left[None, :] - shapes) ** 2).sum(axis=1)
-            k = int(errors.argmin())
-            if (left**2).sum() - errors[k] <= 1e-8:
-                break
-            events.append(k)
-            left = left - shapes[k]
-        return events
+    """Events(dataset, trial, first, at) of each slice(values) by `fit_events` with a Gaussian of `sigma` samples, zero beyond the slice."""
 
     def run(frames):
+        kernel = gaussian_kernel(sigma)
         for f in frames:
-            out = [(d, t, a, a + k) for d, t, a, v in zip(f["dataset"], f["trial"], f["first"], f["values"]) for k in solve(np.asarray(v, dtype=float))]
+            out = [(d, t, a, a + k) for d, t, a, v in zip(f["dataset"], f["trial"], f["first"], f["values"]) for k in fit_events(np.asarray(v, dtype=float), kernel)]
             yield pd.DataFrame(out, columns=["dataset", "trial", "first", "at"])
 
     return slices.select(*TRIAL, "first", "values").mapInPandas(run, "dataset long, trial long, first long, at long")

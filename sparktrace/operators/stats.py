@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,15 +29,55 @@ def noise_level(samples: DataFrame, rates: DataFrame) -> DataFrame:
     return steps(samples).groupBy(*TRIAL).agg(F.median(F.abs("d")).alias("m")).join(rates, list(TRIAL)).select(*TRIAL, (F.col("m") / F.sqrt("fs") * 100).alias("noise"))
 
 
+def sorted_quantile(ordered: Column, q: float | Column) -> Column:
+    """Quantile of a sorted array, linear between the two nearest."""
+    q = q if isinstance(q, Column) else F.lit(float(q))
+    at = q * (F.size(ordered) - 1)
+    low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
+    return low + (high - low) * (at - F.floor(at))
+
+
 def robust_diff_std(samples: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """1.4826 * MAD of the differences between two quantiles; their population deviation where the MAD is 0."""
-    d = steps(samples)
-    q = d.groupBy(*TRIAL).agg(F.percentile("d", F.lit(low)).alias("lo"), F.percentile("d", F.lit(high)).alias("hi"))
-    kept = d.join(q, list(TRIAL)).where("d between lo and hi")
-    m = kept.groupBy(*TRIAL).agg(F.median("d").alias("m"), F.stddev_pop("d").alias("sd"))
-    mad = kept.join(m, list(TRIAL)).groupBy(*TRIAL).agg((1.4826 * F.median(F.abs(F.col("d") - F.col("m")))).alias("mad"), F.max("sd").alias("sd"))
-    found = mad.select(*TRIAL, F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd")).alias("spread"))
-    return samples.select(*TRIAL).distinct().join(found, list(TRIAL), "left").select(*TRIAL, F.coalesce("spread", F.lit(0.0)).alias("spread"))
+    """1.4826 * MAD of the differences between two quantiles; their population deviation where the MAD is 0; 0 without any.
+
+    All from one sorted array of the differences of a trial.
+    """
+    d = F.col("y") - F.lag("y").over(W.partitionBy(*TRIAL).orderBy("i"))
+    per = samples.withColumn("d", d).groupBy(*TRIAL).agg(F.sort_array(F.collect_list("d")).alias("d"))
+    per = per.withColumn("lo", sorted_quantile(F.col("d"), low)).withColumn("hi", sorted_quantile(F.col("d"), high))
+    per = per.select(*TRIAL, F.filter("d", lambda x: x.between(F.col("lo"), F.col("hi"))).alias("d"))
+    per = per.withColumn("m", sorted_quantile(F.col("d"), 0.5)).withColumn("mean", F.aggregate("d", F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size("d"), F.lit(0)))
+    mad = 1.4826 * sorted_quantile(F.array_sort(F.transform("d", lambda x: F.abs(x - F.col("m")))), 0.5)
+    sd = F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.size("d"), F.lit(0)))
+    per = per.select(*TRIAL, mad.alias("mad"), sd.alias("sd"))
+    return per.select(*TRIAL, F.coalesce(F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd")), F.lit(0.0)).alias("spread"))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], bins: int = 1024) -> DataFrame:
+    """Exact quantiles `q` (an array in the order of `probs`) of the finite values of each group, however few and large the groups are.
+
+    Counts in `bins` equal stretches of a group's range tell in which stretches the ranks lie; only their values are ordered,
+    each stretch on its own.
+    """
+    keys = by or ["_all"]
+    rows = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
+    span = rows.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.count("*").alias("_n"))
+    placed = rows.join(span, keys).withColumn("_bin", F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_a"), F.col("_z") - F.col("_a")) * bins), F.lit(0)), F.lit(bins - 1)))
+    counts = placed.groupBy(*keys, "_bin", "_n").agg(F.count("*").alias("_c"))
+    counts = counts.withColumn("_before", F.sum("_c").over(W.partitionBy(*keys).orderBy("_bin")) - F.col("_c"))
+    ends = lambda p: (F.lit(p) * (F.col("_n") - 1), F.floor(F.lit(p) * (F.col("_n") - 1)), F.ceil(F.lit(p) * (F.col("_n") - 1)))
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(lo, hi) for _, lo, hi in map(ends, probs)])))
+    needed = counts.withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).where(F.size("_ranks") > 0).select(*keys, "_bin", "_before", "_ranks")
+    values = placed.join(needed, [*keys, "_bin"]).groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"), F.first("_n").alias("_n"))
+    last = F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_bin").orderBy("_v"))
+    hits = values.withColumn("_last", last).select(*keys, "_n", "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_last") - F.col("_c")) & (r < F.col("_last")))).alias("_r"))
+    per = hits.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))
+
+    def one(p: float) -> Column:
+        at, lo, hi = ends(p)
+        return F.element_at("_m", lo) + (F.element_at("_m", hi) - F.element_at("_m", lo)) * (at - lo)
+
+    return per.select(*by, F.array(*map(one, probs)).alias("q"))
 
 
 def drift_sigma(samples: DataFrame, rates: DataFrame, quiet: DataFrame) -> DataFrame:
@@ -55,43 +97,74 @@ def corr_nan_moments(pairs: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fixed_bins(spikes: DataFrame, bounds: DataFrame, width: float) -> DataFrame:
-    """Counts in bins first_t + k * width up to the last time plus a bin; empty bins stay."""
-    bins = bounds.select(*TRIAL, "first_t", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("last_t") - F.col("first_t")) / width))).alias("k"))
-    hits = spikes.join(bounds, list(TRIAL)).where("s >= first_t and s <= last_t").groupBy(*TRIAL, F.floor((F.col("s") - F.col("first_t")) / width).alias("k")).count()
+    """Counts in bins of `width` from the first time until the last time is covered; the last bin holds its end, empty bins stay."""
+    cut = bounds.select(*TRIAL, "first_t", (F.ceil((F.col("last_t") + width - F.col("first_t")) / width) - 1).alias("bins"))
+    bins = cut.where("bins > 0").select(*TRIAL, F.explode(F.sequence(F.lit(0).cast("long"), F.col("bins") - 1)).alias("k"))
+    inside = (F.col("s") >= F.col("first_t")) & (F.col("s") <= F.col("first_t") + F.col("bins") * width)
+    hits = spikes.join(cut, list(TRIAL)).where(inside).groupBy(*TRIAL, F.least(F.floor((F.col("s") - F.col("first_t")) / width), F.col("bins") - 1).alias("k")).count()
     return bins.join(hits, [*TRIAL, "k"], "left").select(*TRIAL, "k", F.coalesce("count", F.lit(0)).alias("n"))
 
 
 def epoch_rate_stats(bounds: DataFrame, spikes: DataFrame, width: float, tolerance: float = 1e-9) -> DataFrame:
-    """Start, end, events, mean rate and the greatest rate of a bin for each trial."""
-    inside = spikes.join(bounds, list(TRIAL)).where(F.col("s").between(F.col("first_t") - tolerance, F.col("last_t") + tolerance)).groupBy(*TRIAL).agg(F.count("*").alias("n"))
-    peak = fixed_bins(spikes, bounds, width).groupBy(*TRIAL).agg((F.max("n") / width).alias("peak"))
-    both = bounds.join(inside, list(TRIAL), "left").join(peak, list(TRIAL)).withColumn("n", F.coalesce("n", F.lit(0)))
-    return both.withColumn("mean_rate", F.col("n") / F.greatest(F.col("last_t") - F.col("first_t"), F.lit(1e-9)))
-
-
-def latent_rate_metrics(rates: DataFrame, share: float) -> DataFrame:
-    """p99 of each trial's rate and the share of bins above `share` of it (0 where p99 <= 0)."""
-    p = rates.groupBy(*TRIAL).agg(F.percentile("rate", F.lit(0.99)).alias("p99"))
-    duty = F.avg(F.when((F.col("p99") > 0) & (F.col("rate") > share * F.col("p99")), 1.0).otherwise(0.0))
-    return rates.join(p, list(TRIAL)).groupBy(*TRIAL).agg(F.max("p99").alias("p99"), duty.alias("duty"))
-
-
-def autocorr_time(series: DataFrame, dt: float, threshold: float, longest: int) -> DataFrame:
-    """First lag at which the normalised autocorrelation is at most the threshold, times dt; else the whole length."""
-    m = series.groupBy(*TRIAL).agg(F.avg("y").alias("m"), F.count("*").alias("n"))
-    x = series.join(m, list(TRIAL)).select(*TRIAL, "i", "n", (F.col("y") - F.col("m")).alias("x"))
-    other = x.select(*TRIAL, F.col("i").alias("j"), F.col("x").alias("z"))
-    lagged = x.select("*", F.explode(F.sequence(F.lit(0), F.lit(longest))).alias("lag")).withColumn("j", F.col("i") + F.col("lag"))
-    auto = lagged.join(other, [*TRIAL, "j"]).groupBy(*TRIAL, "lag").agg(F.sum(F.col("x") * F.col("z")).alias("c"), F.max("n").alias("n"))
-    zero = auto.where("lag = 0").select(*TRIAL, F.col("c").alias("c0"), "n")
-    first = auto.join(zero.drop("n"), list(TRIAL)).where((F.col("lag") > 0) & (F.col("c") <= threshold * F.col("c0"))).groupBy(*TRIAL).agg(F.min("lag").alias("lag"))
-    return zero.join(first, list(TRIAL), "left").select(*TRIAL, (F.coalesce("lag", F.col("n") - 1) * dt).alias("tau"))
+    """Start, end, events, mean rate and the greatest rate of a bin (0 without events or bins) for each trial."""
+    if width <= 0:
+        raise ValueError("the bin width must be above 0")
+    near = spikes.join(bounds, list(TRIAL)).where(F.col("s").between(F.col("first_t") - tolerance, F.col("last_t") + tolerance))
+    inside = near.groupBy(*TRIAL).agg(F.count("*").alias("n"))
+    peak = fixed_bins(near.select(*TRIAL, "s"), bounds, width).groupBy(*TRIAL).agg((F.max("n") / width).alias("peak"))
+    both = bounds.join(inside, list(TRIAL), "left").join(peak, list(TRIAL), "left").withColumn("n", F.coalesce("n", F.lit(0))).withColumn("peak", F.coalesce("peak", F.lit(0.0)))
+    return both.withColumn("mean_rate", F.col("n") / F.greatest(F.col("last_t") - F.col("first_t"), F.lit(tolerance)))
+
+
+def latent_rate_metrics(bounds: DataFrame, spikes: DataFrame, width: float, smooth_s: float, share: float) -> DataFrame:
+    """p99 of each trial's binned rate after a Gaussian of `smooth_s` seconds (edges repeated), the time in which its autocorrelation falls,
+    and the share of bins above `share` of p99 (0 where p99 <= 0). Without duration p99 and duty are 0 and the time is null."""
+    from sparktrace.operators import series
+
+    rates = fixed_bins(spikes, bounds, width).withColumn("rate", F.col("n") / width)
+    if smooth_s > 0:
+        rates = series.smooth_rows(rates, list(TRIAL), smooth_s / width, "rate", edges="nearest")
+    per = rates.groupBy(*TRIAL).agg(F.sort_array(F.collect_list("rate")).alias("r"))
+    p99 = sorted_quantile(F.col("r"), 0.99)
+    above = F.size(F.filter("r", lambda x: x > share * F.col("p99"))) / F.size("r")
+    per = per.withColumn("p99", p99).withColumn("duty", F.when(F.col("p99") > 0, above).otherwise(F.lit(0.0))).drop("r")
+    tau = autocorr_time(rates.select(*TRIAL, F.col("k").alias("i"), F.col("rate").alias("y")), width)
+    out = bounds.select(*TRIAL).join(per, list(TRIAL), "left").join(tau, list(TRIAL), "left")
+    return out.select(*TRIAL, F.coalesce("p99", F.lit(0.0)).alias("p99"), "tau", F.coalesce("duty", F.lit(0.0)).alias("duty"))
+
+
+def autocorr_time(series: DataFrame, dt: float, threshold: float = float(np.exp(-1))) -> DataFrame:
+    """First lag at which the normalised autocorrelation is at most the threshold, times dt; else the whole length.
+
+    Over finite values; null for fewer than two of them or a constant series. All lags of a trial come from one transform.
+    """
+
+    @F.pandas_udf("double")
+    def tau(values: pd.Series) -> pd.Series:
+        def one(v) -> float | None:
+            x = np.asarray([a for a in v if a is not None], dtype=float)
+            x = x[np.isfinite(x)]
+            if len(x) < 2:
+                return None
+            x = x - x.mean()
+            total = float(x @ x)
+            if not total > 0 or not np.isfinite(total):
+                return None
+            size = 1 << int(2 * len(x) - 1).bit_length()
+            auto = np.fft.irfft(np.abs(np.fft.rfft(x, size)) ** 2, size)[: len(x)] / total
+            low = np.flatnonzero(auto <= threshold)
+            return float((low[0] if len(low) else len(x) - 1) * dt)
+
+        return pd.Series([one(v) for v in values], dtype=float)
+
+    per = series.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("a"))
+    return per.select(*TRIAL, F.nanvl(tau(F.col("a.y")), F.lit(None)).alias("tau"))
 
 
 def distribution(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Count, mean, sample deviation (0 for one), min, quartiles and max of the finite values."""
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    some = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), q)
+    some = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    some = some.join(quantiles(rows, by, value, [0.25, 0.5, 0.75]), by)
     return some.select(*by, "n", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("p75"), "max")
 
 
@@ -100,18 +173,32 @@ def pooled_rates(per_trial: DataFrame) -> DataFrame:
     return per_trial.groupBy("dataset").agg(F.try_divide(F.sum("n"), F.sum(F.col("last_t") - F.col("first_t"))).alias("rate"), F.max("peak").alias("peak"))
 
 
-def recording_qc(samples: DataFrame, spikes: DataFrame, rates: DataFrame, bounds: DataFrame) -> DataFrame:
-    """fs, duration, events, rate and share of events inside the time range (1 without events) of each trial."""
+def recording_qc(samples: DataFrame, spikes: DataFrame, rates: DataFrame, bounds: DataFrame, strict: float | None = None) -> DataFrame:
+    """fs, duration, events, rate and share of events inside the time range (1 without events) of each trial.
+
+    With `strict` a trial whose share is below it is an error.
+    """
     s = spikes.join(bounds, list(TRIAL)).groupBy(*TRIAL).agg(F.count("*").alias("events"), F.avg(F.when(F.col("s").between(F.col("first_t"), F.col("last_t")), 1.0).otherwise(0.0)).alias("inside"))
     out = bounds.join(rates, list(TRIAL)).join(s, list(TRIAL), "left").withColumn("duration", F.col("last_t") - F.col("first_t"))
     out = out.withColumn("events", F.coalesce("events", F.lit(0))).withColumn("inside", F.coalesce("inside", F.lit(1.0)))
+    if strict is not None:
+        out = out.withColumn("inside", F.when(F.col("inside") >= strict, F.col("inside")).otherwise(F.raise_error(F.lit("events outside the time range")).cast("double")))
     return out.withColumn("rate", F.try_divide("events", "duration")).drop("first_t", "last_t")
 
 
-def dataset_profile(per_trial: DataFrame, samples: DataFrame) -> DataFrame:
-    """Mean fs and rate, trials, samples and minutes of each dataset."""
+def qc_overall(per_trial: DataFrame, least: float = 1.0) -> DataFrame:
+    """Over all trials: number, median, mean, min and max of the share of events inside, how many are below `least`, and the worst trial."""
+    worst = F.min(F.struct("inside", "dataset", "trial"))
+    one = per_trial.agg(F.count("*").alias("trials"), F.avg("inside").alias("mean"), F.min("inside").alias("min"), F.max("inside").alias("max"), F.count_if(F.col("inside") < least).alias("bad"), worst.alias("w"))
+    half = quantiles(per_trial, [], "inside", [0.5]).select(F.col("q")[0].alias("median"))
+    return one.crossJoin(F.broadcast(half)).select("trials", "median", "mean", "min", "max", "bad", F.col("w.dataset").alias("worst_dataset"), F.col("w.trial").alias("worst_trial"))
+
+
+def dataset_profile(per_trial: DataFrame, samples: DataFrame, noise: DataFrame) -> DataFrame:
+    """Mean fs, noise(dataset, trial, noise) and rate, trials, samples and minutes of each dataset."""
     n = samples.groupBy("dataset").agg(F.count("*").alias("samples"))
-    return per_trial.groupBy("dataset").agg(F.avg("fs").alias("fs"), F.avg("rate").alias("rate"), F.count("*").alias("trials"), (F.sum("duration") / 60).alias("minutes")).join(n, "dataset")
+    per_trial = per_trial.join(noise, list(TRIAL), "left")
+    return per_trial.groupBy("dataset").agg(F.avg("fs").alias("fs"), F.avg("noise").alias("noise"), F.avg("rate").alias("rate"), F.count("*").alias("trials"), (F.sum("duration") / 60).alias("minutes")).join(n, "dataset")
 
 
 def retained(posterior: DataFrame, burn_in: int) -> DataFrame:
@@ -133,16 +220,18 @@ def map_sample(logp: DataFrame, burn_in: int) -> DataFrame:
 
 
 def compare_chains(values: DataFrame, by: list[str], side: str, value: str) -> DataFrame:
-    """Means, population deviations, mean difference and KS statistic of sides 'a' and 'b' of each group."""
+    """Means, population deviations, mean difference, KS statistic and its p of sides 'a' and 'b' of each group.
+
+    The running shares are those of the distinct values, whose counts are taken first.
+    """
     a, b = F.col(side) == "a", F.col(side) == "b"
-    n = W.partitionBy(*by)
-    upto = n.orderBy(value).rangeBetween(W.unboundedPreceding, 0)
-    gap = F.abs(F.count_if(a).over(upto) / F.count_if(a).over(n) - F.count_if(b).over(upto) / F.count_if(b).over(n))
     both = values.where(a | b)
-    sizes = both.groupBy(*by).agg(F.count_if(a).alias("na"), F.count_if(b).alias("nb")).where("na > 0 and nb > 0")
-    rows = both.join(sizes, by).withColumn("gap", gap)
     one = lambda f, c: f(F.when(c, F.col(value)))
-    out = rows.groupBy(*by).agg(one(F.avg, a).alias("mean_a"), one(F.avg, b).alias("mean_b"), one(F.stddev_pop, a).alias("std_a"), one(F.stddev_pop, b).alias("std_b"), F.max("gap").alias("ks"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    out = both.groupBy(*by).agg(one(F.avg, a).alias("mean_a"), one(F.avg, b).alias("mean_b"), one(F.stddev_pop, a).alias("std_a"), one(F.stddev_pop, b).alias("std_b"), F.count_if(a).alias("na"), F.count_if(b).alias("nb")).where("na > 0 and nb > 0")
+    upto = W.partitionBy(*by).orderBy(value)
+    steps = both.groupBy(*by, value).agg(F.count_if(a).alias("ca"), F.count_if(b).alias("cb"))
+    steps = steps.withColumn("ca", F.sum("ca").over(upto)).withColumn("cb", F.sum("cb").over(upto)).join(out.select(*by, "na", "nb"), by)
+    out = out.join(steps.groupBy(*by).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks")), by)
     root = F.sqrt(F.col("na") * F.col("nb") / (F.col("na") + F.col("nb"))) * F.col("ks")
     terms = [2 * (-1) ** (k - 1) * F.exp(-2.0 * k * k * root * root) for k in range(1, 21)]
     p = F.least(F.greatest(sum(terms[1:], terms[0]), F.lit(0.0)), F.lit(1.0))
@@ -177,7 +266,7 @@ def frame_histogram(samples: DataFrame, spikes: DataFrame, dt: float) -> DataFra
 
 def noise_histogram(levels: DataFrame, bins: int = 100) -> DataFrame:
     """Density of noise levels in equal bins from the least to the greatest, and the 99.9th percentile."""
-    r = levels.agg(F.min("noise").alias("a"), F.max("noise").alias("z"), F.count("*").alias("n"), F.percentile("noise", F.lit(0.999)).alias("limit"))
+    r = levels.agg(F.min("noise").alias("a"), F.max("noise").alias("z"), F.count("*").alias("n")).crossJoin(quantiles(levels, [], "noise", [0.999]).select(F.col("q")[0].alias("limit")))
     k = F.least(F.floor((F.col("noise") - F.col("a")) / (F.col("z") - F.col("a")) * bins), F.lit(bins - 1))
     return levels.crossJoin(F.broadcast(r)).where("z > a").groupBy(k.alias("bin"), "limit").agg((F.count("*") / F.max("n") / F.max((F.col("z") - F.col("a")) / bins)).alias("density"))
 
@@ -221,18 +310,27 @@ def rebin_flags(rows: DataFrame, by: list[str], f: float) -> DataFrame:
 
 
 def rebinned_correlation(rows: DataFrame, by: list[str], f: float, bandwidth: float | None = None) -> DataFrame:
-    """Correlation of two rebinned series, or of both after a full row-normalised Gaussian kernel of `bandwidth` seconds."""
+    """Correlation of two rebinned series, or of both after a row-normalised Gaussian kernel of `bandwidth` seconds.
+
+    The kernel reaches as far as its weights are above 0 in double precision (39 bandwidths), so a bin meets its neighbours only.
+    """
     bins = rebin_flags(rows, by, f)
     if bandwidth is not None:
-        other = bins.select(*by, F.col("k").alias("j"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-        weight = F.exp(-0.5 * F.pow((F.col("k") - F.col("j")) / f / bandwidth, 2))
-        both = bins.select(*by, "k").join(other, by).withColumn("w", weight).groupBy(*by, "k")
-        bins = both.agg((F.sum(F.col("w") * F.col("ox")) / F.sum("w")).alias("x"), (F.sum(F.col("w") * F.col("oy")) / F.sum("w")).alias("y"))
+        reach = int(39 * bandwidth * f) + 1
+        near = F.collect_list(F.struct("k", "x", "y")).over(W.partitionBy(*by).orderBy("k").rangeBetween(-reach, reach))
+        weight = lambda p: F.exp(-0.5 * F.pow((p["k"] - F.col("k")) / f / bandwidth, 2))
+        start = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "x", "y")])
+        add = lambda a, p: F.struct((a["w"] + weight(p)).alias("w"), (a["x"] + weight(p) * p["x"]).alias("x"), (a["y"] + weight(p) * p["y"]).alias("y"))
+        bins = bins.withColumn("near", near).withColumn("s", F.aggregate("near", start, add)).select(*by, "k", (F.col("s.x") / F.col("s.w")).alias("x"), (F.col("s.y") / F.col("s.w")).alias("y"))
     return bins.groupBy(*by).agg(pearson(F.col("x").cast("double"), F.col("y").cast("double")).alias("r"))
 
 
 def validate(samples: DataFrame, spikes: DataFrame) -> DataFrame:
-    """Per dataset: trials, samples, nulls, value range, median step and events, with the count of errors."""
+    """Per dataset: trials, samples, nulls, value range, median step and events, with the count of errors (steps that do not advance) and
+    of warnings (trials without a finite value)."""
     d = F.col("t") - F.lag("t").over(W.partitionBy(*TRIAL).orderBy("i"))
-    per = samples.withColumn("d", d).groupBy("dataset").agg(F.countDistinct("trial").alias("trials"), F.count("*").alias("samples"), F.count_if(F.col("y").isNull()).alias("nulls"), F.min("y").alias("least"), F.max("y").alias("most"), F.median("d").alias("dt"), F.count_if(F.col("d") <= 0).alias("errors"))
-    return per.join(spikes.groupBy("dataset").agg(F.count("*").alias("events")), "dataset", "left")
+    rows = samples.withColumn("d", d)
+    per = rows.groupBy(*TRIAL).agg(F.count("*").alias("n"), F.count_if(F.col("y").isNull()).alias("nulls"), F.min("y").alias("least"), F.max("y").alias("most"), F.count_if(F.col("d") <= 0).alias("errors"))
+    per = per.groupBy("dataset").agg(F.count("*").alias("trials"), F.sum("n").alias("samples"), F.sum("nulls").alias("nulls"), F.min("least").alias("least"), F.max("most").alias("most"), F.sum("errors").alias("errors"), F.count_if(F.col("nulls") == F.col("n")).alias("warnings"))
+    half = quantiles(rows, ["dataset"], "d", [0.5]).select("dataset", F.col("q")[0].alias("dt"))
+    return per.join(half, "dataset", "left").join(spikes.groupBy("dataset").agg(F.count("*").alias("events")), "dataset", "left")

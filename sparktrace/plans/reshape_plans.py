@@ -36,7 +36,7 @@ add("b11_pad_trials", lambda t: R.pad_trials(t.wide.withColumn("t", F.slice("t",
 add("b12_mask_padding", lambda t: R.mask_padding(t.frames, t.wide.select("dataset", "trial", (F.lit(40) + F.col("trial") % 20).alias("valid_length"))).select("dataset", "trial", "i", "y"), "frames",
     "SELECT dataset, trial, i, CASE WHEN i < 40 + trial % 20 THEN round(y, 6) END AS y FROM frames")
 add("b13_flatten_trials", lambda t: R.flatten_trials(t.samples), "samples", "SELECT dataset, round(t, 6) AS t, round(y, 6) AS y, row_number() OVER (PARTITION BY dataset ORDER BY t, trial, i) - 1 AS k FROM samples")
-add("b14_shift_left", lambda t: R.shift_left_for_method(t.preds), "preds",
+add("b14_shift_left", lambda t: R.shift_left_for_method(t.preds, ["sampler"]), "preds",
     """SELECT dataset, trial, i, round(t, 6) AS t, method, round(CASE WHEN method = 'sampler' AND count(*) OVER (PARTITION BY dataset, trial, method) >= 2 THEN
          CASE WHEN i = max(i) OVER (PARTITION BY dataset, trial, method) THEN 0 ELSE lead(prob) OVER (PARTITION BY dataset, trial, method ORDER BY i) END ELSE prob END, 6) AS prob FROM preds""")
 add("b15_normalize_01", lambda t: R.normalize_01(t.samples).select("dataset", "trial", "i", "y"), "samples",
@@ -58,7 +58,7 @@ add("b21_smoothing_label", lambda t: t.trialwise.select("smoothing").union(t.rea
        SELECT smoothing, coalesce(x, 120e0) AS hz, CASE WHEN x IS NULL THEN 'raw' ELSE smoothing END AS again FROM h""")
 add("b22_expand_counts", lambda t: R.expand_counts(t.samples.select("dataset", "trial", "t", (F.col("y") / 10).alias("c"))), "samples",
     "SELECT dataset, trial, round(t, 6) AS s FROM (SELECT dataset, trial, t, unnest(range(0, CAST(round_even(y/10, 0) AS BIGINT))) FROM samples)")
-add("b23_method_key", lambda t: t.trialwise.select("method", "smoothing").distinct().withColumn("key", X.method_key(F.col("method"), F.when(F.col("smoothing") != "raw", F.col("smoothing")))).select("key", X.method_base(F.col("key")).alias("base"), X.method_variant(F.col("key")).alias("variant"), X.method_rank(F.col("key")).alias("rank")), "trialwise",
+add("b23_method_key", lambda t: t.trialwise.select("method", "smoothing").distinct().withColumn("key", X.method_key(F.col("method"), F.when(F.col("smoothing") != "raw", F.col("smoothing")))).select("key", X.method_base(F.col("key")).alias("base"), X.method_variant(F.col("key")).alias("variant"), X.method_rank(F.col("key"), ["sampler", "unet", "cnn"]).alias("rank")), "trialwise",
     """WITH k AS (SELECT DISTINCT method, CASE WHEN smoothing = 'raw' THEN '' ELSE smoothing END AS v FROM trialwise)
        SELECT method || CASE WHEN v = '' THEN '' ELSE '::' || v END AS key, method AS base, v AS variant, CAST(list_position(['sampler', 'unet', 'cnn'], method) AS BIGINT) AS rank FROM k""")
 add("b24_display_snippet", lambda t: R.display_snippet(t.samples, t.spikes, 96.0), "samples spikes",
@@ -79,7 +79,8 @@ def named():
 
 def tag():
     epoch = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("_epoch"), (F.col("p_partkey") % 5).cast("string"))).otherwise(F.lit(""))
-    return F.format_string("rec%d%s_s0p%d_ms%d_trial%d", F.col("p_size"), epoch, F.col("p_partkey") % 8, F.col("p_partkey") % 3, F.col("p_partkey") % 11)
+    head = F.when(F.col("p_partkey") % 10 != 1, F.concat(F.lit("rec"), F.col("p_size").cast("string"), epoch)).otherwise(F.lit(""))
+    return F.concat(head, F.format_string("_s0p%d_ms%d_trial%d", F.col("p_partkey") % 8, F.col("p_partkey") % 3, F.col("p_partkey") % 11))
 
 
 add("h1_config_signature", lambda t: t.read("part").select("p_partkey", X.config_signature(config()).alias("key")), "",
@@ -87,16 +88,17 @@ add("h1_config_signature", lambda t: t.read("part").select("p_partkey", X.config
 MODEL_SQL = "CASE WHEN p_partkey % 9 = 0 THEN 'baseline_' || p_name ELSE 'k' || p_size || '_r' || p_partkey % 30 || '_s' || p_size % 5 || 'p' || p_partkey % 10 || '_d0p' || p_partkey % 7 || '_sb' || p_partkey END"
 add("h4_parse_model_name", lambda t: t.read("part").select("p_partkey", *[c.alias(k) for k, c in X.model_parameters(named()).items()]), "",
     """SELECT p_partkey, CASE WHEN ok THEN CAST(p_size AS DOUBLE) END AS k, CASE WHEN ok THEN CAST(p_partkey % 30 AS DOUBLE) END AS rate, CASE WHEN ok THEN round(p_size % 5 + (p_partkey % 10)/1e1, 6) END AS smooth,
-       CASE WHEN ok THEN round((p_partkey % 7)/1e1, 6) END AS duty, CASE WHEN ok THEN CAST(p_partkey AS DOUBLE) END AS spike_bias FROM (SELECT *, p_partkey % 9 <> 0 AS ok FROM part)""")
+       CASE WHEN ok THEN round((p_partkey % 7)/1e1, 6) END AS duty, CASE WHEN ok THEN CAST(p_partkey AS DOUBLE) END AS seed_base FROM (SELECT *, p_partkey % 9 <> 0 AS ok FROM part)""")
 add("h5_parse_cache_tag", lambda t: t.read("part").select("p_partkey", tag().alias("tag")).select("p_partkey", X.tag_epoch(F.col("tag")).alias("epoch"), X.tag_stem(F.col("tag")).alias("stem"), X.tag_trial(F.col("tag")).alias("trial")), "",
-    "SELECT p_partkey, 'rec' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_epoch' || p_partkey % 5 ELSE '' END AS epoch, 'rec' || p_size AS stem, p_partkey % 11 AS trial FROM part")
+    """WITH w AS (SELECT *, '_s0p' || p_partkey % 8 || '_ms' || p_partkey % 3 || '_trial' || p_partkey % 11 AS whole, p_partkey % 10 = 1 AS bare FROM part)
+       SELECT p_partkey, CASE WHEN bare THEN whole ELSE 'rec' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_epoch' || p_partkey % 5 ELSE '' END END AS epoch, CASE WHEN bare THEN whole ELSE 'rec' || p_size END AS stem, p_partkey % 11 AS trial FROM w""")
 add("h6_infer_dataset_name", lambda t: t.read("part").select("p_partkey", X.infer_dataset(F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 2 == 0, F.lit("Set_")).otherwise(F.lit("x_")), F.col("p_size").cast("string"), F.lit(".mat")), "^Set_(.+)$").alias("dataset")), "",
     "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'x_' END || p_size AS dataset FROM part")
-add("h7_build_tag", lambda t: t.read("part").select("p_partkey", X.tag_token(F.concat_ws("_", "p_name", F.col("p_retailprice").cast("string"))).alias("tag")).where("p_partkey < 100000000").select("p_partkey", F.length("tag").alias("n"), F.substring("tag", 1, 5).alias("head")), "",
-    "SELECT p_partkey, length(p_name || '_' || CAST(p_retailprice AS VARCHAR)) AS n, substr(replace(p_name, ' ', '_') || '_', 1, 5) AS head FROM part")
-add("h8_max_events_per_bin", lambda t: t.read("part").select("p_partkey", X.events_per_bin(F.when(F.col("p_size") % 6 != 0, F.col("p_size").cast("double")), 120.0).alias("n")), "",
-    """SELECT p_partkey, CAST(CASE WHEN p_size % 6 = 0 THEN 2 WHEN abs(p_size - 120) < 1e-6 THEN 2 WHEN abs(p_size - 30) <= 1 THEN greatest(4, ceil(r/2) + 1) WHEN abs(p_size - 10) <= 1 THEN greatest(7, ceil(r/2))
-       ELSE greatest(3, ceil(r) + 1) END AS BIGINT) AS n FROM (SELECT *, greatest(120e0/p_size, 1) AS r FROM part)""")
+add("h7_build_tag", lambda t: t.read("part").select("p_partkey", X.tag_token(F.concat_ws("_", "p_name", F.col("p_retailprice").cast("string"))).alias("tag")), "",
+    "SELECT p_partkey, replace(replace(p_name || '_' || CAST(p_retailprice AS VARCHAR), '.', 'p'), ' ', '_') AS tag FROM part")
+add("h8_max_events_per_bin", lambda t: t.read("part").select("p_partkey", X.events_per_bin(F.when(F.col("p_size") % 6 != 0, F.col("p_size") + (F.col("p_partkey") % 5) / F.lit(20.0)), 120.0).alias("n")), "",
+    """SELECT p_partkey, CAST(CASE WHEN x IS NULL OR abs(x - 120) <= 1e-8 + 12e-4 THEN 2 WHEN abs(x - 30) <= 0.1e0 + 3e-4 THEN greatest(4, ceil(r/2) + 1) WHEN abs(x - 10) <= 0.1e0 + 1e-4 THEN greatest(7, ceil(r/2))
+       ELSE greatest(3, ceil(r) + 1) END AS BIGINT) AS n FROM (SELECT p_partkey, x, greatest(120e0/x, 1) AS r FROM (SELECT p_partkey, CASE WHEN p_size % 6 <> 0 THEN p_size + (p_partkey % 5)/20e0 END AS x FROM part))""")
 add("h9_sample_units_to_seconds", lambda t: t.wide.select("dataset", "trial", F.transform(F.transform("t", lambda x: x * 1e4), lambda x: x / F.lit(1e4)).alias("t")).select("dataset", "trial", F.element_at("t", -1).alias("last")), "frames",
     "SELECT dataset, trial, round(max(t), 6) AS last FROM frames GROUP BY ALL")
 add("h10_json_to_rows", lambda t: t.samples.select("event_id", F.explode(F.from_json("props", "map<string,double>")).alias("key", "value")), "", "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events")

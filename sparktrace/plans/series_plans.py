@@ -85,8 +85,22 @@ add("c12_complete_artefact_set", lambda t: M.complete_sets(artefacts(t)), "",
     """WITH s AS (SELECT l_suppkey AS tag, l_returnflag AS parent, l_orderkey % 50 AS trial, count_if(l_linenumber % 3 = 0) AS traj, count_if(l_linenumber % 3 = 1) AS param, count(*) AS n FROM lineitem GROUP BY ALL),
        p AS (SELECT tag, parent, count_if(traj > 0 AND param > 0) AS complete, CAST(sum(n) AS BIGINT) AS files FROM s GROUP BY ALL)
        SELECT tag, complete, files, parent FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY complete DESC, files DESC, parent DESC) AS r FROM p) WHERE r = 1 AND complete > 0""")
-add("c13_remap_tags_to_epochs", lambda t: M.remap_tags(t.read("customer").select(F.col("c_name").alias("tag"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 5).alias("trial")), F.broadcast(t.read("customer").select(F.substring("c_name", 1, 15).alias("stem")).union(t.read("customer").select(F.substring("c_name", 1, 17))).distinct())), "",
-    """WITH c AS (SELECT c_name AS tag, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 5 END AS trial FROM customer) SELECT tag, substr(tag, 1, 17) AS stem, substr(tag, 1, 17) || '_epoch' || (coalesce(trial, 0) + 1) AS epoch FROM c""")
+
+
+def customer_tags(t):
+    return t.read("customer").select(F.col("c_name").alias("tag"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 5).alias("trial"))
+
+
+def customer_stems(t):
+    names = t.read("customer")
+    return names.select(F.substring("c_name", 1, 15).alias("stem")).union(names.select(F.substring("c_name", 1, 17))).distinct()
+
+
+TAGS = "c AS (SELECT c_name AS tag, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 5 END AS trial FROM customer), r AS (SELECT tag, substr(tag, 1, 17) AS stem, substr(tag, 1, 17) || '_epoch' || (coalesce(trial, 0) + 1) AS epoch FROM c)"
+add("c13_remap_tags_to_epochs", lambda t: M.remap_tags(customer_tags(t), customer_stems(t)), "", f"WITH {TAGS} SELECT tag, stem, epoch FROM r")
+add("c13_remap_tags_to_valid_epochs", lambda t: M.remap_tags(customer_tags(t), customer_stems(t), customer_stems(t).select(F.explode(F.array(*[F.concat("stem", F.lit(f"_epoch{k}")) for k in (1, 3)])).alias("epoch")).where(~F.col("epoch").endswith("7_epoch1"))), "",
+    f"""WITH {TAGS}, v AS (SELECT DISTINCT stem || '_epoch' || k AS epoch FROM (SELECT substr(tag, 1, 17) AS stem FROM c UNION SELECT substr(tag, 1, 15) FROM c), (VALUES (1), (3)) e(k) WHERE NOT ends_with(stem || '_epoch' || k, '7_epoch1'))
+       SELECT tag, stem, CASE WHEN epoch IN (SELECT epoch FROM v) THEN epoch ELSE stem || '_epoch1' END AS epoch FROM r WHERE epoch IN (SELECT epoch FROM v) OR stem || '_epoch1' IN (SELECT epoch FROM v)""")
 add("c14_align_components", lambda t: M.align_components(t.posterior.select("tag", "sample", "bin", "b"), t.posterior.where("bin < 10").select("tag", "sample", "bin", "c"), ["tag", "sample", "bin"]), "posterior",
     "SELECT tag, sample, bin, round(b, 6) AS b, round(c, 6) AS c FROM posterior WHERE bin < 10")
 add("c15_sweep_grid", lambda t: M.sweep_grid(t.read("region").select(F.col("r_regionkey").cast("double").alias("rate")), t.read("nation").where("n_nationkey < 3").select((F.col("n_nationkey") / 2).alias("smooth")), t.read("nation").where("n_nationkey < 4").select((F.col("n_nationkey") / 10).alias("duty")), t.read("supplier").select(F.col("s_suppkey").alias("cell")), 11000, 100), "",
@@ -111,7 +125,10 @@ REFLECT = "CASE WHEN ((i + k) % (2*n) + 2*n) % (2*n) < n THEN ((i + k) % (2*n) +
 add("e4_gaussian_smooth", lambda t: S.gaussian_smooth(t.wide, 1.5).select(*TRIAL, F.posexplode("y").alias("i", "y")), "frames",
     f"""WITH {kernel(1.5)}, p AS (SELECT f.dataset, f.trial, f.i, w, CAST({REFLECT} AS BIGINT) AS j FROM (SELECT *, count(*) OVER (PARTITION BY dataset, trial) AS n FROM frames) f, (SELECT CAST(k AS BIGINT) AS k, w FROM ker))
        SELECT p.dataset, p.trial, p.i, round(sum(w*g.y), 6) + 0 AS y FROM p JOIN frames g ON g.trial = p.trial AND g.dataset = p.dataset AND g.i = p.j GROUP BY ALL""")
-add("e5_causal_smooth", lambda t: S.causal_smooth(t.wide, 30.0).select(*TRIAL, F.posexplode("y").alias("i", "y")))
+CAUSAL = """x AS (SELECT i, (i - 101)/30e0 AS x, 10/30e0 AS m FROM (SELECT unnest(range(0, 199)) AS i)), pdf AS (SELECT i, CASE WHEN x > 0 THEN exp(-power(x - m, 2)/(2*x*m*m))/sqrt(2*pi()*power(x, 3)) ELSE 0 END AS f FROM x),
+  top AS (SELECT CAST(trunc((99 - arg_max(i, f))/15e-1) AS BIGINT) AS s, sum(f) AS total FROM pdf), ker AS (SELECT ((i + s) % 199 + 199) % 199 AS i, f/total AS w FROM pdf, top)"""
+add("e5_causal_smooth", lambda t: S.causal_smooth(t.wide, 30.0).select(*TRIAL, F.posexplode("y").alias("i", "y")), "frames",
+    f"WITH {CAUSAL} SELECT a.dataset, a.trial, a.i, round(sum(w*b.y), 6) + 0 AS y FROM frames a JOIN frames b ON b.trial = a.trial AND b.dataset = a.dataset JOIN ker ON ker.i = a.i - b.i + 99 GROUP BY ALL")
 add("e6_sliding_frames", lambda t: S.sliding_frames(t.frames, 16, 0.5).where("frame is not null").select(*TRIAL, "i", F.get("frame", 0).alias("first"), F.get("frame", 15).alias("last"), F.aggregate("frame", F.lit(0.0), lambda a, x: a + x).alias("total")), "frames",
     """SELECT dataset, trial, i, round(a, 6) AS first, round(z, 6) AS last, round(s, 6) + 0 AS total FROM (SELECT dataset, trial, i, lag(y, 7) OVER w AS a, lead(y, 8) OVER w AS z, sum(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 8 FOLLOWING) AS s FROM frames WINDOW w AS (PARTITION BY dataset, trial ORDER BY i)) WHERE a IS NOT NULL AND z IS NOT NULL""")
 add("e7_overlap_add", lambda t: S.overlap_add(t.frames.select(*TRIAL, "i", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("y") * (k + 1)).alias("frame")), 8), "frames",
@@ -139,9 +156,13 @@ GRID13 = "eb AS (SELECT dataset, trial, min(t) AS a, max(t) AS z, greatest(2, CA
 add("e13_even_grid", lambda t: S.even_grid(t.samples, 0.1), "samples", f"WITH {GRID13} SELECT dataset, trial, k, round(q, 6) AS q FROM g")
 add("e12_resample_to_fs", lambda t: S.resample_to(t.frames, 10.0), "frames",
     "SELECT dataset, trial, i//3 AS k, round(avg(t), 6) + 0 AS t, round(avg(y), 6) + 0 AS y FROM (SELECT *, count(*) OVER (PARTITION BY dataset, trial) AS n FROM frames) WHERE i//3 < n//3 GROUP BY dataset, trial, i//3")
-add("e12_resample_grid", lambda t: S.resample_to(t.samples, 0.1).groupBy(*TRIAL).agg(F.count("*").alias("n")), "samples",
-    f"""WITH {FS}, n AS (SELECT dataset, trial, count(*) AS c, greatest(2, CAST(round_even((max(t) - min(t))*0.1e0, 0) AS BIGINT) + 1) AS n FROM samples GROUP BY ALL)
-       SELECT n.dataset, n.trial, CASE WHEN abs(fs - 0.1e0) <= 2e-3 + 2e-4 THEN c WHEN fs > 0.1e0 AND abs(fs/0.1e0 - round_even(fs/0.1e0, 0)) <= 1e-6 + 1e-5*round_even(fs/0.1e0, 0) THEN c//CAST(round_even(fs/0.1e0, 0) AS BIGINT) ELSE n END AS n FROM n JOIN fs ON n.trial = fs.trial AND n.dataset = fs.dataset""")
+add("e12_resample_grid", lambda t: S.resample_to(t.samples, 0.1), "samples",
+    f"""WITH {FS}, how AS (SELECT dataset, trial, fs, CASE WHEN abs(fs - 0.1e0) <= 2e-3 + 2e-4 THEN 'same' WHEN fs > 0.1e0 AND abs(fs/0.1e0 - round_even(fs/0.1e0, 0)) <= 1e-6 + 1e-5*round_even(fs/0.1e0, 0) THEN 'block' ELSE 'grid' END AS how, CAST(round_even(fs/0.1e0, 0) AS BIGINT) AS b FROM fs),
+       {interp_sql(GRID13)}, lone AS (SELECT s.* FROM samples s WHERE NOT EXISTS (SELECT 1 FROM how h WHERE h.trial = s.trial AND h.dataset = s.dataset))
+       SELECT o.dataset, o.trial, k, round(q, 6) AS t, round(y, 6) + 0 AS y FROM o JOIN how h ON h.trial = o.trial AND h.dataset = o.dataset WHERE how = 'grid'
+       UNION ALL SELECT s.dataset, s.trial, i, round(t, 6), round(y, 6) + 0 FROM samples s JOIN how h ON h.trial = s.trial AND h.dataset = s.dataset WHERE how = 'same'
+       UNION ALL SELECT dataset, trial, i, round(t, 6), round(y, 6) + 0 FROM lone
+       UNION ALL SELECT dataset, trial, i//b, round(avg(t), 6), round(avg(y), 6) + 0 FROM (SELECT s.*, b, count(*) OVER (PARTITION BY s.dataset, s.trial) AS n FROM samples s JOIN how h ON h.trial = s.trial AND h.dataset = s.dataset WHERE how = 'block') WHERE i//b < n//b GROUP BY dataset, trial, i//b""")
 GRID14 = "g0 AS (SELECT dataset, trial, start_s, end_s, CAST(ceil((end_s - start_s)*0.2e0) AS BIGINT) + 1 AS n FROM windows WHERE start_s IS NOT NULL), g AS (SELECT dataset, trial, start_s, k, start_s + k*(end_s - start_s)/greatest(n - 1, 1) AS q, n FROM (SELECT *, unnest(range(0, n)) AS k FROM g0))"
 RATE14 = """x AS (SELECT s.dataset, s.trial, g0.n, (s - start_s)*0.2e0 AS x FROM spikes s JOIN g0 ON s.trial = g0.trial AND s.dataset = g0.dataset WHERE s BETWEEN start_s AND end_s),
        v AS (SELECT dataset, trial, k, sum(v) AS v FROM (SELECT dataset, trial, n, CAST(floor(x) AS BIGINT) AS k, 1 - (x - floor(x)) AS v FROM x UNION ALL SELECT dataset, trial, n, CAST(floor(x) AS BIGINT) + 1, x - floor(x) FROM x) WHERE k < n GROUP BY ALL)"""
@@ -158,6 +179,10 @@ ALIGN = f"""{GRID14}, n AS (SELECT g.*, a.t AS t0, a.y AS v0, a.seg AS s0 FROM g
 add("e15_align_piecewise", lambda t: S.align_piecewise(segments(t), S.event_grid(t.windows.where("start_s is not null"), 0.2).select(*TRIAL, "k", "q")), "samples windows",
     f"WITH {SEG}, {ALIGN} SELECT dataset, trial, k, round(q, 6) AS q, round(CASE WHEN t0 = q THEN v0 WHEN s0 = s1 THEN v0 + (v1 - v0)*(q - t0)/(t1 - t0) END, 6) AS y FROM m")
 add("e16_remap_timebase", lambda t: S.remap_timebase(t.frames, 127), "frames", "SELECT dataset, trial, k, round(k*(max(t)/126e0), 6) AS t FROM frames, (SELECT unnest(range(0, 127)) AS k) GROUP BY dataset, trial, k")
-add("e17_fourier_resample", lambda t: S.fourier_resample(t.wide, 30.0, 15.0).select(*TRIAL, F.posexplode("y").alias("i", "y")))
+FOURIER = """n AS (SELECT *, count(*) OVER (PARTITION BY dataset, trial) AS n FROM frames), m AS (SELECT *, CAST(round_even(n/2e0, 0) AS BIGINT) AS m FROM n),
+  f AS (SELECT dataset, trial, k, any_value(n) AS n, any_value(m) AS m, sum(y*cos(-2*pi()*k*i/n)) AS re, sum(y*sin(-2*pi()*k*i/n)) AS im FROM (SELECT *, unnest(range(0, m//2 + 1)) AS k FROM m) GROUP BY ALL),
+  w AS (SELECT *, CASE WHEN k = 0 OR 2*k = m THEN 1 ELSE 2 END * CASE WHEN 2*k = m THEN 2 ELSE 1 END AS c, CASE WHEN 2*k = m THEN 0 ELSE im END AS im2 FROM f)"""
+add("e17_fourier_resample", lambda t: S.fourier_resample(t.wide, 30.0, 15.0).select(*TRIAL, F.posexplode("y").alias("i", "y")), "frames",
+    f"WITH {FOURIER} SELECT dataset, trial, j AS i, round(sum(c*(re*cos(2*pi()*k*j/m) - im2*sin(2*pi()*k*j/m)))/any_value(n), 6) + 0 AS y FROM (SELECT *, unnest(range(0, m)) AS j FROM w) GROUP BY dataset, trial, j")
 add("e18_slice_by_cumulative_length", lambda t: S.slice_by_length(R.flatten_trials(t.samples), t.samples.groupBy(*TRIAL).agg(F.count("*").alias("n"))).select("dataset", "trial", "i", "t"), "samples",
     "SELECT dataset, trial, i, round(t, 6) AS t FROM samples")

@@ -35,34 +35,73 @@ FSREF, SIGMA = 0.2, 10000.0
 
 
 def windows(t):
-    return t.windows.where("start_s is not null")
+    """Two windows in every trial, not set in some trials."""
+    w = t.windows.select(*TRIAL, F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.col("start_s") + 168 * k).alias("start_s"), (F.col("end_s") - 168 * (1 - k)).alias("end_s")) for k in (0, 1)])).alias("w"))
+    return w.select(*TRIAL, "w.*")
 
 
 def pairs(t):
-    return C.aligned(t.preds, t.spikes, windows(t), S.sampling_rate(t.samples), FSREF, SIGMA)
-
-
-GRID = f"""g0 AS (SELECT dataset, trial, start_s, end_s, CAST(ceil((end_s - start_s)*{FSREF}e0) AS BIGINT) + 1 AS n FROM windows WHERE start_s IS NOT NULL), g AS (SELECT dataset, trial, n, k, start_s + k*(end_s - start_s)/greatest(n - 1, 1) AS q FROM (SELECT *, unnest(range(0, n)) AS k FROM g0)),
-  x AS (SELECT s.dataset, s.trial, g0.n, (s - start_s)*{FSREF}e0 AS x FROM spikes s JOIN g0 ON s.trial = g0.trial AND s.dataset = g0.dataset WHERE s BETWEEN start_s AND end_s),
-  v AS (SELECT dataset, trial, k, sum(v) AS v FROM (SELECT dataset, trial, n, CAST(floor(x) AS BIGINT) AS k, 1 - (x - floor(x)) AS v FROM x UNION ALL SELECT dataset, trial, n, CAST(floor(x) AS BIGINT) + 1, x - floor(x) FROM x) WHERE k < n GROUP BY ALL),
-  raw AS (SELECT g.dataset, g.trial, g.k AS i, g.q, n, coalesce(v, 0) AS v FROM g LEFT JOIN v ON v.trial = g.trial AND v.dataset = g.dataset AND v.k = g.k),
-  {kernel(SIGMA / 1000 * FSREF)}, kr AS (SELECT CAST(k AS BIGINT) AS k, w FROM ker),
-  ref AS (SELECT a.dataset, a.trial, a.i AS k, a.q, sum(w*b.v) AS rate FROM (SELECT raw.*, kr.w, {REFLECT} AS j FROM raw, kr) a JOIN raw b ON b.trial = a.trial AND b.dataset = a.dataset AND b.i = a.j GROUP BY a.dataset, a.trial, a.i, a.q)"""
-PAIRS = f"""{FS}, {GRID},
-  sh AS (SELECT dataset, trial, method, i, t, CASE WHEN method = 'sampler' AND count(*) OVER w >= 2 THEN coalesce(lead(prob) OVER (PARTITION BY dataset, trial, method ORDER BY i), 0) ELSE prob END AS y FROM preds WINDOW w AS (PARTITION BY dataset, trial, method)),
-  fin AS (SELECT sh.*, fs FROM sh JOIN fs ON fs.trial = sh.trial AND fs.dataset = sh.dataset WHERE y IS NOT NULL),
-  gp AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY dataset, trial, method ORDER BY i) > 4/fs THEN 1 ELSE 0 END AS g FROM fin),
-  sg AS (SELECT *, sum(g) OVER (PARTITION BY dataset, trial, method ORDER BY i) AS seg FROM gp),
-  pl AS (SELECT *, row_number() OVER (PARTITION BY dataset, trial, method, seg ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY dataset, trial, method, seg) AS n, {SIGMA / 1000}e0*fs AS sg FROM sg),
-  ex AS (SELECT dataset, trial, method, seg, p, n, t, sg, unnest(range(-CAST(floor(4*sg + 0.5e0) AS BIGINT), CAST(floor(4*sg + 0.5e0) AS BIGINT) + 1)) AS k FROM pl),
-  ew AS (SELECT *, exp(-0.5e0*(k/sg)*(k/sg)) AS w, ((p + k) % (2*n) + 2*n) % (2*n) AS r FROM ex),
-  sm AS (SELECT ew.dataset, ew.trial, ew.method, ew.seg, ew.p, ew.t, sum(w*b.y)/sum(w) AS y FROM ew JOIN pl b ON b.dataset = ew.dataset AND b.trial = ew.trial AND b.method = ew.method AND b.seg = ew.seg AND b.p = CASE WHEN r < ew.n THEN r ELSE 2*ew.n - 1 - r END GROUP BY ALL),
-  gm AS (SELECT ref.*, m.method FROM ref, (SELECT DISTINCT method FROM preds) m),
-  n0 AS (SELECT gm.*, a.t AS t0, a.y AS v0, a.seg AS s0 FROM gm ASOF LEFT JOIN sm a ON gm.dataset = a.dataset AND gm.trial = a.trial AND gm.method = a.method AND gm.q >= a.t),
-  n1 AS (SELECT n0.*, b.t AS t1, b.y AS v1, b.seg AS s1 FROM n0 ASOF LEFT JOIN sm b ON n0.dataset = b.dataset AND n0.trial = b.trial AND n0.method = b.method AND n0.q <= b.t),
-  pr AS (SELECT dataset, trial, method, k, rate, CASE WHEN t0 = q THEN v0 WHEN s0 = s1 THEN v0 + (v1 - v0)*(q - t0)/(t1 - t0) END AS y FROM n1)"""
+    return C.window_pairs(t.preds, t.spikes, windows(t), S.sampling_rate(t.samples), FSREF, SIGMA, ("sampler",))
+
+
+def grid_pairs(t):
+    spans = R.bounds(t.samples).select(*TRIAL, F.col("first_t").alias("start_s"), F.col("last_t").alias("end_s"))
+    return C.global_pairs(t.preds, C.reference(spans, t.spikes, FSREF, SIGMA), S.sampling_rate(t.samples), SIGMA)
+
+
+def ref_sql(spans: str, key: str) -> str:
+    """The event rates `ref(.., k, q, rate)` on the grids of `spans`, smoothed with a kernel reflected at both ends."""
+    return f"""g0 AS (SELECT {key}, start_s, end_s, CAST(ceil((end_s - start_s)*{FSREF}e0) AS BIGINT) + 1 AS n FROM {spans}),
+  x AS (SELECT {", ".join("g0." + c.strip() for c in key.split(","))}, g0.n, (s - start_s)*{FSREF}e0 AS x FROM spikes s JOIN g0 ON s.trial = g0.trial AND s.dataset = g0.dataset WHERE s BETWEEN start_s AND end_s),
+  v AS (SELECT {key}, k, sum(v) AS v FROM (SELECT {key}, n, CAST(floor(x) AS BIGINT) AS k, 1 - (x - floor(x)) AS v FROM x UNION ALL SELECT {key}, n, CAST(floor(x) AS BIGINT) + 1, x - floor(x) FROM x) WHERE k < n GROUP BY ALL),
+  raw AS (SELECT g.*, coalesce(v, 0) AS v FROM (SELECT *, unnest(range(0, n)) AS k, start_s + unnest(range(0, n))*(end_s - start_s)/greatest(n - 1, 1) AS q FROM g0) g LEFT JOIN v USING ({key}, k)),
+  tap AS (SELECT unnest(range(-8, 9)) AS d), wt AS (SELECT d, exp(-0.5e0*power(d/{SIGMA / 1000 * FSREF}e0, 2)) AS w FROM tap),
+  ref AS (SELECT {", ".join("a." + c.strip() for c in key.split(","))}, a.k AS place, a.q, sum(w*b.v)/sum(w) AS rate FROM (SELECT raw.*, d, w, ((k + d) % (2*n) + 2*n) % (2*n) AS r FROM raw, wt) a
+          JOIN raw b ON {" AND ".join(f"a.{c.strip()} = b.{c.strip()}" for c in key.split(","))} AND b.k = CASE WHEN a.r < a.n THEN a.r ELSE 2*a.n - 1 - a.r END GROUP BY ALL)"""
+
+
+WIN = """win AS (SELECT dataset, trial, w AS win, start_s + 168*w AS start_s, end_s - 168*(1 - w) AS end_s FROM windows, (VALUES (0), (1)) v(w)), okwin AS (SELECT * FROM win WHERE end_s > start_s),
+  cut AS (SELECT p.*, fs, t - lag(t) OVER (PARTITION BY p.dataset, p.trial, method ORDER BY i) > 4/fs AS gap FROM preds p JOIN fs ON fs.trial = p.trial AND fs.dataset = p.dataset),
+  sg AS (SELECT *, coalesce(sum(CAST(gap AS INT)) OVER (PARTITION BY dataset, trial, method ORDER BY i), 0) AS seg FROM cut)"""
+
+
+def smooth_sql(rows: str, key: str) -> str:
+    """`sm`: `rows(<key>, p, n, t, y, fs, piece)` smoothed over all rows of a key; null where a value within the radius is."""
+    on = " AND ".join(f"b.{c.strip()} = a.{c.strip()}" for c in key.split(","))
+    return f"""taps AS (SELECT *, {SIGMA / 1000}e0*fs AS sg FROM {rows}), ta AS (SELECT *, unnest(range(-CAST(floor(4*sg + 0.5e0) AS BIGINT), CAST(floor(4*sg + 0.5e0) AS BIGINT) + 1)) AS d FROM taps),
+  tr AS (SELECT *, exp(-0.5e0*(d/sg)*(d/sg)) AS w, ((p + d) % (2*n) + 2*n) % (2*n) AS r FROM ta),
+  sm AS (SELECT {", ".join("a." + c.strip() for c in key.split(","))}, a.p, a.t, a.piece, CASE WHEN count(b.y) = count(*) THEN sum(w*b.y)/sum(w) END AS y FROM tr a JOIN {rows} b ON {on} AND b.p = CASE WHEN r < a.n THEN r ELSE 2*a.n - 1 - r END GROUP BY ALL)"""
+
+
+def align_sql(points: str, key: str) -> str:
+    """`pr`: the points with `y` interpolated between two rows of `sm` in one piece."""
+    on = " AND ".join(f"p.{c.strip()} = s.{c.strip()}" for c in key.split(","))
+    return f"""n0 AS (SELECT p.*, s.t AS t0, s.y AS v0, s.piece AS p0 FROM {points} p ASOF LEFT JOIN sm s ON {on} AND p.q >= s.t),
+  n1 AS (SELECT p.*, s.t AS t1, s.y AS v1, s.piece AS p1 FROM n0 p ASOF LEFT JOIN sm s ON {on} AND p.q <= s.t),
+  pr AS (SELECT *, CASE WHEN t0 = q THEN v0 WHEN p0 = p1 THEN v0 + (v1 - v0)*(q - t0)/(t1 - t0) END AS y FROM n1)"""
+
+
+PAIRS = f"""{FS}, {WIN}, {ref_sql("okwin", "dataset, trial, win")},
+  sb AS (SELECT dataset, trial, method, seg, min(t) AS a, max(t) AS z, count(*) OVER (PARTITION BY dataset, trial, method) AS n_seg FROM sg GROUP BY dataset, trial, method, seg),
+  pick AS (SELECT win.*, method, seg, row_number() OVER (PARTITION BY win.dataset, win.trial, win.win, method ORDER BY least(z, end_s) - greatest(a, start_s) DESC, seg) AS r
+           FROM win JOIN sb ON sb.trial = win.trial AND sb.dataset = win.dataset WHERE CASE WHEN n_seg = 2 THEN seg = win.win ELSE least(z, end_s) > greatest(a, start_s) END),
+  fin AS (SELECT *, count(*) OVER (PARTITION BY dataset, trial, method, seg) AS n FROM sg WHERE prob IS NOT NULL),
+  sh AS (SELECT *, row_number() OVER w - 1 AS p, CASE WHEN method = 'sampler' THEN coalesce(lead(prob) OVER w, 0) ELSE prob END AS y, t - lag(t) OVER w > 4/fs AS jump FROM fin WHERE n >= 2 WINDOW w AS (PARTITION BY dataset, trial, method, seg ORDER BY i)),
+  pl AS (SELECT *, coalesce(sum(CAST(jump AS INT)) OVER (PARTITION BY dataset, trial, method, seg ORDER BY i), 0) AS piece FROM sh),
+  {smooth_sql("pl", "dataset, trial, method, seg")},
+  pts AS (SELECT ref.*, pick.method, pick.seg FROM ref JOIN pick ON pick.dataset = ref.dataset AND pick.trial = ref.trial AND pick.win = ref.win WHERE r = 1), {align_sql("pts", "dataset, trial, method, seg")}"""
 add("d6_corr_pooled_windows", lambda t: C.corr_pooled(pairs(t)), "samples spikes windows preds", f"WITH {PAIRS} SELECT dataset, method, {corr('rate', 'y')} AS correlation FROM pr GROUP BY ALL")
-add("d7_corr_per_trial", lambda t: C.corr_per_trial(pairs(t)), "samples spikes windows preds", f"WITH {PAIRS} SELECT dataset, trial, method, {corr('rate', 'y')} AS correlation FROM pr GROUP BY ALL")
+add("d7_corr_per_trial", lambda t: C.corr_per_trial(pairs(t), windows(t), t.preds), "samples spikes windows preds",
+    f"WITH {PAIRS}, co AS (SELECT dataset, trial, win, method, {corr('rate', 'y')} AS correlation FROM pr GROUP BY ALL) SELECT a.dataset, a.trial, a.method, a.win AS k, correlation FROM (SELECT DISTINCT win.dataset, win.trial, win.win, method FROM win JOIN preds ON preds.trial = win.trial AND preds.dataset = win.dataset) a LEFT JOIN co ON co.dataset = a.dataset AND co.trial = a.trial AND co.win = a.win AND co.method = a.method")
+GLOBAL = f"""{FS}, {WIN}, span AS (SELECT dataset, trial, min(t) AS start_s, max(t) AS end_s FROM samples GROUP BY ALL), {ref_sql("span", "dataset, trial")},
+  al AS (SELECT *, prob AS y, seg AS piece, row_number() OVER (PARTITION BY dataset, trial, method ORDER BY i) - 1 AS p, count(*) OVER (PARTITION BY dataset, trial, method) AS n FROM sg),
+  {smooth_sql("al", "dataset, trial, method")},
+  pts AS (SELECT ref.*, m.method FROM ref, (SELECT DISTINCT method FROM preds) m), {align_sql("pts", "dataset, trial, method")}"""
+add("d8_corr_global", lambda t: C.corr_global(grid_pairs(t), windows(t)), "samples spikes windows preds",
+    f"WITH {GLOBAL}, mk AS (SELECT pr.*, EXISTS (SELECT 1 FROM okwin w WHERE w.dataset = pr.dataset AND w.trial = pr.trial AND pr.q BETWEEN w.start_s AND w.end_s) AS hit FROM pr) SELECT dataset, trial, method, {corr('rate', 'y')} AS correlation FROM (SELECT * REPLACE (CASE WHEN hit THEN y END AS y) FROM mk) GROUP BY ALL")
+add("d8_corr_global_whole", lambda t: C.corr_global(grid_pairs(t)), "samples spikes windows preds", f"WITH {GLOBAL} SELECT dataset, trial, method, {corr('rate', 'y')} AS correlation FROM pr GROUP BY ALL")
+add("d9_corr_global_per_trial", lambda t: C.corr_global_per_window(grid_pairs(t), windows(t)), "samples spikes windows preds",
+    f"WITH {GLOBAL} SELECT pr.dataset, pr.trial, pr.method, win AS k, {corr('rate', 'CASE WHEN q BETWEEN win.start_s AND win.end_s THEN y END')} AS correlation FROM pr JOIN win ON win.dataset = pr.dataset AND win.trial = pr.trial GROUP BY ALL")
 
 
 def two(t):
@@ -71,49 +110,64 @@ def two(t):
 
 
 TWO = "two AS (SELECT a.dataset, a.trial, a.i, a.prob AS x, b.prob AS y FROM preds a JOIN preds b ON a.trial = b.trial AND a.dataset = b.dataset AND a.i = b.i WHERE a.method = 'sampler' AND b.method = 'cnn')"
-add("d8_corr_global", lambda t: D.trace_agreement(two(t), ["dataset"]).select("dataset", "r"), "preds", f"WITH {TWO} SELECT dataset, {corr('x', 'y')} AS r FROM two GROUP BY ALL")
-add("d9_corr_global_per_trial", lambda t: D.trace_agreement(R.trim_to_window(two(t).join(t.samples.select(*TRIAL, "i", "t"), [*TRIAL, "i"]), t.windows), TRIAL).select(*TRIAL, "r"), "preds samples windows",
-    f"WITH {TWO} SELECT two.dataset, two.trial, {corr('two.x', 'two.y')} AS r FROM two JOIN samples s ON s.trial = two.trial AND s.dataset = two.dataset AND s.i = two.i JOIN windows w ON w.trial = two.trial AND w.dataset = two.dataset WHERE s.t BETWEEN start_s - 1e-6 AND end_s + 1e-6 GROUP BY ALL")
 add("d10_corr_nan_moments", lambda t: D.corr_nan_moments(two(t), TRIAL), "preds", f"WITH {TWO}, m AS (SELECT dataset, trial, avg(x) AS mx, avg(y) AS my, stddev_pop(x)*stddev_pop(y) AS s FROM two GROUP BY ALL) SELECT two.dataset, two.trial, round(avg((x - mx)*(y - my))/nullif(max(s), 0), 6) + 0 AS r FROM two JOIN m ON m.trial = two.trial AND m.dataset = two.dataset GROUP BY ALL")
-BINS = "bd AS (SELECT dataset, trial, min(t) AS f, max(t) AS l FROM samples GROUP BY ALL), bn AS (SELECT dataset, trial, f, l, unnest(range(0, CAST(floor((l - f)/24) AS BIGINT) + 1)) AS k FROM bd), hb AS (SELECT bn.dataset, bn.trial, bn.k, count(s.s) AS n FROM bn LEFT JOIN spikes s ON s.trial = bn.trial AND s.dataset = bn.dataset AND s.s >= f AND s.s <= l AND CAST(floor((s.s - f)/24) AS BIGINT) = bn.k GROUP BY ALL)"
-ERS = f"{BINS}, ev AS (SELECT dataset, trial, count(*) AS n FROM spikes GROUP BY ALL), er AS (SELECT bd.dataset, bd.trial, f AS first_t, l AS last_t, coalesce(any_value(ev.n), 0) AS n, max(hb.n)/24e0 AS peak, coalesce(any_value(ev.n), 0)/greatest(l - f, 1e-9) AS mean_rate FROM bd JOIN hb ON hb.trial = bd.trial AND hb.dataset = bd.dataset LEFT JOIN ev ON ev.trial = bd.trial AND ev.dataset = bd.dataset GROUP BY bd.dataset, bd.trial, f, l)"
+BINS = """bd AS (SELECT dataset, trial, min(t) AS f, max(t) AS l FROM samples GROUP BY ALL), nb AS (SELECT *, CAST(ceil((l + 24 - f)/24) AS BIGINT) - 1 AS m FROM bd), bn AS (SELECT *, unnest(range(0, m)) AS k FROM nb),
+  hb AS (SELECT bn.dataset, bn.trial, bn.k, count(s.s) AS n FROM bn LEFT JOIN spikes s ON s.trial = bn.trial AND s.dataset = bn.dataset AND s.s >= f + k*24 AND (s.s < f + (k + 1)*24 OR (k = m - 1 AND s.s = f + m*24)) GROUP BY ALL)"""
+ERS = f"{BINS}, ev AS (SELECT dataset, trial, count(*) AS n FROM spikes GROUP BY ALL), er AS (SELECT bd.dataset, bd.trial, f AS first_t, l AS last_t, coalesce(any_value(ev.n), 0) AS n, coalesce(max(hb.n)/24e0, 0) AS peak, coalesce(any_value(ev.n), 0)/greatest(l - f, 1e-9) AS mean_rate FROM bd LEFT JOIN hb ON hb.trial = bd.trial AND hb.dataset = bd.dataset LEFT JOIN ev ON ev.trial = bd.trial AND ev.dataset = bd.dataset GROUP BY bd.dataset, bd.trial, f, l)"
 
 
 def ers(t):
     return D.epoch_rate_stats(R.bounds(t.samples), t.spikes, 24.0)
 
 
+def tau_sql(rows: str, dt: str) -> str:
+    """`tau` of `rows(dataset, trial, i, y)`: from the products of all pairs of samples."""
+    return f"""am AS (SELECT dataset, trial, i, y - avg(y) OVER w AS x, count(*) OVER w AS n FROM {rows} WINDOW w AS (PARTITION BY dataset, trial)),
+  ac AS (SELECT a.dataset, a.trial, b.i - a.i AS lag, sum(a.x*b.x) AS c, max(a.n) AS n FROM am a JOIN am b ON b.trial = a.trial AND b.dataset = a.dataset AND b.i >= a.i GROUP BY ALL),
+  az AS (SELECT dataset, trial, c AS c0, n FROM ac WHERE lag = 0), af AS (SELECT ac.dataset, ac.trial, min(lag) AS lag FROM ac JOIN az ON az.trial = ac.trial AND az.dataset = ac.dataset WHERE c <= 0.36787944117144233e0*c0 GROUP BY ALL),
+  tau AS (SELECT az.dataset, az.trial, CASE WHEN n >= 2 AND c0 > 0 THEN coalesce(lag, n - 1)*{dt} END AS tau FROM az LEFT JOIN af ON af.trial = az.trial AND af.dataset = az.dataset)"""
+
+
 add("d11_epoch_rate_stats", ers, "samples spikes", f"WITH {ERS} SELECT dataset, trial, round(first_t, 6) AS first_t, round(last_t, 6) AS last_t, n, round(peak, 6) AS peak, round(mean_rate, 6) AS mean_rate FROM er")
-add("d12_latent_rate_metrics", lambda t: D.latent_rate_metrics(D.fixed_bins(t.spikes, R.bounds(t.samples), 24.0).withColumn("rate", F.col("n") / 24.0), 0.1), "samples spikes",
-    f"WITH {BINS}, p AS (SELECT dataset, trial, quantile_cont(n/24e0, 0.99) AS p99 FROM hb GROUP BY ALL) SELECT p.dataset, p.trial, round(max(p99), 6) AS p99, round(avg(CASE WHEN p99 > 0 AND n/24e0 > 0.1e0*p99 THEN 1e0 ELSE 0 END), 6) AS duty FROM hb JOIN p ON p.trial = hb.trial AND p.dataset = hb.dataset GROUP BY ALL")
-add("d13_autocorr_time", lambda t: D.autocorr_time(t.frames, 1 / 30, 0.36787944117144233, 20), "frames",
-    """WITH m AS (SELECT dataset, trial, i, y - avg(y) OVER (PARTITION BY dataset, trial) AS x, count(*) OVER (PARTITION BY dataset, trial) AS n FROM frames),
-       a AS (SELECT a.dataset, a.trial, b.i - a.i AS lag, sum(a.x*b.x) AS c, max(a.n) AS n FROM m a JOIN m b ON b.trial = a.trial AND b.dataset = a.dataset AND b.i - a.i BETWEEN 0 AND 20 GROUP BY ALL),
-       z AS (SELECT dataset, trial, c AS c0, n FROM a WHERE lag = 0), f AS (SELECT a.dataset, a.trial, min(lag) AS lag FROM a JOIN z ON z.trial = a.trial AND z.dataset = a.dataset WHERE lag > 0 AND c <= 0.36787944117144233e0*c0 GROUP BY ALL)
-       SELECT z.dataset, z.trial, round(coalesce(lag, n - 1)/30e0, 6) AS tau FROM z LEFT JOIN f ON f.trial = z.trial AND f.dataset = z.dataset""")
+add("d12_latent_rate_metrics", lambda t: D.latent_rate_metrics(R.bounds(t.samples), t.spikes, 24.0, 36.0, 0.1), "samples spikes",
+    f"""WITH {BINS}, hn AS (SELECT hb.*, m FROM hb JOIN nb ON nb.trial = hb.trial AND nb.dataset = hb.dataset), hs AS (SELECT a.dataset, a.trial, a.k, sum(w*b.n)/sum(w)/24e0 AS r FROM (SELECT *, exp(-0.5e0*power(d/15e-1, 2)) AS w FROM hn, (SELECT unnest(range(-6, 7)) AS d)) a
+         JOIN hn b ON b.trial = a.trial AND b.dataset = a.dataset AND b.k = least(greatest(a.k + d, 0), a.m - 1) GROUP BY ALL),
+       p AS (SELECT dataset, trial, quantile_cont(r, 0.99) AS p99 FROM hs GROUP BY ALL), du AS (SELECT p.dataset, p.trial, max(p99) AS p99, avg(CASE WHEN p99 > 0 AND r > 0.1e0*p99 THEN 1e0 ELSE 0 END) AS duty FROM hs JOIN p ON p.trial = hs.trial AND p.dataset = hs.dataset GROUP BY ALL),
+       ti AS (SELECT dataset, trial, k AS i, r AS y FROM hs), {tau_sql("ti", "24e0")}
+       SELECT bd.dataset, bd.trial, round(coalesce(p99, 0), 6) AS p99, round(tau, 6) AS tau, round(coalesce(duty, 0), 6) AS duty FROM bd LEFT JOIN du ON du.trial = bd.trial AND du.dataset = bd.dataset LEFT JOIN tau ON tau.trial = bd.trial AND tau.dataset = bd.dataset""")
+add("d13_autocorr_time", lambda t: D.autocorr_time(t.frames, 1 / 30), "frames", f"WITH {tau_sql('frames', '1/30e0')} SELECT dataset, trial, round(tau, 6) AS tau FROM tau")
 DIST = "count({0}) AS n, round(avg({0}), 6) + 0 AS mean, round(coalesce(stddev_samp({0}), 0), 6) AS std, round(min({0}), 6) AS min, round(quantile_cont({0}, 0.25), 6) AS p25, round(median({0}), 6) AS median, round(quantile_cont({0}, 0.75), 6) AS p75, round(max({0}), 6) AS max"
 add("d14_distribution_summary", lambda t: D.distribution(t.trialwise, ["run", "method"], "correlation"), "trialwise", f"SELECT run, method, {DIST.format('correlation')} FROM trialwise WHERE correlation IS NOT NULL GROUP BY run, method")
 add("d15_pooled_rate_stats", lambda t: D.pooled_rates(ers(t)), "samples spikes", f"WITH {ERS} SELECT dataset, round(sum(n)/nullif(sum(last_t - first_t), 0), 6) AS rate, round(max(peak), 6) AS peak FROM er GROUP BY dataset")
 
 
+def cut(t):
+    """Time ranges without their first day, so that some events stand outside."""
+    return R.bounds(t.samples).withColumn("first_t", F.col("first_t") + 24)
+
+
 def qc(t):
-    return D.recording_qc(t.samples, t.spikes, S.sampling_rate(t.samples), R.bounds(t.samples))
+    return D.recording_qc(t.samples, t.spikes, S.sampling_rate(t.samples), cut(t))
 
 
-QC = f"{FS}, {ERS}, qc AS (SELECT er.dataset, er.trial, fs, n AS events, 1e0 AS inside, last_t - first_t AS duration, n/nullif(last_t - first_t, 0) AS rate FROM er JOIN fs ON fs.trial = er.trial AND fs.dataset = er.dataset)"
-add("d16_recording_qc", qc, "samples spikes", f"WITH {QC} SELECT dataset, trial, round(fs, 6) AS fs, events, inside, round(duration, 6) AS duration, round(rate, 6) AS rate FROM qc")
-add("d17_dataset_profile", lambda t: D.dataset_profile(qc(t), t.samples), "samples spikes",
-    f"WITH {QC}, n AS (SELECT dataset, count(*) AS samples FROM samples GROUP BY dataset) SELECT qc.dataset, round(avg(fs), 6) AS fs, round(avg(rate), 6) AS rate, count(*) AS trials, round(sum(duration)/60, 6) AS minutes, any_value(samples) AS samples FROM qc JOIN n ON n.dataset = qc.dataset GROUP BY qc.dataset")
+QC = f"""{FS}, bd AS (SELECT dataset, trial, min(t) + 24 AS f, max(t) AS l FROM samples GROUP BY ALL), qc AS (SELECT bd.dataset, bd.trial, any_value(fs) AS fs, count(s.s) AS events, coalesce(count_if(s.s BETWEEN f AND l)/nullif(count(s.s), 0), 1) AS inside, any_value(l - f) AS duration, count(s.s)/any_value(l - f) AS rate
+  FROM bd JOIN fs ON fs.trial = bd.trial AND fs.dataset = bd.dataset LEFT JOIN spikes s ON s.trial = bd.trial AND s.dataset = bd.dataset GROUP BY bd.dataset, bd.trial)"""
+add("d16_recording_qc", qc, "samples spikes", f"WITH {QC} SELECT dataset, trial, round(fs, 6) AS fs, events, round(inside, 6) AS inside, round(duration, 6) AS duration, round(rate, 6) AS rate FROM qc")
+add("d16_recording_qc_overall", lambda t: D.qc_overall(qc(t)), "samples spikes",
+    f"WITH {QC} SELECT count(*) AS trials, round(median(inside), 6) AS median, round(avg(inside), 6) AS mean, round(min(inside), 6) AS min, round(max(inside), 6) AS max, count_if(inside < 1) AS bad, arg_min(dataset, (inside, dataset, trial)) AS worst_dataset, arg_min(trial, (inside, dataset, trial)) AS worst_trial FROM qc")
+add("d17_dataset_profile", lambda t: D.dataset_profile(qc(t), t.samples, D.noise_level(t.samples, S.sampling_rate(t.samples))), "samples spikes",
+    f"WITH {QC}, {STEP.format('samples')}, no AS (SELECT d.dataset, d.trial, median(abs(d))/sqrt(any_value(fs))*100 AS noise FROM d JOIN fs ON fs.trial = d.trial AND fs.dataset = d.dataset GROUP BY ALL), n AS (SELECT dataset, count(*) AS samples FROM samples GROUP BY dataset) SELECT qc.dataset, round(avg(fs), 6) AS fs, round(avg(noise), 6) AS noise, round(avg(rate), 6) AS rate, count(*) AS trials, round(sum(duration)/60, 6) AS minutes, any_value(samples) AS samples FROM qc JOIN n ON n.dataset = qc.dataset LEFT JOIN no ON no.trial = qc.trial AND no.dataset = qc.dataset GROUP BY qc.dataset")
 RET = "la AS (SELECT tag, max(sample) AS last FROM {0} GROUP BY tag), ret AS (SELECT p.* FROM {0} p JOIN la ON la.tag = p.tag WHERE sample >= least({1}, last))"
 add("d18_posterior_mean_std", lambda t: D.posterior_mean_std(t.posterior, 2), "posterior",
     "WITH " + RET.format("posterior", 2) + " SELECT tag, bin, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("burst", "b", "s", "c")) + ", round(avg(c) + avg(b), 6) AS reconstruction FROM ret GROUP BY ALL")
 add("d19_map_sample", lambda t: D.map_sample(t.logp, 2), "logp", "WITH " + RET.format("logp", 2) + " SELECT tag, sample, logp FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY logp DESC, sample) AS r FROM ret) WHERE r = 1")
 add("d20_posterior_param_mean", lambda t: D.retained(t.posterior, 100).groupBy("tag").agg(F.avg(F.col("b") * 0.973).alias("b"), F.avg("c").alias("c")), "posterior", "WITH " + RET.format("posterior", 100) + " SELECT tag, round(avg(b*0.973e0), 6) AS b, round(avg(c), 6) AS c FROM ret GROUP BY tag")
-add("d21_compare_param_chains", lambda t: D.compare_chains(t.trialwise.where("correlation is not null").select("dataset", F.when(F.col("run") == "A", "a").when(F.col("run") == "N", "b").alias("side"), F.col("correlation").alias("v")), ["dataset"], "side", "v").drop("p"), "trialwise",
+add("d21_compare_param_chains", lambda t: D.compare_chains(t.trialwise.where("correlation is not null").select("dataset", F.when(F.col("run") == "A", "a").when(F.col("run") == "N", "b").alias("side"), F.col("correlation").alias("v")), ["dataset"], "side", "v"), "trialwise",
     """WITH v AS (SELECT dataset, run, correlation AS v FROM trialwise WHERE correlation IS NOT NULL AND run IN ('A', 'N')), n AS (SELECT dataset, count_if(run = 'A') AS na, count_if(run = 'N') AS nb FROM v GROUP BY ALL),
-       g AS (SELECT v.dataset, v, run, abs(count_if(run = 'A') OVER w / na - count_if(run = 'N') OVER w / nb) AS gap FROM v JOIN n ON n.dataset = v.dataset WHERE na > 0 AND nb > 0 WINDOW w AS (PARTITION BY v.dataset ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-       SELECT dataset, round(avg(CASE WHEN run = 'A' THEN v END), 6) AS mean_a, round(avg(CASE WHEN run = 'N' THEN v END), 6) AS mean_b, round(stddev_pop(CASE WHEN run = 'A' THEN v END), 6) AS std_a, round(stddev_pop(CASE WHEN run = 'N' THEN v END), 6) AS std_b,
-              round(avg(CASE WHEN run = 'A' THEN v END) - avg(CASE WHEN run = 'N' THEN v END), 6) + 0 AS difference, round(max(gap), 6) AS ks FROM g GROUP BY dataset""")
+       g AS (SELECT v.dataset, v, run, na, nb, abs(count_if(run = 'A') OVER w / na - count_if(run = 'N') OVER w / nb) AS gap FROM v JOIN n ON n.dataset = v.dataset WHERE na > 0 AND nb > 0 WINDOW w AS (PARTITION BY v.dataset ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+       k AS (SELECT dataset, avg(CASE WHEN run = 'A' THEN v END) AS ma, avg(CASE WHEN run = 'N' THEN v END) AS mb, stddev_pop(CASE WHEN run = 'A' THEN v END) AS sa, stddev_pop(CASE WHEN run = 'N' THEN v END) AS sb, max(gap) AS ks, max(sqrt(na*nb/(na + nb))*gap) AS root FROM g GROUP BY dataset),
+       p AS (SELECT dataset, sum(2*(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END)*exp(-2e0*j*j*root*root)) AS p FROM k, (SELECT unnest(range(1, 21)) AS j) GROUP BY dataset)
+       SELECT k.dataset, round(ma, 6) AS mean_a, round(mb, 6) AS mean_b, round(sa, 6) AS std_a, round(sb, 6) AS std_b, round(ma - mb, 6) + 0 AS difference, round(ks, 6) AS ks, round(CASE WHEN root < 0.2e0 THEN 1 ELSE least(greatest(p, 0), 1) END, 6) AS p FROM k JOIN p ON p.dataset = k.dataset""")
 add("d22_trace_agreement", lambda t: D.trace_agreement(two(t), TRIAL), "preds", f"WITH {TWO} SELECT dataset, trial, {corr('x', 'y')} AS r, round(avg(abs(x - y)), 6) AS mae, round(sqrt(avg((x - y)*(x - y))), 6) AS rmse FROM two GROUP BY ALL")
 add("d23_binary_agreement", lambda t: D.binary_agreement(t.posterior.select("tag", F.col("s").alias("x"), F.col("burst").alias("y")), ["tag"]), "posterior",
     "SELECT tag, round(coalesce(count_if(s > 0 AND burst > 0)/nullif(count_if(s > 0 OR burst > 0), 0), 1), 6) AS jaccard, round(avg(CASE WHEN (s > 0) = (burst > 0) THEN 1e0 ELSE 0 END), 6) AS same_flag, round(avg(CASE WHEN s = burst THEN 1e0 ELSE 0 END), 6) AS same_value FROM posterior GROUP BY tag")
@@ -147,5 +201,5 @@ add("d43_rebin_flags", lambda t: D.rebin_flags(flags(t), ["tag", "sample"], 4.0)
 add("d44_rebinned_correlation", lambda t: D.rebinned_correlation(flags(t), ["tag", "sample"], 4.0, 0.5), "posterior",
     f"WITH {REB}, w AS (SELECT a.tag, a.sample, a.k, sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))*b.x)/sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))) AS x, sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))*b.y)/sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))) AS y FROM rb a JOIN rb b ON b.tag = a.tag AND b.sample = a.sample GROUP BY ALL) SELECT tag, sample, {corr('x', 'y')} AS r FROM w GROUP BY ALL")
 add("a12_validate_traces", lambda t: D.validate(t.samples, t.spikes), "samples spikes",
-    """WITH d AS (SELECT dataset, trial, y, t - lag(t) OVER (PARTITION BY dataset, trial ORDER BY i) AS d FROM samples), e AS (SELECT dataset, count(*) AS events FROM spikes GROUP BY ALL)
-       SELECT d.dataset, count(DISTINCT trial) AS trials, count(*) AS samples, count_if(y IS NULL) AS nulls, round(min(y), 6) AS least, round(max(y), 6) AS most, round(median(d), 6) AS dt, count_if(d <= 0) AS errors, any_value(events) AS events FROM d JOIN e ON e.dataset = d.dataset GROUP BY d.dataset""")
+    """WITH d AS (SELECT dataset, trial, y, t - lag(t) OVER (PARTITION BY dataset, trial ORDER BY i) AS d FROM samples), e AS (SELECT dataset, count(*) AS events FROM spikes GROUP BY ALL), w AS (SELECT dataset, count_if(c = 0) AS warnings FROM (SELECT dataset, trial, count(y) AS c FROM samples GROUP BY ALL) GROUP BY ALL)
+       SELECT d.dataset, count(DISTINCT trial) AS trials, count(*) AS samples, count_if(y IS NULL) AS nulls, round(min(y), 6) AS least, round(max(y), 6) AS most, round(median(d), 6) AS dt, count_if(d <= 0) AS errors, any_value(w.warnings) AS warnings, any_value(events) AS events FROM d JOIN w ON w.dataset = d.dataset JOIN e ON e.dataset = d.dataset GROUP BY d.dataset""")
