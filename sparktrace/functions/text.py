@@ -102,3 +102,8 @@ def natural_key(text: Column) -> Column:
     """Sort key that compares digits as numbers and letters without case."""
     parts = F.regexp_extract_all(F.lower(text), F.lit("([0-9]+|[^0-9]+)"), F.lit(1))
     return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(p, 20, "0")).otherwise(p)), "")
+
+
+def seconds(indices: Column, rate: float = 1e4) -> Column:
+    """Sample numbers of an array as seconds."""
+    return F.transform(indices, lambda x: x / F.lit(rate))

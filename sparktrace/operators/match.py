@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparktrace.functions import text
+
 TRIAL = ("dataset", "trial")
 
 
@@ -85,18 +87,41 @@ def route_by_noise(traces: DataFrame, models: DataFrame) -> DataFrame:
     return traces.join(bands, (F.col("noise") >= F.col("lo")) & (F.col("noise") < F.col("hi"))).drop("lo", "hi")
 
 
-def resolve_cached(entries: DataFrame, results: DataFrame) -> DataFrame:
-    """Results of manifest entries(dataset, cache_tag, cache_key, fallback_key); the tag 'None' or '' means the dataset."""
+def resolve_cached(entries: DataFrame, results: DataFrame, methods: list[str] | None = None) -> DataFrame:
+    """Results(tag, key, ...) of manifest entries(dataset, method, label, cache_tag, cache_key, config map); nulls where there is none.
+
+    The tag 'None' or '' means the dataset; without a key the config's signature is one. `methods` keeps entries whose method or
+    label is among them. `unresolved` lists what stayed without a result.
+    """
+    if methods is not None:
+        entries = entries.where(F.col("method").isin(methods) | F.col("label").isin(methods))
     tag = F.coalesce(F.nullif(F.nullif("cache_tag", F.lit("None")), F.lit("")), F.col("dataset").cast("string"))
-    want = entries.withColumn("tag", tag).withColumn("key", F.coalesce("cache_key", "fallback_key"))
-    return want.join(results, ["tag", "key"], "left")
+    want = entries.withColumn("tag", tag).withColumn("key", F.coalesce(F.nullif("cache_key", F.lit("")), text.config_signature(F.col("config"))))
+    return want.join(results.withColumn("resolved", F.lit(True)), ["tag", "key"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+
 
+def unresolved(resolved: DataFrame) -> DataFrame:
+    """The dataset, method, tag and key of entries without a result."""
+    return resolved.where(~F.col("resolved")).select("dataset", "method", "tag", "key")
 
-def lookup_result(requests: DataFrame, store: DataFrame) -> DataFrame:
-    """Stored result for each request(id, key, trace_hash): keys and hashes match; the first file of several."""
-    rest = [c for c in store.columns if c not in ("key", "trace_hash")]
-    first = store.groupBy("key", "trace_hash").agg(F.min_by(F.struct(*rest), "file").alias("r")).select("key", "trace_hash", *[F.col(f"r.{c}").alias(c) for c in rest])
-    return requests.join(first, ["key", "trace_hash"])
+
+def lookup_result(requests: DataFrame, store: DataFrame, any_trace: bool = False) -> DataFrame:
+    """Stored result for each request(id, key, tag, trace_hash): the first file of those that fit.
+
+    A stored row(key, config, tag, cache_tag, trace_hash, file, ...) fits if its key is the request's, or, of rows without a key,
+    the signature of its config is; if its tag is the request's or its own cache tag; and if the trace hashes are equal, unless
+    `any_trace`.
+    """
+    rest = [c for c in store.columns if c not in ("key", "config", "tag", "cache_tag", "trace_hash")]
+    own = store.withColumn("key", F.coalesce("key", text.config_signature(F.col("config"))))
+    # A row whose tag is its own cache tag fits requests of all tags.
+    by = ["key"] if any_trace else ["key", "trace_hash"]
+    first = lambda rows, keys, name: rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "file").alias(name))
+    tagged = first(own, [*by, "tag"], "one")
+    every = first(own.where(F.col("tag") == F.col("cache_tag")), by, "other")
+    both = requests.join(tagged, [*by, "tag"], "left").join(every, by, "left").where("one is not null or other is not null")
+    best = F.when(F.col("other").isNull() | (F.col("one.file") <= F.col("other.file")), F.col("one")).otherwise(F.col("other"))
+    return both.withColumn("best", F.coalesce(best, F.col("one"), F.col("other"))).select(*requests.columns, *[F.col(f"best.{c}").alias(c) for c in rest])
 
 
 def match_overlay(wanted: DataFrame, offered: DataFrame) -> DataFrame:
@@ -117,6 +142,37 @@ def complete_sets(files: DataFrame) -> DataFrame:
     return per.groupBy("tag").agg(F.max(F.struct("complete", "files", "parent")).alias("best")).select("tag", "best.*").where("complete > 0")
 
 
+def sets_of_tags(tags: DataFrame, sets: DataFrame) -> DataFrame:
+    """The set of complete artefacts for each tag: under the tag itself, else its stem before `_epoch`, its epoch id, or that id's stem."""
+    t = F.col("tag")
+    names = F.array_distinct(F.array(t, F.regexp_replace(t, "_epoch.*$", ""), text.tag_epoch(t), text.tag_stem(t)))
+    tried = tags.select("tag", F.posexplode(names).alias("place", "name")).join(sets.withColumnRenamed("tag", "name"), "name")
+    rest = [c for c in sets.columns if c != "tag"]
+    return tried.groupBy("tag").agg(F.min(F.struct("place", "name", *rest)).alias("b")).select("tag", F.col("b.name").alias("found_as"), *[F.col(f"b.{c}").alias(c) for c in rest])
+
+
+def reconcile(entries: DataFrame, epochs: DataFrame, stems: DataFrame, sets: DataFrame, existing: DataFrame) -> DataFrame:
+    """tag and status of entries(tag, trial) that are to be imported, each after the other test failed.
+
+    missing epoch: neither the tag's epoch id nor one that it maps to is valid. missing outputs: no complete set of artefacts.
+    skipped existing: the epoch has a result already. Else imported, or remapped if another epoch id was needed.
+    """
+    valid = epochs.select("epoch").distinct()
+    direct = entries.withColumn("epoch", text.tag_epoch(F.col("tag"))).join(valid, "epoch", "left_semi").select("tag", F.col("epoch").alias("direct"))
+    mapped = remap_tags(entries, stems, epochs).select("tag", F.col("epoch").alias("mapped"))
+    found = sets_of_tags(entries, sets).select("tag", F.lit(True).alias("found"))
+    rows = entries.select("tag").join(direct, "tag", "left").join(mapped, "tag", "left").join(found, "tag", "left").withColumn("epoch", F.coalesce("direct", "mapped"))
+    rows = rows.join(existing.select("epoch").distinct().withColumn("exists", F.lit(True)), "epoch", "left")
+    status = (
+        F.when(F.col("epoch").isNull(), "missing epoch")
+        .when(F.col("found").isNull(), "missing outputs")
+        .when(F.col("exists"), "skipped existing")
+        .when(F.col("direct").isNull(), "remapped")
+        .otherwise("imported")
+    )
+    return rows.select("tag", "epoch", status.alias("status"))
+
+
 def remap_tags(tags: DataFrame, stems: DataFrame, epochs: DataFrame | None = None) -> DataFrame:
     """Longest dataset stem that a tag starts with, and the epoch id of its trial (epoch 1 without a trial).
 
@@ -134,9 +190,13 @@ def remap_tags(tags: DataFrame, stems: DataFrame, epochs: DataFrame | None = Non
     return tried.where("ok or default_ok").select("tag", "stem", F.when(F.col("ok"), F.col("epoch")).otherwise(F.col("default")).alias("epoch"))
 
 
-def align_components(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of two series at equal places, up to the shorter."""
-    return a.join(b, keys)
+def align_components(a: DataFrame, b: DataFrame, keys: list[str], time: str | None = None, tolerance: float = 1e-9) -> DataFrame:
+    """Rows of two series at equal places, up to the shorter. Where both have a column `time` its values must agree."""
+    if time is None:
+        return a.join(b, keys)
+    both = a.join(b.withColumnRenamed(time, "_time"), keys)
+    differs = F.abs(F.col(time) - F.col("_time")) > tolerance
+    return both.withColumn(time, F.when(differs, F.raise_error(F.lit("the components differ in time"))).otherwise(F.col(time))).drop("_time")
 
 
 def sweep_grid(rates: DataFrame, smooths: DataFrame, duties: DataFrame, cells: DataFrame, first_seed: int, stride: int) -> DataFrame:
@@ -146,6 +206,16 @@ def sweep_grid(rates: DataFrame, smooths: DataFrame, duties: DataFrame, cells: D
     return combos.crossJoin(cells).withColumn("seed", F.lit(first_seed) + F.col("combo") * stride + F.col("cell"))
 
 
-def model_by_tag(models: DataFrame, tag: str) -> DataFrame:
-    """Models with a checkpoint that were trained under the tag or from synthetic data of the tag."""
-    return models.where(F.col("has_checkpoint") & ((F.col("run_tag") == tag) | F.exists("synthetic", lambda e: e == tag)))
+def model_by_tag(models: DataFrame, tag: str, one: bool = False) -> DataFrame:
+    """Models(model, has_checkpoint, run_tag, synthetic) with a checkpoint whose name is the tag; if there is none, those that were trained
+    under the tag or from synthetic data of it. With `one`, none or more than one is an error."""
+    usable = models.where("has_checkpoint")
+    named = F.col("model").cast("string") == tag
+    tagged = F.coalesce((F.col("run_tag") == tag) | F.exists("synthetic", lambda e: e == tag), F.lit(False))
+    rank = usable.where(named | tagged).withColumn("direct", named).withColumn("any", F.max(named).over(W.partitionBy(F.lit(0))))
+    found = rank.where(F.col("direct") | ~F.col("any")).drop("direct", "any")
+    if one:
+        n = found.limit(2).count()
+        if n != 1:
+            raise ValueError(f"{'no model' if n == 0 else 'more than one model'} for {tag}")
+    return found

@@ -7,8 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.functions import text
-
-KEYS = ("run", "dataset", "smoothing", "method", "corr_sigma_ms", "trial")
+from sparktrace.operators import stats
 
 
 def corr_vs_sigma(scores: DataFrame, series: list[str], reduce: str = "trial") -> DataFrame:
@@ -32,23 +31,39 @@ def rank_at_anchor(curves: DataFrame, series: list[str], limit: float) -> DataFr
     return rank(at, "score", series)
 
 
+def series_labels(rows: DataFrame, label: str, run: str) -> DataFrame:
+    """`shown`: the label, with the run behind it where several series have the same label."""
+    n = F.count("*").over(W.partitionBy(label))
+    return rows.withColumn("shown", F.when(n > 1, F.concat(F.col(label), F.lit(" ("), F.col(run), F.lit(")"))).otherwise(F.col(label)))
+
+
 def rank(rows: DataFrame, score: str, key: list[str], by: list[str] | None = None) -> DataFrame:
     """Place by score descending, nulls last, key as tie-break; in each group of `by`."""
     order = [F.desc_nulls_last(score), *key]
     return rows.withColumn("place", F.row_number().over(W.partitionBy(*(by or [])).orderBy(*order)))
 
 
-def score_distribution(scores: DataFrame, series: list[str], sigma: float) -> DataFrame:
-    """Percentiles 5, 25, 50, 75, 95 of each (series, smoothing) at one sigma."""
-    near = F.abs(F.col("corr_sigma_ms") - sigma) <= 1e-6 + 1e-5 * sigma
-    q = F.percentile("correlation", F.array(*map(F.lit, (0.05, 0.25, 0.5, 0.75, 0.95)))).alias("q")
-    out = scores.where(near & F.col("correlation").isNotNull()).groupBy(*series, "smoothing").agg(q, F.count("*").alias("n"))
-    return out.select(*series, "smoothing", "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("p5", "p25", "p50", "p75", "p95"))])
+def at_sigma(scores: DataFrame, sigma: float) -> DataFrame:
+    """Finite scores at one sigma."""
+    return scores.where((F.abs(F.col("corr_sigma_ms") - sigma) <= 1e-6 + 1e-5 * sigma) & F.col("correlation").isNotNull())
+
+
+def score_distribution(scores: DataFrame, series: list[str], sigma: float, reduce: str = "trial") -> DataFrame:
+    """Percentiles 5, 25, 50, 75, 95 of each (series, smoothing) at one sigma, over trials or over dataset means, and
+    `place`: the rank of the series by its median over all smoothings."""
+    rows = at_sigma(scores, sigma)
+    if reduce == "dataset":
+        rows = rows.groupBy(*series, "smoothing", "dataset").agg(F.avg("correlation").alias("correlation"))
+    by = [*series, "smoothing"]
+    out = rows.groupBy(*by).agg(F.count("*").alias("n")).join(stats.quantiles(rows, by, "correlation", [0.05, 0.25, 0.5, 0.75, 0.95]), by)
+    place = rank(stats.quantiles(rows, series, "correlation", [0.5]).select(*series, F.col("q")[0].alias("_m")), "_m", series).drop("_m")
+    return out.join(place, series).select(*by, "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("p5", "p25", "p50", "p75", "p95"))], "place")
 
 
 def dotplot_stats(scores: DataFrame, by: list[str]) -> DataFrame:
-    q = F.percentile("correlation", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")
-    return scores.where("correlation is not null").groupBy(*by).agg(F.count("*").alias("n"), q).select(*by, "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
+    rows = scores.where("correlation is not null")
+    q = stats.quantiles(rows, by, "correlation", [0.25, 0.5, 0.75])
+    return rows.groupBy(*by).agg(F.count("*").alias("n")).join(q, by).select(*by, "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
 
 
 def directory_eval(scores: DataFrame, model: str) -> DataFrame:
@@ -56,10 +71,12 @@ def directory_eval(scores: DataFrame, model: str) -> DataFrame:
 
 
 def leaderboard(models: DataFrame, name: str, score: str, top: int = 10) -> DataFrame:
-    """The best models among those whose names parse, with their parameters."""
+    """The best models among those whose names parse, with their parameters; then the first `baseline...` by name, with `baseline` true."""
     p = text.model_parameters(F.col(name))
-    parsed = models.select("*", *[c.alias(k) for k, c in p.items()]).where("k is not null")
-    return parsed.orderBy(F.desc_nulls_last(score), name).limit(top)
+    rows = models.select("*", *[c.alias(k) for k, c in p.items()])
+    best = rows.where("k is not null").orderBy(F.desc_nulls_last(score), name).limit(top).withColumn("baseline", F.lit(False))
+    base = rows.where(F.col(name).startswith("baseline")).orderBy(name).limit(1).withColumn("baseline", F.lit(True))
+    return best.unionByName(base)
 
 
 def sweep_heatmap(models: DataFrame, order: str, duties: list[float]) -> DataFrame:
@@ -67,8 +84,16 @@ def sweep_heatmap(models: DataFrame, order: str, duties: list[float]) -> DataFra
     return models.groupBy("k", "rate", "smooth").pivot("duty", duties).agg(F.max_by("score", order))
 
 
-def best_by_k(models: DataFrame) -> DataFrame:
-    return models.groupBy("k").agg(F.max("score").alias("best"), F.median("score").alias("median"), F.count("*").alias("n"))
+def best_by_k(models: DataFrame, baselines: DataFrame | None = None) -> DataFrame:
+    """Greatest and median score and number of each k; a `baseline` beside them where one is given.
+
+    `baselines(score, rate, folder_rate)`: one whose recorded rate differs from that of its folder is dropped; the best of the rest counts.
+    """
+    out = models.groupBy("k").agg(F.max("score").alias("best"), F.median("score").alias("median"), F.count("*").alias("n"))
+    if baselines is None:
+        return out
+    agrees = F.coalesce(F.abs(F.col("rate") - F.col("folder_rate")) <= 1e-6 * F.abs("folder_rate"), F.lit(True))
+    return out.crossJoin(F.broadcast(baselines.where(agrees).agg(F.max("score").alias("baseline"))))
 
 
 def timing_summary(timings: DataFrame, baseline: str) -> DataFrame:
@@ -83,9 +108,9 @@ def latest_per_key(rows: DataFrame, key: str, newest: Column, tie: str) -> DataF
 
 
 def seeded_subset(rows: DataFrame, by: list[str], item: str, fraction: float, seed: int) -> DataFrame:
-    """max(1, ceil(fraction * n)) items of each group, the same for the same seed."""
+    """max(1, ceil(fraction * n)) items of each group, the same for the same seed: those with the least MD5 of `<seed>:<item>`."""
     w = W.partitionBy(*by)
-    r = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(item)), item))
+    r = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string"))), item))
     return rows.withColumn("n", F.count("*").over(w)).withColumn("r", r).where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * fraction))).drop("n", "r")
 
 
@@ -103,12 +128,37 @@ def union_families(main: DataFrame, single: DataFrame) -> DataFrame:
     return main.withColumn("kind", F.lit("main")).unionByName(single.withColumn("kind", F.lit("single")))
 
 
+def overridden(was: Column, now: Column) -> Column:
+    """The entries of `now`, and those of `was` whose keys it lacks; null counts as empty."""
+    kept = F.map_filter(was, lambda k, v: ~F.array_contains(F.map_keys(now), k))
+    return F.when(was.isNull(), now).when(now.isNull(), was).otherwise(F.map_concat(kept, now))
+
+
 def upsert_summary(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Maps of correlations by method: new methods override, others stay."""
-    both = old.withColumnRenamed("correlations", "was").join(new.withColumnRenamed("correlations", "now"), key, "full_outer")
-    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))
-    was, now = F.coalesce("was", empty), F.coalesce("now", empty)
-    return both.select(key, F.map_concat(F.map_filter(was, lambda k, v: ~F.array_contains(F.map_keys(now), k)), now).alias("correlations"))
+    """Summaries(key, correlations map, trialwise map, windows): new methods override, others stay, new windows replace old ones."""
+    maps = [c for c in ("correlations", "trialwise") if c in old.columns and c in new.columns]
+    rest = [c for c in ("windows",) if c in old.columns and c in new.columns]
+    names = [*maps, *rest]
+    both = old.select(key, *[F.col(c).alias(f"was_{c}") for c in names]).join(new.select(key, *[F.col(c).alias(f"now_{c}") for c in names]), key, "full_outer")
+    return both.select(key, *[overridden(F.col(f"was_{c}"), F.col(f"now_{c}")).alias(c) for c in maps], *[F.coalesce(f"now_{c}", f"was_{c}").alias(c) for c in rest])
+
+
+def upsert_method_entries(old: DataFrame, new: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Entries(by, method, place, config map, cache_key, ...) with the new ones in the place of the same method's or behind all others, and
+    `methods_run` of each group, every method once in the order of places.
+
+    A new entry whose key is not the signature of its config is an error. Of several new entries of a method the last by place counts.
+    """
+    wrong = F.col("cache_key") != text.config_signature(F.col("config"))
+    checked = new.withColumn("cache_key", F.when(wrong, F.raise_error(F.concat(F.lit("the key is not that of the config: "), "cache_key"))).otherwise(F.col("cache_key")))
+    checked = upsert(checked.limit(0), checked, [*by, "method"], "place")
+    places = old.groupBy(*by, "method").agg(F.min("place").alias("_own"))
+    ends = old.groupBy(*by).agg(F.max("place").alias("_end"))
+    moved = checked.join(places, [*by, "method"], "left").join(ends, by, "left").withColumn("place", F.coalesce("_own", F.coalesce("_end", F.lit(-1)) + 1 + F.col("place"))).drop("_own", "_end")
+    entries = old.join(checked.select(*by, "method").distinct(), [*by, "method"], "left_anti").unionByName(moved)
+    first = entries.groupBy(*by, "method").agg(F.min("place").alias("place"))
+    run = first.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "method"))), lambda x: x["method"]).alias("methods_run"))
+    return entries, run
 
 
 def ordered_distinct(rows: DataFrame, token: str, place: str) -> DataFrame:

@@ -31,30 +31,55 @@ def select_datasets(samples: DataFrame, first: int | None = None, named: list |
     return out.orderBy("dataset").limit(first) if first is not None else out
 
 
-def select_trials(samples: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Samples of the chosen (dataset, trial) rows."""
-    return samples.join(chosen.select(*TRIAL).distinct(), list(TRIAL), "left_semi")
+def select_trials(samples: DataFrame, chosen: DataFrame, strict: bool = False) -> DataFrame:
+    """Samples of the chosen (dataset, trial) rows. With `strict` a chosen trial that is not there is an error."""
+    wanted = chosen.select(*TRIAL).distinct()
+    if strict:
+        there = samples.select(*TRIAL).distinct().withColumn("_there", F.lit(True))
+        known = wanted.join(there, list(TRIAL), "left")
+        wanted = known.select("dataset", F.when(F.col("_there").isNull(), F.raise_error(F.format_string("no trial %s of %s", F.col("trial").cast("string"), F.col("dataset").cast("string"))).cast("long")).otherwise(F.col("trial")).alias("trial"))
+    return samples.join(wanted, list(TRIAL), "left_semi")
+
+
+def epoch_slice(samples: DataFrame, first: int, stop: int) -> DataFrame:
+    """Samples of the trials from `first` to before `stop`."""
+    return samples.where((F.col("trial") >= first) & (F.col("trial") < stop))
 
 
 def bounds(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*TRIAL).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
-def trim_to_window(samples: DataFrame, windows: DataFrame, tolerance: float = 1e-6) -> DataFrame:
-    """Samples inside their trial's set window, both ends closed and widened by the tolerance."""
-    set_ = windows.where(finite("start_s") & finite("end_s") & (F.col("end_s") > F.col("start_s")))
-    return samples.join(set_, list(TRIAL)).where(F.col("t").between(F.col("start_s") - tolerance, F.col("end_s") + tolerance))
+def strictly(bad: Column, value: Column, message: str, strict: bool) -> Column:
+    """The value; where `bad` holds and `strict`, an error."""
+    return F.when(bad, F.raise_error(F.lit(message))).otherwise(value) if strict else value
+
+
+def trim_to_window(samples: DataFrame, windows: DataFrame, tolerance: float = 1e-6, strict: bool = False) -> DataFrame:
+    """Samples inside their trial's set window, both ends closed and widened by the tolerance.
+
+    With `strict` a window that is not finite, does not end after its start or holds no sample is an error; else its trial drops out.
+    """
+    good = finite("start_s") & finite("end_s") & (F.col("end_s") > F.col("start_s"))
+    if strict:
+        windows = windows.withColumn("start_s", strictly(~good, F.col("start_s"), "a window must be finite and end after its start", True))
+        inside = F.col("t").between(F.col("start_s") - tolerance, F.col("end_s") + tolerance)
+        rows = samples.join(windows, list(TRIAL)).withColumn("_in", inside).withColumn("_any", F.max("_in").over(W.partitionBy(*TRIAL)))
+        return rows.withColumn("t", strictly(~F.col("_any"), F.col("t"), "a window holds no sample", True)).where("_in").drop("_in", "_any")
+    return samples.join(windows.where(good), list(TRIAL)).where(F.col("t").between(F.col("start_s") - tolerance, F.col("end_s") + tolerance))
 
 
-def resolve_windows(samples: DataFrame, windows: DataFrame) -> DataFrame:
-    """A window for every trial: the set one, else the whole trial."""
+def resolve_windows(samples: DataFrame, windows: DataFrame, strict: bool = False) -> DataFrame:
+    """A window for every trial: the set one, else the whole trial. With `strict` one that does not end after its start is an error."""
     both = bounds(samples).join(windows, list(TRIAL), "left")
-    return both.select(*TRIAL, F.coalesce(F.nanvl("start_s", F.lit(None)), "first_t").alias("start_s"), F.coalesce(F.nanvl("end_s", F.lit(None)), "last_t").alias("end_s"))
+    out = both.select(*TRIAL, F.when(finite("start_s"), F.col("start_s")).otherwise(F.col("first_t")).alias("start_s"), F.when(finite("end_s"), F.col("end_s")).otherwise(F.col("last_t")).alias("end_s"))
+    return out.withColumn("end_s", strictly(F.col("end_s") <= F.col("start_s"), F.col("end_s"), "a window must end after its start", strict))
 
 
-def clip_windows(samples: DataFrame, windows: DataFrame) -> DataFrame:
-    """Windows cut to their trial; those left empty drop out."""
+def clip_windows(samples: DataFrame, windows: DataFrame, strict: bool = False) -> DataFrame:
+    """Windows cut to their trial; those left empty drop out, or with `strict` are an error."""
     both = bounds(samples).join(windows, list(TRIAL)).select(*TRIAL, F.greatest("start_s", "first_t").alias("start_s"), F.least("end_s", "last_t").alias("end_s"))
+    both = both.withColumn("end_s", strictly(F.col("end_s") <= F.col("start_s"), F.col("end_s"), "a window is empty inside its trial", strict))
     return both.where("end_s > start_s")
 
 
@@ -162,8 +187,19 @@ def pad_prediction_edges(preds: DataFrame, width: int, before: float, pad: float
 
 
 def clean_nonfinite(samples: DataFrame) -> DataFrame:
-    """Per dataset, the percentage of values that are not finite, and the values with 0 in their place, summed."""
-    return samples.groupBy("dataset").agg((F.avg(F.when(finite("y"), 0.0).otherwise(1.0)) * 100).alias("bad_percent"), F.sum(F.when(finite("y"), F.col("y")).otherwise(0.0)).alias("total"))
+    """Samples with 0 in the place of values that are not finite and times interpolated by index; the end times repeat beyond the finite ones."""
+    order = W.partitionBy(*TRIAL).orderBy("i")
+    here = F.when(finite("t"), F.struct("i", "t"))
+    rows = samples.withColumn("_p", F.last(here, True).over(order.rowsBetween(W.unboundedPreceding, 0))).withColumn("_n", F.first(here, True).over(order.rowsBetween(0, W.unboundedFollowing)))
+    between = F.col("_p.t") + (F.col("_n.t") - F.col("_p.t")) * (F.col("i") - F.col("_p.i")) / (F.col("_n.i") - F.col("_p.i"))
+    time = F.when(finite("t"), F.col("t")).otherwise(F.coalesce(between, F.col("_p.t"), F.col("_n.t")))
+    return rows.withColumn("t", time).withColumn("y", F.when(finite("y"), F.col("y")).otherwise(F.lit(0.0))).drop("_p", "_n")
+
+
+def bad_percent(samples: DataFrame) -> DataFrame:
+    """Per dataset, the percentages of times and of values that are not finite."""
+    share = lambda c: (F.avg(F.when(finite(c), 0.0).otherwise(1.0)) * 100).alias(f"bad_{c}")
+    return samples.groupBy("dataset").agg(share("t"), share("y"))
 
 
 def refractory_filter(spikes: DataFrame, gap: float = 0.001) -> DataFrame:
@@ -177,9 +213,25 @@ def expand_counts(counts: DataFrame) -> DataFrame:
     return counts.where(finite("c")).select(*TRIAL, "t", F.rint("c").cast("int").alias("n")).where("n > 0").select(*TRIAL, F.explode(F.array_repeat("t", F.col("n"))).alias("s"))
 
 
-def display_snippet(samples: DataFrame, spikes: DataFrame, duration: float) -> DataFrame:
-    """A window of `duration` in each trial, centred at the median event, else at the middle, kept inside the trial."""
-    mid = spikes.groupBy(*TRIAL).agg(F.percentile("s", F.lit(0.5)).alias("mid"))
-    b = bounds(samples).join(mid, list(TRIAL), "left").withColumn("mid", F.coalesce("mid", (F.col("first_t") + F.col("last_t")) / 2))
-    start = F.greatest(F.least(F.col("mid") - duration / 2, F.col("last_t") - duration), F.col("first_t"))
-    return b.select(*TRIAL, start.alias("start_s"), F.least(start + duration, F.col("last_t")).alias("end_s")).where("end_s > start_s")
+def display_snippet(samples: DataFrame, spikes: DataFrame, duration: float | None = None, anchor: str = "spikes", explicit: tuple[float, float] | None = None, segments: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """A window in each trial, inside the trial and inside all `segments(dataset, trial, seg_start, seg_end)` of its methods.
+
+    Either the explicit one, clamped, or one of `duration` that begins at the start or is centred at the median event (spikes; at
+    the middle without events) or at the middle. What is empty after clamping drops out, or with `strict` is an error.
+    """
+    b = bounds(samples)
+    if segments is not None:
+        common = segments.groupBy(*TRIAL).agg(F.max("seg_start").alias("_a"), F.min("seg_end").alias("_z"))
+        b = b.join(common, list(TRIAL), "left").select(*TRIAL, F.greatest("first_t", "_a").alias("first_t"), F.least("last_t", "_z").alias("last_t"))
+    if explicit is not None:
+        out = b.select(*TRIAL, F.greatest(F.lit(float(explicit[0])), "first_t").alias("start_s"), F.least(F.lit(float(explicit[1])), "last_t").alias("end_s"))
+    else:
+        middle = (F.col("first_t") + F.col("last_t")) / 2
+        if anchor == "spikes":
+            mid = spikes.groupBy(*TRIAL).agg(F.percentile("s", F.lit(0.5)).alias("mid"))
+            b = b.join(mid, list(TRIAL), "left").withColumn("mid", F.coalesce("mid", middle))
+        else:
+            b = b.withColumn("mid", F.col("first_t") + duration / 2 if anchor == "start" else middle)
+        start = F.greatest(F.least(F.col("mid") - duration / 2, F.col("last_t") - duration), F.col("first_t"))
+        out = b.select(*TRIAL, start.alias("start_s"), F.least(start + duration, F.col("last_t")).alias("end_s"))
+    return out.withColumn("end_s", strictly(F.col("end_s") <= F.col("start_s"), F.col("end_s"), "the snippet is empty", strict)).where("end_s > start_s")

@@ -219,10 +219,31 @@ def remap_timebase(samples: DataFrame, length: int) -> DataFrame:
     return interpolate(place, points, "q").select(*TRIAL, "k", F.col("y").alias("t"))
 
 
-def fourier_resample(wide: DataFrame, fs: float, target: float) -> DataFrame:
-    """Band-limited resampling of array rows to round(n * target / fs) samples; the time axis starts at the first time."""
+def remap_segments(preds: DataFrame, rates: DataFrame, raw: DataFrame) -> DataFrame:
+    """Predictions(dataset, i, t, y) of a dataset with the times of its raw trials(dataset, trial, t array), segment by segment.
 
-    def one(y: np.ndarray) -> np.ndarray:
+    Only where there are as many segments as trials: each segment's samples then take the trial's times by relative position, and
+    `trial` is set. Other datasets keep their times, with a null trial. `rates(dataset, fs)`.
+    """
+    cut = gap_segments(preds.join(rates, "dataset"), by=("dataset",)).drop("fs")
+    n = cut.groupBy("dataset").agg(F.countDistinct("seg").alias("n_seg"))
+    trials = raw.withColumn("seg", F.row_number().over(W.partitionBy("dataset").orderBy("trial")) - 1)
+    trials = trials.withColumn("n_trials", F.count("*").over(W.partitionBy("dataset"))).select("dataset", "trial", "seg", "n_trials", F.col("t").alias("times"))
+    own = W.partitionBy("dataset", "seg")
+    rows = cut.withColumn("k", F.row_number().over(own.orderBy("i")) - 1).withColumn("n", F.count("*").over(own)).join(n, "dataset").join(trials, ["dataset", "seg"], "left")
+    at = F.when(F.col("n") > 1, F.col("k") / (F.col("n") - 1) * (F.size("times") - 1)).otherwise(F.lit(0.0))
+    low, high = F.get("times", F.floor(at).cast("int")), F.get("times", F.ceil(at).cast("int"))
+    fits = F.coalesce(F.col("n_seg") == F.col("n_trials"), F.lit(False))
+    return rows.select("dataset", F.when(fits, F.col("trial")).alias("trial"), "i", F.when(fits, low + (high - low) * (at - F.floor(at))).otherwise(F.col("t")).alias("t"), "y")
+
+
+def fourier_resample(wide: DataFrame, fs: float | None, target: float) -> DataFrame:
+    """Band-limited resampling of array rows to round(n * target / fs) samples; the time axis starts at the first time.
+
+    Without `fs` the rows have it as a column.
+    """
+
+    def one(y: np.ndarray, fs: float) -> np.ndarray:
         n, m = len(y), int(round(len(y) * target / fs))
         if n == 0 or m == 0:
             return np.zeros(0)
@@ -237,7 +258,7 @@ def fourier_resample(wide: DataFrame, fs: float, target: float) -> DataFrame:
 
     def run(frames):
         for f in frames:
-            f["y"] = [one(np.asarray(y, dtype=float)).tolist() for y in f["y"]]
+            f["y"] = [one(np.asarray(y, dtype=float), x).tolist() for y, x in zip(f["y"], [fs] * len(f) if fs is not None else f["fs"])]
             f["t"] = [(t[0] + np.arange(len(y)) / target).tolist() if len(y) else [] for t, y in zip(f["t"], f["y"])]
             yield f
 

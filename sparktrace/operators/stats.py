@@ -213,6 +213,13 @@ def posterior_mean_std(posterior: DataFrame, burn_in: int) -> DataFrame:
     return retained(posterior, burn_in).groupBy("tag", "bin").agg(*of).withColumn("reconstruction", F.col("c_mean") + F.col("b_mean"))
 
 
+def posterior_param_mean(params: DataFrame, burn_in: int, names: list[str]) -> DataFrame:
+    """Mean of each parameter of `params(tag, sample, ...)` from the burn-in on; one that is negative or above the number of samples counts as 0."""
+    rows = params.withColumn("_n", F.count("*").over(W.partitionBy("tag"))).withColumn("_k", F.row_number().over(W.partitionBy("tag").orderBy("sample")) - 1)
+    start = F.when((F.lit(burn_in) < 0) | (F.lit(burn_in) > F.col("_n")), 0).otherwise(F.lit(burn_in))
+    return rows.where(F.col("_k") >= start).groupBy("tag").agg(*[F.avg(c).alias(c) for c in names])
+
+
 def map_sample(logp: DataFrame, burn_in: int) -> DataFrame:
     """The retained sample of greatest log-probability, the first of equals."""
     r = F.row_number().over(W.partitionBy("tag").orderBy(F.desc("logp"), "sample"))
@@ -272,8 +279,17 @@ def noise_histogram(levels: DataFrame, bins: int = 100) -> DataFrame:
 
 
 def shared_window(bounds: DataFrame, by: list[str]) -> DataFrame:
-    """Latest start and earliest end of two or more runs; none if they do not meet."""
-    return bounds.groupBy(*by).agg(F.max("first_t").alias("start_s"), F.min("last_t").alias("end_s"), F.count("*").alias("runs")).where("runs >= 2 and end_s > start_s")
+    """Latest start and earliest end of two or more runs; none if they do not meet. Where `bounds` has them, with warnings:
+
+    `clipped`: a run reaches beyond the window; `iterations`: runs(iterations) differ in their number; `disjoint`: runs(names array) share no name.
+    """
+    more = {}
+    if "iterations" in bounds.columns:
+        more["iterations"] = F.countDistinct("iterations") > 1
+    if "names" in bounds.columns:
+        more["disjoint"] = F.size(F.aggregate(F.collect_list("names"), F.first("names"), F.array_intersect)) == 0
+    out = bounds.groupBy(*by).agg(F.max("first_t").alias("start_s"), F.min("last_t").alias("end_s"), F.count("*").alias("runs"), ((F.min("first_t") < F.max("first_t")) | (F.max("last_t") > F.min("last_t"))).alias("clipped"), *[c.alias(k) for k, c in more.items()])
+    return out.where("runs >= 2 and end_s > start_s")
 
 
 def representative_trial(scores: DataFrame, by: list[str]) -> DataFrame:

@@ -5,66 +5,117 @@ from __future__ import annotations
 import traceback
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparktrace.operators import series
+from sparktrace.operators import match, reshape, series, stats
+from sparktrace.operators.stats import sorted_quantile
 
 TRIAL = ["dataset", "trial"]
 
 
+def uniform(seed: int, *keys) -> Column:
+    """Number in (0, 1) fixed by the seed and the keys, so that a task that runs again draws the same: from their MD5."""
+    text = F.md5(F.concat_ws(":", F.lit(str(seed)), *[(F.col(k) if isinstance(k, str) else k).cast("string") for k in keys]))
+    return (F.conv(F.substring(text, 1, 12), 16, 10).cast("long") + 0.5) / float(1 << 48)
+
+
 def hashed_normal(*keys, seed: int) -> Column:
-    """Standard normal number fixed by keys and seed, so that a task that runs again draws the same."""
-    u = lambda s: (F.pmod(F.xxhash64(F.lit(s), *keys), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return F.sqrt(-2 * F.log(u(seed))) * F.cos(2 * 3.141592653589793 * u(seed + 1))
+    """Standard normal number fixed by seed and keys."""
+    return F.sqrt(-2 * F.log(uniform(seed, *keys))) * F.cos(2 * 3.141592653589793 * uniform(seed + 1, *keys))
+
+
+def once(value: Column, body) -> Column:
+    """`body(v)` with `v` bound to `value`, which is evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def median_step(values: Column) -> Column:
+    """Median absolute difference of consecutive values of an array."""
+    steps = F.zip_with(F.slice(values, 2, F.size(values)), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), lambda b, a: F.abs(b - a))
+    return once(F.array_sort(steps), lambda o: sorted_quantile(o, 0.5))
+
+
+def calibrate_noise(frames: DataFrame, fs: float, target: float, levels: int = 20, most: int = 500, rows: float = 8e5, replicas: bool = True, seed: int = 1) -> DataFrame:
+    """Per trial: base noise, the deviation `added` that reaches the target noise, and the number of noisy replicas.
+
+    Normal noise of level / 100 sqrt(fs) is added at each level, the noise measured and the level interpolated at the target; null where the
+    levels do not reach it. Replicas are min(most, ceil(1.2 (target / base)^2)), one with `replicas` off, none where the base is above the
+    target; and so few that the replicas of a dataset's trials, as long as this one, stay within `rows` samples.
+    """
+    root = fs**0.5
+    per = frames.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("a")).withColumn("trials", F.count("*").over(W.partitionBy("dataset")))
+
+    def at(level: Column) -> Column:
+        noisy = F.transform("a", lambda p: p["y"] + level / 100 * root * hashed_normal("dataset", "trial", p["i"], level, seed=seed))
+        return once(noisy, median_step) * 100 / root
 
+    n = per.select(*TRIAL, "trials", F.size("a").alias("n"), F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at).alias("noise")).withColumn("base", F.get("noise", 0))
+    found = F.get(F.filter(F.transform("noise", lambda x, i: F.when((x <= target) & (F.get("noise", i + 1) > target), i + (target - x) / (F.get("noise", i + 1) - x))), lambda x: x.isNotNull()), 0)
+    copies = F.least(F.lit(most), F.ceil(1.2 * F.pow(target / F.col("base"), 2))) if replicas else F.lit(1)
+    copies = F.when(F.col("base") > target, 0).otherwise(copies)
+    fitting = F.floor(F.floor(F.least(F.lit(float(rows)), F.col("trials") * F.col("n") * copies) / F.col("n")) / F.col("trials"))
+    return n.select(*TRIAL, "base", fitting.cast("long").alias("replicas"), F.when(F.col("base") <= target, found / 100 * root).alias("added"))
 
-def calibrate_noise(frames: DataFrame, fs: float, target: float, top: float = 20.0, levels: int = 20, most: int = 500, seed: int = 1) -> DataFrame:
-    """Per trial: base noise, the added level that reaches the target, and replicas min(most, ceil(1.2 (target / base)^2)).
 
-    Levels 0 to `top` / 100 are added, their noise measured and the level interpolated; no replicas where the base is above.
+def noisy_replicas(frames: DataFrame, spikes: DataFrame, calibration: DataFrame, fs: float, target_fs: float, seed: int = 2) -> DataFrame:
+    """Each trial repeated with noise of the calibrated deviation, scaled by sqrt(|y + 1|) over its median, and `events` beside it: those
+    around each time. Trials are first resampled, and the noise scaled by the root of the ratio, where the rates differ by more than 5 %.
+    """
+    scale = 1.0
+    if abs(target_fs - fs) / fs > 0.05:
+        wide = frames.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", "t", "y"))).alias("a")).select(*TRIAL, F.col("a.t").alias("t"), F.col("a.y").alias("y"))
+        frames = series.fourier_resample(wide, fs, target_fs).select(*TRIAL, F.posexplode(F.arrays_zip("t", "y")).alias("i", "p")).select(*TRIAL, "i", "p.t", "p.y")
+        scale, fs = (target_fs / fs) ** 0.5, target_fs
+    events = stats.frame_histogram(frames, spikes, 1.0 / fs).withColumnRenamed("n", "events")
+    c = calibration.where("replicas > 0 and added is not null").select(*TRIAL, (F.col("added") * scale).alias("added"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("replicas"))).alias("replica"))
+    level = F.sqrt(F.abs(F.col("y") + 1))
+    shot = frames.groupBy(*TRIAL).agg(F.median(level).alias("shot"))
+    rows = frames.join(events, [*TRIAL, "i"]).join(shot, TRIAL).join(c, TRIAL)
+    return rows.withColumn("y", F.col("y") + F.col("added") * level / F.col("shot") * hashed_normal(*TRIAL, "i", "replica", seed=seed)).drop("shot", "added")
+
+
+def balanced_training_set(frames: DataFrame, events: str, width: int, rows: float = 15e6, kept: int = 5_000_000, smooth: float = 2.0, causal_fs: float | None = None, seed: int = 3, leave_out: tuple = ()) -> DataFrame:
+    """Windows of `width` values with the label at their centre, in random order, `kept` at most.
+
+    The label is the column `events` of counts, smoothed by a Gaussian of `smooth` samples or, with `causal_fs`, by the causal kernel. If
+    a dataset has more than its share of `rows`, each keeps a random 1 / max(f, 1) of its windows, f being its rows over that share.
+    Windows without a label are dropped. `leave_out`: datasets that are not used.
     """
-    step = frames.select(*TRIAL, "i", "y", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")).withColumn("sd", F.col("level") * (top / 100 / (levels - 1)))
-    noisy = step.withColumn("v", F.col("y") + F.col("sd") * hashed_normal(*TRIAL, "i", "level", seed=seed))
-    d = noisy.withColumn("d", F.abs(F.col("v") - F.lag("v").over(W.partitionBy(*TRIAL, "level").orderBy("i"))))
-    n = d.groupBy(*TRIAL, "level").agg(F.max("sd").alias("sd"), (F.median("d") / fs**0.5 * 100).alias("noise"))
-    w = W.partitionBy(*TRIAL).orderBy("level")
-    n = n.withColumn("n1", F.lead("noise").over(w)).withColumn("s1", F.lead("sd").over(w)).withColumn("base", F.first("noise").over(w))
-    hit = n.where((F.col("noise") <= target) & (F.col("n1") > target)).withColumn("r", F.row_number().over(w)).where("r = 1")
-    level = F.col("sd") + (F.col("s1") - F.col("sd")) * (target - F.col("noise")) / (F.col("n1") - F.col("noise"))
-    found = hit.select(*TRIAL, level.alias("added"))
-    copies = F.when(F.col("base") > target, 0).otherwise(F.least(F.lit(most), F.ceil(1.2 * F.pow(target / F.col("base"), 2))))
-    return n.where("level = 0").select(*TRIAL, "base", copies.cast("long").alias("replicas")).join(found, TRIAL, "left")
-
-
-def noisy_replicas(frames: DataFrame, calibration: DataFrame, seed: int = 2) -> DataFrame:
-    """Each trial repeated with noise of the calibrated level, scaled by sqrt(|y + 1|) over its median."""
-    c = calibration.where("replicas > 0 and added is not null").select(*TRIAL, "added", F.explode(F.sequence(F.lit(1).cast("long"), F.col("replicas"))).alias("replica"))
-    shot = frames.groupBy(*TRIAL).agg(F.median(F.sqrt(F.abs(F.col("y") + 1))).alias("shot"))
-    rows = frames.join(shot, TRIAL).join(c, TRIAL)
-    return rows.withColumn("y", F.col("y") + F.col("added") * F.sqrt(F.abs(F.col("y") + 1)) / F.col("shot") * hashed_normal(*TRIAL, "i", "replica", seed=seed)).drop("shot", "added")
-
-
-def balanced_training_set(frames: DataFrame, label: str, width: int, most: float, seed: int = 3, leave_out: tuple = ()) -> DataFrame:
-    """Windows of `width` values with the label at their centre; datasets above their share of `most` rows are thinned by hash."""
-    rows = frames.where(~F.col("dataset").isin(list(leave_out))) if leave_out else frames
-    sizes = rows.groupBy("dataset").agg(F.count("*").alias("n")).withColumn("sets", F.count("*").over(W.partitionBy(F.lit(1))))
-    f = F.greatest(F.col("n") * F.col("sets") / most, F.lit(1.0))
-    cut = series.sliding_frames(rows, width, 0.5).where(F.col("frame").isNotNull() & F.col(label).isNotNull())
-    draw = F.pmod(F.xxhash64(F.lit(seed), *TRIAL, "i"), F.lit(1_000_000)) / 1e6
-    return cut.join(F.broadcast(sizes.select("dataset", f.alias("f"))), "dataset").where(draw < 1 / F.col("f")).select(*TRIAL, "i", "frame", label)
-
-
-def segment_training_set(frames: DataFrame, spikes: DataFrame, fs: float, width: int = 96, trim: float = 0.5, most: int = 5) -> DataFrame:
-    """Trials without half a second at each end, cut to windows of `width`, with classes min(count, most) of their events."""
+    rows_ = frames.where(~F.col("dataset").isin(list(leave_out))) if leave_out else frames
+    if causal_fs is None:
+        label = series.smooth_rows(rows_.withColumn("k", F.col("i")), TRIAL, smooth, events, edges="constant").select(*TRIAL, F.col("k").alias("i"), F.col(events).alias("label"))
+    else:
+        wide = rows_.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", F.col(events).cast("double").alias("y")))).alias("a")).select(*TRIAL, F.col("a.y").alias("y"))
+        label = series.causal_smooth(wide, causal_fs).select(*TRIAL, F.posexplode("y").alias("i", "label"))
+    sizes = rows_.groupBy("dataset").agg(F.count("*").alias("n")).withColumn("sets", F.count("*").over(W.partitionBy(F.lit(1))))
+    f = sizes.select("dataset", F.greatest(F.col("n") * F.col("sets") / rows, F.lit(1.0)).alias("f"))
+    cut = series.sliding_frames(rows_, width, 0.5).where("frame is not null").join(label, [*TRIAL, "i"]).where("label is not null and not isnan(label)")
+    share = cut.join(F.broadcast(f), "dataset").where(uniform(seed, *TRIAL, "i") < 1 / F.col("f"))
+    return share.withColumn("_o", uniform(seed + 1, *TRIAL, "i")).orderBy("_o", *TRIAL, "i").limit(kept).select(*TRIAL, "i", "frame", "label")
+
+
+def segment_training_set(frames: DataFrame, spikes: DataFrame, fs: float, width: int = 96, trim: float = 0.5, most: int = 5, smooth: float = 0.0) -> DataFrame:
+    """Trials without half a second at each end, cut to windows of `width`: the values, classes min(count, most) of their events and, with
+    `smooth` samples of a Gaussian, the smoothed rate."""
     b = frames.groupBy(*TRIAL).agg((F.min("t") + trim).alias("a"), (F.max("t") - trim).alias("z"))
     inner = frames.join(b, TRIAL).where("t >= a and t <= z").withColumn("i", F.row_number().over(W.partitionBy(*TRIAL).orderBy("t")) - 1)
     hit = spikes.join(b, TRIAL).where("s >= a and s <= z").groupBy(*TRIAL, F.floor((F.col("s") - F.col("a")) * fs).cast("int").alias("i")).count()
-    rows = inner.join(hit, [*TRIAL, "i"], "left").withColumn("c", F.least(F.coalesce("count", F.lit(0)), F.lit(most)))
-    parts = rows.groupBy(*TRIAL, F.floor(F.col("i") / width).alias("part")).agg(F.sort_array(F.collect_list(F.struct("i", "y", "c"))).alias("a"))
-    return parts.where(F.size("a") == width).select(*TRIAL, "part", F.col("a.y").alias("frame"), F.col("a.c").alias("classes"))
+    rows = inner.join(hit, [*TRIAL, "i"], "left").withColumn("n", F.coalesce("count", F.lit(0))).withColumn("c", F.least("n", F.lit(most)))
+    rate = series.smooth_rows(rows.select(*TRIAL, F.col("i").alias("k"), "n"), TRIAL, smooth, "n", edges="constant").select(*TRIAL, F.col("k").alias("i"), F.col("n").alias("rate"))
+    rows = rows.join(rate, [*TRIAL, "i"])
+    parts = rows.groupBy(*TRIAL, F.floor(F.col("i") / width).alias("part")).agg(F.sort_array(F.collect_list(F.struct("i", "y", "c", "rate"))).alias("a"))
+    return parts.where(F.size("a") == width).select(*TRIAL, "part", F.col("a.y").alias("frame"), F.col("a.c").alias("classes"), F.col("a.rate").alias("rates"))
+
+
+def segment_statistics(segments: DataFrame) -> DataFrame:
+    """Per dataset: segments, samples, events, mean and deviation of the values of all its segments."""
+    rows = segments.select("dataset", F.inline(F.arrays_zip(F.col("frame").alias("y"), F.col("classes").alias("c"))))
+    n = segments.groupBy("dataset").agg(F.count("*").alias("segments"))
+    return rows.groupBy("dataset").agg(F.count("*").alias("samples"), F.sum("c").cast("long").alias("events"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")).join(n, "dataset")
 
 
 def run_methods(wide: DataFrame, methods: dict[str, Callable], done: DataFrame | None = None) -> DataFrame:
@@ -92,9 +143,44 @@ def run_methods(wide: DataFrame, methods: dict[str, Callable], done: DataFrame |
 
 
 def ensemble_score(frames: DataFrame, weights: DataFrame) -> DataFrame:
-    """Mean over an ensemble's linear members of the dot product with each frame; negative rates become 0.
+    """Mean over an ensemble's linear members of the dot product with each frame.
 
     `weights(noise_level, member, w array)` go to frames of their noise level.
     """
     dot = F.aggregate(F.zip_with("frame", "w", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return frames.join(F.broadcast(weights), "noise_level").groupBy(*TRIAL, "i").agg(F.greatest(F.avg(dot), F.lit(0.0)).alias("rate"))
+    return frames.join(weights, "noise_level").groupBy(*TRIAL, "i").agg(F.avg(dot).alias("y"))
+
+
+def predict(samples: DataFrame, noise: DataFrame, members: DataFrame, width: int, before: float, scorer: Callable | None = None, threshold: int | None = None, peak: float = 0.0, reach: int = 2, pad: float | None = None) -> DataFrame:
+    """Rates of trials by the ensemble for their noise: dataset, trial, i, y.
+
+    Trials are routed by noise(dataset, trial, noise) to the noise levels of members(model, noise_level, member, w array); each member
+    scores each frame of `width` samples; the mean over members is thresholded, and the edges without a whole frame become `pad`.
+    `scorer(batch, w)` scores a batch of frames with a member's weights, a row each; without one it is the dot product.
+    """
+    levels = members.select("model", "noise_level").distinct()
+    routed = match.route_by_noise(noise, levels).select(*TRIAL, "noise_level")
+    frames = series.sliding_frames(samples, width, before)
+    whole = frames.where("frame is not null").join(routed, TRIAL)
+    weights = members.select("noise_level", "member", "w")
+    if scorer is None:
+        rates = ensemble_score(whole, weights)
+    else:
+        both = whole.join(weights, "noise_level").select(*TRIAL, "i", "frame", "w")
+
+        def run(batches):
+            for f in batches:
+                f = f.reset_index(drop=True)
+                score = np.zeros(len(f))
+                for _, rows in f.groupby(f["w"].map(tuple), sort=False):
+                    score[rows.index] = scorer(np.stack(rows["frame"]), np.asarray(rows["w"].iloc[0], dtype=float))
+                yield f[[*TRIAL, "i"]].assign(score=score)
+
+        kinds = dict(both.dtypes)
+        scored = both.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*TRIAL, "i")) + ", score double")
+        rates = scored.groupBy(*TRIAL, "i").agg(F.avg("score").alias("y"))
+    rates = reshape.threshold_rates(rates, threshold, peak, reach)
+    if pad is None:
+        return rates.select(*TRIAL, "i", "y")
+    every = samples.select(*TRIAL, "i").join(routed.select(*TRIAL), TRIAL, "left_semi").join(rates, [*TRIAL, "i"], "left")
+    return every.select(*TRIAL, "i", F.coalesce("y", F.lit(float(pad))).alias("y"))

@@ -1,10 +1,14 @@
 """Queries of reports, rankings, upserts, catalogues and training sets."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.functions import text as X
+from sparktrace.operators import match as M
 from sparktrace.operators import report as P
+from sparktrace.operators import reshape as R
 from sparktrace.operators import series as S
+from sparktrace.operators import stats as D
 from sparktrace.operators import train as K
 from sparktrace.plans.registry import add
 from sparktrace.plans.reshape_plans import MODEL_SQL, named
@@ -17,8 +21,12 @@ add("d25_corr_vs_sigma_by_dataset", lambda t: P.corr_vs_sigma(t.trialwise, ["met
 add("d26_rank_series_at_anchor", lambda t: P.rank_at_anchor(P.corr_vs_sigma(t.trialwise, ["method", "run"]), ["method", "run"], 35.0), "trialwise",
     """WITH c AS (SELECT method, run, corr_sigma_ms AS x, avg(correlation) AS m FROM trialwise WHERE correlation IS NOT NULL GROUP BY ALL), y AS (SELECT a.method, a.run, a.m + (b.m - a.m)*5/10e0 AS score FROM c a JOIN c b ON a.method = b.method AND a.run = b.run AND a.x = 30 AND b.x = 40)
        SELECT method, run, round(score, 6) AS score, row_number() OVER (ORDER BY score DESC, method, run) AS place FROM y""")
-add("d27_score_distribution", lambda t: P.score_distribution(t.trialwise, ["method"], 30.0), "trialwise",
-    "SELECT method, smoothing, count(*) AS n, " + ", ".join(f"round(quantile_cont(correlation, {q / 100}), 6) AS p{q}" for q in (5, 25, 50, 75, 95)) + " FROM trialwise WHERE correlation IS NOT NULL AND corr_sigma_ms = 30 GROUP BY method, smoothing")
+PCT = ", ".join(f"round(quantile_cont(correlation, {q / 100}), 6) AS p{q}" for q in (5, 25, 50, 75, 95))
+DIS = "WITH r AS ({0}), pl AS (SELECT method, row_number() OVER (ORDER BY median(correlation) DESC, method) AS place FROM r GROUP BY method) SELECT r.method, smoothing, count(*) AS n, " + PCT + ", any_value(place) AS place FROM r JOIN pl ON pl.method = r.method GROUP BY r.method, smoothing"
+add("d27_score_distribution", lambda t: P.score_distribution(t.trialwise, ["method"], 30.0), "trialwise", DIS.format("SELECT * FROM trialwise WHERE correlation IS NOT NULL AND corr_sigma_ms = 30"))
+add("d27_score_distribution_by_dataset", lambda t: P.score_distribution(t.trialwise, ["method"], 30.0, "dataset"), "trialwise", DIS.format("SELECT method, smoothing, dataset, avg(correlation) AS correlation FROM trialwise WHERE correlation IS NOT NULL AND corr_sigma_ms = 30 GROUP BY ALL"))
+add("d26_series_labels", lambda t: P.series_labels(t.trialwise.groupBy("method", "run").agg(F.count("*").alias("n")).where("not (method = 'cnn' and run <> 'A')"), "method", "run").select("method", "run", "shown"), "trialwise",
+    "WITH m AS (SELECT DISTINCT method, run FROM trialwise WHERE NOT (method = 'cnn' AND run <> 'A')) SELECT method, run, CASE WHEN count(*) OVER (PARTITION BY method) > 1 THEN method || ' (' || run || ')' ELSE method END AS shown FROM m")
 add("d28_run_dotplot_stats", lambda t: P.dotplot_stats(t.trialwise, ["run", "method", "smoothing"]), "trialwise",
     "SELECT run, method, smoothing, count(*) AS n, round(median(correlation), 6) AS median, round(quantile_cont(correlation, 0.25), 6) AS q1, round(quantile_cont(correlation, 0.75), 6) AS q3 FROM trialwise WHERE correlation IS NOT NULL GROUP BY ALL")
 add("d29_directory_eval", lambda t: P.directory_eval(t.trialwise, "dataset"), "trialwise",
@@ -31,7 +39,8 @@ def models(t):
 
 
 MODELS = f"md AS (SELECT p_partkey, {MODEL_SQL} AS name, CASE WHEN p_partkey % 13 <> 0 THEN (p_retailprice % 97)/97 END AS score, p_partkey % 9 <> 0 AS ok, CAST(p_size AS DOUBLE) AS k, CAST(p_partkey % 30 AS DOUBLE) AS rate, p_size % 5 + (p_partkey % 10)/10e0 AS smooth, (p_partkey % 7)/10e0 AS duty FROM part)"
-add("d30_leaderboard", lambda t: P.leaderboard(models(t), "name", "score").select("name", "score", "k", "rate"), "", f"WITH {MODELS} SELECT name, round(score, 6) AS score, k, rate FROM md WHERE ok ORDER BY md.score DESC NULLS LAST, name LIMIT 10")
+add("d30_leaderboard", lambda t: P.leaderboard(models(t), "name", "score").select("name", "score", "k", "rate", "baseline"), "",
+    f"WITH {MODELS}, a AS (SELECT name, round(score, 6) AS score, k, rate, false AS baseline FROM md WHERE ok ORDER BY md.score DESC NULLS LAST, name LIMIT 10), b AS (SELECT name, round(score, 6) AS score, CAST(NULL AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS rate, true AS baseline FROM md WHERE NOT ok ORDER BY name LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b")
 
 
 def parsed(t):
@@ -40,16 +49,41 @@ def parsed(t):
 
 add("d31_sweep_heatmap", lambda t: P.sweep_heatmap(parsed(t), "p_partkey", [0.1, 0.3, 0.5]).withColumnsRenamed({"0.1": "duty_1", "0.3": "duty_3", "0.5": "duty_5"}), "",
     f"WITH {MODELS} SELECT k, rate, round(smooth, 6) AS smooth, " + ", ".join(f"round(arg_max_null(score, p_partkey) FILTER (duty = {d}), 6) AS duty_{str(d)[-1]}" for d in (0.1, 0.3, 0.5)) + " FROM md WHERE ok GROUP BY k, rate, md.smooth")
-add("d32_best_by_k", lambda t: P.best_by_k(parsed(t)), "", f"WITH {MODELS} SELECT k, round(max(score), 6) AS best, round(median(score), 6) AS median, count(*) AS n FROM md WHERE ok GROUP BY k")
+def baselines(t):
+    """The unparsed models; every fourth records a rate that is not its folder's."""
+    return models(t).where("name like 'baseline%'").select("score", F.when(F.col("p_partkey") % 4 == 0, 10.0).otherwise(30.0).alias("rate"), F.lit(30.0).alias("folder_rate"))
+
+
+add("d32_best_by_k", lambda t: P.best_by_k(parsed(t), baselines(t)), "",
+    f"WITH {MODELS} SELECT k, round(max(score), 6) AS best, round(median(score), 6) AS median, count(*) AS n, (SELECT round(max(score), 6) FROM md WHERE NOT ok AND p_partkey % 4 <> 0) AS baseline FROM md WHERE ok GROUP BY k")
 add("d33_timing_summary", lambda t: P.timing_summary(t.read("orders").select(F.col("o_orderpriority").alias("backend"), (F.col("o_totalprice") / 1000).alias("seconds")), "5-LOW"), "",
     """WITH p AS (SELECT o_orderpriority AS backend, count(*) AS n, avg(o_totalprice/1000) AS mean, median(o_totalprice/1000) AS median, min(o_totalprice/1000) AS min, max(o_totalprice/1000) AS max, CASE WHEN count(*) > 1 THEN stddev_pop(o_totalprice/1000) ELSE 0 END AS std FROM orders GROUP BY ALL)
        SELECT backend, n, round(mean, 6) AS mean, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, round(std, 6) AS std, round((SELECT mean FROM p WHERE backend = '5-LOW')/mean, 6) AS speed_up FROM p""")
-add("d42_import_reconciliation", lambda t: P.status_counts(t.read("orders"), ["o_orderstatus"], F.when(F.col("o_custkey") % 5 == 0, "missing epoch").when(F.col("o_custkey") % 7 == 0, "skipped existing").otherwise("imported")), "",
-    "SELECT o_orderstatus, CASE WHEN o_custkey % 5 = 0 THEN 'missing epoch' WHEN o_custkey % 7 = 0 THEN 'skipped existing' ELSE 'imported' END AS status, count(*) AS n FROM orders GROUP BY ALL")
+
+
+def imports(t):
+    """Counts of the status of tags of the suppliers: with and without an epoch of their own, artefacts and results."""
+    s = t.read("supplier")
+    stem = F.format_string("rec%d", F.col("s_nationkey"))
+    entries = s.select(F.concat(stem, F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("_epoch"), (F.col("s_suppkey") % 5 + 1).cast("string"))).otherwise(F.lit("_run")), F.lit("_s1_ms2_id"), F.col("s_suppkey").cast("string")).alias("tag"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 4).alias("trial"))
+    nations = s.select("s_nationkey", stem.alias("stem")).distinct().where("s_nationkey % 6 <> 5")
+    epochs = nations.select("stem", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("e")).select(F.concat("stem", F.lit("_epoch"), F.col("e").cast("string")).alias("epoch"))
+    sets = entries.where(~F.col("tag").endswith("7")).select("tag", F.lit("p").alias("parent"))
+    return P.status_counts(M.reconcile(entries, epochs, nations, sets, epochs.where(F.col("epoch").endswith("2"))), [], F.col("status"))
+
+
+add("d42_import_reconciliation", imports, "",
+    """WITH e AS (SELECT s_suppkey AS k, s_nationkey AS n, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 + 1 END AS own, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 4 + 1 ELSE 1 END AS mapped FROM supplier),
+       v AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_nationkey % 6 <> 5),
+       st AS (SELECT e.k, e.n, v.n IS NOT NULL AND own BETWEEN 1 AND 3 AS direct, (SELECT max(m.n) FROM v m WHERE starts_with('rec' || e.n, 'rec' || m.n)) AS stem, own, mapped FROM e LEFT JOIN v ON v.n = e.n),
+       f AS (SELECT *, CASE WHEN direct THEN own WHEN stem IS NOT NULL THEN CASE WHEN mapped <= 3 THEN mapped ELSE 1 END END AS epoch FROM st)
+       SELECT CASE WHEN epoch IS NULL THEN 'missing epoch' WHEN k % 10 = 7 THEN 'missing outputs' WHEN epoch = 2 THEN 'skipped existing' WHEN NOT coalesce(direct, false) THEN 'remapped' ELSE 'imported' END AS status, count(*) AS n FROM f GROUP BY ALL""")
 add("f1_latest_per_key", lambda t: P.latest_per_key(t.read("orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", F.col("o_orderdate"), "o_orderkey").select("o_custkey", "o_orderkey"), "",
     "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
-add("f3_top_models", lambda t: t.read("part").orderBy(F.desc("p_retailprice"), "p_partkey").limit(10).select("p_partkey", "p_retailprice"), "", "SELECT p_partkey, round(p_retailprice, 6) AS p_retailprice FROM part ORDER BY part.p_retailprice DESC, p_partkey LIMIT 10")
-add("f4_seeded_subset", lambda t: P.seeded_subset(t.read("part").select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 0.25, 123))
+add("f3_top_datasets", lambda t: R.select_datasets(t.samples, 4), "samples", "SELECT DISTINCT dataset FROM samples ORDER BY dataset LIMIT 4")
+add("f3_top_models", lambda t: P.leaderboard(models(t), "name", "score", 3).where("not baseline").select("name", "score"), "", f"WITH {MODELS} SELECT name, round(score, 6) AS score FROM md WHERE ok ORDER BY md.score DESC NULLS LAST, name LIMIT 3")
+add("f4_seeded_subset", lambda t: P.seeded_subset(t.read("part").select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 0.25, 123), "",
+    "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5('123:' || p_partkey), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE r <= greatest(1, ceil(n*0.25e0))")
 add("f5_rank_methods", lambda t: P.rank(t.trialwise.groupBy("run", "dataset", "method").agg(F.avg("correlation").alias("score")), "score", ["method"], ["run", "dataset"]).drop("score"), "trialwise",
     "SELECT run, dataset, method, row_number() OVER (PARTITION BY run, dataset ORDER BY s DESC NULLS LAST, method) AS place FROM (SELECT run, dataset, method, avg(correlation) AS s FROM trialwise GROUP BY ALL)")
 
@@ -66,31 +100,66 @@ add("g2_union_run_families", lambda t: P.union_families(t.trialwise.where("metho
 
 
 def summary(t, methods):
-    m = t.trialwise.where(F.col("method").isin(methods) & F.col("correlation").isNotNull()).groupBy("dataset", "method").agg(F.max("correlation").alias("v"))
-    return m.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("method", "v"))).alias("correlations"))
+    """Per dataset: correlation and trial-wise correlations by method, and windows of the number of methods."""
+    m = t.trialwise.where(F.col("method").isin(methods) & F.col("correlation").isNotNull()).groupBy("dataset", "method").agg(F.max("correlation").alias("v"), F.count("*").alias("n"))
+    pairs = F.collect_list(F.struct("method", "v")), F.collect_list(F.struct("method", F.array("v", F.col("n").cast("double"))))
+    return m.groupBy("dataset").agg(F.map_from_entries(pairs[0]).alias("correlations"), F.map_from_entries(pairs[1]).alias("trialwise"), F.array(F.count("*")).alias("windows"))
+
 
+def upserted(t):
+    new = summary(t, ["unet", "cnn"]).where("dataset % 3 <> 0").withColumn("correlations", F.transform_values("correlations", lambda k, v: v + 1))
+    out = P.upsert_summary(summary(t, ["sampler", "unet"]), new, "dataset")
+    return out.select("dataset", F.explode("correlations").alias("method", "v"), "trialwise", "windows").select("dataset", "method", "v", F.get(F.element_at("trialwise", F.col("method")), 1).alias("n"), F.get("windows", 0).alias("w"))
 
-add("g3_upsert_summary", lambda t: P.upsert_summary(summary(t, ["sampler", "unet"]), summary(t, ["unet", "cnn"]).withColumn("correlations", F.transform_values("correlations", lambda k, v: v + 1)), "dataset").select("dataset", F.explode("correlations").alias("method", "v")), "trialwise",
-    "SELECT dataset, method, round(max(correlation) + CASE WHEN method = 'sampler' THEN 0 ELSE 1 END, 6) AS v FROM trialwise WHERE correlation IS NOT NULL GROUP BY dataset, method")
+
+add("g3_upsert_summary", upserted, "trialwise",
+    """WITH m AS (SELECT dataset, method, max(correlation) AS v, count(*) AS n FROM trialwise WHERE correlation IS NOT NULL GROUP BY ALL), o AS (SELECT dataset, method, v, n, count(*) OVER (PARTITION BY dataset) AS w FROM m WHERE method IN ('sampler', 'unet')),
+       nw AS (SELECT dataset, method, v + 1 AS v, n, count(*) OVER (PARTITION BY dataset) AS w FROM m WHERE method IN ('unet', 'cnn') AND dataset % 3 <> 0),
+       a AS (SELECT * FROM nw UNION ALL SELECT * FROM o WHERE NOT EXISTS (SELECT 1 FROM nw WHERE nw.dataset = o.dataset AND nw.method = o.method))
+       SELECT a.dataset, method, round(v, 6) AS v, CAST(n AS DOUBLE) AS n, coalesce((SELECT max(w) FROM nw WHERE nw.dataset = a.dataset), w) AS w FROM a""")
 add("g4_ordered_distinct", lambda t: P.ordered_distinct(t.read("part"), "p_name", "p_partkey"), "", "SELECT trim(p_name) AS token, min(p_partkey) AS first FROM part WHERE trim(p_name) <> '' GROUP BY ALL")
-add("g5_upsert_method_entry", lambda t: P.upsert(t.read("orders").where("o_orderkey % 2 = 0").select("o_custkey", F.col("o_orderstatus").alias("method"), "o_orderkey"), t.read("orders").where("o_orderkey % 2 = 1").select("o_custkey", F.col("o_orderstatus").alias("method"), "o_orderkey"), ["o_custkey", "method"], "o_orderkey"), "",
-    "SELECT o_custkey, o_orderstatus AS method, coalesce(max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END), max(o_orderkey)) AS o_orderkey FROM orders GROUP BY ALL")
+
+
+def method_entries(t):
+    """Of every customer the order statuses as methods: old entries by priority, new ones with a key of their config."""
+    rows = t.read("orders").select("o_custkey", F.col("o_orderstatus").alias("method"), F.col("o_orderkey").alias("place"), F.create_map(F.lit("total"), F.col("o_totalprice").cast("string")).alias("config"))
+    rows = rows.withColumn("cache_key", X.config_signature(F.col("config")))
+    return P.upsert_method_entries(rows.where("place % 4 <> 1"), rows.where("place % 4 = 1"), ["o_custkey"])
+
+
+ENTRY = """o AS (SELECT o_custkey, o_orderstatus AS method, o_orderkey AS place FROM orders WHERE o_orderkey % 4 <> 1), n0 AS (SELECT o_custkey, o_orderstatus AS method, max(o_orderkey) AS place FROM orders WHERE o_orderkey % 4 = 1 GROUP BY ALL),
+  n AS (SELECT n0.o_custkey, n0.method, coalesce((SELECT min(o.place) FROM o WHERE o.o_custkey = n0.o_custkey AND o.method = n0.method), coalesce((SELECT max(o.place) FROM o WHERE o.o_custkey = n0.o_custkey), -1) + 1 + n0.place) AS place, n0.place AS src FROM n0),
+  en AS (SELECT o.o_custkey, o.method, o.place, o.place AS src FROM o WHERE NOT EXISTS (SELECT 1 FROM n0 WHERE n0.o_custkey = o.o_custkey AND n0.method = o.method) UNION ALL SELECT * FROM n)"""
+add("g5_upsert_method_entry", lambda t: method_entries(t)[0].select("o_custkey", "method", "place", "cache_key"), "",
+    f"""WITH {ENTRY} SELECT en.o_custkey, method, place, substr(sha256('{{"total":"' || CAST(o_totalprice AS VARCHAR) || '"}}'), 1, 16) AS cache_key FROM en JOIN orders ON o_orderkey = src""")
+add("g5_methods_run", lambda t: method_entries(t)[1].select("o_custkey", F.array_join("methods_run", ",").alias("methods")), "",
+    f"WITH {ENTRY} SELECT o_custkey, string_agg(method, ',' ORDER BY place, method) AS methods FROM (SELECT o_custkey, method, min(place) AS place FROM en GROUP BY ALL) GROUP BY ALL")
 add("g6_union_method_outputs", lambda t: t.preds.where("method = 'unet'").unionByName(t.preds.where("method = 'unet'").withColumn("method", X.method_key(F.col("method"), F.lit("custom")))).groupBy("dataset", "method").agg(F.sum("prob").alias("total")), "preds",
     "SELECT dataset, m AS method, round(sum(prob), 6) AS total FROM preds, (VALUES ('unet'), ('unet::custom')) v(m) WHERE method = 'unet' GROUP BY ALL")
 add("a13_epoch_catalogue", lambda t: t.wide.select("dataset", "trial", F.format_string("rec%d_epoch%d", "dataset", F.col("trial") + 1).alias("epoch_id"), F.exists("y", lambda v: v > 0.3).alias("has_spikes")), "frames",
     "SELECT dataset, trial, 'rec' || dataset || '_epoch' || (trial + 1) AS epoch_id, max(y) > 0.3e0 AS has_spikes FROM frames GROUP BY ALL")
 add("a14_artefact_catalogue", lambda t: t.read("lineitem").select(F.format_string("/run/%s_%d_trial%d.dat", F.when(F.col("l_linenumber") % 2 == 0, "traj_samples").otherwise("param_samples"), "l_suppkey", F.col("l_orderkey") % 20).alias("p")).select(F.regexp_extract("p", "/([a-z]+)_samples_", 1).alias("kind"), F.regexp_extract("p", "_samples_(.+)_trial", 1).alias("tag"), F.regexp_extract("p", "_trial([0-9]+)", 1).cast("long").alias("trial")).groupBy("tag", "trial").pivot("kind", ["traj", "param"]).count(), "",
     "SELECT CAST(l_suppkey AS VARCHAR) AS tag, l_orderkey % 20 AS trial, nullif(count_if(l_linenumber % 2 = 0), 0) AS traj, nullif(count_if(l_linenumber % 2 = 1), 0) AS param FROM lineitem GROUP BY ALL")
-add("a2_read_spikes", lambda t: t.spikes.groupBy(*TRIAL).agg(F.sort_array(F.collect_list("s")).alias("ap")).select(*TRIAL, F.posexplode("ap").alias("k", "s")), "spikes", "SELECT dataset, trial, round(s, 6) AS s, row_number() OVER (PARTITION BY dataset, trial ORDER BY s) - 1 AS k FROM spikes")
-add("a3_read_windows", lambda t: t.windows.groupBy("dataset").agg(F.map_from_entries(F.collect_list(F.struct("trial", F.struct("start_s", "end_s")))).alias("w")).select("dataset", F.explode("w").alias("trial", "w")).select("dataset", "trial", "w.*"), "windows", "SELECT dataset, trial, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s FROM windows")
-add("a9_read_predictions", lambda t: t.wide.select(*TRIAL, F.inline(F.arrays_zip(F.col("t"), F.col("y").alias("prob")))), "frames", "SELECT dataset, trial, round(t, 6) AS t, round(y, 6) AS prob FROM frames")
-add("a10_read_bundles", lambda t: t.wide.groupBy("dataset").agg(F.collect_list(F.struct("trial", F.col("t").alias("fluo_time"), F.col("y").alias("fluo_mean"))).alias("r")).select("dataset", F.inline("r")).select("dataset", "trial", ((F.size("fluo_time") - 1) / (F.element_at("fluo_time", -1) - F.element_at("fluo_time", 1))).alias("frame_rate"), F.size("fluo_mean").alias("n")), "frames",
-    "SELECT dataset, trial, round((count(*) - 1)/(max(t) - min(t)), 6) AS frame_rate, count(*) AS n FROM frames GROUP BY ALL")
 add("j1_run_methods_per_trial", lambda t: K.run_methods(t.wide, {"mean": lambda x, y: [sum(y) / len(y)] * len(y), "fail": lambda x, y: [1 / 0]}).select(*TRIAL, "method", F.size("prob").alias("n"), F.get("prob", 0).alias("first"), F.col("error").isNotNull().alias("failed")), "frames",
     "SELECT dataset, trial, 'mean' AS method, count(*) AS n, round(avg(y), 6) + 0 AS first, false AS failed FROM frames GROUP BY ALL UNION ALL SELECT DISTINCT dataset, trial, 'fail', CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), true FROM frames")
-add("j2_ensemble_score", lambda t: K.ensemble_score(S.sliding_frames(t.frames, 4, 0.5).where("frame is not null").withColumn("noise_level", F.col("dataset") % 2), t.spark.sql("SELECT * FROM VALUES (0L, 1, array(0.1D, 0.2D, 0.3D, 0.4D)), (0L, 2, array(0.4D, 0.3D, 0.2D, 0.1D)), (1L, 1, array(1D, 0D, 0D, 0D)) AS w(noise_level, member, w)")), "frames",
-    """WITH f AS (SELECT dataset, trial, i, lag(y) OVER w AS a, y AS b, lead(y) OVER w AS c, lead(y, 2) OVER w AS d FROM frames WINDOW w AS (PARTITION BY dataset, trial ORDER BY i))
-       SELECT dataset, trial, i, round(greatest(CASE WHEN dataset % 2 = 0 THEN ((0.1e0*a + 0.2e0*b + 0.3e0*c + 0.4e0*d) + (0.4e0*a + 0.3e0*b + 0.2e0*c + 0.1e0*d))/2 ELSE a END, 0), 6) + 0 AS rate FROM f WHERE a IS NOT NULL AND d IS NOT NULL""")
+MEMBERS = "(VALUES (2, 1, [0.1e0, 0.2e0, 0.3e0, 0.4e0]), (2, 2, [0.4e0, 0.3e0, 0.2e0, 0.1e0]), (3, 1, [1e0, 0e0, 0e0, 0e0]), (4, 1, [0e0, 0.5e0, -0.5e0, 1e0])) v(level, member, w)"
+
+
+def members(t):
+    return t.spark.sql("SELECT 'm' AS model, CAST(level AS BIGINT) AS noise_level, member, w FROM VALUES (2, 1, array(0.1D, 0.2D, 0.3D, 0.4D)), (2, 2, array(0.4D, 0.3D, 0.2D, 0.1D)), (3, 1, array(1D, 0D, 0D, 0D)), (4, 1, array(0D, 0.5D, -0.5D, 1D)) AS v(level, member, w)")
+
+
+def predicted(t, **options):
+    noise = D.noise_level(t.frames, S.sampling_rate(t.frames))
+    return K.predict(t.frames, noise.withColumn("noise", F.col("noise") / 2), members(t), 4, 0.5, threshold=0, pad=-1.0, **options)
+
+
+NOISE = """fn AS (SELECT dataset, trial, median(abs(d))*100/sqrt(1/median(u))/2 AS noise FROM (SELECT dataset, trial, y - lag(y) OVER w AS d, t - lag(t) OVER w AS u FROM frames WINDOW w AS (PARTITION BY dataset, trial ORDER BY i)) GROUP BY ALL)"""
+PRED = f"""WITH {NOISE}, fr AS (SELECT dataset, trial, i, lag(y) OVER w AS a, y AS b, lead(y) OVER w AS c, lead(y, 2) OVER w AS d FROM frames WINDOW w AS (PARTITION BY dataset, trial ORDER BY i)),
+  sc AS (SELECT fr.dataset, fr.trial, i, avg(w[1]*a + w[2]*b + w[3]*c + w[4]*d) AS y FROM fr JOIN fn ON fn.trial = fr.trial AND fn.dataset = fr.dataset JOIN {MEMBERS} ON level = least(4, greatest(2, floor(noise + 0.5e0))) GROUP BY ALL)
+  SELECT dataset, trial, i, round(CASE WHEN y IS NULL THEN -1 ELSE greatest(y, 0) END, 6) + 0 AS y FROM sc"""
+add("j2_ensemble_score", predicted, "frames", PRED)
+add("j2_ensemble_score_with_a_scorer", lambda t: predicted(t, scorer=lambda batch, w: batch @ w), "frames", PRED)
 
 
 def bumps(t):
@@ -99,10 +168,53 @@ def bumps(t):
 
 
 add("j3_rate_to_counts", lambda t: S.rates_to_counts(bumps(t), 1.0))
-add("k1_noise_calibration", lambda t: K.calibrate_noise(t.frames, 30.0, 3.0))
-add("k2_noisy_replicas", lambda t: K.noisy_replicas(t.frames, K.calibrate_noise(t.frames, 30.0, 3.0)).groupBy(*TRIAL, "replica").agg(F.count("*").alias("n"), F.avg("y").alias("mean")))
-add("k3_balanced_training_set", lambda t: K.balanced_training_set(t.frames.withColumn("label", F.when(F.col("i") % 9 != 0, F.col("y"))), "label", 16, 2e4).select(*TRIAL, "i", "label", F.size("frame").alias("n")))
-add("k4_segment_training_set", lambda t: K.segment_training_set(t.frames, t.frames.where("y > 0.2").select(*TRIAL, F.col("t").alias("s")), 30.0, 16).select(*TRIAL, "part", F.size("frame").alias("n"), F.aggregate("classes", F.lit(0), lambda a, x: a + x.cast("int")).alias("events")))
+def normal(seed: int, *keys: str) -> str:
+    """The SQL twin of `hashed_normal`."""
+    u = lambda s: "((('0x' || substr(md5('" + str(s) + ":' || " + " || ':' || ".join(keys) + "), 1, 12))::BIGINT + 0.5e0)/281474976710656e0)"
+    return f"sqrt(-2*ln({u(seed)}))*cos(2*3.141592653589793e0*{u(seed + 1)})"
+
+
+CAL = f"""nz AS (SELECT dataset, trial, l, i, y + l/100e0*sqrt(30e0)*{normal(1, "dataset", "trial", "i", "l")} AS v FROM frames, (SELECT unnest(range(0, 20)) AS l)),
+  lv AS (SELECT dataset, trial, l, count(*) + 1 AS n, median(abs(d))*100/sqrt(30e0) AS x FROM (SELECT dataset, trial, l, v - lag(v) OVER (PARTITION BY dataset, trial, l ORDER BY i) AS d FROM nz) WHERE d IS NOT NULL GROUP BY ALL),
+  nx AS (SELECT *, lead(x) OVER w AS x1, first_value(x) OVER w AS base FROM lv WINDOW w AS (PARTITION BY dataset, trial ORDER BY l)), ft AS (SELECT dataset, trial, min(CASE WHEN x <= 40 AND x1 > 40 THEN l END) AS l FROM nx GROUP BY ALL),
+  tr AS (SELECT dataset, count(DISTINCT trial) AS m FROM frames GROUP BY ALL),
+  ca AS (SELECT z.dataset, z.trial, z.base, CASE WHEN z.base > 40 THEN 0 ELSE floor(floor(least(3e5, m*z.n*least(500, ceil(1.2e0*power(40/z.base, 2))))/z.n)/m) END AS replicas, CASE WHEN z.base <= 40 THEN (h.l + (40 - h.x)/(h.x1 - h.x))/100*sqrt(30e0) END AS added
+         FROM nx z JOIN tr ON tr.dataset = z.dataset JOIN ft ON ft.trial = z.trial AND ft.dataset = z.dataset LEFT JOIN nx h ON h.trial = z.trial AND h.dataset = z.dataset AND h.l = ft.l WHERE z.l = 0)"""
+
+
+def calibration(t):
+    return K.calibrate_noise(t.frames, 30.0, 40.0, rows=3e5)
+
+
+def high(t):
+    return t.frames.where("y > 0.3").select(*TRIAL, F.col("t").alias("s"))
+
+
+add("k1_noise_calibration", calibration, "frames", f"WITH {CAL} SELECT dataset, trial, round(base, 6) AS base, CAST(replicas AS BIGINT) AS replicas, round(added, 6) AS added FROM ca")
+add("k2_noisy_replicas", lambda t: K.noisy_replicas(t.frames, high(t), calibration(t).withColumn("replicas", F.least("replicas", F.lit(3))), 30.0, 30.5).groupBy(*TRIAL, "replica").agg(F.count("*").alias("n"), F.sum("events").alias("events"), F.sum("y").alias("total")), "frames",
+    f"""WITH {CAL}, rp AS (SELECT dataset, trial, added, unnest(range(1, CAST(least(replicas, 3) AS BIGINT) + 1)) AS replica FROM ca WHERE added IS NOT NULL), sh AS (SELECT dataset, trial, median(sqrt(abs(y + 1))) AS shot FROM frames GROUP BY ALL),
+       ev AS (SELECT dataset, trial, count_if(y > 0.3e0) AS events FROM frames GROUP BY ALL), nr AS (SELECT f.dataset, f.trial, replica, y + added*sqrt(abs(y + 1))/shot*{normal(2, "f.dataset", "f.trial", "i", "replica")} AS y FROM frames f JOIN rp ON rp.trial = f.trial AND rp.dataset = f.dataset JOIN sh ON sh.trial = f.trial AND sh.dataset = f.dataset)
+       SELECT nr.dataset, nr.trial, replica, count(*) AS n, any_value(events) AS events, round(sum(y), 6) + 0 AS total FROM nr JOIN ev ON ev.trial = nr.trial AND ev.dataset = nr.dataset GROUP BY nr.dataset, nr.trial, replica""")
+add("k3_balanced_training_set", lambda t: K.balanced_training_set(t.frames.withColumn("n", (F.col("y") > 0.2).cast("double")), "n", 16, 2e4, 4000, leave_out=(3,)).select(*TRIAL, "i", "label", F.aggregate("frame", F.lit(0.0), lambda a, x: a + x).alias("total")), "frames",
+    """WITH f AS (SELECT *, CASE WHEN y > 0.2e0 THEN 1e0 ELSE 0e0 END AS n FROM frames WHERE dataset <> 3), sz AS (SELECT dataset, count(*) AS n, count(*) OVER () AS sets FROM f GROUP BY dataset),
+       lb AS (SELECT a.dataset, a.trial, a.i, sum(w*b.n)/(SELECT sum(exp(-0.5e0*power(d/2e0, 2))) FROM (SELECT unnest(range(-8, 9)) AS d)) AS label FROM f a, (SELECT d, exp(-0.5e0*power(d/2e0, 2)) AS w FROM (SELECT unnest(range(-8, 9)) AS d)) k, f b WHERE b.dataset = a.dataset AND b.trial = a.trial AND b.i = a.i + d GROUP BY ALL),
+       fr AS (SELECT dataset, trial, i, lag(y, 7) OVER w AS a, lead(y, 8) OVER w AS z, sum(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 8 FOLLOWING) AS total FROM f WINDOW w AS (PARTITION BY dataset, trial ORDER BY i)),
+       u AS (SELECT fr.*, label, (('0x' || substr(md5('3:' || fr.dataset || ':' || fr.trial || ':' || fr.i), 1, 12))::BIGINT + 0.5e0)/281474976710656e0 AS u, (('0x' || substr(md5('4:' || fr.dataset || ':' || fr.trial || ':' || fr.i), 1, 12))::BIGINT + 0.5e0)/281474976710656e0 AS o FROM fr JOIN lb ON lb.dataset = fr.dataset AND lb.trial = fr.trial AND lb.i = fr.i WHERE a IS NOT NULL AND z IS NOT NULL)
+       SELECT u.dataset, trial, i, round(label, 6) + 0 AS label, round(total, 6) + 0 AS total FROM u JOIN sz ON sz.dataset = u.dataset WHERE u < 1/greatest(n*sets/2e4, 1) ORDER BY o, u.dataset, trial, i LIMIT 4000""")
+
+
+def segments(t):
+    return K.segment_training_set(t.frames, t.frames.where("y > 0.2").select(*TRIAL, F.col("t").alias("s")), 30.0, 16, smooth=1.0)
+
+
+PARTS = """ab AS (SELECT dataset, trial, min(t) + 0.5e0 AS a, max(t) - 0.5e0 AS z FROM frames GROUP BY ALL), fi AS (SELECT f.dataset, f.trial, t, y, row_number() OVER (PARTITION BY f.dataset, f.trial ORDER BY t) - 1 AS i FROM frames f JOIN ab ON ab.trial = f.trial AND ab.dataset = f.dataset WHERE t >= a AND t <= z),
+  hi AS (SELECT f.dataset, f.trial, CAST(floor((t - a)*30) AS BIGINT) AS i, count(*) AS n FROM frames f JOIN ab ON ab.trial = f.trial AND ab.dataset = f.dataset WHERE y > 0.2e0 AND t >= a AND t <= z GROUP BY ALL),
+  se AS (SELECT fi.dataset, fi.trial, i//16 AS part, fi.i, y, coalesce(n, 0) AS n, count(*) OVER (PARTITION BY fi.dataset, fi.trial, fi.i//16) AS c FROM fi LEFT JOIN hi USING (dataset, trial, i)),
+  ra AS (SELECT a.dataset, a.trial, a.i, sum(w*b.n)/(SELECT sum(exp(-0.5e0*d*d)) FROM (SELECT unnest(range(-4, 5)) AS d)) AS rate FROM se a, (SELECT d, exp(-0.5e0*d*d) AS w FROM (SELECT unnest(range(-4, 5)) AS d)) k, se b WHERE b.dataset = a.dataset AND b.trial = a.trial AND b.i = a.i + d GROUP BY ALL)"""
+add("k4_segment_training_set", lambda t: segments(t).select(*TRIAL, "part", F.size("frame").alias("n"), F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("events"), F.aggregate("rates", F.lit(0.0), lambda a, x: a + x).alias("rate")), "frames",
+    f"WITH {PARTS} SELECT se.dataset, se.trial, part, count(*) AS n, CAST(sum(least(n, 5)) AS BIGINT) AS events, round(sum(rate), 6) + 0 AS rate FROM se JOIN ra ON ra.dataset = se.dataset AND ra.trial = se.trial AND ra.i = se.i WHERE c = 16 GROUP BY se.dataset, se.trial, part")
+add("k4_segment_statistics", lambda t: K.segment_statistics(segments(t)), "frames",
+    f"WITH {PARTS} SELECT dataset, count(*) AS samples, CAST(sum(least(n, 5)) AS BIGINT) AS events, round(avg(y), 6) + 0 AS mean, round(stddev_pop(y), 6) AS std, count(DISTINCT (trial, part)) AS segments FROM se WHERE c = 16 GROUP BY dataset")
 add("k5_downsample_noise_bank", lambda t: S.resample_to(t.frames, 7.5).groupBy(*TRIAL).agg(F.count("*").alias("n"), F.avg("y").alias("mean")), "frames",
     "SELECT dataset, trial, count(*) AS n, round(avg(y), 6) + 0 AS mean FROM (SELECT dataset, trial, i//4 AS k, avg(y) AS y FROM (SELECT *, count(*) OVER (PARTITION BY dataset, trial) AS c FROM frames) WHERE i//4 < c//4 GROUP BY dataset, trial, i//4) GROUP BY dataset, trial")
 
@@ -129,13 +241,15 @@ def _through_csv(t):
 
 
 def _through_partitions(t):
+    """Twice, the second time only one method: its partitions are replaced, the others stay."""
     path = IO.shared_path(t.spark, "results")
     IO.write_results(t.preds, path)
+    IO.write_results(t.preds.where("method = 'cnn'").withColumn("prob", F.col("prob") + 1), path)
     return t.spark.read.parquet(path).groupBy("method", F.col("dataset").cast("long").alias("dataset")).agg(F.count("*").alias("n"), F.sum("prob").alias("total"))
 
 
 add("a5_read_trialwise_csv", _through_csv, "trialwise", "SELECT 'd' || dataset AS dataset, method, count(*) AS n, round(avg(correlation), 6) AS mean FROM trialwise GROUP BY ALL")
-add("a11_write_results", _through_partitions, "preds", "SELECT method, dataset, count(*) AS n, round(sum(prob), 6) AS total FROM preds GROUP BY ALL")
+add("a11_write_results", _through_partitions, "preds", "SELECT method, dataset, count(*) AS n, round(sum(prob + CASE WHEN method = 'cnn' THEN 1 ELSE 0 END), 6) AS total FROM preds GROUP BY ALL")
 
 
 def _through_param_files(t):
@@ -145,3 +259,128 @@ def _through_param_files(t):
 
 
 add("a8_read_params", _through_param_files, "posterior", "SELECT 'b' AS name, count(*) AS n, round(sum(b), 6) AS total FROM posterior UNION ALL SELECT 'c', count(*), round(sum(c), 6) FROM posterior")
+
+
+def _through_traces(t):
+    path = IO.shared_path(t.spark, "traces")
+    t.wide.withColumn("other", F.lit(1)).write.parquet(path)
+    return IO.read_traces(t.spark, path).select(*TRIAL, F.size("t").alias("n"), F.element_at("t", -1).alias("last_t"), F.element_at("y", 1).alias("first_y"))
+
+
+add("a1_read_traces", _through_traces, "frames", "SELECT dataset, trial, count(*) AS n, round(max(t), 6) AS last_t, round(min_by(y, i), 6) + 0 AS first_y FROM frames GROUP BY ALL")
+
+
+def _event_lists(t):
+    """Each dataset's events as a list an epoch, as one list, or as two lists, by dataset."""
+    rows = t.spikes.withColumn("epoch", F.col("trial") % F.when(F.col("dataset") % 3 == 0, 3).when(F.col("dataset") % 3 == 1, 1).otherwise(2))
+    lists = rows.groupBy("dataset", "epoch").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    return lists.groupBy("dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("epoch", "s"))), lambda e: F.concat(e["s"], F.array(F.lit(float("nan"))))).alias("ap"))
+
+
+add("a2_read_spikes", lambda t: IO.read_spikes(_event_lists(t), t.spikes.select("dataset", F.lit(3).alias("n")).distinct()), "spikes",
+    """WITH l AS (SELECT dataset, s, trial % 3 AS e FROM spikes), k AS (SELECT dataset, count(DISTINCT CASE WHEN dataset % 3 = 0 THEN e WHEN dataset % 3 = 1 THEN 0 ELSE trial % 2 END) AS lists FROM (SELECT *, trial % 3 AS e FROM spikes) GROUP BY ALL)
+       SELECT l.dataset, e AS trial, round(s, 6) AS s FROM l JOIN k ON k.dataset = l.dataset WHERE lists = 3 UNION ALL SELECT l.dataset, x, round(s, 6) FROM l JOIN k ON k.dataset = l.dataset, (VALUES (0), (1), (2)) v(x) WHERE lists <> 3""")
+
+
+def _through_window_json(t):
+    """One object a dataset, of the windows of its trials in order."""
+    rows = t.windows.groupBy("dataset").agg(F.transform(F.sort_array(F.collect_list(F.struct("trial", "start_s", "end_s"))), lambda w: F.array(w["start_s"], w["end_s"])).alias("w"))
+    return IO.read_windows(rows.select(F.to_json(F.map_from_entries(F.array(F.struct(F.concat(F.lit("d"), F.col("dataset").cast("string")), "w")))).alias("json")))
+
+
+add("a3_read_windows", _through_window_json, "windows", "SELECT 'd' || dataset AS dataset, row_number() OVER (PARTITION BY dataset ORDER BY trial) - 1 AS trial, round(start_s, 6) AS start_s, round(end_s, 6) AS end_s FROM windows")
+
+
+def _through_tree(t):
+    path = IO.shared_path(t.spark, "tree")
+    per = t.trialwise.groupBy("run", (F.col("dataset") % 4).alias("d"), "smoothing", "method").agg(F.max("correlation").alias("v"))
+    tree = per.groupBy("run", "d", "smoothing").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("method", "v"))).alias("correlations"), F.lit(30.0).alias("corr_sigma_ms"))).alias("text"))
+    place = lambda kind: F.concat_ws("/", "run", F.concat(F.lit("d"), F.col("d").cast("string")), "smoothing", F.lit(f"{kind}.json")).alias("path")
+    IO.write_texts(tree.where("not (d = 3 and smoothing = 'raw')").select(place("summary"), "text").union(tree.where("d % 2 = 1").select(place("comparison"), F.lit('{"methods": []}'))), path)
+    return IO.read_run_tree(t.spark, path, runs=["A", "N"], smoothings=["raw", "30Hz"], methods=["cnn", "absent"])
+
+
+add("a6_read_run_tree", _through_tree, "trialwise",
+    """SELECT run, 'd' || d AS dataset, smoothing, m AS method, CASE WHEN m = 'cnn' THEN round(v, 6) END AS correlation, CASE WHEN d % 2 = 1 THEN '{"methods": []}' END AS manifest
+       FROM (SELECT run, dataset % 4 AS d, smoothing, max(CASE WHEN method = 'cnn' THEN correlation END) AS v FROM trialwise GROUP BY ALL), (VALUES ('cnn'), ('absent')) x(m)
+       WHERE run IN ('A', 'N') AND smoothing IN ('raw', '30Hz') AND NOT (d = 3 AND smoothing = 'raw')""")
+
+
+def _through_posterior_files(t):
+    """Samples of eight bins each of every tag; the files of log-probabilities lack the last sample of odd tags."""
+    path = IO.shared_path(t.spark, "posterior")
+    rows = t.posterior.where("bin < 8").withColumn("n", F.count("*").over(W.partitionBy("tag", "sample"))).where("n = 8")
+    rows = rows.withColumn("sample", F.dense_rank().over(W.partitionBy("tag").orderBy("sample")) - 1)
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("sample", "burst", "b", "s", "c", "y")])
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sample", "bin", line.alias("line")))), lambda x: x["line"]), "\n")
+    files = rows.groupBy("tag").agg(F.concat(F.lit("index,burst,B,S,C,Y\n"), text).alias("text"), F.max("sample").alias("last"))
+    name = lambda kind: F.format_string(f"{kind}_%d_trial1.dat", "tag").alias("path")
+    logs = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last").cast("int") - F.when((F.col("tag") % 2 == 1) & (F.col("last") > 0), 1).otherwise(0)), lambda k: (-k).cast("string")), "\n")
+    IO.write_texts(files.select(name("traj_samples"), "text").union(files.select(name("logp"), logs)), path)
+    return IO.read_posterior(t.spark, path, logp=True).withColumn("tag", F.col("tag").cast("long"))
+
+
+add("a7_read_posterior", _through_posterior_files, "posterior",
+    """WITH r AS (SELECT tag, dense_rank() OVER (PARTITION BY tag ORDER BY sample) - 1 AS sample, bin, burst, b, s, c, y FROM (SELECT *, count(*) OVER (PARTITION BY tag, sample) AS n FROM posterior WHERE bin < 8) WHERE n = 8), l AS (SELECT *, max(sample) OVER (PARTITION BY tag) AS last FROM r)
+       SELECT tag, 1 AS trial, sample, bin, burst, round(b, 6) AS b, s, round(c, 6) AS c, round(y, 6) AS y, CAST(-sample AS DOUBLE) AS logp FROM l WHERE NOT (tag % 2 = 1 AND last > 0 AND sample = last)""")
+
+
+def _shapes(t):
+    """Predictions of each dataset as one array, with shared times and with times of each trial."""
+    rows = t.wide.withColumn("t", F.transform("t", lambda x, i: F.when((i == 3) & (F.col("trial") % 5 == 0), F.lit(float("nan"))).otherwise(x)))
+    flat = IO.read_predictions(rows.where("trial % 3 = 0").select("dataset", F.col("trial").alias("id"), F.col("t").alias("time"), F.col("y").alias("p")), ["dataset", "id"], "time", "p", {"recon": "p", "none": "absent"})
+    shared = IO.read_predictions(rows.where("trial % 3 = 1").select("dataset", F.col("trial").alias("id"), F.col("t").alias("time"), F.array("y", "y").alias("p")), ["dataset", "id"], "time", "p", {"recon": "p"})
+    own = IO.read_predictions(rows.where("trial % 3 = 2").select("dataset", F.col("trial").alias("id"), F.array("t", "t").alias("time"), F.array("y", "y").alias("p")), ["dataset", "id"], "time", "p", {"recon": "p"})
+    return flat.union(shared).union(own).groupBy("dataset", "id", "trial").agg(F.count("*").alias("n"), F.max("i").alias("last"), F.sum("prob").alias("total"), F.sum("recon").alias("recon"))
+
+
+add("a9_read_predictions", _shapes, "frames",
+    """SELECT dataset, f.trial AS id, k AS trial, count(*) AS n, count(*) - 1 AS last, round(sum(y), 6) + 0 AS total, round(sum(y), 6) + 0 AS recon FROM frames f, (VALUES (0), (1)) v(k) WHERE (k = 0 OR f.trial % 3 > 0) AND NOT (i = 3 AND f.trial % 5 = 0) GROUP BY ALL""")
+
+
+def _through_bundles(t):
+    """Bundles of up to four recordings, with an event in tenths of milliseconds at each high value."""
+    one = F.struct(F.col("t").alias("fluo_time"), F.col("y").alias("fluo_mean"), F.transform(F.filter(F.arrays_zip("t", "y"), lambda p: p["y"] > 0.3), lambda p: p["t"] * 1e4).alias("events_AP"))
+    rows = t.wide.groupBy("dataset", F.floor(F.col("trial") / 4).alias("part")).agg(F.transform(F.sort_array(F.collect_list(F.struct("trial", one.alias("b")))), lambda x: x["b"]).alias("recordings"))
+    got = IO.read_bundles(rows.select(F.concat_ws("/", F.col("dataset").cast("string"), F.col("part").cast("string")).alias("dataset"), "recordings"))
+    return got.select("dataset", "trial", "frame_rate", F.size("t").alias("n"), F.size("spikes_s").alias("events"), F.aggregate("spikes_s", F.lit(0.0), lambda a, x: a + x).alias("total"))
+
+
+add("a10_read_bundles", _through_bundles, "frames",
+    """WITH r AS (SELECT dataset, trial, (count(*) - 1)/(max(t) - min(t)) AS fr, count(*) AS n, count_if(y > 0.3e0) AS events, coalesce(sum(CASE WHEN y > 0.3e0 THEN t END), 0) AS total FROM frames GROUP BY ALL)
+       SELECT dataset || '/' || trial//4 AS dataset, row_number() OVER (PARTITION BY dataset, trial//4 ORDER BY trial) - 1 AS trial, round(fr, 6) AS frame_rate, n, events, round(total, 6) AS total FROM r""")
+
+
+def _through_summary(t):
+    path = IO.shared_path(t.spark, "summary")
+    scores = t.trialwise.groupBy("run", "dataset", "smoothing", "method").agg(F.max("correlation").alias("correlation")).where("correlation is not null")
+    IO.write_summary(scores, path)
+    maps = t.spark.read.schema("run string, dataset long, smoothing string, correlations map<string,double>").json(f"{path}/json").select("run", "dataset", "smoothing", F.explode("correlations").alias("method", "correlation"))
+    lines = t.spark.read.csv(f"{path}/csv", header=True, schema="run string, dataset long, smoothing string, method string, again double")
+    return maps.join(lines, ["run", "dataset", "smoothing", "method"], "full_outer")
+
+
+add("a11_write_summary", _through_summary, "trialwise", "SELECT run, dataset, smoothing, method, round(max(correlation), 6) AS correlation, round(max(correlation), 6) AS again FROM trialwise WHERE correlation IS NOT NULL GROUP BY run, dataset, smoothing, method")
+
+
+def _through_export(t):
+    path = IO.shared_path(t.spark, "export")
+    cut = t.frames.where("i < 40 + trial % 20")
+    IO.export_downsampled(cut, t.frames.where("y > 0.3").select(*TRIAL, F.col("t").alias("s")), 10.0, path)
+    return t.spark.read.parquet(path).select(F.col("dataset").cast("long").alias("dataset"), "trial", "valid_length", F.size("y").alias("n"), F.aggregate(F.slice("y", F.lit(1), F.col("valid_length")), F.lit(0.0), lambda a, x: a + x).alias("total"), F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("events"))
+
+
+add("a11_export_downsampled", _through_export, "frames",
+    """WITH c AS (SELECT * FROM frames WHERE i < 40 + trial % 20), n AS (SELECT dataset, trial, count(*)//3 AS b FROM c GROUP BY ALL), m AS (SELECT c.dataset, c.trial, i//3 AS k, avg(y) AS y, avg(t) AS t, any_value(b) AS b FROM c JOIN n ON n.trial = c.trial AND n.dataset = c.dataset WHERE i//3 < b GROUP BY c.dataset, c.trial, i//3),
+       f AS (SELECT dataset, trial, min(t) AS f, any_value(b) AS b, sum(y) AS total FROM m GROUP BY ALL), e AS (SELECT f.dataset, f.trial, count(*) AS events FROM f JOIN frames s ON s.trial = f.trial AND s.dataset = f.dataset AND s.y > 0.3e0 AND floor((s.t - f)/(1/10e0) + 0.5e0) BETWEEN 0 AND b - 1 GROUP BY ALL)
+       SELECT f.dataset, f.trial, b AS valid_length, max(b) OVER (PARTITION BY f.dataset) AS n, round(total, 6) + 0 AS total, coalesce(events, 0) AS events FROM f LEFT JOIN e ON e.trial = f.trial AND e.dataset = f.dataset""")
+
+
+def _through_fingerprints(t):
+    """Equal texts have equal fingerprints; the folder's is one for all its files."""
+    path = IO.shared_path(t.spark, "files")
+    IO.write_texts(t.read("nation").select(F.concat(F.lit("all/"), F.col("n_nationkey").cast("string"), F.lit(".txt")).alias("path"), F.col("n_regionkey").cast("string").alias("text")), path)
+    return IO.file_fingerprints(t.spark, f"{path}/all").groupBy("hash").agg(F.count("*").alias("n"), F.max("length").alias("length"), F.countDistinct("folder_hash").alias("folders"))
+
+
+add("h3_file_fingerprint", _through_fingerprints, "", "SELECT sha256(CAST(n_regionkey AS VARCHAR)) AS hash, count(*) AS n, 1 AS length, 1 AS folders FROM nation GROUP BY ALL")

@@ -7,8 +7,6 @@ from sparktrace.functions import text as X
 from sparktrace.operators import reshape as R
 from sparktrace.plans.registry import add
 
-add("a1_read_traces", lambda t: t.wide.select("dataset", "trial", F.size("t").alias("n"), F.element_at("t", -1).alias("last_t"), F.element_at("y", 1).alias("first_y")), "frames",
-    "SELECT dataset, trial, count(*) AS n, round(max(t), 6) AS last_t, round(min(CASE WHEN i = 0 THEN y END), 6) AS first_y FROM frames GROUP BY dataset, trial")
 add("b1_explode_trials", lambda t: R.explode_trials(t.wide), "frames",
     "SELECT dataset, trial AS trial_orig, i, round(t, 6) AS t, round(y, 6) AS y, dense_rank() OVER (PARTITION BY dataset ORDER BY trial) - 1 AS trial FROM frames WHERE isfinite(y)")
 add("b2_select_datasets", lambda t: R.select_datasets(t.samples, first=4), "samples", "SELECT DISTINCT dataset FROM samples ORDER BY dataset LIMIT 4")
@@ -49,8 +47,15 @@ add("b17_threshold_rates", lambda t: R.threshold_rates(t.frames, 1, 0.5).select(
     """SELECT dataset, trial, i, round(CASE WHEN max(CASE WHEN y > 0.5e0/2.718281828459045e0 THEN 1 ELSE 0 END) OVER (PARTITION BY dataset, trial ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) = 1 THEN greatest(y, 0) ELSE 0 END, 6) AS y FROM frames""")
 add("b18_pad_prediction_edges", lambda t: R.pad_prediction_edges(t.frames, 16, 0.4).select("dataset", "trial", "i", "y"), "frames",
     "SELECT dataset, trial, i, CASE WHEN i < 6 OR i >= count(*) OVER (PARTITION BY dataset, trial) - 9 THEN 0 ELSE round(y, 6) END AS y FROM frames")
-add("b19_clean_nonfinite", lambda t: R.clean_nonfinite(t.samples.withColumn("y", F.when(F.col("event_id") % 11 != 0, F.col("y")))), "samples",
-    "SELECT dataset, round(avg(CASE WHEN event_id % 11 = 0 THEN 1e0 ELSE 0 END)*100, 6) AS bad_percent, round(sum(CASE WHEN event_id % 11 = 0 THEN 0 ELSE y END), 6) AS total FROM samples GROUP BY dataset")
+def holes(t):
+    return t.samples.withColumn("y", F.when(F.col("event_id") % 11 != 0, F.col("y"))).withColumn("t", F.when(F.col("event_id") % 7 != 0, F.col("t")))
+
+
+HOLES = "h AS (SELECT dataset, trial, i, CASE WHEN event_id % 11 <> 0 THEN y END AS y, CASE WHEN event_id % 7 <> 0 THEN t END AS t FROM samples)"
+add("b19_clean_nonfinite", lambda t: R.clean_nonfinite(holes(t)).select("dataset", "trial", "i", "t", "y"), "samples",
+    f"""WITH {HOLES}, g AS (SELECT dataset, trial, i, t FROM h WHERE t IS NOT NULL), p AS (SELECT h.*, a.i AS i0, a.t AS t0 FROM h ASOF LEFT JOIN g a ON a.dataset = h.dataset AND a.trial = h.trial AND h.i >= a.i), q AS (SELECT p.*, b.i AS i1, b.t AS t1 FROM p ASOF LEFT JOIN g b ON b.dataset = p.dataset AND b.trial = p.trial AND p.i <= b.i)
+       SELECT dataset, trial, i, round(coalesce(t, t0 + (t1 - t0)*(i - i0)/(i1 - i0), t0, t1), 6) AS t, round(coalesce(y, 0), 6) AS y FROM q""")
+add("b19_bad_percent", lambda t: R.bad_percent(holes(t)), "samples", f"WITH {HOLES} SELECT dataset, round(avg(CASE WHEN t IS NULL THEN 1e0 ELSE 0 END)*100, 6) AS bad_t, round(avg(CASE WHEN y IS NULL THEN 1e0 ELSE 0 END)*100, 6) AS bad_y FROM h GROUP BY dataset")
 add("b20_refractory_filter", lambda t: R.refractory_filter(t.spikes, 10.0), "spikes",
     "SELECT dataset, trial, round(s, 6) AS s FROM (SELECT *, lag(s) OVER (PARTITION BY dataset, trial ORDER BY s) AS p FROM spikes) WHERE p IS NULL OR s - p >= 10")
 add("b21_smoothing_label", lambda t: t.trialwise.select("smoothing").union(t.read("part").select(F.concat(F.col("p_size").cast("string"), F.lit("p5Hz")))).distinct().select("smoothing", X.smoothing_hz(F.col("smoothing"), 120.0).alias("hz"), X.smoothing_label(X.smoothing_hz(F.col("smoothing"))).alias("again")), "trialwise",
@@ -99,8 +104,8 @@ add("h7_build_tag", lambda t: t.read("part").select("p_partkey", X.tag_token(F.c
 add("h8_max_events_per_bin", lambda t: t.read("part").select("p_partkey", X.events_per_bin(F.when(F.col("p_size") % 6 != 0, F.col("p_size") + (F.col("p_partkey") % 5) / F.lit(20.0)), 120.0).alias("n")), "",
     """SELECT p_partkey, CAST(CASE WHEN x IS NULL OR abs(x - 120) <= 1e-8 + 12e-4 THEN 2 WHEN abs(x - 30) <= 0.1e0 + 3e-4 THEN greatest(4, ceil(r/2) + 1) WHEN abs(x - 10) <= 0.1e0 + 1e-4 THEN greatest(7, ceil(r/2))
        ELSE greatest(3, ceil(r) + 1) END AS BIGINT) AS n FROM (SELECT p_partkey, x, greatest(120e0/x, 1) AS r FROM (SELECT p_partkey, CASE WHEN p_size % 6 <> 0 THEN p_size + (p_partkey % 5)/20e0 END AS x FROM part))""")
-add("h9_sample_units_to_seconds", lambda t: t.wide.select("dataset", "trial", F.transform(F.transform("t", lambda x: x * 1e4), lambda x: x / F.lit(1e4)).alias("t")).select("dataset", "trial", F.element_at("t", -1).alias("last")), "frames",
-    "SELECT dataset, trial, round(max(t), 6) AS last FROM frames GROUP BY ALL")
+add("h9_sample_units_to_seconds", lambda t: t.read("events").groupBy((F.col("user_id") % 10).alias("dataset")).agg(F.sort_array(F.collect_list("event_id")).alias("at")).select("dataset", F.posexplode(X.seconds(F.col("at"))).alias("k", "s")), "",
+    "SELECT user_id % 10 AS dataset, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS k, round(event_id/1e4, 6) AS s FROM events")
 add("h10_json_to_rows", lambda t: t.samples.select("event_id", F.explode(F.from_json("props", "map<string,double>")).alias("key", "value")), "", "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events")
 add("f2_natural_sort", lambda t: t.read("part").select("p_brand").distinct().select("p_brand", F.row_number().over(W.orderBy(X.natural_key(F.col("p_brand")))).alias("place")), "",
     "SELECT p_brand, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)) AS place FROM (SELECT DISTINCT p_brand FROM part)")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparktrace.functions import text as X
 from sparktrace.operators import match as M
 from sparktrace.operators import reshape as R
 from sparktrace.operators import series as S
@@ -59,15 +60,37 @@ def noise_models(t):
 
 add("c8_route_by_noise_level", lambda t: M.route_by_noise(t.samples.groupBy(*TRIAL).agg((F.stddev_pop("y") / 4).alias("noise")), F.broadcast(noise_models(t))).select(*TRIAL, "noise_level"), "samples",
     "SELECT dataset, trial, CAST(least(8, greatest(2, floor(stddev_pop(y)/4 + 0.5))) AS BIGINT) AS noise_level FROM samples GROUP BY ALL")
-add("c9_resolve_cached_results", lambda t: M.resolve_cached(
-    t.read("orders").select("o_orderkey", F.col("o_custkey").alias("dataset"), F.when(F.col("o_orderkey") % 3 == 0, "None").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderstatus")).alias("cache_tag"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("cache_key"), F.lit("5-LOW").alias("fallback_key")),
-    t.read("orders").groupBy(F.col("o_orderstatus").alias("tag"), F.col("o_orderpriority").alias("key")).agg(F.count("*").alias("n"))).select("o_orderkey", "tag", "key", "n"), "",
-    """WITH e AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE CAST(o_custkey AS VARCHAR) END AS tag, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE '5-LOW' END AS key FROM orders)
-       SELECT o_orderkey, e.tag, e.key, n FROM e LEFT JOIN (SELECT o_orderstatus AS tag, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY ALL) r USING (tag, key)""")
-add("c10_lookup_result", lambda t: M.lookup_result(
-    t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("key"), F.col("c_mktsegment").alias("trace_hash")),
-    t.read("supplier").select(F.col("s_nationkey").alias("key"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("trace_hash"), F.col("s_name").alias("file"))).select("id", "file"), "",
-    """SELECT c_custkey AS id, min(s_name) AS file FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_mktsegment = CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END GROUP BY c_custkey""")
+
+
+def cached(t, methods=None):
+    """Orders as manifest entries: with and without a tag and a key; results under tags and keys, some of them signatures."""
+    config = F.create_map(F.lit("status"), F.col("o_orderstatus"))
+    entries = t.read("orders").select("o_orderkey", F.col("o_custkey").alias("dataset"), F.col("o_orderstatus").alias("method"), F.col("o_orderpriority").alias("label"), F.when(F.col("o_orderkey") % 3 == 0, "None").when(F.col("o_orderkey") % 3 == 1, F.col("o_orderstatus")).alias("cache_tag"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("cache_key"), config.alias("config"))
+    keys = t.read("orders").groupBy(F.col("o_orderstatus").alias("tag"), F.col("o_orderpriority").alias("key")).agg(F.count("*").alias("n"))
+    signed = t.read("orders").where("o_orderstatus <> 'P'").groupBy(F.col("o_orderstatus").alias("tag"), X.config_signature(config).alias("key")).agg((-F.count("*")).alias("n"))
+    return M.resolve_cached(entries, keys.union(signed), methods)
+
+
+CACHED = """e AS (SELECT o_orderkey, o_custkey AS dataset, o_orderstatus AS method, o_orderpriority AS label, CASE WHEN o_orderkey % 3 = 1 THEN o_orderstatus ELSE CAST(o_custkey AS VARCHAR) END AS tag, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority ELSE substr(sha256('{"status":"' || o_orderstatus || '"}'), 1, 16) END AS key FROM orders),
+  r AS (SELECT o_orderstatus AS tag, o_orderpriority AS key, count(*) AS n FROM orders GROUP BY ALL UNION ALL SELECT o_orderstatus, substr(sha256('{"status":"' || o_orderstatus || '"}'), 1, 16), -count(*) FROM orders WHERE o_orderstatus <> 'P' GROUP BY ALL)"""
+add("c9_resolve_cached_results", lambda t: cached(t, ["F", "5-LOW"]).select("o_orderkey", "tag", "key", "n", "resolved"), "", f"WITH {CACHED} SELECT o_orderkey, e.tag, e.key, n, n IS NOT NULL AS resolved FROM e LEFT JOIN r USING (tag, key) WHERE method = 'F' OR label = '5-LOW'")
+add("c9_unresolved_entries", lambda t: M.unresolved(cached(t)).groupBy("dataset", "method").agg(F.count("*").alias("n")), "", f"WITH {CACHED} SELECT dataset, method, count(*) AS n FROM e LEFT JOIN r USING (tag, key) WHERE n IS NULL GROUP BY ALL".replace("count(*) AS n FROM e LEFT JOIN r USING (tag, key) WHERE n IS NULL", "count(*) AS n FROM e LEFT JOIN (SELECT tag, key, n AS found FROM r) r USING (tag, key) WHERE found IS NULL"))
+
+
+def stored(t):
+    """Suppliers as stored results: some without a key, some of another tag that is also their own cache tag."""
+    config = F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string"))
+    return t.read("supplier").select(F.when(F.col("s_suppkey") % 3 != 0, X.config_signature(config)).alias("key"), config.alias("config"), F.when(F.col("s_suppkey") % 4 == 0, "other").otherwise("t").alias("tag"), F.when(F.col("s_suppkey") % 8 == 0, "other").alias("cache_tag"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("trace_hash"), F.col("s_name").alias("file"))
+
+
+def wanted(t):
+    return t.read("customer").select(F.col("c_custkey").alias("id"), X.config_signature(F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"))).alias("key"), F.lit("t").alias("tag"), F.col("c_mktsegment").alias("trace_hash"))
+
+
+add("c10_lookup_result", lambda t: M.lookup_result(wanted(t), stored(t)).select("id", "file"), "",
+    """SELECT c_custkey AS id, min(s_name) AS file FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_mktsegment = CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END WHERE s_suppkey % 4 <> 0 OR s_suppkey % 8 = 0 GROUP BY c_custkey""")
+add("c10_lookup_any_trace", lambda t: M.lookup_result(wanted(t), stored(t), True).select("id", "file"), "",
+    """SELECT c_custkey AS id, min(s_name) AS file FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_suppkey % 4 <> 0 OR s_suppkey % 8 = 0 GROUP BY c_custkey""")
 add("c11_match_run_overlay", lambda t: M.match_overlay(
     t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("tag"), (F.col("c_custkey") % 4).alias("trial"), F.col("c_mktsegment").alias("label")),
     t.read("supplier").select(F.col("s_nationkey").alias("tag"), (F.col("s_suppkey") % 4).alias("trial"), F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").otherwise(F.col("s_name")).alias("label"))), "",
@@ -87,6 +110,17 @@ add("c12_complete_artefact_set", lambda t: M.complete_sets(artefacts(t)), "",
        SELECT tag, complete, files, parent FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY complete DESC, files DESC, parent DESC) AS r FROM p) WHERE r = 1 AND complete > 0""")
 
 
+def tag_sets(t):
+    """Complete sets of parts of the customers' tags with an epoch, looked up by tags that lack one, or its trial."""
+    sets = t.read("customer").where("c_custkey % 3 <> 0").select(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, F.lit("_epoch2")).otherwise(F.lit(""))).alias("tag"), F.col("c_custkey").alias("parent"))
+    tags = t.read("customer").select(F.concat("c_name", F.when(F.col("c_custkey") % 4 < 2, F.lit("_epoch2_trial1")).otherwise(F.lit("_epoch2"))).alias("tag"))
+    return M.sets_of_tags(tags, sets)
+
+
+add("c12_sets_of_tags", tag_sets, "",
+    "SELECT c_name || CASE WHEN c_custkey % 4 < 2 THEN '_epoch2_trial1' ELSE '_epoch2' END AS tag, c_name || CASE WHEN c_custkey % 2 = 0 THEN '_epoch2' ELSE '' END AS found_as, c_custkey AS parent FROM customer WHERE c_custkey % 3 <> 0")
+
+
 def customer_tags(t):
     return t.read("customer").select(F.col("c_name").alias("tag"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 5).alias("trial"))
 
@@ -174,6 +208,11 @@ def rates(t):
 
 add("e14_event_rate_grid", lambda t: rates(t).select(*TRIAL, "k", "q", "rate"), "spikes windows",
     f"WITH {GRID14}, {RATE14} SELECT g.dataset, g.trial, g.k, round(q, 6) AS q, round(coalesce(v, 0), 6) AS rate FROM g LEFT JOIN v ON g.trial = v.trial AND g.dataset = v.dataset AND g.k = v.k")
+for how, place in (("round", "CAST(round_even(x, 0) AS BIGINT)"), ("floor", "CAST(floor(x) AS BIGINT)")):
+    add(f"e14_event_rate_{how}_smoothed", lambda t, how=how: S.smooth_rows(S.event_rates(S.event_grid(t.windows.where("start_s is not null"), 0.2), t.spikes, how), TRIAL, 1.5, "rate").select(*TRIAL, "k", "rate"), "spikes windows",
+        f"""WITH {GRID14}, {RATE14.split("v AS")[0].rstrip().rstrip(",")}, v AS (SELECT dataset, trial, {place} AS k, count(*) AS v FROM x WHERE {place} < n GROUP BY ALL), raw AS (SELECT g.dataset, g.trial, g.k, g.n, coalesce(v, 0) AS v FROM g LEFT JOIN v ON g.trial = v.trial AND g.dataset = v.dataset AND g.k = v.k),
+            e AS (SELECT raw.*, d, exp(-0.5e0*power(d/15e-1, 2)) AS w, ((k + d) % (2*n) + 2*n) % (2*n) AS r FROM raw, (SELECT unnest(range(-6, 7)) AS d))
+            SELECT e.dataset, e.trial, e.k, round(sum(w*b.v)/sum(w), 6) + 0 AS rate FROM e JOIN raw b ON b.trial = e.trial AND b.dataset = e.dataset AND b.k = CASE WHEN r < e.n THEN r ELSE 2*e.n - 1 - r END GROUP BY ALL""")
 ALIGN = f"""{GRID14}, n AS (SELECT g.*, a.t AS t0, a.y AS v0, a.seg AS s0 FROM g ASOF LEFT JOIN seg a ON g.dataset = a.dataset AND g.trial = a.trial AND g.q >= a.t),
        m AS (SELECT n.*, b.t AS t1, b.y AS v1, b.seg AS s1 FROM n ASOF LEFT JOIN seg b ON n.dataset = b.dataset AND n.trial = b.trial AND n.q <= b.t)"""
 add("e15_align_piecewise", lambda t: S.align_piecewise(segments(t), S.event_grid(t.windows.where("start_s is not null"), 0.2).select(*TRIAL, "k", "q")), "samples windows",

@@ -161,7 +161,10 @@ RET = "la AS (SELECT tag, max(sample) AS last FROM {0} GROUP BY tag), ret AS (SE
 add("d18_posterior_mean_std", lambda t: D.posterior_mean_std(t.posterior, 2), "posterior",
     "WITH " + RET.format("posterior", 2) + " SELECT tag, bin, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("burst", "b", "s", "c")) + ", round(avg(c) + avg(b), 6) AS reconstruction FROM ret GROUP BY ALL")
 add("d19_map_sample", lambda t: D.map_sample(t.logp, 2), "logp", "WITH " + RET.format("logp", 2) + " SELECT tag, sample, logp FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY logp DESC, sample) AS r FROM ret) WHERE r = 1")
-add("d20_posterior_param_mean", lambda t: D.retained(t.posterior, 100).groupBy("tag").agg(F.avg(F.col("b") * 0.973).alias("b"), F.avg("c").alias("c")), "posterior", "WITH " + RET.format("posterior", 100) + " SELECT tag, round(avg(b*0.973e0), 6) AS b, round(avg(c), 6) AS c FROM ret GROUP BY tag")
+SIX = ["burst", "b", "s", "c", "y", "bin"]
+for burn in (100, 2, -1):
+    add(f"d20_posterior_param_mean_{'reset' if burn < 0 else burn}", lambda t, burn=burn: D.posterior_param_mean(t.posterior.where("sample = 0").select("tag", F.col("bin").alias("sample"), *SIX), burn, SIX), "posterior",
+        f"WITH r AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n FROM posterior WHERE sample = 0) SELECT tag, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in SIX) + f" FROM r WHERE bin >= CASE WHEN {burn} < 0 OR {burn} > n THEN 0 ELSE {burn} END GROUP BY tag")
 add("d21_compare_param_chains", lambda t: D.compare_chains(t.trialwise.where("correlation is not null").select("dataset", F.when(F.col("run") == "A", "a").when(F.col("run") == "N", "b").alias("side"), F.col("correlation").alias("v")), ["dataset"], "side", "v"), "trialwise",
     """WITH v AS (SELECT dataset, run, correlation AS v FROM trialwise WHERE correlation IS NOT NULL AND run IN ('A', 'N')), n AS (SELECT dataset, count_if(run = 'A') AS na, count_if(run = 'N') AS nb FROM v GROUP BY ALL),
        g AS (SELECT v.dataset, v, run, na, nb, abs(count_if(run = 'A') OVER w / na - count_if(run = 'N') OVER w / nb) AS gap FROM v JOIN n ON n.dataset = v.dataset WHERE na > 0 AND nb > 0 WINDOW w AS (PARTITION BY v.dataset ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
@@ -180,8 +183,14 @@ add("d36_frame_centred_histogram", lambda t: D.frame_histogram(t.samples, t.spik
 add("d37_noise_histogram", lambda t: D.noise_histogram(D.noise_level(t.samples, S.sampling_rate(t.samples)), 20), "samples",
     f"""WITH {FS}, {STEP.format('samples')}, l AS (SELECT d.dataset, d.trial, median(abs(d))/sqrt(any_value(fs))*100 AS noise FROM d JOIN fs ON fs.trial = d.trial AND fs.dataset = d.dataset WHERE d IS NOT NULL GROUP BY ALL),
        r AS (SELECT min(noise) AS a, max(noise) AS z, count(*) AS n, quantile_cont(noise, 0.999) AS lim FROM l) SELECT CAST(least(floor((noise - a)/(z - a)*20), 19) AS BIGINT) AS bin, round(any_value(lim), 6) AS "limit", round(count(*)/any_value(n)/any_value((z - a)/20), 6) AS density FROM l, r GROUP BY 1""")
-add("d38_shared_window", lambda t: D.shared_window(R.bounds(t.samples.withColumn("t", F.col("t") - 1000.0 * F.col("trial"))), ["dataset"]), "samples",
-    "WITH b AS (SELECT dataset, trial, min(t - 1e3*trial) AS f, max(t - 1e3*trial) AS l FROM samples GROUP BY ALL) SELECT dataset, round(max(f), 6) AS start_s, round(min(l), 6) AS end_s, count(*) AS runs FROM b GROUP BY dataset HAVING count(*) >= 2 AND min(l) > max(f)")
+def runs(t):
+    b = R.bounds(t.samples.withColumn("t", F.col("t") - 1000.0 * F.col("trial")))
+    return b.withColumn("iterations", F.when(F.col("dataset") % 2 == 0, F.col("trial") % 2).otherwise(F.lit(5))).withColumn("names", F.array(F.lit("x"), F.when(F.col("dataset") % 3 == 0, F.col("trial").cast("string")).otherwise(F.lit("y")))).withColumn("names", F.when(F.col("dataset") % 3 == 0, F.slice("names", 2, 1)).otherwise(F.col("names")))
+
+
+add("d38_shared_window", lambda t: D.shared_window(runs(t), ["dataset"]), "samples",
+    """WITH b AS (SELECT dataset, trial, min(t - 1e3*trial) AS f, max(t - 1e3*trial) AS l FROM samples GROUP BY ALL) SELECT dataset, round(max(f), 6) AS start_s, round(min(l), 6) AS end_s, count(*) AS runs, min(f) < max(f) OR max(l) > min(l) AS clipped,
+       count(DISTINCT CASE WHEN dataset % 2 = 0 THEN trial % 2 ELSE 5 END) > 1 AS iterations, dataset % 3 = 0 AND count(DISTINCT trial) > 1 AS disjoint FROM b GROUP BY dataset HAVING count(*) >= 2 AND min(l) > max(f)""")
 add("d39_representative_trial", lambda t: D.representative_trial(t.trialwise.withColumn("trial", F.col("trial") % 100), ["dataset"]), "trialwise",
     """WITH s AS (SELECT dataset, method, trial % 100 AS trial, avg(correlation) AS v FROM trialwise WHERE correlation IS NOT NULL GROUP BY ALL), m AS (SELECT dataset, method, median(v) AS m FROM s GROUP BY ALL), n AS (SELECT dataset, count(DISTINCT method) AS k FROM s GROUP BY ALL),
        d AS (SELECT s.dataset, s.trial, sum(abs(v - m)) AS d, count(*) AS c FROM s JOIN m ON m.dataset = s.dataset AND m.method = s.method GROUP BY ALL) SELECT dataset, trial FROM (SELECT d.*, row_number() OVER (PARTITION BY d.dataset ORDER BY round(d, 9), trial) AS r FROM d JOIN n ON n.dataset = d.dataset WHERE c = k) WHERE r = 1""")

@@ -8,14 +8,96 @@ import uuid
 from functools import cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparktrace.operators import reshape, series, stats
+from sparktrace.operators.reshape import finite
+
 TRIALWISE = "run string, dataset string, smoothing string, method string, label string, corr_sigma_ms double, trial int, start_s double, end_s double, correlation double"
 SUMMARY = "correlations map<string,double>, corr_sigma_ms double, methods_run array<string>, trialwise map<string,array<double>>, trial_windows array<array<double>>, gt_count bigint"
-TRAJ = "tag string, trial int, sample int, bin int, burst int, b double, s int, c double, y double"
+
+
+def required(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Just the columns; a missing one is an error."""
+    missing = [c for c in columns if c not in rows.columns]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    return rows.select(*columns)
+
+
+def failing(bad: Column, message: str | Column, value: Column) -> Column:
+    """`value`, or an error where `bad` holds."""
+    return F.when(bad, F.raise_error(F.lit(message) if isinstance(message, str) else message)).otherwise(value)
+
+
+def read_traces(spark: SparkSession, path: str) -> DataFrame:
+    """dataset, trial, t, y of a Parquet table of trials; a missing column or arrays of unequal length are errors."""
+    rows = required(spark.read.parquet(path), ["dataset", "trial", "t", "y"])
+    return rows.withColumn("y", failing(F.size("t") != F.size("y"), F.format_string("%s/%s: times and values differ in length", F.col("dataset").cast("string"), F.col("trial").cast("string")), F.col("y")))
+
+
+def read_spikes(rows: DataFrame, epochs: DataFrame) -> DataFrame:
+    """dataset, trial, s from `rows(dataset, ap array<array<double>>)` for the `epochs(dataset, n)` of each dataset.
+
+    As many lists as epochs: one list an epoch. One list: the events of all epochs. Any other number: all lists joined, for all
+    epochs. Values that are not finite are dropped.
+    """
+    both = rows.select("dataset", "ap").join(epochs, "dataset")
+    own = F.transform("ap", lambda x, i: F.struct(i.alias("trial"), x.alias("s")))
+    shared = F.transform(F.sequence(F.lit(0), F.col("n").cast("int") - 1), lambda i: F.struct(i.alias("trial"), F.flatten("ap").alias("s")))
+    lists = both.where("n > 0").select("dataset", F.explode(F.when(F.size("ap") == F.col("n"), own).otherwise(shared)).alias("e"))
+    return lists.select("dataset", F.col("e.trial").cast("long").alias("trial"), F.explode("e.s").alias("s")).where(finite("s"))
+
+
+def read_windows(rows: DataFrame, column: str = "json") -> DataFrame:
+    """dataset, trial, start_s, end_s of JSON objects dataset -> list of [start, end]; a pair of another length is an error."""
+    parsed = rows.select(F.explode(F.from_json(column, "map<string,array<array<double>>>", {"mode": "FAILFAST"})).alias("dataset", "w")).select("dataset", F.posexplode("w").alias("trial", "w"))
+    return parsed.select("dataset", F.col("trial").cast("long").alias("trial"), failing(F.size("w") != 2, F.concat(F.lit("not a start and an end: "), "dataset"), F.get("w", 0)).alias("start_s"), F.get("w", 1).alias("end_s"))
+
+
+def read_predictions(rows: DataFrame, keys: list[str], time: str, prob: str, others: dict[str, str] | None = None) -> DataFrame:
+    """Keys, trial, i, t, prob and one column for each of `others` (name -> column) from array columns that the caller names.
+
+    `time` is one array, or one for each trial; `prob` and the others are one array, or one for each trial, of the same lengths. One
+    time array serves all trials. Times that are not finite are dropped with their values; any other shape is an error.
+    """
+    others = {k: c for k, c in (others or {}).items() if c in rows.columns}
+    deep = lambda c: rows.schema[c].dataType.simpleString().startswith("array<array<")
+    if deep(time) and not all(deep(c) for c in (prob, *others.values())):
+        raise ValueError("times of each trial need values of each trial")
+    nested = lambda c: F.col(c) if deep(c) else F.array(c)
+    many = next((c for c in (prob, *others.values()) if deep(c)), None)
+    times = F.col(time) if deep(time) else F.array_repeat(F.col(time), F.size(F.col(many)).cast("int")) if many else F.array(time)
+    columns = {"prob": nested(prob), **{k: nested(c) for k, c in others.items()}}
+    each = rows.select(*keys, times.alias("_t"), *[c.alias(k) for k, c in columns.items()])
+    zipped = each.select(*keys, F.posexplode(F.arrays_zip("_t", *columns)).alias("trial", "_p"))
+    unequal = F.lit(False)
+    for c in columns:
+        unequal = unequal | F.coalesce(F.size(f"_p.{c}"), F.lit(-1)).eqNullSafe(F.coalesce(F.size("_p._t"), F.lit(-1))).__invert__()
+    checked = zipped.withColumn("_t", failing(unequal, "times and values differ in shape", F.col("_p._t"))).select(*keys, "trial", F.arrays_zip("_t", *[F.col(f"_p.{c}").alias(c) for c in columns]).alias("_z"))
+    points = checked.select(*keys, "trial", F.filter("_z", lambda z: finite(z["_t"])).alias("_z")).select(*keys, "trial", F.posexplode("_z").alias("i", "_z"))
+    return points.select(*keys, F.col("trial").cast("long").alias("trial"), "i", F.col("_z._t").alias("t"), *[F.col(f"_z.{c}").alias(c) for c in columns])
+
+
+def read_bundles(rows: DataFrame, bundle: str = "recordings") -> DataFrame:
+    """dataset, trial, t, y, spikes_s, frame_rate of `rows(dataset, <bundle> array<struct<fluo_time, fluo_mean, events_AP>>)`.
+
+    Events are in tenths of milliseconds; the frame rate is 1 / the mean step. Times and values of unequal length are an error.
+    """
+    each = rows.select("dataset", F.posexplode(bundle).alias("trial", "b"))
+    steps = F.size("b.fluo_time") - 1
+    rate = F.try_divide(steps, F.element_at("b.fluo_time", -1) - F.element_at("b.fluo_time", 1))
+    return each.select(
+        "dataset",
+        F.col("trial").cast("long").alias("trial"),
+        failing(F.size("b.fluo_time") != F.size("b.fluo_mean"), "times and values differ in length", F.col("b.fluo_time")).alias("t"),
+        F.col("b.fluo_mean").alias("y"),
+        F.transform(F.filter("b.events_AP", finite), lambda x: x / F.lit(1e4)).alias("spikes_s"),
+        F.when(steps > 0, rate).alias("frame_rate"),
+    )
 
 
 def read_trial_selection(rows: DataFrame, column: str = "json") -> DataFrame:
@@ -31,49 +113,78 @@ def read_trialwise_csv(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=TRIALWISE, mode="FAILFAST", enforceSchema=False)
 
 
-def read_run_tree(spark: SparkSession, root: str, runs: list[str] | None = None, datasets: list[str] | None = None) -> DataFrame:
-    """run, dataset, smoothing, method, correlation of all `run/dataset/smoothing/summary.json` below a root."""
-    rows = spark.read.schema(SUMMARY).option("recursiveFileLookup", True).option("pathGlobFilter", "summary.json").option("multiLine", True).json(root)
-    part = lambda g: F.regexp_extract(F.col("_metadata.file_path"), "/([^/]+)/([^/]+)/([^/]+)/summary.json$", g)
-    rows = rows.select(part(1).alias("run"), part(2).alias("dataset"), part(3).alias("smoothing"), F.explode("correlations").alias("method", "correlation"))
-    rows = rows.where(F.col("run").isin(runs)) if runs is not None else rows
-    return rows.where(F.col("dataset").isin(datasets)) if datasets is not None else rows
+PLACE = "/([^/]+)/([^/]+)/([^/]+)/(summary|comparison).json$"
 
 
-def read_posterior(spark: SparkSession, path: str, bins: int) -> DataFrame:
-    """Trajectory files `traj_samples_<tag>_trial<n>.dat` as rows; the bin is the row's place inside its sample.
+def read_run_tree(spark: SparkSession, root: str, runs: list[str] | None = None, datasets: list[str] | None = None, smoothings: list[str] | None = None, methods: list[str] | None = None, on_missing: str = "skip") -> DataFrame:
+    """run, dataset, smoothing, method, correlation, manifest of all `run/dataset/smoothing/` folders below a root.
 
-    A file is read whole, since its row order is the time order; a row count that `bins` does not divide is an error.
+    Correlations are those of `summary.json`; with `methods` just these, null where a summary lacks one. `manifest` is the text of
+    `comparison.json`, null without one. A folder with a comparison but no summary is left out (skip) or an error (raise).
     """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{summary,comparison}.json").text(root, wholetext=True)
+    part = lambda g: F.regexp_extract(F.col("_metadata.file_path"), PLACE, g)
+    rows = files.select(part(1).alias("run"), part(2).alias("dataset"), part(3).alias("smoothing"), part(4).alias("kind"), "value")
+    for column, wanted in (("run", runs), ("dataset", datasets), ("smoothing", smoothings)):
+        rows = rows.where(F.col(column).isin(wanted)) if wanted is not None else rows
+    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
+    rows = rows.groupBy("run", "dataset", "smoothing").agg(one("summary").alias("summary"), one("comparison").alias("manifest"))
+    if on_missing == "raise":
+        rows = rows.withColumn("summary", failing(F.col("summary").isNull(), F.concat_ws("/", F.lit("no summary in"), "run", "dataset", "smoothing"), F.col("summary")))
+    found = rows.where("summary is not null").withColumn("c", F.from_json("summary", SUMMARY, {"mode": "FAILFAST"})["correlations"])
+    if methods is not None:
+        found = found.withColumn("c", F.map_from_entries(F.array(*[F.struct(F.lit(m), F.try_element_at("c", F.lit(m))) for m in methods])))
+    return found.select("run", "dataset", "smoothing", F.explode("c").alias("method", "correlation"), "manifest")
+
+
+def read_posterior(spark: SparkSession, path: str, bins: int | None = None, logp: bool = False) -> DataFrame:
+    """Trajectory files `traj_samples_<tag>_trial<n>.dat` as rows; the bin is the row's place inside its sample.
 
-    def run(frames):
-        for f in frames:
-            for name, content in zip(f["path"], f["content"]):
-                tag, _, trial = name.rpartition("/")[2].removeprefix("traj_samples_").removesuffix(".dat").rpartition("_trial")
-                rows = pd.read_csv(pd.io.common.BytesIO(content))
-                if len(rows) % bins:
-                    raise ValueError(f"{name}: {len(rows)} rows are no multiple of {bins}")
-                rows.columns = ["sample", "burst", "b", "s", "c", "y"]
-                rows.insert(0, "tag", tag)
-                rows.insert(1, "trial", int(trial))
-                rows.insert(3, "bin", np.arange(len(rows)) % bins)
-                yield rows
+    A sample has `bins` bins, or as many as the first one (index 0) has rows; none, or a row count that they do not divide, is an error.
+    With `logp` the files `logp_<tag>_trial<n>.dat` are read too: their values stand beside the samples, and samples beyond
+    the shorter of both are left out; an empty or missing file is an error. Lines keep their place by their number in a file.
+    """
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "traj_samples_*.dat").load(path).select("path", "content").mapInPandas(run, TRAJ)
+    def lines(kind: str, header: int) -> DataFrame:
+        text = spark.read.option("pathGlobFilter", f"{kind}_*.dat").text(path, wholetext=True)
+        place = lambda g: F.regexp_extract(F.col("_metadata.file_path"), f"/{kind}_(.+)_trial([0-9]+).dat$", g)
+        whole = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+        whole = F.slice(whole, header + 1, F.greatest(F.size(whole) - header, F.lit(0)))
+        return text.select(place(1).alias("tag"), place(2).cast("int").alias("trial"), whole.alias("lines"))
+
+    cells = lambda x: F.transform(F.split(x, ","), lambda c: F.trim(c).cast("double"))
+    first = F.size(F.filter("lines", lambda x: F.split_part(x, F.lit(","), F.lit(1)).cast("double") == 0))
+    files = lines("traj_samples", 1).withColumn("bins", F.lit(bins) if bins is not None else first)
+    files = files.withColumn("bins", failing(F.col("bins") == 0, F.concat(F.lit("no rows of sample 0: "), "tag"), F.col("bins")))
+    files = files.withColumn("samples", failing(F.size("lines") % F.col("bins") != 0, F.concat(F.lit("rows are no multiple of the bins: "), "tag"), F.floor(F.size("lines") / F.col("bins"))))
+    own = []
+    if logp:
+        beside = lines("logp", 0).select("tag", "trial", F.transform("lines", lambda x: F.trim(x).cast("double")).alias("logs"))
+        files = files.join(beside, ["tag", "trial"], "left")
+        files = files.withColumn("samples", failing(F.coalesce(F.size("logs"), F.lit(0)) <= 0, F.concat(F.lit("no log-probabilities: "), "tag"), F.least("samples", F.size("logs"))))
+        own = [F.get("logs", F.floor(F.col("k") / F.col("bins")).cast("int")).alias("logp")]
+    kept = files.select("tag", "trial", "bins", *(["logs"] if logp else []), F.posexplode(F.slice("lines", F.lit(1), (F.col("samples") * F.col("bins")).cast("int"))).alias("k", "line"))
+    kept = kept.withColumn("v", cells(F.col("line")))
+    at = lambda i, kind: F.get("v", i).cast(kind)
+    return kept.select(
+        "tag", "trial", F.floor(F.col("k") / F.col("bins")).cast("int").alias("sample"), (F.col("k") % F.col("bins")).cast("int").alias("bin"),
+        at(1, "int").alias("burst"), at(2, "double").alias("b"), at(3, "int").alias("s"), at(4, "double").alias("c"), at(5, "double").alias("y"), *own,
+    )
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
-    """Parameter samples, one file per task, as (file, sample, name, value)."""
+    """Parameter samples of CSV files with a header, as (file, sample, name, value). Samples are the lines of a file in order."""
+    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("file"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
+    names = F.transform(F.split(F.get("lines", 0), ","), lambda c: F.trim(c))
+    rows = text.where(F.size("lines") > 0).select("file", names.alias("names"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("sample", "line"))
+    pairs = F.arrays_zip(F.col("names").alias("name"), F.transform(F.split("line", ","), lambda c: F.trim(c).cast("double")).alias("value"))
+    return rows.select("file", F.col("sample").cast("long").alias("sample"), F.inline(pairs))
 
-    def run(frames):
-        for f in frames:
-            for name, content in zip(f["path"], f["content"]):
-                rows = pd.read_csv(pd.io.common.BytesIO(content))
-                long = rows.rename_axis("sample").reset_index().melt("sample", var_name="name", value_name="value")
-                long.insert(0, "file", name.rpartition("/")[2])
-                yield long
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, sample long, name string, value double")
+def equal_headers(left: DataFrame, right: DataFrame) -> bool:
+    """Whether two sets of parameter samples have the same names; they must before chains are compared."""
+    names = [x.select("name").distinct() for x in (left, right)]
+    return names[0].exceptAll(names[1]).isEmpty() and names[1].exceptAll(names[0]).isEmpty()
 
 
 def write_results(predictions: DataFrame, path: str) -> None:
@@ -81,6 +192,41 @@ def write_results(predictions: DataFrame, path: str) -> None:
     predictions.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("method", "dataset").parquet(path)
 
 
+def write_texts(rows: DataFrame, root: str) -> None:
+    """Writes `text` of `rows(path, text)` to the file `path` below a root, in tasks; a task that runs again replaces its files."""
+
+    def run(frames):
+        for f in frames:
+            store, at = pafs.FileSystem.from_uri(root)
+            for path, text in zip(f["path"], f["text"]):
+                store.create_dir(f"{at}/{path}".rpartition("/")[0], recursive=True)
+                with store.open_output_stream(f"{at}/{path}", compression=None) as out:
+                    out.write(text.encode())
+            yield f[["path"]]
+
+    rows.select("path", "text").mapInPandas(run, "path string").count()
+
+
+def write_summary(scores: DataFrame, path: str) -> None:
+    """`scores(run, dataset, smoothing, method, correlation)` as `<path>/json`, an object of correlations by method for each run, dataset and
+    smoothing, and as `<path>/csv`, a line for each score."""
+    by = ["run", "dataset", "smoothing"]
+    methods = F.map_from_entries(F.sort_array(F.collect_list(F.struct("method", "correlation"))))
+    scores.groupBy(*by).agg(methods.alias("correlations")).write.mode("overwrite").json(f"{path}/json")
+    scores.select(*by, "method", "correlation").write.mode("overwrite").csv(f"{path}/csv", header=True)
+
+
+def export_downsampled(samples: DataFrame, spikes: DataFrame, fs: float, path: str) -> None:
+    """Trials at `fs` as one row each: dataset, trial, valid_length, t, y (padded with nulls to the dataset's longest) and counts, the
+    events in half a step before to half a step after each time."""
+    low = series.resample_to(samples, fs).withColumnRenamed("k", "i")
+    n = stats.frame_histogram(low, spikes, 1.0 / fs)
+    wide = low.join(n, ["dataset", "trial", "i"]).groupBy("dataset", "trial").agg(F.sort_array(F.collect_list(F.struct("i", "t", "y", "n"))).alias("a"))
+    wide = wide.select("dataset", "trial", F.col("a.t").alias("t"), F.col("a.y").alias("y"), F.col("a.n").alias("counts"))
+    padded = reshape.pad_trials(wide.select("dataset", "trial", "t", "y"))
+    padded.join(wide.select("dataset", "trial", "counts"), ["dataset", "trial"]).write.mode("overwrite").partitionBy("dataset").parquet(path)
+
+
 def trace_hashes(samples: DataFrame) -> DataFrame:
     """SHA-256 over the float64 times, then the float32 values, of each trial in time order."""
 
@@ -95,9 +241,10 @@ def trace_hashes(samples: DataFrame) -> DataFrame:
 
 
 def file_fingerprints(spark: SparkSession, path: str) -> DataFrame:
-    """SHA-256 of each file's content, and of its folder's sorted (name, size) list."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.sha2("content", 256).alias("hash"))
-    listed = files.groupBy("folder").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "name", F.col("length").cast("string")))), ","), 256).alias("folder_hash"))
+    """SHA-256 of each file's content, and of its folder's sorted (name, size, time of change) list."""
+    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", "([^/]*)$", 1).alias("name"), "length", F.unix_micros("modificationTime").alias("changed"), F.sha2("content", 256).alias("hash"))
+    entry = F.concat_ws(":", "name", F.col("length").cast("string"), F.col("changed").cast("string"))
+    listed = files.groupBy("folder").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), ","), 256).alias("folder_hash"))
     return files.join(listed, "folder")
 
 
@@ -114,5 +261,11 @@ def own_folder() -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of `spark.checkpoint.dir`; a temporary folder of this process only where that is unset."""
-    return f"{(spark.conf.get('spark.checkpoint.dir', None) or own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder of `spark.checkpoint.dir`; where that is unset a local master gets a temporary folder, any other an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        master = spark.conf.get("spark.master", "local")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = own_folder()
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

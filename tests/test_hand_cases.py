@@ -136,7 +136,7 @@ def test_seeded_subset_is_the_same_again(spark):
 
 def test_readers(spark, tmp_path):
     (tmp_path / "traj").mkdir()
-    (tmp_path / "traj" / "traj_samples_rec_1_trial3.dat").write_text("index,burst,B,S,C,Y\n0,0,-3.9919e-05,0,-2.08756e-15,0.223743\n0,0,0.1,1,0.2,0.3\n1,1,0,0,0,0\n1,0,0,2,0,0\n")
+    (tmp_path / "traj" / "traj_samples_rec_1_trial3.dat").write_text("index,burst,B,S,C,Y\n0,0,-0.25,0,0.125,0.5\n0,0,0.1,1,0.2,0.3\n1,1,0,0,0,0\n1,0,0,2,0,0\n")
     got = io.read_posterior(spark, str(tmp_path / "traj"), 2).orderBy("sample", "bin").collect()
     assert [(r["tag"], r["trial"], r["sample"], r["bin"], r["s"]) for r in got] == [("rec_1", 3, 0, 0, 0), ("rec_1", 3, 0, 1, 1), ("rec_1", 3, 1, 0, 0), ("rec_1", 3, 1, 1, 2)]
     with pytest.raises(Exception, match="no multiple"):
