@@ -65,7 +65,7 @@ def trim_to_window(samples: DataFrame, windows: DataFrame, tolerance: float = 1e
         windows = windows.withColumn("start_s", strictly(~good, F.col("start_s"), "a window must be finite and end after its start", True))
         inside = F.col("t").between(F.col("start_s") - tolerance, F.col("end_s") + tolerance)
         rows = samples.join(windows, list(TRIAL)).withColumn("_in", inside).withColumn("_any", F.max("_in").over(W.partitionBy(*TRIAL)))
-        return rows.withColumn("t", strictly(~F.col("_any"), F.col("t"), "a window holds no sample", True)).where("_in").drop("_in", "_any")
+        return rows.where(strictly(~F.col("_any"), F.col("_in"), "a window holds no sample", True)).drop("_in", "_any")
     return samples.join(windows.where(good), list(TRIAL)).where(F.col("t").between(F.col("start_s") - tolerance, F.col("end_s") + tolerance))
 
 

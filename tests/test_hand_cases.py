@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparktrace.functions import text
-from sparktrace.operators import match, report, reshape, series, stats, train
+from sparktrace.operators import match, report, reshape, score, series, stats, train
 from sparktrace.sources import io
 
 
@@ -163,3 +163,231 @@ def test_write_replaces_only_its_partitions(spark, tmp_path):
     io.write_results(spark.createDataFrame([("a", "m", 0, 1.0), ("b", "m", 0, 2.0)], row), path)
     io.write_results(spark.createDataFrame([("a", "m", 0, 9.0)], row), path)
     assert {(r["dataset"], r["prob"]) for r in spark.read.parquet(path).collect()} == {("a", 9.0), ("b", 2.0)}
+
+
+def brute_rate(events, start, end, fs, sigma):
+    """Smoothed event rate on the grid of a window: events split between two bins, edges reflected."""
+    n = int(np.ceil((end - start) * fs)) + 1
+    v = np.zeros(n)
+    for s in events:
+        if start <= s <= end:
+            x = (s - start) * fs
+            k = int(np.floor(x))
+            v[k] += 1 - (x - k)
+            if k + 1 < n:
+                v[k + 1] += x - k
+    return np.linspace(start, end, n), brute_smooth(v, sigma)
+
+
+def brute_smooth(v, sigma):
+    r, n = int(4 * sigma + 0.5), len(v)
+    w = [np.exp(-0.5 * (d / sigma) ** 2) for d in range(-r, r + 1)]
+    place = lambda k: k % (2 * n) if k % (2 * n) < n else 2 * n - 1 - k % (2 * n)
+    return np.array([sum(a * v[place(k + d)] for a, d in zip(w, range(-r, r + 1))) / sum(w) for k in range(n)])
+
+
+def brute_pieces(t, fs):
+    cuts = [0, *[i for i in range(1, len(t)) if t[i] - t[i - 1] > 4 / fs], len(t)]
+    return [list(range(a, z)) for a, z in zip(cuts, cuts[1:]) if z > a]
+
+
+def brute_align(t, y, grid, fs):
+    out = np.full(len(grid), np.nan)
+    for p in brute_pieces(t, fs):
+        inside = (grid >= t[p[0]]) & (grid <= t[p[-1]])
+        if inside.any():
+            out[inside] = np.interp(grid[inside], [t[i] for i in p], [y[i] for i in p])
+    return out
+
+
+def brute_pearson(x, y):
+    ok = np.isfinite(x) & np.isfinite(y)
+    if ok.sum() < 2 or np.std(x[ok]) == 0 or np.std(y[ok]) == 0:
+        return None
+    return float(np.corrcoef(x[ok], y[ok])[0, 1])
+
+
+def score_case(windows):
+    """A recording of two segments with a gap, holes of one and of six values, events and two methods."""
+    rng = np.random.default_rng(8)
+    t = np.concatenate([np.arange(60) / 10, 9 + np.arange(50) / 10])
+    y = rng.random(110)
+    y[20] = np.nan
+    y[70:76] = np.nan
+    events = [0.33, 1.0, 2.71, 2.75, 9.5, 11.1, 12.0]
+    return t, {"right": y, "plain": rng.random(110)}, events, windows
+
+
+def frames_of(spark, t, values, events, windows):
+    preds = [(0, 0, i, float(a), m, float(b)) for m, v in values.items() for i, (a, b) in enumerate(zip(t, v))]
+    return (
+        spark.createDataFrame(preds, "dataset long, trial long, i int, t double, method string, prob double"),
+        spark.createDataFrame([(0, 0, s) for s in events], "dataset long, trial long, s double"),
+        spark.createDataFrame([(0, 0, k, a, z) for k, (a, z) in enumerate(windows)], "dataset long, trial long, k int, start_s double, end_s double"),
+        spark.createDataFrame([(0, 0, 10.0)], "dataset long, trial long, fs double"),
+    )
+
+
+@pytest.mark.parametrize(
+    "windows",
+    [
+        [(0.0, 5.9), (9.0, 13.0)],  # as many as segments: by place
+        [(9.0, 13.0), (0.0, 5.9)],  # by place although they lie elsewhere
+        [(0.5, 3.0), (3.0, 10.0), (9.5, 12.5)],  # by overlap
+        [(0.0, 13.9)],
+        [(20.0, 30.0), (None, 5.0), (4.0, 4.0), (1.0, 5.0)],  # outside, not set, empty
+    ],
+)
+def test_scores_of_windows(spark, windows):
+    t, values, events, windows = score_case(windows)
+    preds, spikes_, wins, rates = frames_of(spark, t, values, events, windows)
+    pairs = score.window_pairs(preds, spikes_, wins, rates, 10.0, 150.0, ("right",)).cache()
+    got = {(r["method"], r["k"]): r["correlation"] for r in score.corr_per_trial(pairs, wins, preds).collect()}
+    pooled = {r["method"]: r["correlation"] for r in score.corr_pooled(pairs).collect()}
+    segments = brute_pieces(t, 10.0)
+    for m, y in values.items():
+        xs, ys = [], []
+        for k, (a, z) in enumerate(windows):
+            want = None
+            if a is not None and z > a:
+                grid, rate = brute_rate(events, a, z, 10.0, 1.5)
+                overlaps = [min(t[p[-1]], z) - max(t[p[0]], a) for p in segments]
+                seg = k if len(segments) == len(windows) else int(np.argmax(overlaps)) if max(overlaps) > 0 else None
+                aligned = np.full(len(grid), np.nan)
+                if seg is not None:
+                    keep = [i for i in segments[seg] if np.isfinite(y[i])]
+                    v = y[keep]
+                    v = np.append(v[1:], 0.0) if m == "right" else v
+                    aligned = brute_align(t[keep], brute_smooth(v, 1.5), grid, 10.0)
+                want = brute_pearson(rate, aligned)
+                xs.append(rate)
+                ys.append(aligned)
+            assert got[m, k] == (None if want is None else pytest.approx(want, abs=1e-9)), (m, k)
+        want = brute_pearson(np.concatenate(xs), np.concatenate(ys))
+        assert pooled[m] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_scores_on_a_global_grid(spark):
+    windows = [(0.5, 3.0), (9.5, 12.5), (None, 1.0)]
+    t, values, events, _ = score_case(windows)
+    preds, spikes_, wins, rates = frames_of(spark, t, values, events, windows)
+    grid, rate = brute_rate(events, 0.0, 13.9, 10.0, 1.5)
+    ref = spark.createDataFrame([(0, 0, float(q), float(v)) for q, v in zip(grid, rate)], "dataset long, trial long, q double, rate double")
+    pairs = score.global_pairs(preds, ref, rates, 150.0).cache()
+    whole = {r["method"]: r["correlation"] for r in score.corr_global(pairs).collect()}
+    cut = {r["method"]: r["correlation"] for r in score.corr_global(pairs, wins).collect()}
+    each = {(r["method"], r["k"]): r["correlation"] for r in score.corr_global_per_window(pairs, wins).collect()}
+    for m, y in values.items():
+        aligned = brute_align(t, brute_smooth(y, 1.5), grid, 10.0)
+        masks = [(grid >= a) & (grid <= z) if a is not None else np.zeros(len(grid), bool) for a, z in windows]
+        assert whole[m] == pytest.approx(brute_pearson(rate, aligned), abs=1e-9)
+        assert cut[m] == pytest.approx(brute_pearson(rate, np.where(masks[0] | masks[1], aligned, np.nan)), abs=1e-9)
+        for k, mask in enumerate(masks):
+            want = brute_pearson(rate, np.where(mask, aligned, np.nan))
+            assert each[m, k] == (None if want is None else pytest.approx(want, abs=1e-9))
+
+
+def test_events_per_bin(spark):
+    rates = [None, 120.0, 30.0, 30.09, 30.2, 29.2, 10.0, 9.8, 60.0, 240.0]
+    rows = spark.createDataFrame([(i, r) for i, r in enumerate(rates)], "i int, r double").select("i", text.events_per_bin(F.col("r"), 120.0).alias("n"))
+    assert column(rows, "n") == [2, 2, 4, 4, 5, 6, 7, 14, 3, 3]
+    with pytest.raises(Exception, match="above 0"):
+        spark.createDataFrame([(0.0,)], "r double").select(text.events_per_bin(F.col("r"), 120.0)).collect()
+
+
+def test_last_bin_holds_its_end(spark):
+    bounds = spark.createDataFrame([(0, 0, 0.0, 3.0), (0, 1, 0.0, 2.5), (0, 2, 1.0, 1.0)], "dataset long, trial long, first_t double, last_t double")
+    events = spark.createDataFrame([(0, 0, 0.0), (0, 0, 3.0), (0, 1, 2.5), (0, 2, 1.0)], "dataset long, trial long, s double")
+    got = {(r["trial"], r["k"]): r["n"] for r in stats.fixed_bins(events, bounds, 1.0).collect()}
+    assert got == {(0, 0): 1, (0, 1): 0, (0, 2): 1, (1, 0): 0, (1, 1): 0, (1, 2): 1}
+    per = {r["trial"]: (r["n"], r["peak"]) for r in stats.epoch_rate_stats(bounds, events, 1.0).collect()}
+    assert per == {0: (2, 1.0), 1: (1, 1.0), 2: (1, 0.0)}
+    latent = {r["trial"]: (r["p99"], r["duty"]) for r in stats.latent_rate_metrics(bounds, events, 1.0, 0.0, 0.1).collect()}
+    assert latent[2] == (0.0, 0.0) and latent[1] == (pytest.approx(0.98), pytest.approx(1 / 3))
+
+
+def test_slow_and_constant_series(spark):
+    slow = np.cos(np.arange(200) / 200 * np.pi)
+    x = slow - slow.mean()
+    auto = [float(x[: len(x) - k] @ x[k:] / (x @ x)) for k in range(200)]
+    first = next(k for k, a in enumerate(auto) if a <= np.exp(-1))
+    rows = samples(spark, range(200), slow).unionByName(samples(spark, range(5), [2.0] * 5, 1)).unionByName(samples(spark, [0], [1.0], 2))
+    got = {r["trial"]: r["tau"] for r in stats.autocorr_time(rows, 0.5).collect()}
+    assert first > 20 and got == {0: first * 0.5, 1: None, 2: None}
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(1)
+    values = np.concatenate([rng.normal(size=500), [1e9], np.repeat(0.25, 100)])
+    rows = spark.createDataFrame([("a", float(v)) for v in values] + [("b", 3.0), ("b", None)], "g string, v double")
+    got = {r["g"]: r["q"] for r in stats.quantiles(rows, ["g"], "v", [0.0, 0.05, 0.5, 0.999, 1.0], 16).collect()}
+    assert got["a"] == pytest.approx(list(np.quantile(values, [0.0, 0.05, 0.5, 0.999, 1.0]))) and got["b"] == [3.0] * 5
+
+
+def test_tag_that_begins_with_the_marker(spark):
+    rows = spark.createDataFrame([("_s1_ms2_x",), ("rec_s1_ms2",)], "tag string").select(text.tag_epoch(F.col("tag")).alias("e"))
+    assert {r["e"] for r in rows.collect()} == {"_s1_ms2_x", "rec"}
+
+
+def test_model_of_a_tag(spark):
+    models = spark.createDataFrame([("m1", True, "t", []), ("t", True, None, []), ("m2", True, "u", ["w"]), ("m3", True, "v", ["w"])], "model string, has_checkpoint boolean, run_tag string, synthetic array<string>")
+    assert [r["model"] for r in match.model_by_tag(models, "t", True).collect()] == ["t"]
+    assert [r["model"] for r in match.model_by_tag(models, "u", True).collect()] == ["m2"]
+    for tag in ("w", "none"):
+        with pytest.raises(ValueError):
+            match.model_by_tag(models, tag, True)
+
+
+def test_strict_windows_and_trials(spark):
+    rows = samples(spark, [0, 1, 2, 3])
+    window = lambda a, z: spark.createDataFrame([(0, 0, a, z)], "dataset long, trial long, start_s double, end_s double")
+    assert reshape.trim_to_window(rows, window(1.0, 2.0), strict=True).count() == 2
+    for a, z in ((2.0, 1.0), (None, 1.0), (7.0, 9.0)):
+        assert reshape.trim_to_window(rows, window(a, z)).count() == 0
+        with pytest.raises(Exception, match="window"):
+            reshape.trim_to_window(rows, window(a, z), strict=True).collect()
+    for strict in (reshape.resolve_windows, reshape.clip_windows):
+        with pytest.raises(Exception, match="window"):
+            strict(rows, window(3.0, 1.0), strict=True).collect()
+    with pytest.raises(Exception, match="no trial"):
+        reshape.select_trials(rows, spark.createDataFrame([(0, 5)], "dataset long, trial long"), strict=True).collect()
+    with pytest.raises(Exception, match="empty"):
+        reshape.display_snippet(rows, spikes(spark, [1]), explicit=(8.0, 9.0), strict=True).collect()
+    assert reshape.display_snippet(rows, spikes(spark, [1]), 1.0, "start").select("start_s", "end_s").first() == (0.0, 1.0)
+
+
+def test_components_must_agree_in_time(spark):
+    row = lambda c, t: spark.createDataFrame([(0, t, 1.0)], f"k int, t double, {c} double")
+    assert match.align_components(row("a", 1.0), row("b", 1.0), ["k"], "t").count() == 1
+    with pytest.raises(Exception, match="differ in time"):
+        match.align_components(row("a", 1.0), row("b", 2.0), ["k"], "t").collect()
+
+
+def brute_events(v, sigma):
+    """Events by trying every place with the smoothed sum computed anew."""
+    r = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
+    smooth = lambda e: np.convolve(np.pad(e, r), w / w.sum(), mode="valid")
+    e = np.zeros(len(v))
+    if v.sum() >= 0.5:
+        e[int(v.argmax())] = 1
+    while True:
+        errors = [((v - smooth(e + np.eye(len(v))[k])) ** 2).sum() for k in range(len(v))]
+        if ((v - smooth(e)) ** 2).sum() - min(errors) < 1e-8:
+            return e
+        e[int(np.argmin(errors))] += 1
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_events_that_fit_a_rate(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 40))
+    v = np.convolve(rng.poisson(0.2, n) * rng.random(n), [0.2, 0.5, 0.3], mode="same") * (0.1 if seed == 5 else 1.5)
+    assert np.bincount(series.fit_events(v, series.gaussian_kernel(1.2)), minlength=n).tolist() == brute_events(v, 1.2).tolist()
+
+
+def test_segments_take_the_times_of_their_trials(spark):
+    preds = spark.createDataFrame([(d, i, float(i + 10 * (i > 1)), float(i)) for d in (0, 1) for i in range(5)], "dataset long, i int, t double, y double")
+    raw = spark.createDataFrame([(0, 0, [0.0, 4.0, 8.0]), (0, 1, [20.0, 21.0]), (1, 0, [0.0, 1.0])], "dataset long, trial long, t array<double>")
+    got = series.remap_segments(preds, spark.createDataFrame([(0, 1.0), (1, 1.0)], "dataset long, fs double"), raw).orderBy("dataset", "i").collect()
+    assert [(r["trial"], r["t"]) for r in got] == [(0, 0.0), (0, 8.0), (1, 20.0), (1, 20.5), (1, 21.0), *[(None, float(i + 10 * (i > 1))) for i in range(5)]]
