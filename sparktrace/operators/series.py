@@ -112,6 +112,14 @@ def sliding_frames(samples: DataFrame, width: int, before: float) -> DataFrame:
     return samples.withColumn("frame", F.when(F.size(frame) == width, frame))
 
 
+def centred_frames(samples: DataFrame, width: int) -> DataFrame:
+    """The `width` values around each sample, from width // 2 before it; 0 beyond the ends of the trial."""
+    first = F.collect_list("y").over(ordered().rowsBetween(-(width // 2), width - 1 - width // 2))
+    lacks = F.greatest(F.lit(width // 2) - F.col("i"), F.lit(0)).cast("int")
+    padded = F.concat(F.array_repeat(F.lit(0.0), lacks), first)
+    return samples.withColumn("frame", F.concat(padded, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(padded))))
+
+
 def overlap_add(frames: DataFrame, width: int) -> DataFrame:
     """Frame predictions added at their places around each sample, divided by the width everywhere."""
     n = F.count("*").over(W.partitionBy(*TRIAL))
@@ -265,20 +273,44 @@ def fourier_resample(wide: DataFrame, fs: float | None, target: float) -> DataFr
     return wide.mapInPandas(run, wide.schema)
 
 
-def slice_by_length(axis: DataFrame, lengths: DataFrame) -> DataFrame:
-    """A flat axis(dataset, k) cut into trials by running sums of lengths(dataset, trial, n).
+def slice_axis(axis: DataFrame, cuts: DataFrame) -> DataFrame:
+    """The rows of a flat axis(dataset, k, ...) in each of the cuts(dataset, trial, first, stop), with their place `i` in it.
 
-    Both sides meet in stretches of the axis as long as a mean trial, so a sample meets few trials.
+    Both sides meet in stretches of the axis as long as a mean cut, so a sample meets few cuts.
     """
-    end = F.sum("n").over(W.partitionBy("dataset").orderBy("trial"))
-    size = F.greatest(F.ceil(F.avg("n").over(W.partitionBy("dataset"))), F.lit(1))
-    cuts = lengths.where("n > 0").withColumn("stop", end).withColumn("first", F.col("stop") - F.col("n")).withColumn("size", size)
-    sizes = cuts.groupBy("dataset").agg(F.first("size").alias("size"))
-    near = cuts.select("dataset", "trial", "first", "stop", F.explode(F.sequence(F.floor(F.col("first") / F.col("size")), F.floor((F.col("stop") - 1) / F.col("size")))).alias("stretch"))
+    sizes = cuts.groupBy("dataset").agg(F.greatest(F.ceil(F.avg(F.col("stop") - F.col("first"))), F.lit(1)).alias("size"))
+    near = cuts.where("stop > first").join(F.broadcast(sizes), "dataset")
+    near = near.select("dataset", "trial", "first", "stop", F.explode(F.sequence(F.floor(F.col("first") / F.col("size")), F.floor((F.col("stop") - 1) / F.col("size")))).alias("stretch"))
     placed = axis.join(F.broadcast(sizes), "dataset").withColumn("stretch", F.floor(F.col("k") / F.col("size"))).drop("size")
     return placed.join(near, ["dataset", "stretch"]).where("k >= first and k < stop").withColumn("i", F.col("k") - F.col("first")).drop("first", "stop", "stretch")
 
 
+def slice_by_length(axis: DataFrame, lengths: DataFrame) -> DataFrame:
+    """A flat axis(dataset, k) cut into trials by running sums of lengths(dataset, trial, n)."""
+    end = F.sum("n").over(W.partitionBy("dataset").orderBy("trial"))
+    return slice_axis(axis, lengths.withColumn("stop", end).select("dataset", "trial", (F.col("stop") - F.col("n")).alias("first"), "stop"))
+
+
+def slice_trials(axis: DataFrame, lengths: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The part of a flat axis(dataset, k, t) of each of the wanted(dataset, trial, expected) trials.
+
+    By running sums of the dataset's lengths(dataset, trial, n), if these are those of trials 0, 1, 2, ... without a hole; else the
+    segment of the trial's number, cut where time does not advance or jumps; else the trial's place among parts of the expected
+    length; else the whole axis.
+    """
+    size = axis.groupBy("dataset").agg(F.count("*").alias("size"))
+    by = W.partitionBy("dataset").orderBy("trial")
+    sums = lengths.withColumn("end", F.sum("n").over(by)).withColumn("whole", F.max("trial").over(W.partitionBy("dataset")) + 1 == F.count("*").over(W.partitionBy("dataset")))
+    sums = sums.where("whole and n > 0").select("dataset", "trial", F.struct((F.col("end") - F.col("n")).alias("first"), F.col("end").alias("stop")).alias("a"))
+    segs = gap_segments_resetting(axis.select("dataset", F.lit(0).alias("trial"), F.col("k").alias("i"), "t")).groupBy("dataset", F.col("seg").cast("long").alias("trial")).agg(F.struct(F.min("i").cast("long").alias("first"), (F.max("i") + 1).cast("long").alias("stop")).alias("b"))
+    both = wanted.join(size, "dataset").join(sums, ["dataset", "trial"], "left").join(segs, ["dataset", "trial"], "left")
+    fixed = F.when((F.col("expected") > 0) & (F.col("trial") * F.col("expected") < F.col("size")), F.struct((F.col("trial") * F.col("expected")).cast("long").alias("first"), ((F.col("trial") + 1) * F.col("expected")).cast("long").alias("stop")))
+    all_ = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").alias("stop"))
+    cut = F.coalesce(F.when(F.col("a.first") < F.col("size"), F.struct(F.col("a.first").cast("long").alias("first"), F.col("a.stop").cast("long").alias("stop"))), F.col("b"), fixed, all_)
+    cuts = both.withColumn("c", cut).select("dataset", "trial", F.col("c.first").alias("first"), F.least("c.stop", "size").alias("stop"))
+    return slice_axis(axis, cuts)
+
+
 def fit_events(v: np.ndarray, kernel: np.ndarray) -> list[int]:
     """Places of the events whose smoothed sum fits `v`: one at the peak if the sum is 0.5 or more, then the best-fitting one
     while the squared error falls by 1e-8 or more.

@@ -1,5 +1,6 @@
 """Queries of joins and of operators on ordered series."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.functions import text as X
@@ -165,6 +166,8 @@ add("e5_causal_smooth", lambda t: S.causal_smooth(t.wide, 30.0).select(*TRIAL, F
     f"WITH {CAUSAL} SELECT a.dataset, a.trial, a.i, round(sum(w*b.y), 6) + 0 AS y FROM frames a JOIN frames b ON b.trial = a.trial AND b.dataset = a.dataset JOIN ker ON ker.i = a.i - b.i + 99 GROUP BY ALL")
 add("e6_sliding_frames", lambda t: S.sliding_frames(t.frames, 16, 0.5).where("frame is not null").select(*TRIAL, "i", F.get("frame", 0).alias("first"), F.get("frame", 15).alias("last"), F.aggregate("frame", F.lit(0.0), lambda a, x: a + x).alias("total")), "frames",
     """SELECT dataset, trial, i, round(a, 6) AS first, round(z, 6) AS last, round(s, 6) + 0 AS total FROM (SELECT dataset, trial, i, lag(y, 7) OVER w AS a, lead(y, 8) OVER w AS z, sum(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 8 FOLLOWING) AS s FROM frames WINDOW w AS (PARTITION BY dataset, trial ORDER BY i)) WHERE a IS NOT NULL AND z IS NOT NULL""")
+add("e6_centred_frames", lambda t: S.centred_frames(t.frames, 16).select(*TRIAL, "i", F.size("frame").alias("n"), F.get("frame", 0).alias("first"), F.get("frame", 15).alias("last"), F.aggregate("frame", F.lit(0.0), lambda a, x: a + x).alias("total")), "frames",
+    """SELECT dataset, trial, i, 16 AS n, round(coalesce(lag(y, 8) OVER w, 0), 6) + 0 AS first, round(coalesce(lead(y, 7) OVER w, 0), 6) + 0 AS last, round(sum(y) OVER (w ROWS BETWEEN 8 PRECEDING AND 7 FOLLOWING), 6) + 0 AS total FROM frames WINDOW w AS (PARTITION BY dataset, trial ORDER BY i)""")
 add("e7_overlap_add", lambda t: S.overlap_add(t.frames.select(*TRIAL, "i", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.col("y") * (k + 1)).alias("frame")), 8), "frames",
     """SELECT dataset, trial, p AS i, round(sum(v)/8, 6) + 0 AS y FROM (SELECT dataset, trial, i + k - 4 AS p, y*(k + 1) AS v, count(*) OVER (PARTITION BY dataset, trial)/8 AS n FROM frames, (SELECT unnest(range(0, 8)) AS k)) WHERE p >= 0 AND p < n GROUP BY ALL""")
 add("e8_dilate_mask", lambda t: t.frames.withColumn("on", S.dilate(t.frames, F.col("y") > 0.2, 3, 3)).select(*TRIAL, "i", "on"), "frames",
@@ -225,3 +228,28 @@ add("e17_fourier_resample", lambda t: S.fourier_resample(t.wide, 30.0, 15.0).sel
     f"WITH {FOURIER} SELECT dataset, trial, j AS i, round(sum(c*(re*cos(2*pi()*k*j/m) - im2*sin(2*pi()*k*j/m)))/any_value(n), 6) + 0 AS y FROM (SELECT *, unnest(range(0, m)) AS j FROM w) GROUP BY dataset, trial, j")
 add("e18_slice_by_cumulative_length", lambda t: S.slice_by_length(R.flatten_trials(t.samples), t.samples.groupBy(*TRIAL).agg(F.count("*").alias("n"))).select("dataset", "trial", "i", "t"), "samples",
     "SELECT dataset, trial, i, round(t, 6) AS t FROM samples")
+
+
+def axis(t):
+    return R.flatten_trials(t.samples).select("dataset", "k", "t")
+
+
+def sliced(t):
+    """Datasets with lengths of all their trials, with a hole in them (cut at gaps or by the expected length), or with none."""
+    rank = t.samples.groupBy(*TRIAL).agg(F.count("*").alias("n"), F.min("t").alias("f")).withColumn("trial", F.row_number().over(W.partitionBy("dataset").orderBy("f")) - 1)
+    lengths = rank.where("dataset % 3 = 0 or (dataset % 3 = 1 and trial <> 1)").select("dataset", "trial", "n")
+    wanted = rank.select("dataset", F.explode(F.array(F.lit(0), F.lit(2), F.lit(500))).alias("trial"), F.lit(3).alias("expected")).distinct()
+    return S.slice_trials(axis(t), lengths, wanted).groupBy("dataset", "trial").agg(F.count("*").alias("n"), F.min("k").alias("first"), F.max("i").alias("last"))
+
+
+add("e18_slice_trials", sliced, "samples",
+    """WITH ax AS (SELECT dataset, t, row_number() OVER (PARTITION BY dataset ORDER BY t, trial, i) - 1 AS k FROM samples), sz AS (SELECT dataset, count(*) AS size FROM ax GROUP BY ALL),
+       rk AS (SELECT dataset, n, row_number() OVER (PARTITION BY dataset ORDER BY f) - 1 AS trial FROM (SELECT dataset, trial, count(*) AS n, min(t) AS f FROM samples GROUP BY ALL)),
+       ln AS (SELECT * FROM rk WHERE dataset % 3 = 0 OR (dataset % 3 = 1 AND trial <> 1)), ok AS (SELECT dataset FROM ln GROUP BY dataset HAVING max(trial) + 1 = count(*)),
+       le AS (SELECT dataset, trial, n, sum(n) OVER (PARTITION BY dataset ORDER BY trial) AS stop FROM ln WHERE dataset IN (SELECT dataset FROM ok)),
+       d AS (SELECT dataset, k, t - lag(t) OVER (PARTITION BY dataset ORDER BY k) AS d FROM ax), m AS (SELECT dataset, greatest(5*median(d), 1e-9) AS lim FROM d WHERE d > 0 GROUP BY ALL),
+       sg AS (SELECT d.dataset, k, sum(CASE WHEN d <= 0 OR d > lim THEN 1 ELSE 0 END) OVER (PARTITION BY d.dataset ORDER BY k) AS seg FROM d JOIN m ON m.dataset = d.dataset), sb AS (SELECT dataset, seg, min(k) AS a, max(k) + 1 AS z FROM sg GROUP BY ALL),
+       w AS (SELECT sz.dataset, size, trial FROM sz, (VALUES (0), (2), (500)) v(trial)),
+       c AS (SELECT w.dataset, w.trial, size, CASE WHEN le.n IS NOT NULL AND le.stop - le.n < size THEN le.stop - le.n WHEN sb.a IS NOT NULL THEN sb.a WHEN w.trial*3 < size THEN w.trial*3 ELSE 0 END AS a,
+             CASE WHEN le.n IS NOT NULL AND le.stop - le.n < size THEN le.stop WHEN sb.a IS NOT NULL THEN sb.z WHEN w.trial*3 < size THEN w.trial*3 + 3 ELSE size END AS z FROM w LEFT JOIN le ON le.dataset = w.dataset AND le.trial = w.trial LEFT JOIN sb ON sb.dataset = w.dataset AND sb.seg = w.trial)
+       SELECT dataset, trial, CAST(least(z, size) - a AS BIGINT) AS n, CAST(a AS BIGINT) AS first, CAST(least(z, size) - a - 1 AS BIGINT) AS last FROM c""")
