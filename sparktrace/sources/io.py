@@ -157,18 +157,20 @@ def read_posterior(spark: SparkSession, path: str, bins: int | None = None, logp
     files = lines("traj_samples", 1).withColumn("bins", F.lit(bins) if bins is not None else first)
     files = files.withColumn("bins", failing(F.col("bins") == 0, F.concat(F.lit("no rows of sample 0: "), "tag"), F.col("bins")))
     files = files.withColumn("samples", failing(F.size("lines") % F.col("bins") != 0, F.concat(F.lit("rows are no multiple of the bins: "), "tag"), F.floor(F.size("lines") / F.col("bins"))))
-    own = []
+    none = F.lit(None).cast("double")
     if logp:
         beside = lines("logp", 0).select("tag", "trial", F.transform("lines", lambda x: F.trim(x).cast("double")).alias("logs"))
         files = files.join(beside, ["tag", "trial"], "left")
         files = files.withColumn("samples", failing(F.coalesce(F.size("logs"), F.lit(0)) <= 0, F.concat(F.lit("no log-probabilities: "), "tag"), F.least("samples", F.size("logs"))))
-        own = [F.get("logs", F.floor(F.col("k") / F.col("bins")).cast("int")).alias("logp")]
-    kept = files.select("tag", "trial", "bins", *(["logs"] if logp else []), F.posexplode(F.slice("lines", F.lit(1), (F.col("samples") * F.col("bins")).cast("int"))).alias("k", "line"))
-    kept = kept.withColumn("v", cells(F.col("line")))
+    # A row carries its own line and log-probability, not the file's arrays.
+    used = F.slice("lines", F.lit(1), (F.col("samples") * F.col("bins")).cast("int"))
+    each = F.transform(used, lambda x, k: F.struct(x.alias("line"), (F.get("logs", F.floor(k / F.col("bins")).cast("int")) if logp else none).alias("logp")))
+    kept = files.select("tag", "trial", "bins", each.alias("each")).select("tag", "trial", "bins", F.posexplode("each").alias("k", "x"))
+    kept = kept.select("tag", "trial", "bins", "k", cells(F.col("x.line")).alias("v"), F.col("x.logp").alias("logp"))
     at = lambda i, kind: F.get("v", i).cast(kind)
     return kept.select(
         "tag", "trial", F.floor(F.col("k") / F.col("bins")).cast("int").alias("sample"), (F.col("k") % F.col("bins")).cast("int").alias("bin"),
-        at(1, "int").alias("burst"), at(2, "double").alias("b"), at(3, "int").alias("s"), at(4, "double").alias("c"), at(5, "double").alias("y"), *own,
+        at(1, "int").alias("burst"), at(2, "double").alias("b"), at(3, "int").alias("s"), at(4, "double").alias("c"), at(5, "double").alias("y"), *(["logp"] if logp else []),
     )
 
 
@@ -176,7 +178,9 @@ def read_params(spark: SparkSession, path: str) -> DataFrame:
     """Parameter samples of CSV files with a header, as (file, sample, name, value). Samples are the lines of a file in order."""
     text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("file"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
     names = F.transform(F.split(F.get("lines", 0), ","), lambda c: F.trim(c))
-    rows = text.where(F.size("lines") > 0).select("file", names.alias("names"), F.posexplode(F.slice("lines", F.lit(2), F.size("lines"))).alias("sample", "line"))
+    # A row carries the names, not the file's lines.
+    rows = text.where(F.size("lines") > 0).select("file", names.alias("names"), F.slice("lines", F.lit(2), F.size("lines")).alias("rest"))
+    rows = rows.select("file", "names", F.posexplode("rest").alias("sample", "line"))
     pairs = F.arrays_zip(F.col("names").alias("name"), F.transform(F.split("line", ","), lambda c: F.trim(c).cast("double")).alias("value"))
     return rows.select("file", F.col("sample").cast("long").alias("sample"), F.inline(pairs))
 
