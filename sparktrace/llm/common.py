@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from functools import cache
 
@@ -10,8 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Paths of the intermediate tables of this process, oldest first.
-_tables: list[str] = []
+_own = threading.local()
 #: Rows that share an id and a text beyond this number are dealt out in pieces of about as many.
 PIECE = 4096
 #: Up to so many keys of such rows are broadcast (16 bytes each).
@@ -48,26 +48,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _tables.append(path)
+    tables().append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables() -> list[str]:
+    """Paths of the intermediate tables that this thread has written, oldest first."""
+    if not hasattr(_own, "tables"):
+        _own.tables = []
+    return _own.tables
+
+
 def mark() -> int:
-    """The number of intermediate tables so far, for `removed`."""
-    return len(_tables)
+    """The number of this thread's intermediate tables so far, for `removed`."""
+    return len(tables())
 
 
 def removed(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
-    """Deletes the intermediate tables written after `since` but for the last `keep`.
+    """Deletes this thread's intermediate tables written after `since` but for the last `keep`.
 
     To be called when what was computed from them is itself stored, or no longer wanted.
     """
-    gone = _tables[since : len(_tables) - keep]
+    upto = len(tables()) - keep
+    gone = tables()[since:upto]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for path in gone:
         at = hadoop(path)
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    _tables[since : len(_tables) - keep] = []
+    tables()[since:upto] = []
 
 
 def let(value: Column, body) -> Column:

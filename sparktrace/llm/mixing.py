@@ -90,6 +90,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     each get a place; rows equal in doc_id and text may change places with each other on another run; an empty table gives
     no rows. Input columns named like the three new ones are replaced.
     """
+    if any(not w > 0 for w in (weights or {}).values()):
+        raise ValueError("weights must be above 0")
     spark = docs.sparkSession
     names = [c for c in docs.columns if c.lower() not in OWN]
     rows = dealt(docs).withColumn("s", F.coalesce(F.col("r.source"), F.lit("")))
@@ -98,7 +100,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_docs: in
     counts = written(rows.groupBy("s", "fine").count(), "mixing-counts")
 
     sizes = counts.groupBy("s").agg(F.sum("count").alias("size"))
-    if weights is None:
+    if not weights:
         sizes = sizes.withColumn("weight", F.pow(F.col("size").cast("double"), F.lit(TEMPER)))
     else:
         given = spark.createDataFrame([(s, float(w)) for s, w in weights.items()], "s string, weight double")

@@ -226,6 +226,42 @@ def test_mixture_follows_its_schedule(spark):
     assert got == {s: set(enumerate(map(int, order[k]))) for k, s in enumerate(sorted(blocks))}
 
 
+def test_weights_must_be_above_zero(spark):
+    docs = spark.createDataFrame([(1, "t", "en", "a", 0)], SCHEMA)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, {"a": 0.0})
+    assert mixing.mix(docs, {}).count() == 1
+
+
+def test_a_shared_folder_is_needed_on_a_cluster():
+    class Conf:
+        def __init__(self, **kw):
+            self.kw = kw
+
+        def get(self, key, default=None):
+            return self.kw.get(key.rpartition(".")[2], default)
+
+    class Session:
+        def __init__(self, **kw):
+            self.conf = Conf(**kw)
+
+    assert common.shared_folder(Session(master="local[2]")).startswith("file://")
+    assert common.shared_folder(Session(master="spark://x:7077", dir="hdfs://x/y/")) == "hdfs://x/y"
+    with pytest.raises(ValueError):
+        common.shared_folder(Session(master="spark://x:7077"))
+
+
+def test_removed_tables_are_gone(spark):
+    import os
+
+    since = common.mark()
+    first = common.written(spark.range(3), "kept")
+    common.written(spark.range(4), "gone")
+    paths = common.tables()[since:]
+    common.removed(spark, since + 1)
+    assert first.count() == 3 and [os.path.exists(p.removeprefix("file://")) for p in paths] == [True, False] and common.mark() == since + 1
+
+
 def test_mixture_of_a_repeated_row(spark, monkeypatch):
     monkeypatch.setattr(common, "PIECE", 3)
     monkeypatch.setattr(mixing, "SLOTS", 10)  # so that blocks grow
