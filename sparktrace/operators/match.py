@@ -142,6 +142,28 @@ def complete_sets(files: DataFrame) -> DataFrame:
     return per.groupBy("tag").agg(F.max(F.struct("complete", "files", "parent")).alias("best")).select("tag", "best.*").where("complete > 0")
 
 
+def infer_known(files: DataFrame, known: DataFrame, pattern: str) -> DataFrame:
+    """Dataset of each of `files(name)`: its stem if that is among `known(dataset)`, else what the pattern finds if that is, else the stem."""
+    names = known.select("dataset").distinct()
+    stem = F.regexp_replace(F.regexp_replace("name", "^.*/", ""), "\\.[^.]*$", "")
+    rows = files.withColumn("stem", stem).withColumn("found", F.regexp_extract(F.regexp_replace("name", "^.*/", ""), pattern, 1))
+    rows = rows.join(names.select(F.col("dataset").alias("stem"), F.lit(True).alias("known")), "stem", "left").join(names.select(F.col("dataset").alias("found"), F.lit(True).alias("other")), "found", "left")
+    return rows.withColumn("dataset", F.when(F.col("known").isNull() & F.col("other"), F.col("found")).otherwise(F.col("stem"))).drop("stem", "found", "known", "other")
+
+
+def epoch_catalogue(wide: DataFrame, spikes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """One row for each readable trial(dataset, trial, t, y): its number and the dataset's count of them, id, display text and whether it has
+    events; and the trials that are not readable (no times, or not as many values), with the reason."""
+    reason = F.when(F.col("t").isNull() | F.col("y").isNull(), "no arrays").when(F.size("t") == 0, "no samples").when(F.size("t") != F.size("y"), "times and values differ in length")
+    rows = wide.withColumn("reason", reason)
+    good = rows.where("reason is null").select(*TRIAL)
+    good = good.withColumn("epochs", F.count("*").over(W.partitionBy("dataset"))).join(spikes.select(*TRIAL).distinct().withColumn("has_spikes", F.lit(True)), list(TRIAL), "left")
+    name = F.format_string("%s_epoch%d", F.col("dataset").cast("string"), F.col("trial") + 1)
+    shown = F.format_string("%s (epoch %d of %d)", F.col("dataset").cast("string"), F.col("trial") + 1, F.col("epochs"))
+    out = good.select(*TRIAL, "epochs", name.alias("epoch_id"), shown.alias("display"), F.coalesce("has_spikes", F.lit(False)).alias("has_spikes"))
+    return out, rows.where("reason is not null").select(*TRIAL, "reason")
+
+
 def sets_of_tags(tags: DataFrame, sets: DataFrame) -> DataFrame:
     """The set of complete artefacts for each tag: under the tag itself, else its stem before `_epoch`, its epoch id, or that id's stem."""
     t = F.col("tag")

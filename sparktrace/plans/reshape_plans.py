@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.functions import text as X
+from sparktrace.operators import match as M
 from sparktrace.operators import reshape as R
 from sparktrace.plans.registry import add
 
@@ -99,6 +100,12 @@ add("h5_parse_cache_tag", lambda t: t.read("part").select("p_partkey", tag().ali
        SELECT p_partkey, CASE WHEN bare THEN whole ELSE 'rec' || p_size || CASE WHEN p_partkey % 2 = 0 THEN '_epoch' || p_partkey % 5 ELSE '' END END AS epoch, CASE WHEN bare THEN whole ELSE 'rec' || p_size END AS stem, p_partkey % 11 AS trial FROM w""")
 add("h6_infer_dataset_name", lambda t: t.read("part").select("p_partkey", X.infer_dataset(F.concat(F.lit("/data/"), F.when(F.col("p_partkey") % 2 == 0, F.lit("Set_")).otherwise(F.lit("x_")), F.col("p_size").cast("string"), F.lit(".mat")), "^Set_(.+)$").alias("dataset")), "",
     "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'x_' END || p_size AS dataset FROM part")
+def files(t):
+    return t.read("part").select("p_partkey", F.concat(F.lit("/data/pred-"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 3 == 0, F.lit("_x")).otherwise(F.lit("")), F.lit(".mat")).alias("name"))
+
+
+add("h6_infer_known_dataset", lambda t: M.infer_known(files(t), t.read("nation").select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.lit("pred-")).otherwise(F.lit("")), F.col("n_nationkey").cast("string")).alias("dataset")), "([0-9]+)").drop("name"), "",
+    """SELECT p_partkey, CASE WHEN p_size < 25 AND p_size % 2 = 1 THEN CAST(p_size AS VARCHAR) ELSE 'pred-' || p_size || CASE WHEN p_partkey % 3 = 0 THEN '_x' ELSE '' END END AS dataset FROM part""")
 add("h7_build_tag", lambda t: t.read("part").select("p_partkey", X.tag_token(F.concat_ws("_", "p_name", F.col("p_retailprice").cast("string"))).alias("tag")), "",
     "SELECT p_partkey, replace(replace(p_name || '_' || CAST(p_retailprice AS VARCHAR), '.', 'p'), ' ', '_') AS tag FROM part")
 add("h8_max_events_per_bin", lambda t: t.read("part").select("p_partkey", X.events_per_bin(F.when(F.col("p_size") % 6 != 0, F.col("p_size") + (F.col("p_partkey") % 5) / F.lit(20.0)), 120.0).alias("n")), "",

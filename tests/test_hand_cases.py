@@ -391,3 +391,56 @@ def test_segments_take_the_times_of_their_trials(spark):
     raw = spark.createDataFrame([(0, 0, [0.0, 4.0, 8.0]), (0, 1, [20.0, 21.0]), (1, 0, [0.0, 1.0])], "dataset long, trial long, t array<double>")
     got = series.remap_segments(preds, spark.createDataFrame([(0, 1.0), (1, 1.0)], "dataset long, fs double"), raw).orderBy("dataset", "i").collect()
     assert [(r["trial"], r["t"]) for r in got] == [(0, 0.0), (0, 8.0), (1, 20.0), (1, 20.5), (1, 21.0), *[(None, float(i + 10 * (i > 1))) for i in range(5)]]
+
+
+def test_trace_hash_is_that_of_the_bytes(spark):
+    import hashlib
+
+    t, y = [0.5, 0.1, 0.9], [1.0, 2.5, -3.0]
+    rows = spark.createDataFrame([(7, 1, i, t[i], y[i]) for i in (2, 0, 1)], "dataset long, trial long, i int, t double, y double")
+    want = hashlib.sha256(np.array(t).tobytes() + np.array(y, dtype=np.float32).tobytes()).hexdigest()
+    assert [tuple(r) for r in io.trace_hashes(rows).collect()] == [(7, 1, want)]
+
+
+def test_posterior_is_cut_to_its_log_probabilities(spark, tmp_path):
+    for trial, logs in ((1, "-1.5\n-2.5\n"), (2, "-1.0\n-2.0\n-3.0\n-4.0\n")):
+        rows = "".join(f"{s},{s % 2},0.1,{b},0.2,0.3\n" for s in range(3) for b in range(2))
+        (tmp_path / f"traj_samples_x_epoch1_trial{trial}.dat").write_text("index,burst,B,S,C,Y\n" + rows)
+        (tmp_path / f"logp_x_epoch1_trial{trial}.dat").write_text(logs)
+    got = io.read_posterior(spark, str(tmp_path), logp=True).orderBy("trial", "sample", "bin").collect()
+    assert [(r["trial"], r["sample"], r["bin"], r["s"], r["logp"]) for r in got] == [(1, s, b, b, -1.5 - s) for s in range(2) for b in range(2)] + [(2, s, b, b, -1.0 - s) for s in range(3) for b in range(2)]
+    (tmp_path / "logp_x_epoch1_trial1.dat").unlink()
+    with pytest.raises(Exception, match="no log-probabilities"):
+        io.read_posterior(spark, str(tmp_path), logp=True).collect()
+
+
+def test_equal_headers(spark):
+    row = lambda *names: spark.createDataFrame([("f", 0, n, 1.0) for n in names], "file string, sample long, name string, value double")
+    assert io.equal_headers(row("a", "b"), row("b", "a")) and not io.equal_headers(row("a", "b"), row("a"))
+
+
+def test_prediction_shapes_must_agree(spark):
+    rows = spark.createDataFrame([(0, [0.0, 1.0], [1.0])], "dataset long, t array<double>, p array<double>")
+    with pytest.raises(Exception, match="differ in shape"):
+        io.read_predictions(rows, ["dataset"], "t", "p").collect()
+    with pytest.raises(ValueError):
+        io.read_predictions(rows.withColumn("t", F.array("t")), ["dataset"], "t", "p")
+
+
+def test_missing_columns_and_summaries_are_errors(spark, tmp_path):
+    spark.createDataFrame([(1, 2)], "dataset long, trial long").write.parquet(str(tmp_path / "x"))
+    with pytest.raises(ValueError, match="missing columns: t, y"):
+        io.read_traces(spark, str(tmp_path / "x"))
+    leaf = tmp_path / "tree" / "r" / "d" / "raw"
+    leaf.mkdir(parents=True)
+    (leaf / "comparison.json").write_text("{}")
+    assert io.read_run_tree(spark, str(tmp_path / "tree")).count() == 0
+    with pytest.raises(Exception, match="no summary in/r/d/raw"):
+        io.read_run_tree(spark, str(tmp_path / "tree"), on_missing="raise").collect()
+
+
+def test_method_entries_need_the_key_of_their_config(spark):
+    schema = "g int, method string, place int, config map<string,string>, cache_key string"
+    new = spark.createDataFrame([(1, "m", 0, {"a": "1"}, "wrong")], schema)
+    with pytest.raises(Exception, match="not that of the config"):
+        report.upsert_method_entries(new.limit(0), new, ["g"])[0].collect()
