@@ -264,13 +264,6 @@ def total_counts(counts: DataFrame, by: list[str], value: str) -> DataFrame:
     return counts.groupBy(*by).agg(F.coalesce(F.sum(value).cast("long"), F.lit(0)).alias("n"))
 
 
-def frame_histogram(samples: DataFrame, spikes: DataFrame, dt: float) -> DataFrame:
-    """Events in [t - dt / 2, t + dt / 2) of each sample of evenly spaced trials that start at their first time."""
-    b = samples.groupBy(*TRIAL).agg(F.min("t").alias("first_t"), F.count("*").alias("n"))
-    hit = spikes.join(b, list(TRIAL)).withColumn("i", F.floor((F.col("s") - F.col("first_t")) / dt + 0.5)).where("i >= 0 and i < n").groupBy(*TRIAL, "i").count()
-    return samples.select(*TRIAL, "i").join(hit, [*TRIAL, "i"], "left").select(*TRIAL, "i", F.coalesce("count", F.lit(0)).alias("n"))
-
-
 def noise_histogram(levels: DataFrame, bins: int = 100) -> DataFrame:
     """Density of noise levels in equal bins from the least to the greatest, and the 99.9th percentile."""
     r = levels.agg(F.min("noise").alias("a"), F.max("noise").alias("z"), F.count("*").alias("n")).crossJoin(quantiles(levels, [], "noise", [0.999]).select(F.col("q")[0].alias("limit")))
@@ -320,27 +313,6 @@ def param_logprior(params: DataFrame, priors: dict[str, tuple[float, float]]) ->
     return params.withColumn("logprior", sum(z[1:], z[0]))
 
 
-def rebin_flags(rows: DataFrame, by: list[str], f: float) -> DataFrame:
-    """Samples with a positive value in bins (k / f, (k + 1) / f] of each group."""
-    return rows.withColumn("k", F.ceil(F.col("t") * f) - 1).groupBy(*by, "k").agg(F.count_if(F.col("x") > 0).alias("x"), F.count_if(F.col("y") > 0).alias("y"))
-
-
-def rebinned_correlation(rows: DataFrame, by: list[str], f: float, bandwidth: float | None = None) -> DataFrame:
-    """Correlation of two rebinned series, or of both after a row-normalised Gaussian kernel of `bandwidth` seconds.
-
-    The kernel reaches as far as its weights are above 0 in double precision (39 bandwidths), so a bin meets its neighbours only.
-    """
-    bins = rebin_flags(rows, by, f)
-    if bandwidth is not None:
-        reach = int(39 * bandwidth * f) + 1
-        near = F.collect_list(F.struct("k", "x", "y")).over(W.partitionBy(*by).orderBy("k").rangeBetween(-reach, reach))
-        weight = lambda p: F.exp(-0.5 * F.pow((p["k"] - F.col("k")) / f / bandwidth, 2))
-        start = F.struct(*[F.lit(0.0).alias(c) for c in ("w", "x", "y")])
-        add = lambda a, p: F.struct((a["w"] + weight(p)).alias("w"), (a["x"] + weight(p) * p["x"]).alias("x"), (a["y"] + weight(p) * p["y"]).alias("y"))
-        bins = bins.withColumn("near", near).withColumn("s", F.aggregate("near", start, add)).select(*by, "k", (F.col("s.x") / F.col("s.w")).alias("x"), (F.col("s.y") / F.col("s.w")).alias("y"))
-    return bins.groupBy(*by).agg(pearson(F.col("x").cast("double"), F.col("y").cast("double")).alias("r"))
-
-
 def validate(samples: DataFrame, spikes: DataFrame) -> DataFrame:
     """Per dataset: trials, samples, nulls, value range, median step and events, with the count of errors (steps that do not advance) and
     of warnings (trials without a finite value)."""

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparktrace.operators import match, reshape, series, stats
+from sparktrace.operators import binning, match, reshape, series
 from sparktrace.operators.stats import sorted_quantile
 
 TRIAL = ["dataset", "trial"]
@@ -70,7 +70,7 @@ def noisy_replicas(frames: DataFrame, spikes: DataFrame, calibration: DataFrame,
         wide = frames.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", "t", "y"))).alias("a")).select(*TRIAL, F.col("a.t").alias("t"), F.col("a.y").alias("y"))
         frames = series.fourier_resample(wide, fs, target_fs).select(*TRIAL, F.posexplode(F.arrays_zip("t", "y")).alias("i", "p")).select(*TRIAL, "i", "p.t", "p.y")
         scale, fs = (target_fs / fs) ** 0.5, target_fs
-    events = stats.frame_histogram(frames, spikes, 1.0 / fs).withColumnRenamed("n", "events")
+    events = binning.frame_histogram(frames, spikes, tail=0.0).withColumnRenamed("n", "events")
     c = calibration.where("replicas > 0 and added is not null").select(*TRIAL, (F.col("added") * scale).alias("added"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("replicas"))).alias("replica"))
     level = F.sqrt(F.abs(F.col("y") + 1))
     shot = frames.groupBy(*TRIAL).agg(F.median(level).alias("shot"))

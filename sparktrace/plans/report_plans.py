@@ -183,14 +183,14 @@ def normal(seed: int, *keys: str) -> str:
 
 CAL = f"""nz AS (SELECT dataset, trial, l, i, y + l/100e0*sqrt(30e0)*{normal(1, "dataset", "trial", "i", "l")} AS v FROM frames, (SELECT unnest(range(0, 20)) AS l)),
   lv AS (SELECT dataset, trial, l, count(*) + 1 AS n, median(abs(d))*100/sqrt(30e0) AS x FROM (SELECT dataset, trial, l, v - lag(v) OVER (PARTITION BY dataset, trial, l ORDER BY i) AS d FROM nz) WHERE d IS NOT NULL GROUP BY ALL),
-  nx AS (SELECT *, lead(x) OVER w AS x1, first_value(x) OVER w AS base FROM lv WINDOW w AS (PARTITION BY dataset, trial ORDER BY l)), ft AS (SELECT dataset, trial, min(CASE WHEN x <= 40 AND x1 > 40 THEN l END) AS l FROM nx GROUP BY ALL),
+  nx AS (SELECT *, lead(x) OVER w AS x1, first_value(x) OVER w AS base FROM lv WINDOW w AS (PARTITION BY dataset, trial ORDER BY l)), ft AS (SELECT dataset, trial, min(CASE WHEN x <= 8 AND x1 > 8 THEN l END) AS l FROM nx GROUP BY ALL),
   tr AS (SELECT dataset, count(DISTINCT trial) AS m FROM frames GROUP BY ALL),
-  ca AS (SELECT z.dataset, z.trial, z.base, CASE WHEN z.base > 40 THEN 0 ELSE floor(floor(least(3e5, m*z.n*least(500, ceil(1.2e0*power(40/z.base, 2))))/z.n)/m) END AS replicas, CASE WHEN z.base <= 40 THEN (h.l + (40 - h.x)/(h.x1 - h.x))/100*sqrt(30e0) END AS added
+  ca AS (SELECT z.dataset, z.trial, z.base, CASE WHEN z.base > 8 THEN 0 ELSE floor(floor(least(3e5, m*z.n*least(500, ceil(1.2e0*power(8/z.base, 2))))/z.n)/m) END AS replicas, CASE WHEN z.base <= 8 THEN (h.l + (8 - h.x)/(h.x1 - h.x))/100*sqrt(30e0) END AS added
          FROM nx z JOIN tr ON tr.dataset = z.dataset JOIN ft ON ft.trial = z.trial AND ft.dataset = z.dataset LEFT JOIN nx h ON h.trial = z.trial AND h.dataset = z.dataset AND h.l = ft.l WHERE z.l = 0)"""
 
 
 def calibration(t):
-    return K.calibrate_noise(t.frames, 30.0, 40.0, rows=3e5)
+    return K.calibrate_noise(t.frames, 30.0, 8.0, rows=3e5)
 
 
 def high(t):

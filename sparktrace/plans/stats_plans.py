@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sparktrace.operators import binning as B
 from sparktrace.operators import match as M
 from sparktrace.operators import reshape as R
 from sparktrace.operators import score as C
@@ -177,9 +178,23 @@ add("d23_binary_agreement", lambda t: D.binary_agreement(t.posterior.select("tag
 add("d24_max_abs_diff", lambda t: D.max_abs_diff(two(t), TRIAL), "preds", f"WITH {TWO} SELECT dataset, trial, round(max(abs(x - y)), 6) AS d FROM two GROUP BY ALL")
 add("d34_total_counts", lambda t: D.total_counts(t.posterior, ["tag", "sample"], "s"), "posterior", "SELECT tag, sample, CAST(coalesce(sum(s), 0) AS BIGINT) AS n FROM posterior GROUP BY ALL")
 add("d35_fixed_bin_histogram", lambda t: D.fixed_bins(t.spikes, R.bounds(t.samples), 24.0), "samples spikes", f"WITH {BINS} SELECT dataset, trial, k, n FROM hb")
-add("d36_frame_centred_histogram", lambda t: D.frame_histogram(t.samples, t.spikes, 8.0), "samples spikes",
-    """WITH b AS (SELECT dataset, trial, min(t) AS f, count(*) AS n FROM samples GROUP BY ALL), h AS (SELECT s.dataset, s.trial, CAST(floor((s - f)/8 + 0.5e0) AS BIGINT) AS i, count(*) AS n FROM spikes s JOIN b ON b.trial = s.trial AND b.dataset = s.dataset GROUP BY ALL)
-       SELECT x.dataset, x.trial, x.i, coalesce(h.n, 0) AS n FROM samples x LEFT JOIN h ON h.trial = x.trial AND h.dataset = x.dataset AND h.i = x.i""")
+
+
+def edge_events(t):
+    """Events on, beside and beyond the edges of uneven frames 8 seconds wide: at each error, and around the trials' first and last times."""
+    at = F.explode(F.array(*[F.col("first_t") + F.lit(x) for x in (-4.0, -4.5)], *[F.col("last_t") + F.lit(x) for x in (0.0, 3.5, 4.0, 4.25)])).alias("s")
+    return t.spikes.union(t.spikes.select(*TRIAL, F.col("s") + 3.75)).union(R.bounds(t.samples).select(*TRIAL, at))
+
+
+def frame_sql(step: str, tail: str) -> str:
+    return f"""WITH bd AS (SELECT dataset, trial, min(t) AS f, max(t) AS l, (max(t) - min(t))/(count(*) - 1) AS mean FROM samples GROUP BY ALL),
+       ev AS (SELECT dataset, trial, s FROM spikes UNION ALL SELECT dataset, trial, s + 375e-2 FROM spikes UNION ALL SELECT dataset, trial, f + x FROM bd, (VALUES (-4e0), (-45e-1)) v(x) UNION ALL SELECT dataset, trial, l + x FROM bd, (VALUES (0e0), (35e-1), (4e0), (425e-2)) v(x)),
+       ed AS (SELECT x.dataset, x.trial, i, t - {step}/2 AS a, coalesce(lead(t) OVER w - {step}/2, t + {tail}) AS z, lead(i) OVER w IS NULL AS last FROM samples x JOIN bd ON bd.trial = x.trial AND bd.dataset = x.dataset WINDOW w AS (PARTITION BY x.dataset, x.trial ORDER BY i))
+       SELECT ed.dataset, ed.trial, i, count(s) AS n FROM ed LEFT JOIN ev ON ev.trial = ed.trial AND ev.dataset = ed.dataset AND s >= a AND (s < z OR (last AND s = z)) GROUP BY ed.dataset, ed.trial, i"""
+
+
+add("d36_frame_centred_histogram", lambda t: B.frame_histogram(t.samples, edge_events(t), 8.0), "samples spikes", frame_sql("8e0", "4e0"))
+add("d36_frame_histogram_mean_step", lambda t: B.frame_histogram(t.samples, edge_events(t), tail=0.0), "samples spikes", frame_sql("mean", "0"))
 add("d37_noise_histogram", lambda t: D.noise_histogram(D.noise_level(t.samples, S.sampling_rate(t.samples)), 20), "samples",
     f"""WITH {FS}, {STEP.format('samples')}, l AS (SELECT d.dataset, d.trial, median(abs(d))/sqrt(any_value(fs))*100 AS noise FROM d JOIN fs ON fs.trial = d.trial AND fs.dataset = d.dataset WHERE d IS NOT NULL GROUP BY ALL),
        r AS (SELECT min(noise) AS a, max(noise) AS z, count(*) AS n, quantile_cont(noise, 0.999) AS lim FROM l) SELECT CAST(least(floor((noise - a)/(z - a)*20), 19) AS BIGINT) AS bin, round(any_value(lim), 6) AS "limit", round(count(*)/any_value(n)/any_value((z - a)/20), 6) AS density FROM l, r GROUP BY 1""")
@@ -201,14 +216,23 @@ add("d40_trajectory_loglik", lambda t: D.trajectory_loglik(t.posterior, {"w01":
 add("d41_param_logprior", lambda t: D.param_logprior(t.posterior.select("tag", "sample", "bin", "b", "c"), {"b": (0.04, 0.02), "c": (0.05, 0.03)}).select("tag", "sample", "bin", "logprior"), "posterior", "SELECT tag, sample, bin, round(-0.5e0*power((b - 0.04e0)/0.02e0, 2) - 0.5e0*power((c - 0.05e0)/0.03e0, 2), 6) + 0 AS logprior FROM posterior")
 
 
-def flags(t):
-    return t.posterior.select("tag", "sample", ((F.col("bin") + 0.5) / 10.0).alias("t"), F.col("s").alias("x"), F.col("burst").alias("y"))
+def flags(t, *names: str):
+    """Each posterior sample as a series, its values under the names given."""
+    return t.posterior.select("tag", "sample", F.col("bin").alias("i"), *[F.col(c).alias(n) for c, n in zip(("s", "burst"), names)])
+
+
+def bins_sql(rate: str) -> str:
+    """`rb`: counts of positive `s` and `burst` in bins of a rate, by the first bound that is not below a sample's time."""
+    return f"""ax AS (SELECT *, CASE WHEN p < n - 1 THEN p*(n/10e0/(n - 1)) ELSE n/10e0 END AS t FROM (SELECT tag, sample, s, burst, count(*) OVER (PARTITION BY tag, sample) AS n, row_number() OVER (PARTITION BY tag, sample ORDER BY bin) - 1 AS p FROM posterior)),
+  pl AS (SELECT *, list_filter(range(1, CAST(n/10e0*{rate} AS BIGINT) + 3), lambda c: t <= c/{rate})[1] - 1 AS k FROM ax), sc AS (SELECT tag, sample, unnest(range(0, last + 1)) AS k FROM (SELECT tag, sample, max(k) AS last FROM pl GROUP BY ALL)),
+  rb AS (SELECT sc.tag, sc.sample, sc.k, count(*) FILTER (s > 0) AS x, count(*) FILTER (burst > 0) AS y FROM sc LEFT JOIN pl ON pl.tag = sc.tag AND pl.sample = sc.sample AND pl.k = sc.k GROUP BY ALL)"""
 
 
-REB = "rb AS (SELECT tag, sample, CAST(ceil((bin + 0.5e0)/10e0*4) AS BIGINT) - 1 AS k, count_if(s > 0) AS x, count_if(burst > 0) AS y FROM posterior GROUP BY ALL)"
-add("d43_rebin_flags", lambda t: D.rebin_flags(flags(t), ["tag", "sample"], 4.0), "posterior", f"WITH {REB} SELECT * FROM rb")
-add("d44_rebinned_correlation", lambda t: D.rebinned_correlation(flags(t), ["tag", "sample"], 4.0, 0.5), "posterior",
-    f"WITH {REB}, w AS (SELECT a.tag, a.sample, a.k, sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))*b.x)/sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))) AS x, sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))*b.y)/sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))) AS y FROM rb a JOIN rb b ON b.tag = a.tag AND b.sample = a.sample GROUP BY ALL) SELECT tag, sample, {corr('x', 'y')} AS r FROM w GROUP BY ALL")
+for label, rate in (("", 4.0), ("_finer", 25.0)):
+    add(f"d43_rebin_flags{label}", lambda t, rate=rate: B.rebin_flags(flags(t, "x", "y"), ["tag", "sample"], 10.0, rate, ("x", "y")), "posterior", f"WITH {bins_sql(f'{rate}::DOUBLE')} SELECT tag, sample, k, x, y FROM rb")
+add("d44_rebinned_correlation", lambda t: B.rebinned_correlation(flags(t, "x"), t.posterior.select("tag", "sample", F.col("bin").alias("i"), F.col("burst").alias("x")), ["tag", "sample"], 10.0, 4.0, 0.5), "posterior",
+    f"WITH {bins_sql('4e0')}, w AS (SELECT a.tag, a.sample, a.k, sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))*b.x)/sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))) AS x, sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))*b.y)/sum(exp(-0.5e0*power((a.k - b.k)/4e0/0.5e0, 2))) AS y FROM rb a JOIN rb b ON b.tag = a.tag AND b.sample = a.sample GROUP BY ALL) SELECT tag, sample, {corr('x', 'y')} AS r FROM w GROUP BY ALL")
+add("d44_rebinned_correlation_plain", lambda t: B.rebinned_correlation(flags(t, "x"), t.posterior.select("tag", "sample", F.col("bin").alias("i"), F.col("burst").alias("x")), ["tag", "sample"], 10.0, 25.0), "posterior", f"WITH {bins_sql('25e0')} SELECT tag, sample, {corr('x', 'y')} AS r FROM rb GROUP BY ALL")
 add("a12_validate_traces", lambda t: D.validate(t.samples, t.spikes), "samples spikes",
     """WITH d AS (SELECT dataset, trial, y, t - lag(t) OVER (PARTITION BY dataset, trial ORDER BY i) AS d FROM samples), e AS (SELECT dataset, count(*) AS events FROM spikes GROUP BY ALL), w AS (SELECT dataset, count_if(c = 0) AS warnings FROM (SELECT dataset, trial, count(y) AS c FROM samples GROUP BY ALL) GROUP BY ALL)
        SELECT d.dataset, count(DISTINCT trial) AS trials, count(*) AS samples, count_if(y IS NULL) AS nulls, round(min(y), 6) AS least, round(max(y), 6) AS most, round(median(d), 6) AS dt, count_if(d <= 0) AS errors, any_value(w.warnings) AS warnings, any_value(events) AS events FROM d JOIN w ON w.dataset = d.dataset JOIN e ON e.dataset = d.dataset GROUP BY d.dataset""")

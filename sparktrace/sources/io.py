@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparktrace.operators import reshape, series, stats
+from sparktrace.operators import binning, reshape, series
 from sparktrace.operators.reshape import finite
 
 TRIALWISE = "run string, dataset string, smoothing string, method string, label string, corr_sigma_ms double, trial int, start_s double, end_s double, correlation double"
@@ -224,7 +224,7 @@ def export_downsampled(samples: DataFrame, spikes: DataFrame, fs: float, path: s
     """Trials at `fs` as one row each: dataset, trial, valid_length, t, y (padded with nulls to the dataset's longest) and counts, the
     events in half a step before to half a step after each time."""
     low = series.resample_to(samples, fs).withColumnRenamed("k", "i")
-    n = stats.frame_histogram(low, spikes, 1.0 / fs)
+    n = binning.frame_histogram(low, spikes, 1.0 / fs)
     wide = low.join(n, ["dataset", "trial", "i"]).groupBy("dataset", "trial").agg(F.sort_array(F.collect_list(F.struct("i", "t", "y", "n"))).alias("a"))
     wide = wide.select("dataset", "trial", F.col("a.t").alias("t"), F.col("a.y").alias("y"), F.col("a.n").alias("counts"))
     padded = reshape.pad_trials(wide.select("dataset", "trial", "t", "y"))
