@@ -171,17 +171,19 @@ def block_means(samples: DataFrame, block: int) -> DataFrame:
     return rows.groupBy(*TRIAL, "block").agg(F.avg("t").alias("t"), F.avg("y").alias("y"))
 
 
-def resample_to(samples: DataFrame, fs: float, tolerance: float = 2e-3) -> DataFrame:
-    """Each trial at `fs`: unchanged if close or of one sample; block means at an integer ratio; else even grid and interpolation."""
-    rates = sampling_rate(samples)
+def resample_to(samples: DataFrame, fs: float, tolerance: float = 2e-3, slower: bool = True) -> DataFrame:
+    """Each trial at `fs`: unchanged where its rate is within `tolerance` of `fs` relative to it, or it has one sample or no positive
+    duration or median step; block means at an integer ratio; else even grid and interpolation. Where a trial is shorter than a block its
+    first sample stays. Without `slower` trials below `fs` stay too."""
+    step = F.col("t") - F.lag("t").over(ordered())
+    rates = samples.withColumn("_d", step).groupBy(*TRIAL).agg(F.try_divide(F.lit(1.0), F.median("_d")).alias("fs"), F.count("*").alias("n"), (F.max_by("t", "i") - F.min_by("t", "i")).alias("span"))
     ratio = F.col("fs") / fs
     block = F.rint(ratio)
-    how = F.when(F.abs(F.col("fs") - fs) <= tolerance + tolerance * fs, "same").when((F.col("fs") > fs) & (F.abs(ratio - block) <= 1e-6 + 1e-5 * block), "block").otherwise("grid")
-    known = rates.select(*TRIAL, how.alias("how"), block.alias("B"))
-    rows = samples.join(known, list(TRIAL), "left").withColumn("how", F.coalesce("how", F.lit("same")))
+    same = F.col("fs").isNull() | (F.col("fs") <= 0) | (F.abs(F.col("fs") - fs) <= tolerance * fs) | ((F.col("fs") <= fs) & (F.lit(not slower) | (F.col("span") <= 0)))
+    how = F.when(same, "same").when((F.col("fs") > fs) & (F.abs(ratio - block) <= 1e-6 + 1e-5 * block), "block").when(F.col("span") <= 0, "same").otherwise("grid")
+    rows = samples.join(rates.select(*TRIAL, how.alias("how"), block.alias("B"), "n"), list(TRIAL))
     same = rows.where("how = 'same'").select(*TRIAL, F.col("i").cast("long").alias("k"), "t", "y")
-    n = F.count("*").over(W.partitionBy(*TRIAL))
-    cut = rows.where("how = 'block'").withColumn("n", n).withColumn("k", F.floor(F.col("i") / F.col("B"))).where("k < floor(n / B)")
+    cut = rows.where("how = 'block'").withColumn("k", F.floor(F.col("i") / F.col("B"))).where("k < floor(n / B) or (n < B and i = 0)")
     blocks = cut.groupBy(*TRIAL, "k").agg(F.avg("t").alias("t"), F.avg("y").alias("y"))
     rest = rows.where("how = 'grid'").select(*TRIAL, "i", "t", "y")
     grid = interpolate(rest, even_grid(rest, fs), "q").select(*TRIAL, F.col("k").cast("long").alias("k"), F.col("q").alias("t"), "y")
@@ -245,28 +247,30 @@ def remap_segments(preds: DataFrame, rates: DataFrame, raw: DataFrame) -> DataFr
     return rows.select("dataset", F.when(fits, F.col("trial")).alias("trial"), "i", F.when(fits, low + (high - low) * (at - F.floor(at))).otherwise(F.col("t")).alias("t"), "y")
 
 
+def band_limited(y: np.ndarray, m: int) -> np.ndarray:
+    """`y` at `m` points by its Fourier series."""
+    n = len(y)
+    if n == 0 or m == 0:
+        return np.zeros(0)
+    spectrum, half = np.fft.rfft(y), np.zeros(m // 2 + 1, dtype=complex)
+    k = min(n, m) // 2 + 1
+    half[:k] = spectrum[:k]
+    if min(n, m) % 2 == 0 and n != m:  # the Nyquist bin is shared by both signs of the frequency
+        half[k - 1] *= 0.5 if m > n else 1.0
+        if m < n:
+            half[k - 1] = half[k - 1].real * 2 if m % 2 == 0 else half[k - 1]
+    return np.fft.irfft(half, m) * (m / n)
+
+
 def fourier_resample(wide: DataFrame, fs: float | None, target: float) -> DataFrame:
     """Band-limited resampling of array rows to round(n * target / fs) samples; the time axis starts at the first time.
 
     Without `fs` the rows have it as a column.
     """
 
-    def one(y: np.ndarray, fs: float) -> np.ndarray:
-        n, m = len(y), int(round(len(y) * target / fs))
-        if n == 0 or m == 0:
-            return np.zeros(0)
-        spectrum, half = np.fft.rfft(y), np.zeros(m // 2 + 1, dtype=complex)
-        k = min(n, m) // 2 + 1
-        half[:k] = spectrum[:k]
-        if min(n, m) % 2 == 0 and n != m:  # the Nyquist bin is shared by both signs of the frequency
-            half[k - 1] *= 0.5 if m > n else 1.0
-            if m < n:
-                half[k - 1] = half[k - 1].real * 2 if m % 2 == 0 else half[k - 1]
-        return np.fft.irfft(half, m) * (m / n)
-
     def run(frames):
         for f in frames:
-            f["y"] = [one(np.asarray(y, dtype=float), x).tolist() for y, x in zip(f["y"], [fs] * len(f) if fs is not None else f["fs"])]
+            f["y"] = [band_limited(np.asarray(y, dtype=float), int(round(len(y) * target / x))).tolist() for y, x in zip(f["y"], [fs] * len(f) if fs is not None else f["fs"])]
             f["t"] = [(t[0] + np.arange(len(y)) / target).tolist() if len(y) else [] for t, y in zip(f["t"], f["y"])]
             yield f
 

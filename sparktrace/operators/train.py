@@ -53,7 +53,9 @@ def calibrate_noise(frames: DataFrame, fs: float, target: float, levels: int = 2
         noisy = F.transform("a", lambda p: p["y"] + level / 100 * root * hashed_normal("dataset", "trial", p["i"], level, seed=seed))
         return once(noisy, median_step) * 100 / root
 
-    n = per.select(*TRIAL, "trials", F.size("a").alias("n"), F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at).alias("noise")).withColumn("base", F.get("noise", 0))
+    measured = per.select(*TRIAL, "trials", F.size("a").alias("n"), F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at).alias("noise"))
+    # Filters on what follows stop at the aggregate (which needs no shuffle), so the levels are measured once.
+    n = measured.groupBy(*TRIAL).agg(*[F.first(c).alias(c) for c in ("trials", "n", "noise")]).withColumn("base", F.get("noise", 0))
     found = F.get(F.filter(F.transform("noise", lambda x, i: F.when((x <= target) & (F.get("noise", i + 1) > target), i + (target - x) / (F.get("noise", i + 1) - x))), lambda x: x.isNotNull()), 0)
     copies = F.least(F.lit(most), F.ceil(1.2 * F.pow(target / F.col("base"), 2))) if replicas else F.lit(1)
     copies = F.when(F.col("base") > target, 0).otherwise(copies)
@@ -78,46 +80,6 @@ def noisy_replicas(frames: DataFrame, spikes: DataFrame, calibration: DataFrame,
     return rows.withColumn("y", F.col("y") + F.col("added") * level / F.col("shot") * hashed_normal(*TRIAL, "i", "replica", seed=seed)).drop("shot", "added")
 
 
-def balanced_training_set(frames: DataFrame, events: str, width: int, rows: float = 15e6, kept: int = 5_000_000, smooth: float = 2.0, causal_fs: float | None = None, seed: int = 3, leave_out: tuple = ()) -> DataFrame:
-    """Windows of `width` values with the label at their centre, in random order, `kept` at most.
-
-    The label is the column `events` of counts, smoothed by a Gaussian of `smooth` samples or, with `causal_fs`, by the causal kernel. If
-    a dataset has more than its share of `rows`, each keeps a random 1 / max(f, 1) of its windows, f being its rows over that share.
-    Windows without a label are dropped. `leave_out`: datasets that are not used.
-    """
-    rows_ = frames.where(~F.col("dataset").isin(list(leave_out))) if leave_out else frames
-    if causal_fs is None:
-        label = series.smooth_rows(rows_.withColumn("k", F.col("i")), TRIAL, smooth, events, edges="constant").select(*TRIAL, F.col("k").alias("i"), F.col(events).alias("label"))
-    else:
-        wide = rows_.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", F.col(events).cast("double").alias("y")))).alias("a")).select(*TRIAL, F.col("a.y").alias("y"))
-        label = series.causal_smooth(wide, causal_fs).select(*TRIAL, F.posexplode("y").alias("i", "label"))
-    sizes = rows_.groupBy("dataset").agg(F.count("*").alias("n")).withColumn("sets", F.count("*").over(W.partitionBy(F.lit(1))))
-    f = sizes.select("dataset", F.greatest(F.col("n") * F.col("sets") / rows, F.lit(1.0)).alias("f"))
-    cut = series.sliding_frames(rows_, width, 0.5).where("frame is not null").join(label, [*TRIAL, "i"]).where("label is not null and not isnan(label)")
-    share = cut.join(F.broadcast(f), "dataset").where(uniform(seed, *TRIAL, "i") < 1 / F.col("f"))
-    return share.withColumn("_o", uniform(seed + 1, *TRIAL, "i")).orderBy("_o", *TRIAL, "i").limit(kept).select(*TRIAL, "i", "frame", "label")
-
-
-def segment_training_set(frames: DataFrame, spikes: DataFrame, fs: float, width: int = 96, trim: float = 0.5, most: int = 5, smooth: float = 0.0) -> DataFrame:
-    """Trials without half a second at each end, cut to windows of `width`: the values, classes min(count, most) of their events and, with
-    `smooth` samples of a Gaussian, the smoothed rate."""
-    b = frames.groupBy(*TRIAL).agg((F.min("t") + trim).alias("a"), (F.max("t") - trim).alias("z"))
-    inner = frames.join(b, TRIAL).where("t >= a and t <= z").withColumn("i", F.row_number().over(W.partitionBy(*TRIAL).orderBy("t")) - 1)
-    hit = spikes.join(b, TRIAL).where("s >= a and s <= z").groupBy(*TRIAL, F.floor((F.col("s") - F.col("a")) * fs).cast("int").alias("i")).count()
-    rows = inner.join(hit, [*TRIAL, "i"], "left").withColumn("n", F.coalesce("count", F.lit(0))).withColumn("c", F.least("n", F.lit(most)))
-    rate = series.smooth_rows(rows.select(*TRIAL, F.col("i").alias("k"), "n"), TRIAL, smooth, "n", edges="constant").select(*TRIAL, F.col("k").alias("i"), F.col("n").alias("rate"))
-    rows = rows.join(rate, [*TRIAL, "i"])
-    parts = rows.groupBy(*TRIAL, F.floor(F.col("i") / width).alias("part")).agg(F.sort_array(F.collect_list(F.struct("i", "y", "c", "rate"))).alias("a"))
-    return parts.where(F.size("a") == width).select(*TRIAL, "part", F.col("a.y").alias("frame"), F.col("a.c").alias("classes"), F.col("a.rate").alias("rates"))
-
-
-def segment_statistics(segments: DataFrame) -> DataFrame:
-    """Per dataset: segments, samples, events, mean and deviation of the values of all its segments."""
-    rows = segments.select("dataset", F.inline(F.arrays_zip(F.col("frame").alias("y"), F.col("classes").alias("c"))))
-    n = segments.groupBy("dataset").agg(F.count("*").alias("segments"))
-    return rows.groupBy("dataset").agg(F.count("*").alias("samples"), F.sum("c").cast("long").alias("events"), F.avg("y").alias("mean"), F.stddev_pop("y").alias("std")).join(n, "dataset")
-
-
 def run_methods(wide: DataFrame, methods: dict[str, Callable], done: DataFrame | None = None) -> DataFrame:
     """Each predictor on each trial(t, y): dataset, trial, method, prob, error. A failure is recorded and others go on.
 

@@ -4,7 +4,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.functions import text as X
+from sparktrace.operators import frames as N
 from sparktrace.operators import match as M
+from sparktrace.operators import noise_bank as NB
 from sparktrace.operators import report as P
 from sparktrace.operators import reshape as R
 from sparktrace.operators import series as S
@@ -202,28 +204,71 @@ add("k2_noisy_replicas", lambda t: K.noisy_replicas(t.frames, high(t), calibrati
     f"""WITH {CAL}, rp AS (SELECT dataset, trial, added, unnest(range(1, CAST(least(replicas, 3) AS BIGINT) + 1)) AS replica FROM ca WHERE added IS NOT NULL), sh AS (SELECT dataset, trial, median(sqrt(abs(y + 1))) AS shot FROM frames GROUP BY ALL),
        ev AS (SELECT dataset, trial, count_if(y > 0.3e0) AS events FROM frames GROUP BY ALL), nr AS (SELECT f.dataset, f.trial, replica, y + added*sqrt(abs(y + 1))/shot*{normal(2, "f.dataset", "f.trial", "i", "replica")} AS y FROM frames f JOIN rp ON rp.trial = f.trial AND rp.dataset = f.dataset JOIN sh ON sh.trial = f.trial AND sh.dataset = f.dataset)
        SELECT nr.dataset, nr.trial, replica, count(*) AS n, any_value(events) AS events, round(sum(y), 6) + 0 AS total FROM nr JOIN ev ON ev.trial = nr.trial AND ev.dataset = nr.dataset GROUP BY nr.dataset, nr.trial, replica""")
-add("k3_balanced_training_set", lambda t: K.balanced_training_set(t.frames.withColumn("n", (F.col("y") > 0.2).cast("double")), "n", 16, 2e4, 4000, leave_out=(3,)).select(*TRIAL, "i", "label", F.aggregate("frame", F.lit(0.0), lambda a, x: a + x).alias("total")), "frames",
-    """WITH f AS (SELECT *, CASE WHEN y > 0.2e0 THEN 1e0 ELSE 0e0 END AS n FROM frames WHERE dataset <> 3), sz AS (SELECT dataset, count(*) AS n, count(*) OVER () AS sets FROM f GROUP BY dataset),
-       lb AS (SELECT a.dataset, a.trial, a.i, sum(w*b.n)/(SELECT sum(exp(-0.5e0*power(d/2e0, 2))) FROM (SELECT unnest(range(-8, 9)) AS d)) AS label FROM f a, (SELECT d, exp(-0.5e0*power(d/2e0, 2)) AS w FROM (SELECT unnest(range(-8, 9)) AS d)) k, f b WHERE b.dataset = a.dataset AND b.trial = a.trial AND b.i = a.i + d GROUP BY ALL),
-       fr AS (SELECT dataset, trial, i, lag(y, 7) OVER w AS a, lead(y, 8) OVER w AS z, sum(y) OVER (w ROWS BETWEEN 7 PRECEDING AND 8 FOLLOWING) AS total FROM f WINDOW w AS (PARTITION BY dataset, trial ORDER BY i)),
-       u AS (SELECT fr.*, label, (('0x' || substr(md5('3:' || fr.dataset || ':' || fr.trial || ':' || fr.i), 1, 12))::BIGINT + 0.5e0)/281474976710656e0 AS u, (('0x' || substr(md5('4:' || fr.dataset || ':' || fr.trial || ':' || fr.i), 1, 12))::BIGINT + 0.5e0)/281474976710656e0 AS o FROM fr JOIN lb ON lb.dataset = fr.dataset AND lb.trial = fr.trial AND lb.i = fr.i WHERE a IS NOT NULL AND z IS NOT NULL)
-       SELECT u.dataset, trial, i, round(label, 6) + 0 AS label, round(total, 6) + 0 AS total FROM u JOIN sz ON sz.dataset = u.dataset WHERE u < 1/greatest(n*sets/2e4, 1) ORDER BY o, u.dataset, trial, i LIMIT 4000""")
-
-
-def segments(t):
-    return K.segment_training_set(t.frames, t.frames.where("y > 0.2").select(*TRIAL, F.col("t").alias("s")), 30.0, 16, smooth=1.0)
-
-
-PARTS = """ab AS (SELECT dataset, trial, min(t) + 0.5e0 AS a, max(t) - 0.5e0 AS z FROM frames GROUP BY ALL), fi AS (SELECT f.dataset, f.trial, t, y, row_number() OVER (PARTITION BY f.dataset, f.trial ORDER BY t) - 1 AS i FROM frames f JOIN ab ON ab.trial = f.trial AND ab.dataset = f.dataset WHERE t >= a AND t <= z),
-  hi AS (SELECT f.dataset, f.trial, CAST(floor((t - a)*30) AS BIGINT) AS i, count(*) AS n FROM frames f JOIN ab ON ab.trial = f.trial AND ab.dataset = f.dataset WHERE y > 0.2e0 AND t >= a AND t <= z GROUP BY ALL),
-  se AS (SELECT fi.dataset, fi.trial, i//16 AS part, fi.i, y, coalesce(n, 0) AS n, count(*) OVER (PARTITION BY fi.dataset, fi.trial, fi.i//16) AS c FROM fi LEFT JOIN hi USING (dataset, trial, i)),
-  ra AS (SELECT a.dataset, a.trial, a.i, sum(w*b.n)/(SELECT sum(exp(-0.5e0*d*d)) FROM (SELECT unnest(range(-4, 5)) AS d)) AS rate FROM se a, (SELECT d, exp(-0.5e0*d*d) AS w FROM (SELECT unnest(range(-4, 5)) AS d)) k, se b WHERE b.dataset = a.dataset AND b.trial = a.trial AND b.i = a.i + d GROUP BY ALL)"""
-add("k4_segment_training_set", lambda t: segments(t).select(*TRIAL, "part", F.size("frame").alias("n"), F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x).alias("events"), F.aggregate("rates", F.lit(0.0), lambda a, x: a + x).alias("rate")), "frames",
-    f"WITH {PARTS} SELECT se.dataset, se.trial, part, count(*) AS n, CAST(sum(least(n, 5)) AS BIGINT) AS events, round(sum(rate), 6) + 0 AS rate FROM se JOIN ra ON ra.dataset = se.dataset AND ra.trial = se.trial AND ra.i = se.i WHERE c = 16 GROUP BY se.dataset, se.trial, part")
-add("k4_segment_statistics", lambda t: K.segment_statistics(segments(t)), "frames",
-    f"WITH {PARTS} SELECT dataset, count(*) AS samples, CAST(sum(least(n, 5)) AS BIGINT) AS events, round(avg(y), 6) + 0 AS mean, round(stddev_pop(y), 6) AS std, count(DISTINCT (trial, part)) AS segments FROM se WHERE c = 16 GROUP BY dataset")
-add("k5_downsample_noise_bank", lambda t: S.resample_to(t.frames, 7.5).groupBy(*TRIAL).agg(F.count("*").alias("n"), F.avg("y").alias("mean")), "frames",
-    "SELECT dataset, trial, count(*) AS n, round(avg(y), 6) + 0 AS mean FROM (SELECT dataset, trial, i//4 AS k, avg(y) AS y FROM (SELECT *, count(*) OVER (PARTITION BY dataset, trial) AS c FROM frames) WHERE i//4 < c//4 GROUP BY dataset, trial, i//4) GROUP BY dataset, trial")
+def hashed(seed: int, *keys: str) -> str:
+    """The SQL twin of `uniform`."""
+    return f"((('0x' || substr(md5('{seed}:' || " + " || ':' || ".join(keys) + "), 1, 12))::BIGINT + 0.5e0)/281474976710656e0)"
+
+
+def flagged(t):
+    """High values as events; no value at the end of some recordings, no event count in others."""
+    return t.frames.withColumn("n", F.when((F.col("trial") % 7 > 0) | (F.col("i") < 60), (F.col("y") > 0.2).cast("double"))).withColumn("y", F.when((F.col("trial") % 5 > 0) | (F.col("i") < 50), F.col("y")))
+
+
+total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+add("k3_balanced_training_set", lambda t: N.balanced_training_set(flagged(t), "n", 16, K.uniform, rows=2e4, kept=4000, leave_out=(3,)).select(*TRIAL, "i", "label", total("frame").alias("total")), "frames",
+    f"""WITH f AS (SELECT dataset, trial, i, CASE WHEN trial % 5 > 0 OR i < 50 THEN y END AS y, CASE WHEN trial % 7 > 0 OR i < 60 THEN CASE WHEN y > 0.2e0 THEN 1e0 ELSE 0e0 END END AS n FROM frames WHERE dataset <> 3),
+       sz AS (SELECT dataset, greatest(count(*)*(count(*) OVER ())/2e4, 1) AS f FROM f GROUP BY dataset), ln AS (SELECT dataset, trial, count(*) AS c, count(y) AS m FROM f GROUP BY ALL),
+       tp AS (SELECT f.*, c, d, exp(-0.5e0*power(d/2e0, 2)) AS w, ((i + d) % (2*c) + 2*c) % (2*c) AS r FROM f JOIN ln ON ln.dataset = f.dataset AND ln.trial = f.trial, (SELECT unnest(range(-8, 9)) AS d)),
+       lb AS (SELECT a.dataset, a.trial, a.i, CASE WHEN count(b.n) = count(*) THEN sum(w*b.n)/sum(w) END AS label FROM tp a JOIN f b ON b.dataset = a.dataset AND b.trial = a.trial AND b.i = CASE WHEN r < c THEN r ELSE 2*c - 1 - r END GROUP BY ALL),
+       st AS (SELECT f.dataset, f.trial, f.i, m - 16 AS used, row_number() OVER (PARTITION BY f.dataset, f.trial ORDER BY {hashed(3, "f.dataset", "f.trial", "f.i")}, f.i) AS r FROM f JOIN ln ON ln.dataset = f.dataset AND ln.trial = f.trial WHERE f.i < m - 16),
+       ch AS (SELECT st.dataset, trial, i FROM st JOIN sz ON sz.dataset = st.dataset WHERE r <= floor(used/f) ORDER BY {hashed(4, "st.dataset", "trial", "i")}, st.dataset, trial, i LIMIT 4000)
+       SELECT ch.dataset, ch.trial, ch.i, round(label, 6) + 0 AS label, round(sum(f.y), 6) + 0 AS total FROM ch JOIN lb ON lb.dataset = ch.dataset AND lb.trial = ch.trial AND lb.i = ch.i + 8 JOIN f ON f.dataset = ch.dataset AND f.trial = ch.trial AND f.i BETWEEN ch.i AND ch.i + 15
+       WHERE label IS NOT NULL GROUP BY ch.dataset, ch.trial, ch.i, label""")
+
+
+def late(t):
+    """An event a little after each high value, but for some recordings."""
+    return t.frames.where("y > 0.2 and trial % 6 > 0").select(*TRIAL, (F.col("t") + 0.01).alias("s"))
+
+
+def recorded(t):
+    return N.recordings(t.wide, late(t), 30.0, 16, 1 / 30)
+
+
+#: First sample and number of samples that remain of 64 at 30 a second without half a second at each end.
+KEPT = (15, 34)
+RECORDED = f"""ev AS (SELECT dataset, trial, i - {KEPT[0]} AS i FROM frames WHERE y > 0.2e0 AND trial % 6 > 0 AND i BETWEEN {KEPT[0]} AND {sum(KEPT) - 2}), ok AS (SELECT DISTINCT dataset, trial FROM ev),
+  tr AS (SELECT f.dataset, f.trial, f.i - {KEPT[0]} AS i, y, CAST(ev.i IS NOT NULL AS INT) AS n FROM frames f JOIN ok ON ok.dataset = f.dataset AND ok.trial = f.trial LEFT JOIN ev ON ev.dataset = f.dataset AND ev.trial = f.trial AND ev.i = f.i - {KEPT[0]} WHERE f.i BETWEEN {KEPT[0]} AND {sum(KEPT) - 1}),
+  pd AS (SELECT dataset, trial, i + 8 AS p, y, n FROM tr UNION ALL SELECT dataset, trial, x, 0, 0 FROM ok, (SELECT unnest(range(0, 8)) AS x UNION ALL SELECT unnest(range({KEPT[1] + 8}, {KEPT[1] + 16}))) v),
+  ra AS (SELECT a.dataset, a.trial, a.p, sum(w*b.n)/sum(w) AS rate FROM (SELECT pd.*, exp(-0.5e0*d*d) AS w, ((p + d) % {2 * KEPT[1] + 32} + {2 * KEPT[1] + 32}) % {2 * KEPT[1] + 32} AS r FROM pd, (SELECT unnest(range(-4, 5)) AS d)) a
+         JOIN pd b ON b.dataset = a.dataset AND b.trial = a.trial AND b.p = CASE WHEN r < {KEPT[1] + 16} THEN r ELSE {2 * KEPT[1] + 31} - r END GROUP BY ALL)"""
+add("k4_segment_training_set", lambda t: N.segment_training_set(recorded(t), 16, 2).select(*TRIAL, "i", total("frame").alias("total"), total("counts").cast("long").alias("events"), total("rates").alias("rates"), "n", "rate", "class"), "frames",
+    f"""WITH {RECORDED} SELECT tr.dataset, tr.trial, tr.i, round(sum(pd.y), 6) + 0 AS total, CAST(sum(pd.n) AS BIGINT) AS events, round(sum(w.rate), 6) + 0 AS rates, any_value(tr.n) AS n, round(any_value(c.rate), 6) + 0 AS rate, least(any_value(tr.n), 1) AS class
+       FROM tr JOIN pd ON pd.dataset = tr.dataset AND pd.trial = tr.trial AND pd.p BETWEEN tr.i AND tr.i + 15 JOIN ra w ON w.dataset = pd.dataset AND w.trial = pd.trial AND w.p = pd.p JOIN ra c ON c.dataset = tr.dataset AND c.trial = tr.trial AND c.p = tr.i + 8 GROUP BY tr.dataset, tr.trial, tr.i""")
+add("k4_segment_statistics", lambda t: N.segment_statistics(t.wide, late(t), recorded(t), 16), "frames",
+    f"""WITH {RECORDED}, us AS (SELECT dataset, count(DISTINCT trial) AS recordings, count(*) AS samples, CAST(sum(n) AS BIGINT) AS events, count(*)/30e0 AS elapsed FROM tr GROUP BY dataset),
+       dd AS (SELECT dataset, abs(y - lag(y) OVER (PARTITION BY dataset ORDER BY trial, i)) AS d FROM frames), sc AS (SELECT dataset, sum(l) AS seconds FROM (SELECT dataset, trial, max(t) AS l FROM frames GROUP BY ALL) GROUP BY dataset),
+       sp AS (SELECT dataset, count(*) AS n FROM frames WHERE y > 0.2e0 AND trial % 6 > 0 GROUP BY dataset)
+       SELECT us.dataset, recordings, 30e0 AS rate, samples, events, round(elapsed, 6) AS elapsed, round(any_value(sp.n/seconds), 6) AS firing_rate, round(median(d)*100/sqrt(30e0), 6) AS noise FROM us JOIN dd ON dd.dataset = us.dataset JOIN sc ON sc.dataset = us.dataset JOIN sp ON sp.dataset = us.dataset GROUP BY us.dataset, recordings, samples, events, elapsed""")
+def _bank(t):
+    """Traces with and without times."""
+    return t.wide.select(*TRIAL, F.when(F.col("trial") % 4 != 1, F.col("t")).alias("t"), "y")
+
+
+def _twice(t):
+    """A second run finds some traces changed and one dataset added; a third finds nothing to do."""
+    path = IO.shared_path(t.spark, "noise")
+    NB.prepare_noise_bank(_bank(t).where("dataset <> 3"), 7.5, path)
+    now = _bank(t).withColumn("y", F.when(F.col("trial") % 5 == 0, F.transform("y", lambda v: v + 1)).otherwise(F.col("y")))
+    NB.prepare_noise_bank(now, 7.5, path)
+    return NB.prepare_noise_bank(now, 7.5, path).select(*TRIAL, "run", F.size("y").alias("n"), F.element_at("t", -1).alias("last_t"), total("y").alias("total"))
+
+
+add("k5_downsample_noise_bank", _twice, "frames",
+    """WITH f AS (SELECT dataset, trial, i, t, y + CASE WHEN trial % 5 = 0 THEN 1 ELSE 0 END AS y FROM frames),
+       b AS (SELECT dataset, trial, i//4 AS k, avg(t) AS t, avg(y) AS y FROM f WHERE trial % 4 <> 1 GROUP BY ALL),
+       g AS (SELECT a.dataset, a.trial, k, k/4e0*63/1219e-1 AS t, a.y + coalesce((c.y - a.y)*(k*1575e-2 - floor(k*1575e-2)), 0) AS y FROM (SELECT unnest(range(0, 5)) AS k) JOIN f a ON a.i = CAST(floor(k*1575e-2) AS BIGINT) LEFT JOIN f c ON c.dataset = a.dataset AND c.trial = a.trial AND c.i = a.i + 1 WHERE a.trial % 4 = 1)
+       SELECT dataset, trial, CASE WHEN dataset = 3 OR trial % 5 = 0 THEN 2 ELSE 1 END AS run, count(*) AS n, round(max(t), 6) AS last_t, round(sum(y), 6) + 0 AS total FROM (SELECT * FROM b UNION ALL SELECT * FROM g) GROUP BY dataset, trial""")
 
 
 def _manifest(t):

@@ -194,7 +194,7 @@ add("e13_even_grid", lambda t: S.even_grid(t.samples, 0.1), "samples", f"WITH {G
 add("e12_resample_to_fs", lambda t: S.resample_to(t.frames, 10.0), "frames",
     "SELECT dataset, trial, i//3 AS k, round(avg(t), 6) + 0 AS t, round(avg(y), 6) + 0 AS y FROM (SELECT *, count(*) OVER (PARTITION BY dataset, trial) AS n FROM frames) WHERE i//3 < n//3 GROUP BY dataset, trial, i//3")
 add("e12_resample_grid", lambda t: S.resample_to(t.samples, 0.1), "samples",
-    f"""WITH {FS}, how AS (SELECT dataset, trial, fs, CASE WHEN abs(fs - 0.1e0) <= 2e-3 + 2e-4 THEN 'same' WHEN fs > 0.1e0 AND abs(fs/0.1e0 - round_even(fs/0.1e0, 0)) <= 1e-6 + 1e-5*round_even(fs/0.1e0, 0) THEN 'block' ELSE 'grid' END AS how, CAST(round_even(fs/0.1e0, 0) AS BIGINT) AS b FROM fs),
+    f"""WITH {FS}, how AS (SELECT dataset, trial, fs, CASE WHEN abs(fs - 0.1e0) <= 2e-3*0.1e0 THEN 'same' WHEN fs > 0.1e0 AND abs(fs/0.1e0 - round_even(fs/0.1e0, 0)) <= 1e-6 + 1e-5*round_even(fs/0.1e0, 0) THEN 'block' ELSE 'grid' END AS how, CAST(round_even(fs/0.1e0, 0) AS BIGINT) AS b FROM fs),
        {interp_sql(GRID13)}, lone AS (SELECT s.* FROM samples s WHERE NOT EXISTS (SELECT 1 FROM how h WHERE h.trial = s.trial AND h.dataset = s.dataset))
        SELECT o.dataset, o.trial, k, round(q, 6) AS t, round(y, 6) + 0 AS y FROM o JOIN how h ON h.trial = o.trial AND h.dataset = o.dataset WHERE how = 'grid'
        UNION ALL SELECT s.dataset, s.trial, i, round(t, 6), round(y, 6) + 0 FROM samples s JOIN how h ON h.trial = s.trial AND h.dataset = s.dataset WHERE how = 'same'
