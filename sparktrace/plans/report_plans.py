@@ -415,6 +415,49 @@ def _through_summary(t):
 add("a11_write_summary", _through_summary, "trialwise", "SELECT run, dataset, smoothing, method, round(max(correlation), 6) AS correlation, round(max(correlation), 6) AS again FROM trialwise WHERE correlation IS NOT NULL GROUP BY run, dataset, smoothing, method")
 
 
+def _documents(t, shift: float = 0.0, unet: bool = True):
+    """The documents of three runs from tables of scores, scores by trial, windows, counts and methods."""
+    by = ["run", F.format_string("d%d", F.col("dataset") % 4).alias("dataset"), "smoothing"]
+    rows = t.trialwise.select(*by, "method", (F.col("trial") % 5).alias("trial"), "correlation", "corr_sigma_ms").where(F.lit(unet) | (F.col("method") != "unet"))
+    by = ["run", "dataset", "smoothing"]
+    folder = F.concat_ws("/", *by)
+    scores = rows.groupBy(*by, "method").agg((F.avg("correlation") + shift).alias("correlation"))
+    trialwise = rows.groupBy(*by, "method", "trial").agg(F.max(F.when(F.col("trial") != 3, F.col("correlation"))).alias("correlation"))
+    windows = rows.groupBy(*by, "trial").agg(F.min("corr_sigma_ms").alias("start_s"), F.max("corr_sigma_ms").alias("end_s"))
+    counts = rows.groupBy(*by).agg(F.max("corr_sigma_ms").alias("corr_sigma_ms"), F.count("*").alias("gt_count")).withColumn("downsample_target", F.when(F.col("smoothing") != "raw", F.col("smoothing")))
+    config = F.create_map(F.lit("folder"), folder, F.lit('a "b"'), F.col("method"))
+    methods = rows.groupBy(*by, "method").agg(F.count("*").alias("samples")).withColumn("config", config)
+    methods = methods.select(*by, F.concat(F.lit("my "), "method").alias("label"), "method", folder.alias("cache_tag"), X.config_signature(F.col("config")).alias("cache_key"), "config", F.lit(30.0).alias("sampling_rate"), "samples", F.create_map(F.lit("note"), folder).alias("details"))
+    return IO.run_documents(scores, methods, counts, trialwise, windows)
+
+
+def _through_documents(t):
+    """Written, then written again without one method and with other scores: what is read is the second, by every field."""
+    path = IO.shared_path(t.spark, "documents")
+    IO.write_run_documents(_documents(t), path)
+    IO.write_run_documents(_documents(t, 1.0, False), path)
+    docs = IO.read_run_documents(t.spark, path)
+    by = ["run", "dataset", "smoothing"]
+    each = IO.trialwise_rows(docs).groupBy(*by, "method").agg(F.count("*").alias("trials"), F.sum("correlation").alias("total"), F.sum("start_s").alias("starts"), F.sum("end_s").alias("ends"))
+    got = IO.correlation_rows(docs).join(IO.method_rows(docs), [*by, "method"]).join(each, [*by, "method"])
+    field = lambda name: F.try_element_at(F.from_json("summary_json", "map<string,string>"), F.concat(F.lit("my "), F.col("method"), F.lit(f"_{name}")))
+    rest = docs.select(*by, "summary_json", F.col("summary.dataset").alias("d"), F.col("summary.downsample_target").alias("target"), F.col("summary.resample_tag").alias("tag"), F.array_join("summary.methods_run", ",").alias("ran"), F.col("summary.gt_count").alias("n"), F.col("comparison.run_tag").alias("run_tag"), F.col("comparison.artifacts")["summary"].alias("artifact"))
+    both = got.join(rest, by)
+    return both.select(*by, "method", "correlation", "corr_sigma_ms", "trials", "total", "starts", "ends", "place", "label", "cache_tag", "cache_key", F.col("config")["folder"].alias("folder"), F.col("config")['a "b"'].alias("quoted"), "sampling_rate",
+                       "d", "target", "tag", "ran", "n", "run_tag", "artifact", field("samples").cast("long").alias("samples"), field("note").alias("note"), F.get_json_object(field("cache"), "$.folder").alias("cached"))
+
+
+add("a11_run_documents", _through_documents, "trialwise",
+    """WITH r AS (SELECT run, 'd' || (dataset % 4) AS dataset, smoothing, method, trial % 5 AS trial, correlation, corr_sigma_ms, run || '/d' || (dataset % 4) || '/' || smoothing AS f FROM trialwise WHERE method <> 'unet'),
+       c AS (SELECT run, dataset, smoothing, max(corr_sigma_ms) AS sigma, count(*) AS n, string_agg(DISTINCT 'my ' || method, ',' ORDER BY 'my ' || method) AS ran FROM r GROUP BY ALL), w AS (SELECT run, dataset, smoothing, trial, min(corr_sigma_ms) AS a, max(corr_sigma_ms) AS z FROM r GROUP BY ALL),
+       tw AS (SELECT run, dataset, smoothing, method, trial, max(CASE WHEN trial <> 3 THEN correlation END) AS v, row_number() OVER (PARTITION BY run, dataset, smoothing, method ORDER BY trial) AS p FROM r GROUP BY run, dataset, smoothing, method, trial),
+       wp AS (SELECT *, row_number() OVER (PARTITION BY run, dataset, smoothing ORDER BY trial) AS p FROM w), e AS (SELECT tw.run, tw.dataset, tw.smoothing, tw.method, count(*) AS trials, sum(v) AS total, sum(a) AS starts, sum(z) AS ends FROM tw LEFT JOIN wp ON wp.run = tw.run AND wp.dataset = tw.dataset AND wp.smoothing = tw.smoothing AND wp.p = tw.p GROUP BY ALL),
+       m AS (SELECT run, dataset, smoothing, method, f, avg(correlation) + 1 AS correlation, count(*) AS samples FROM r GROUP BY ALL)
+       SELECT m.run, m.dataset, m.smoothing, m.method, round(correlation, 6) AS correlation, sigma AS corr_sigma_ms, trials, round(total, 6) AS total, round(starts, 6) AS starts, round(ends, 6) AS ends, row_number() OVER (PARTITION BY m.run, m.dataset, m.smoothing ORDER BY m.method) - 1 AS place, 'my ' || m.method AS label,
+         f AS cache_tag, substr(sha256('{"a \\"b\\"":"' || m.method || '","folder":"' || f || '"}'), 1, 16) AS cache_key, f AS folder, m.method AS quoted, 30e0 AS sampling_rate, m.dataset AS d, m.smoothing AS target, m.run AS tag, ran, n, m.run AS run_tag, f || '/summary.json' AS artifact, samples, f AS note, f AS cached
+       FROM m JOIN c ON c.run = m.run AND c.dataset = m.dataset AND c.smoothing = m.smoothing JOIN e ON e.run = m.run AND e.dataset = m.dataset AND e.smoothing = m.smoothing AND e.method = m.method""")
+
+
 def _through_export(t):
     path = IO.shared_path(t.spark, "export")
     cut = t.frames.where("i < 40 + trial % 20")

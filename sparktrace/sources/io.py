@@ -15,9 +15,17 @@ from pyspark.sql import functions as F
 
 from sparktrace.operators import binning, reshape, series
 from sparktrace.operators.reshape import finite
+from sparktrace.sources.lines import numbered_lines
 
 TRIALWISE = "run string, dataset string, smoothing string, method string, label string, corr_sigma_ms double, trial int, start_s double, end_s double, correlation double"
-SUMMARY = "correlations map<string,double>, corr_sigma_ms double, methods_run array<string>, trialwise map<string,array<double>>, trial_windows array<array<double>>, gt_count bigint"
+SUMMARY = (
+    "dataset string, smoothing string, downsample_target string, resample_tag string, correlations map<string,double>, corr_sigma_ms double, methods_run array<string>, "
+    "trialwise_correlations map<string,array<double>>, trial_windows_s array<array<double>>, gt_count bigint"
+)
+COMPARISON = (
+    "run_tag string, dataset string, smoothing string, downsample_target string, "
+    "methods array<struct<label:string,method:string,cache_tag:string,cache_key:string,config:map<string,string>,sampling_rate:double>>, artifacts map<string,string>"
+)
 
 
 def required(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -116,25 +124,113 @@ def read_trialwise_csv(spark: SparkSession, path: str) -> DataFrame:
 PLACE = "/([^/]+)/([^/]+)/([^/]+)/(summary|comparison).json$"
 
 
+def run_files(spark: SparkSession, root: str, runs: list[str] | None = None, datasets: list[str] | None = None, smoothings: list[str] | None = None) -> DataFrame:
+    """run, dataset, smoothing and the texts `summary` and `comparison` (null without one) of all `run/dataset/smoothing/` folders below a root."""
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{summary,comparison}.json").text(root, wholetext=True)
+    part = lambda g: F.regexp_extract(F.col("_metadata.file_path"), PLACE, g)
+    rows = files.select(part(1).alias("run"), part(2).alias("dataset"), part(3).alias("smoothing"), part(4).alias("kind"), "value")
+    for column, wanted in (("run", runs), ("dataset", datasets), ("smoothing", smoothings)):
+        rows = rows.where(F.col(column).isin(wanted)) if wanted is not None else rows
+    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value"))).alias(kind)
+    return rows.groupBy("run", "dataset", "smoothing").agg(one("summary"), one("comparison"))
+
+
 def read_run_tree(spark: SparkSession, root: str, runs: list[str] | None = None, datasets: list[str] | None = None, smoothings: list[str] | None = None, methods: list[str] | None = None, on_missing: str = "skip") -> DataFrame:
     """run, dataset, smoothing, method, correlation, manifest of all `run/dataset/smoothing/` folders below a root.
 
     Correlations are those of `summary.json`; with `methods` just these, null where a summary lacks one. `manifest` is the text of
     `comparison.json`, null without one. A folder with a comparison but no summary is left out (skip) or an error (raise).
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "{summary,comparison}.json").text(root, wholetext=True)
-    part = lambda g: F.regexp_extract(F.col("_metadata.file_path"), PLACE, g)
-    rows = files.select(part(1).alias("run"), part(2).alias("dataset"), part(3).alias("smoothing"), part(4).alias("kind"), "value")
-    for column, wanted in (("run", runs), ("dataset", datasets), ("smoothing", smoothings)):
-        rows = rows.where(F.col(column).isin(wanted)) if wanted is not None else rows
-    one = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
-    rows = rows.groupBy("run", "dataset", "smoothing").agg(one("summary").alias("summary"), one("comparison").alias("manifest"))
+    rows = run_files(spark, root, runs, datasets, smoothings)
     if on_missing == "raise":
         rows = rows.withColumn("summary", failing(F.col("summary").isNull(), F.concat_ws("/", F.lit("no summary in"), "run", "dataset", "smoothing"), F.col("summary")))
     found = rows.where("summary is not null").withColumn("c", F.from_json("summary", SUMMARY, {"mode": "FAILFAST"})["correlations"])
     if methods is not None:
         found = found.withColumn("c", F.map_from_entries(F.array(*[F.struct(F.lit(m), F.try_element_at("c", F.lit(m))) for m in methods])))
-    return found.select("run", "dataset", "smoothing", F.explode("c").alias("method", "correlation"), "manifest")
+    return found.select("run", "dataset", "smoothing", F.explode("c").alias("method", "correlation"), F.col("comparison").alias("manifest"))
+
+
+def read_run_documents(spark: SparkSession, root: str) -> DataFrame:
+    """run, dataset, smoothing, the struct `summary` with its text `summary_json`, and the struct `comparison` of every folder of a run tree."""
+    rows = run_files(spark, root).withColumnsRenamed({"summary": "summary_json", "comparison": "comparison_json"})
+    parsed = lambda c, schema: F.from_json(c, schema, {"mode": "FAILFAST"})
+    return rows.select("run", "dataset", "smoothing", parsed("summary_json", SUMMARY).alias("summary"), "summary_json", parsed("comparison_json", COMPARISON).alias("comparison"))
+
+
+def correlation_rows(documents: DataFrame) -> DataFrame:
+    """run, dataset, smoothing, corr_sigma_ms, method, correlation: a row for each method of the summaries' correlation maps."""
+    return documents.select("run", "dataset", "smoothing", "summary.corr_sigma_ms", F.explode("summary.correlations").alias("method", "correlation"))
+
+
+def method_rows(documents: DataFrame) -> DataFrame:
+    """run, dataset, smoothing, place, label, method, cache_tag, cache_key, config, sampling_rate: the entries of the comparisons' method lists."""
+    each = documents.select("run", "dataset", "smoothing", F.posexplode("comparison.methods").alias("place", "m"))
+    return each.select("run", "dataset", "smoothing", F.col("place").cast("long").alias("place"), "m.*")
+
+
+def trialwise_rows(documents: DataFrame) -> DataFrame:
+    """run, dataset, smoothing, method, place, correlation, start_s, end_s: the summaries' correlations by trial beside the trials' windows."""
+    each = documents.select("run", "dataset", "smoothing", "summary.trial_windows_s", F.explode("summary.trialwise_correlations").alias("method", "values"))
+    each = each.select("run", "dataset", "smoothing", "trial_windows_s", "method", F.posexplode("values").alias("place", "correlation"))
+    window = F.get("trial_windows_s", F.col("place"))
+    return each.select("run", "dataset", "smoothing", "method", F.col("place").cast("long").alias("place"), "correlation", F.get(window, 0).alias("start_s"), F.get(window, 1).alias("end_s"))
+
+
+def run_documents(scores: DataFrame, methods: DataFrame, counts: DataFrame, trialwise: DataFrame | None = None, windows: DataFrame | None = None) -> DataFrame:
+    """One document for each run, dataset and smoothing of `counts`: the texts `summary` and `comparison`.
+
+    scores(run, dataset, smoothing, method, correlation); methods(run, dataset, smoothing, label, method, cache_tag, cache_key, config map,
+    sampling_rate, samples, details map) in the order of their labels; counts(run, dataset, smoothing, downsample_target, corr_sigma_ms, gt_count);
+    trialwise(run, dataset, smoothing, method, trial, correlation) and windows(run, dataset, smoothing, trial, start_s, end_s), in the order of trials. A
+    summary has the entries <label>_cache, <label>_samples and <label>_<detail> of each method. Correlations that are null or NaN are null.
+    """
+    by = ["run", "dataset", "smoothing"]
+    value = F.nanvl(F.col("correlation"), F.lit(None).cast("double"))
+    named = lambda rows: F.map_from_entries(F.sort_array(F.collect_list(rows)))
+    a = scores.groupBy(*by).agg(named(F.struct("method", value.alias("v"))).alias("correlations"))
+    each = F.struct("label", "method", "cache_tag", "cache_key", "config", "sampling_rate")
+    # One member of an object: the name as JSON writes it, and its value.
+    member = lambda name, json: F.concat(F.regexp_replace(F.to_json(F.create_map(name, F.lit(0))), r"^\{|0\}$", ""), json)
+    own = F.concat(
+        F.array(member(F.concat("label", F.lit("_cache")), F.coalesce(F.to_json("config"), F.lit("{}"))), member(F.concat("label", F.lit("_samples")), F.coalesce(F.col("samples").cast("string"), F.lit("null")))),
+        F.transform(F.coalesce(F.array_sort(F.map_entries("details")), F.array().cast("array<struct<key:string,value:string>>")), lambda e: member(F.concat("label", F.lit("_"), e["key"]), F.regexp_replace(F.to_json(F.array(e["value"])), r"^\[|\]$", ""))),
+    )
+    before = lambda x, y: F.when(x["label"] < y["label"], -1).when(x["label"] > y["label"], 1).otherwise(0)
+    b = methods.withColumn("own", own).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("label", each.alias("m"), "own")), before).alias("ms"))
+    b = b.select(*by, F.col("ms.m").alias("methods"), F.col("ms.label").alias("methods_run"), F.flatten("ms.own").alias("own"))
+    rows = counts.join(a, by, "left").join(b, by, "left")
+    beside = {}
+    if trialwise is not None:
+        series_ = trialwise.groupBy(*by, "method").agg(F.transform(F.sort_array(F.collect_list(F.struct("trial", value.alias("v")))), lambda p: p["v"]).alias("v"))
+        rows = rows.join(series_.groupBy(*by).agg(named(F.struct("method", "v")).alias("trialwise_correlations")), by, "left")
+        beside["trialwise_correlations"] = F.col("trialwise_correlations")
+    if windows is not None:
+        pairs = windows.groupBy(*by).agg(F.transform(F.sort_array(F.collect_list(F.struct("trial", "start_s", "end_s"))), lambda w: F.array(w["start_s"], w["end_s"])).alias("trial_windows_s"))
+        rows = rows.join(pairs, by, "left")
+        beside["trial_windows_s"] = F.col("trial_windows_s")
+    text_ = lambda c: F.col(c).cast("string").alias(c)
+    none = F.array().cast("array<string>")
+    head = F.struct(
+        text_("dataset"), text_("smoothing"), F.coalesce(F.col("downsample_target").cast("string"), F.col("smoothing").cast("string")).alias("downsample_target"), F.col("run").cast("string").alias("resample_tag"),
+        F.coalesce("correlations", F.create_map().cast("map<string,double>")).alias("correlations"), "corr_sigma_ms", F.coalesce("methods_run", none).alias("methods_run"), *[c.alias(k) for k, c in beside.items()], F.coalesce("gt_count", F.lit(0)).alias("gt_count"),
+    )
+    place = F.concat_ws("/", *[F.col(c).cast("string") for c in by])
+    summary = F.concat_ws(",", F.regexp_replace(F.to_json(head), r"\}$", ""), F.coalesce("own", none))
+    comparison = F.to_json(F.struct(
+        F.col("run").cast("string").alias("run_tag"), text_("dataset"), text_("smoothing"), F.coalesce(F.col("downsample_target").cast("string"), F.col("smoothing").cast("string")).alias("downsample_target"),
+        F.coalesce("methods", F.array().cast("array<struct<label:string,method:string,cache_tag:string,cache_key:string,config:map<string,string>,sampling_rate:double>>")).alias("methods"), F.create_map(F.lit("summary"), F.concat(place, F.lit("/summary.json"))).alias("artifacts"),
+    ))
+    return rows.select(*by, F.concat(summary, F.lit("}")).alias("summary"), comparison.alias("comparison"))
+
+
+def write_run_documents(documents: DataFrame, root: str) -> None:
+    """Writes the texts of `run_documents` below a root; a run that is written again replaces each of its documents whole.
+
+    Files are moved into place when they are complete, the comparison after the summary, so a reader never meets half a document.
+    """
+    place = F.concat_ws("/", *[F.col(c).cast("string") for c in ("run", "dataset", "smoothing")])
+    files = documents.select(F.explode(F.array(*[F.struct(F.concat(place, F.lit(f"/{kind}.json")).alias("path"), F.col(kind).alias("text")) for kind in ("summary", "comparison")])).alias("f")).select("f.*")
+    write_texts(files, root)
 
 
 def read_posterior(spark: SparkSession, path: str, bins: int | None = None, logp: bool = False) -> DataFrame:
@@ -142,47 +238,45 @@ def read_posterior(spark: SparkSession, path: str, bins: int | None = None, logp
 
     A sample has `bins` bins, or as many as the first one (index 0) has rows; none, or a row count that they do not divide, is an error.
     With `logp` the files `logp_<tag>_trial<n>.dat` are read too: their values stand beside the samples, and samples beyond
-    the shorter of both are left out; an empty or missing file is an error. Lines keep their place by their number in a file.
+    the shorter of both are left out; an empty or missing file is an error. Files are read in ranges, lines keep their place
+    by their number in a file; a row carries its own line only.
     """
 
     def lines(kind: str, header: int) -> DataFrame:
-        text = spark.read.option("pathGlobFilter", f"{kind}_*.dat").text(path, wholetext=True)
-        place = lambda g: F.regexp_extract(F.col("_metadata.file_path"), f"/{kind}_(.+)_trial([0-9]+).dat$", g)
-        whole = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
-        whole = F.slice(whole, header + 1, F.greatest(F.size(whole) - header, F.lit(0)))
-        return text.select(place(1).alias("tag"), place(2).cast("int").alias("trial"), whole.alias("lines"))
-
-    cells = lambda x: F.transform(F.split(x, ","), lambda c: F.trim(c).cast("double"))
-    first = F.size(F.filter("lines", lambda x: F.split_part(x, F.lit(","), F.lit(1)).cast("double") == 0))
-    files = lines("traj_samples", 1).withColumn("bins", F.lit(bins) if bins is not None else first)
-    files = files.withColumn("bins", failing(F.col("bins") == 0, F.concat(F.lit("no rows of sample 0: "), "tag"), F.col("bins")))
-    files = files.withColumn("samples", failing(F.size("lines") % F.col("bins") != 0, F.concat(F.lit("rows are no multiple of the bins: "), "tag"), F.floor(F.size("lines") / F.col("bins"))))
-    none = F.lit(None).cast("double")
+        place = lambda g: F.regexp_extract("path", f"/{kind}_(.+)_trial([0-9]+).dat$", g)
+        rows = numbered_lines(spark, path, f"{kind}_*.dat").where(F.col("number") >= header)
+        return rows.select(place(1).alias("tag"), place(2).cast("int").alias("trial"), (F.col("number") - header).alias("k"), "value")
+
+    file = ["tag", "trial"]
+    rows = lines("traj_samples", 1)
+    first = F.count_if(F.split_part("value", F.lit(","), F.lit(1)).cast("double") == 0)
+    sizes = rows.groupBy(*file).agg(F.count("*").alias("lines"), (F.lit(bins) if bins is not None else first).alias("bins"))
+    sizes = sizes.withColumn("bins", failing(F.col("bins") == 0, F.concat(F.lit("no rows of sample 0: "), "tag"), F.col("bins")))
+    sizes = sizes.withColumn("samples", failing(F.col("lines") % F.col("bins") != 0, F.concat(F.lit("rows are no multiple of the bins: "), "tag"), F.floor(F.col("lines") / F.col("bins"))))
+    if logp:
+        beside = lines("logp", 0)
+        sizes = sizes.join(beside.groupBy(*file).agg(F.count("*").alias("logs")), file, "left")
+        sizes = sizes.withColumn("samples", failing(F.col("logs").isNull(), F.concat(F.lit("no log-probabilities: "), "tag"), F.least("samples", "logs")))
+    # A file each: a join with few rows, whose errors reach every row.
+    kept = rows.join(sizes.select(*file, "bins", "samples"), file).withColumn("sample", F.floor(F.col("k") / F.col("bins"))).where("sample < samples")
     if logp:
-        beside = lines("logp", 0).select("tag", "trial", F.transform("lines", lambda x: F.trim(x).cast("double")).alias("logs"))
-        files = files.join(beside, ["tag", "trial"], "left")
-        files = files.withColumn("samples", failing(F.coalesce(F.size("logs"), F.lit(0)) <= 0, F.concat(F.lit("no log-probabilities: "), "tag"), F.least("samples", F.size("logs"))))
-    # A row carries its own line and log-probability, not the file's arrays.
-    used = F.slice("lines", F.lit(1), (F.col("samples") * F.col("bins")).cast("int"))
-    each = F.transform(used, lambda x, k: F.struct(x.alias("line"), (F.get("logs", F.floor(k / F.col("bins")).cast("int")) if logp else none).alias("logp")))
-    kept = files.select("tag", "trial", "bins", each.alias("each")).select("tag", "trial", "bins", F.posexplode("each").alias("k", "x"))
-    kept = kept.select("tag", "trial", "bins", "k", cells(F.col("x.line")).alias("v"), F.col("x.logp").alias("logp"))
+        kept = kept.join(beside.select(*file, F.col("k").alias("sample"), F.trim("value").cast("double").alias("logp")), [*file, "sample"])
+    kept = kept.withColumn("v", F.transform(F.split("value", ","), lambda c: F.trim(c).cast("double")))
     at = lambda i, kind: F.get("v", i).cast(kind)
     return kept.select(
-        "tag", "trial", F.floor(F.col("k") / F.col("bins")).cast("int").alias("sample"), (F.col("k") % F.col("bins")).cast("int").alias("bin"),
+        "tag", "trial", F.col("sample").cast("int").alias("sample"), (F.col("k") % F.col("bins")).cast("int").alias("bin"),
         at(1, "int").alias("burst"), at(2, "double").alias("b"), at(3, "int").alias("s"), at(4, "double").alias("c"), at(5, "double").alias("y"), *(["logp"] if logp else []),
     )
 
 
 def read_params(spark: SparkSession, path: str) -> DataFrame:
-    """Parameter samples of CSV files with a header, as (file, sample, name, value). Samples are the lines of a file in order."""
-    text = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]*)$", 1).alias("file"), F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "").alias("lines"))
-    names = F.transform(F.split(F.get("lines", 0), ","), lambda c: F.trim(c))
-    # A row carries the names, not the file's lines.
-    rows = text.where(F.size("lines") > 0).select("file", names.alias("names"), F.slice("lines", F.lit(2), F.size("lines")).alias("rest"))
-    rows = rows.select("file", "names", F.posexplode("rest").alias("sample", "line"))
-    pairs = F.arrays_zip(F.col("names").alias("name"), F.transform(F.split("line", ","), lambda c: F.trim(c).cast("double")).alias("value"))
-    return rows.select("file", F.col("sample").cast("long").alias("sample"), F.inline(pairs))
+    """Parameter samples of CSV files with a header, as (file, sample, name, value). Samples are the lines of a file in order; files are
+    read in ranges."""
+    rows = numbered_lines(spark, path)
+    names = rows.where("number = 0").select("path", F.transform(F.split("value", ","), lambda c: F.trim(c)).alias("names"))
+    pairs = F.arrays_zip(F.col("names").alias("name"), F.transform(F.split("value", ","), lambda c: F.trim(c).cast("double")).alias("value"))
+    both = rows.where("number > 0").join(names, "path")
+    return both.select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), (F.col("number") - 1).alias("sample"), F.inline(pairs))
 
 
 def equal_headers(left: DataFrame, right: DataFrame) -> bool:
@@ -203,9 +297,12 @@ def write_texts(rows: DataFrame, root: str) -> None:
         for f in frames:
             store, at = pafs.FileSystem.from_uri(root)
             for path, text in zip(f["path"], f["text"]):
-                store.create_dir(f"{at}/{path}".rpartition("/")[0], recursive=True)
-                with store.open_output_stream(f"{at}/{path}", compression=None) as out:
+                folder, _, name = f"{at}/{path}".rpartition("/")
+                store.create_dir(folder, recursive=True)
+                draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+                with store.open_output_stream(draft, compression=None) as out:
                     out.write(text.encode())
+                store.move(draft, f"{folder}/{name}")
             yield f[["path"]]
 
     rows.select("path", "text").mapInPandas(run, "path string").count()
