@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,17 +44,41 @@ def low_activity_mask(samples: DataFrame, spikes: DataFrame, exclusion: float) -
     return near.select(*TRIAL, "i", (F.coalesce(gap >= exclusion, F.lit(True)) | F.lit(exclusion <= 0)).alias("low"))
 
 
-def match_segment(segments: DataFrame, windows: DataFrame, by: tuple[str, ...] = TRIAL) -> DataFrame:
+def segments_of_windows(a: np.ndarray, z: np.ndarray, seg: np.ndarray, start: np.ndarray, end: np.ndarray, k: np.ndarray, touching: bool) -> list:
+    """The segment of each window of a trial, None without one. Segments [a, z] are in order and do not overlap."""
+    even, place, out = len(seg) == len(k), {s: i for i, s in enumerate(seg.tolist())}, []
+    first, stop = np.searchsorted(z, start, side="right"), np.searchsorted(a, end, side="left")
+    for w in range(len(k)):
+        own = place.get(int(k[w])) if even else None
+        if own is not None and (not touching or (z[own] >= start[w] and a[own] <= end[w])):
+            out.append(int(seg[own]))
+            continue
+        met = slice(first[w], stop[w])
+        overlap = np.minimum(z[met], end[w]) - np.maximum(a[met], start[w])
+        best = int(overlap.argmax()) if len(overlap) and (touching or not even) else None
+        out.append(int(seg[met][best]) if best is not None and overlap[best] > 0 else None)
+    return out
+
+
+def match_segment(segments: DataFrame, windows: DataFrame, by: tuple[str, ...] = TRIAL, touching: bool = False) -> DataFrame:
     """For each window(k, start_s, end_s) of a trial the segment(seg, seg_start, seg_end): the one of its place if
-    there are as many, else the one with the greatest overlap, the first of equals; none without overlap."""
-    n_seg, n_win = segments.groupBy(*by).agg(F.count("*").alias("n_seg")), windows.groupBy(*by).agg(F.count("*").alias("n_win"))
-    both = windows.join(n_win, list(by)).join(n_seg, list(by)).join(segments, list(by))
-    overlap = F.least("end_s", "seg_end") - F.greatest("start_s", "seg_start")
-    placed = F.col("n_seg") == F.col("n_win")
-    both = both.withColumn("overlap", overlap).where((placed & (F.col("seg") == F.col("k"))) | (~placed & (F.col("overlap") > 0)))
-    first = F.row_number().over(W.partitionBy(*by, "k").orderBy(F.desc("overlap"), "seg"))
-    best = both.withColumn("r", first).where("r = 1").select(*by, "k", "seg")
-    return windows.select(*by, "k").join(best, [*by, "k"], "left")
+    there are as many, else the one with the greatest overlap, the first of equals; none without overlap.
+
+    `touching`: the one of its place must touch the window, else the greatest overlap decides. The segments of a trial, which do not overlap, and
+    its windows meet in one row as sorted arrays; a window looks only at the segments that it overlaps, found by bisection.
+    """
+
+    @F.pandas_udf("array<long>")
+    def pick(a: pd.Series, z: pd.Series, seg: pd.Series, start: pd.Series, end: pd.Series, k: pd.Series) -> pd.Series:
+        number = lambda v: np.asarray(v, dtype=float)
+        return pd.Series([segments_of_windows(number(r[0]), number(r[1]), np.asarray(r[2]), number(r[3]), number(r[4]), np.asarray(r[5]), touching) for r in zip(a, z, seg, start, end, k)])
+
+    packed = segments.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("seg_start").alias("a"), F.col("seg_end").alias("z"), F.col("seg").cast("long").alias("seg")))).alias("s"))
+    wins = windows.groupBy(*by).agg(F.collect_list(F.struct("k", "start_s", "end_s")).alias("w"))
+    both = wins.join(packed, list(by), "left")
+    none = lambda c: F.coalesce(F.col(c), F.array().cast("array<double>" if c != "s.seg" else "array<long>"))
+    found = both.select(*by, "w", pick(none("s.a"), none("s.z"), none("s.seg"), F.col("w.start_s"), F.col("w.end_s"), F.transform("w", lambda x: x["k"].cast("long"))).alias("seg"))
+    return found.select(*by, F.explode(F.arrays_zip(F.col("w.k").alias("k"), F.col("seg").alias("seg"))).alias("p")).select(*by, "p.k", F.col("p.seg").cast(segments.schema["seg"].dataType).alias("seg"))
 
 
 def snap_windows(samples: DataFrame, windows: DataFrame) -> DataFrame:
@@ -68,8 +94,25 @@ def missing_windows(trials: DataFrame, windows: DataFrame) -> DataFrame:
     return trials.join(windows.where("start_s is not null and end_s is not null"), list(TRIAL), "left_anti")
 
 
+def parse_series(specs: DataFrame, column: str = "spec") -> DataFrame:
+    """key, method, run of texts `method`, `method@run` or `key=method@run`; blanks drop out, an empty method or run is an error."""
+    rows = specs.select(F.trim(column).alias("_s")).where("_s <> ''")
+    named = F.contains(F.col("_s"), F.lit("="))
+    rest = F.trim(F.when(named, F.regexp_replace("_s", "^[^=]*=", "")).otherwise(F.col("_s")))
+    method, run = F.trim(F.split_part(rest, F.lit("@"), F.lit(1))), F.when(F.contains(rest, F.lit("@")), F.trim(F.regexp_replace(rest, "^[^@]*@", "")))
+    rows = rows.select("_s", F.when(named, F.trim(F.split_part("_s", F.lit("="), F.lit(1)))).alias("key"), method.alias("method"), run.alias("run"))
+    bad = F.when(F.col("method") == "", F.lit("empty method")).when(F.col("run") == "", F.lit("empty run"))
+    checked = F.when(bad.isNotNull(), F.raise_error(F.concat(F.lit("invalid series, "), bad, F.lit(": "), F.col("_s")))).otherwise(F.col("method"))
+    return rows.select(F.coalesce(F.nullif("key", F.lit("")), F.concat_ws("@", "method", "run")).alias("key"), checked.alias("method"), "run")
+
+
 def resolve_series(entries: DataFrame, specs: DataFrame) -> DataFrame:
-    """Series key of each entry(method, run): the spec of (method, run), else the method's spec without a run."""
+    """Series key of each entry(method, run): the spec of (method, run), else the method's spec without a run.
+
+    A key that is repeated, or a method and run that two specs have, is an error.
+    """
+    once = lambda c, by, what: F.when(F.count("*").over(W.partitionBy(*by)) > 1, F.raise_error(F.concat(F.lit(f"repeated {what}: "), F.col("key")))).otherwise(F.col(c))
+    specs = specs.withColumn("method", once("method", ["key"], "key")).withColumn("key", once("key", ["method", "run"], "method and run"))
     exact = specs.where("run is not null").select("method", "run", F.col("key").alias("exact"))
     wild = specs.where("run is null").select("method", F.col("key").alias("wild"))
     return entries.join(exact, ["method", "run"], "left").join(wild, "method", "left").withColumn("key", F.coalesce("exact", "wild")).where("key is not null").drop("exact", "wild")
@@ -80,11 +123,27 @@ def common_trials(scores: DataFrame, by: list[str], series: Column, n: int) -> D
     return scores.groupBy(*by).agg(F.countDistinct(series).alias("k")).where(F.col("k") == n).drop("k")
 
 
+#: Noise levels that are broadcast at most.
+LEVELS = 100_000
+
+
 def route_by_noise(traces: DataFrame, models: DataFrame) -> DataFrame:
-    """Model bucket of each trace's noise: [m - 0.5, m + 0.5), open-ended at the lowest and highest; null noise goes nowhere."""
+    """Model bucket of each trace's noise: [m - 0.5, m + 0.5), open-ended at the lowest and highest; null noise goes nowhere.
+
+    Levels and traces meet by whole numbers that a bucket touches, the open ends at those of the lowest and highest level.
+    """
     w = W.partitionBy("model").orderBy("noise_level")
-    bands = models.select("model", "noise_level", F.when(F.lag("noise_level").over(w).isNotNull(), F.col("noise_level") - 0.5).otherwise(float("-inf")).alias("lo"), F.when(F.lead("noise_level").over(w).isNotNull(), F.col("noise_level") + 0.5).otherwise(float("inf")).alias("hi"))
-    return traces.join(bands, (F.col("noise") >= F.col("lo")) & (F.col("noise") < F.col("hi"))).drop("lo", "hi")
+    lo, hi = F.col("noise_level") - 0.5, F.col("noise_level") + 0.5
+    lowest, highest = F.lag("noise_level").over(w).isNull(), F.lead("noise_level").over(w).isNull()
+    bands = models.select("model", "noise_level", F.when(lowest, float("-inf")).otherwise(lo).alias("lo"), F.when(highest, float("inf")).otherwise(hi).alias("hi"), F.floor(lo).alias("a"), F.floor(hi).alias("z"))
+    reach = bands.agg(F.min("a").alias("first"), F.max("z").alias("last"))
+    whole = lambda a, z: F.explode(F.sequence(a, z)).alias("cell")
+    # An open end reaches all cells on its side, of which those within reach of any level are looked up.
+    cells = bands.crossJoin(F.broadcast(reach)).select("model", "noise_level", "lo", "hi", whole(F.when(F.col("lo") == float("-inf"), F.col("first")).otherwise(F.col("a")), F.when(F.col("hi") == float("inf"), F.col("last")).otherwise(F.col("z"))))
+    at = F.least(F.greatest(F.floor("noise"), F.col("first")), F.col("last"))
+    known = traces.where(F.col("noise").isNotNull() & ~F.isnan("noise")).crossJoin(F.broadcast(reach)).withColumn("cell", at).drop("first", "last")
+    small = models.count() <= LEVELS
+    return known.join(F.broadcast(cells) if small else cells, "cell").where((F.col("noise") >= F.col("lo")) & (F.col("noise") < F.col("hi"))).drop("lo", "hi", "cell")
 
 
 def resolve_cached(entries: DataFrame, results: DataFrame, methods: list[str] | None = None) -> DataFrame:
@@ -106,40 +165,40 @@ def unresolved(resolved: DataFrame) -> DataFrame:
 
 
 def lookup_result(requests: DataFrame, store: DataFrame, any_trace: bool = False) -> DataFrame:
-    """Stored result for each request(id, key, tag, trace_hash): the first file of those that fit.
+    """Stored result for each request(id, method, dataset, key, trace_hash): the first file of those that fit.
 
-    A stored row(key, config, tag, cache_tag, trace_hash, file, ...) fits if its key is the request's, or, of rows without a key,
-    the signature of its config is; if its tag is the request's or its own cache tag; and if the trace hashes are equal, unless
-    `any_trace`.
+    Only the folder of the request's method and dataset is searched. A row of it, store(method, folder, key, config, dataset, cache_tag, trace_hash,
+    file, ...), fits if its key is the request's, or, of rows without a key, the signature of its config is; if its dataset is the
+    request's or its own cache tag; and if the trace hashes are equal, unless `any_trace`. The file named like the key comes first and, if it is
+    there, alone.
     """
-    rest = [c for c in store.columns if c not in ("key", "config", "tag", "cache_tag", "trace_hash")]
-    own = store.withColumn("key", F.coalesce("key", text.config_signature(F.col("config"))))
-    # A row whose tag is its own cache tag fits requests of all tags.
-    by = ["key"] if any_trace else ["key", "trace_hash"]
-    first = lambda rows, keys, name: rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "file").alias(name))
-    tagged = first(own, [*by, "tag"], "one")
-    every = first(own.where(F.col("tag") == F.col("cache_tag")), by, "other")
-    both = requests.join(tagged, [*by, "tag"], "left").join(every, by, "left").where("one is not null or other is not null")
-    best = F.when(F.col("other").isNull() | (F.col("one.file") <= F.col("other.file")), F.col("one")).otherwise(F.col("other"))
-    return both.withColumn("best", F.coalesce(best, F.col("one"), F.col("other"))).select(*requests.columns, *[F.col(f"best.{c}").alias(c) for c in rest])
+    rest = [c for c in store.columns if c not in ("method", "folder", "key", "config", "dataset", "cache_tag", "trace_hash")]
+    own = store.withColumn("found_key", F.coalesce("key", text.config_signature(F.col("config")))).withColumn("named", F.regexp_replace(F.regexp_replace("file", "^.*/", ""), "[.][^.]*$", ""))
+    exact = own.select("method", F.col("folder").alias("dataset"), F.col("named").alias("key"), F.lit(True).alias("alone")).distinct()
+    fits = (F.col("dataset") == F.col("folder")) | F.coalesce(F.col("dataset") == F.col("cache_tag"), F.lit(False))
+    by = ["method", "dataset", "key"] if any_trace else ["method", "dataset", "key", "trace_hash"]
+    usable = own.where(fits).select("method", F.col("folder").alias("dataset"), F.col("found_key").alias("key"), "trace_hash", F.struct(*rest).alias("r"), "file", "named")
+    first = usable.groupBy(*by).agg(F.min_by("r", "file").alias("any"), F.min_by("r", F.when(F.col("named") == F.col("key"), F.col("file"))).alias("own"))
+    both = requests.join(exact, ["method", "dataset", "key"], "left").join(first, by)
+    return both.withColumn("best", F.when(F.col("alone"), F.col("own")).otherwise(F.col("any"))).where("best is not null").select(*requests.columns, *[F.col(f"best.{c}").alias(c) for c in rest])
 
 
 def match_overlay(wanted: DataFrame, offered: DataFrame) -> DataFrame:
-    """Best offer for each wanted row: equal label, else equal (tag, trial), else equal tag; first by label."""
-    first = lambda by: offered.groupBy(*by).agg(F.min(F.struct("label", "trial")).alias("_".join(["by", *by])))
-    both = wanted
-    for by in (["tag", "label"], ["tag", "trial"], ["tag"]):
-        both = both.join(first(by), by, "left")
-    ways = [F.col("by_tag_label"), F.col("by_tag_trial"), F.col("by_tag")]
-    how = F.when(ways[0].isNotNull(), 0).when(ways[1].isNotNull(), 1).otherwise(2)
-    return both.where(ways[2].isNotNull()).withColumn("best", F.coalesce(*ways)).select("id", F.col("best.label").alias("match"), F.col("best.trial").alias("match_trial"), how.alias("how"))
-
+    """Best offer of the run for each wanted(id, run, label, tag, trial, epoch): equal label, else equal (tag, trial, epoch), else equal epoch.
 
-def complete_sets(files: DataFrame) -> DataFrame:
-    """Per tag the parent folder with most complete (traj and param) sets, then most files, then the last name."""
-    sets = files.groupBy("tag", "parent", "trial").agg(F.count_if(F.col("kind") == "traj").alias("traj"), F.count_if(F.col("kind") == "param").alias("param"), F.count("*").alias("n"))
-    per = sets.groupBy("tag", "parent").agg(F.count_if((F.col("traj") > 0) & (F.col("param") > 0)).alias("complete"), F.sum("n").alias("files"))
-    return per.groupBy("tag").agg(F.max(F.struct("complete", "files", "parent")).alias("best")).select("tag", "best.*").where("complete > 0")
+    Of several equal labels or places the first by `display` is taken, and of several epochs. `epoch` is the entry's own or null; a null one is that
+    of the tag when epochs are compared. offered(run, label, tag, trial, epoch, display). Gives id, match (its display), how (0, 1 or 2).
+    """
+    shown = F.coalesce(F.nullif("display", F.lit("")), F.col("tag"))
+    known = lambda rows: rows.withColumn("_epoch", F.coalesce(F.nullif("epoch", F.lit("")), text.tag_epoch(F.col("tag")))).withColumn("_own", F.coalesce("epoch", F.lit("")))
+    offers, both = known(offered).withColumn("_shown", shown), known(wanted)
+    for k, by in enumerate((["run", "label"], ["run", "tag", "trial", "_own"], ["run", "_epoch"])):
+        keys = [c if c != "trial" else "_trial" for c in by]
+        # Trials that neither side names are equal, as any two equal numbers are.
+        at = lambda rows: rows.withColumn("_trial", F.coalesce(F.col("trial").cast("long"), F.lit(-1)))
+        both = at(both).join(at(offers).groupBy(*keys).agg(F.min("_shown").alias(f"_{k}")), keys, "left")
+    how = F.when(F.col("_0").isNotNull(), 0).when(F.col("_1").isNotNull(), 1).otherwise(2)
+    return both.withColumn("match", F.coalesce("_0", "_1", "_2")).where("match is not null").select("id", "match", how.alias("how"))
 
 
 def infer_known(files: DataFrame, known: DataFrame, pattern: str) -> DataFrame:
@@ -164,54 +223,6 @@ def epoch_catalogue(wide: DataFrame, spikes: DataFrame) -> tuple[DataFrame, Data
     return out, rows.where("reason is not null").select(*TRIAL, "reason")
 
 
-def sets_of_tags(tags: DataFrame, sets: DataFrame) -> DataFrame:
-    """The set of complete artefacts for each tag: under the tag itself, else its stem before `_epoch`, its epoch id, or that id's stem."""
-    t = F.col("tag")
-    names = F.array_distinct(F.array(t, F.regexp_replace(t, "_epoch.*$", ""), text.tag_epoch(t), text.tag_stem(t)))
-    tried = tags.select("tag", F.posexplode(names).alias("place", "name")).join(sets.withColumnRenamed("tag", "name"), "name")
-    rest = [c for c in sets.columns if c != "tag"]
-    return tried.groupBy("tag").agg(F.min(F.struct("place", "name", *rest)).alias("b")).select("tag", F.col("b.name").alias("found_as"), *[F.col(f"b.{c}").alias(c) for c in rest])
-
-
-def reconcile(entries: DataFrame, epochs: DataFrame, stems: DataFrame, sets: DataFrame, existing: DataFrame) -> DataFrame:
-    """tag and status of entries(tag, trial) that are to be imported, each after the other test failed.
-
-    missing epoch: neither the tag's epoch id nor one that it maps to is valid. missing outputs: no complete set of artefacts.
-    skipped existing: the epoch has a result already. Else imported, or remapped if another epoch id was needed.
-    """
-    valid = epochs.select("epoch").distinct()
-    direct = entries.withColumn("epoch", text.tag_epoch(F.col("tag"))).join(valid, "epoch", "left_semi").select("tag", F.col("epoch").alias("direct"))
-    mapped = remap_tags(entries, stems, epochs).select("tag", F.col("epoch").alias("mapped"))
-    found = sets_of_tags(entries, sets).select("tag", F.lit(True).alias("found"))
-    rows = entries.select("tag").join(direct, "tag", "left").join(mapped, "tag", "left").join(found, "tag", "left").withColumn("epoch", F.coalesce("direct", "mapped"))
-    rows = rows.join(existing.select("epoch").distinct().withColumn("exists", F.lit(True)), "epoch", "left")
-    status = (
-        F.when(F.col("epoch").isNull(), "missing epoch")
-        .when(F.col("found").isNull(), "missing outputs")
-        .when(F.col("exists"), "skipped existing")
-        .when(F.col("direct").isNull(), "remapped")
-        .otherwise("imported")
-    )
-    return rows.select("tag", "epoch", status.alias("status"))
-
-
-def remap_tags(tags: DataFrame, stems: DataFrame, epochs: DataFrame | None = None) -> DataFrame:
-    """Longest dataset stem that a tag starts with, and the epoch id of its trial (epoch 1 without a trial).
-
-    Where the valid `epochs(epoch)` are given, an id that is not among them becomes the stem's epoch 1 if that is valid; else the tag drops out.
-    All first parts of a tag are looked up among the stems.
-    """
-    parts = tags.select("*", F.explode(F.transform(F.sequence(F.lit(1), F.length("tag")), lambda n: F.substring("tag", F.lit(1), n))).alias("stem"))
-    best = parts.join(stems.select("stem").distinct(), "stem").groupBy("tag").agg(F.max_by(F.struct("stem", "trial"), F.length("stem")).alias("b"))
-    best = best.select("tag", "b.stem", F.concat("b.stem", F.lit("_epoch"), (F.coalesce("b.trial", F.lit(0)) + 1).cast("string")).alias("epoch"))
-    if epochs is None:
-        return best
-    valid = epochs.select("epoch").distinct()
-    tried = best.withColumn("default", F.concat("stem", F.lit("_epoch1"))).join(valid.withColumn("ok", F.lit(True)), "epoch", "left")
-    tried = tried.join(valid.select(F.col("epoch").alias("default"), F.lit(True).alias("default_ok")), "default", "left")
-    return tried.where("ok or default_ok").select("tag", "stem", F.when(F.col("ok"), F.col("epoch")).otherwise(F.col("default")).alias("epoch"))
-
-
 def align_components(a: DataFrame, b: DataFrame, keys: list[str], time: str | None = None, tolerance: float = 1e-9) -> DataFrame:
     """Rows of two series at equal places, up to the shorter. Where both have a column `time` its values must agree."""
     if time is None:

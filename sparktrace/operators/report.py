@@ -49,11 +49,12 @@ def at_sigma(scores: DataFrame, sigma: float) -> DataFrame:
 
 
 def score_distribution(scores: DataFrame, series: list[str], sigma: float, reduce: str = "trial") -> DataFrame:
-    """Percentiles 5, 25, 50, 75, 95 of each (series, smoothing) at one sigma, over trials or over dataset means, and
+    """Percentiles 5, 25, 50, 75, 95 of each (series, smoothing) at one sigma, over trials or over the means of each dataset and run, and
     `place`: the rank of the series by its median over all smoothings."""
     rows = at_sigma(scores, sigma)
     if reduce == "dataset":
-        rows = rows.groupBy(*series, "smoothing", "dataset").agg(F.avg("correlation").alias("correlation"))
+        runs = [c for c in ("run",) if c in rows.columns and c not in series]  # the run is part of the bucket, as runs of a series are scored apart
+        rows = rows.groupBy(*series, "smoothing", "dataset", *runs).agg(F.avg("correlation").alias("correlation"))
     by = [*series, "smoothing"]
     out = rows.groupBy(*by).agg(F.count("*").alias("n")).join(stats.quantiles(rows, by, "correlation", [0.05, 0.25, 0.5, 0.75, 0.95]), by)
     place = rank(stats.quantiles(rows, series, "correlation", [0.5]).select(*series, F.col("q")[0].alias("_m")), "_m", series).drop("_m")

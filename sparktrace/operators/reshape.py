@@ -83,12 +83,22 @@ def clip_windows(samples: DataFrame, windows: DataFrame, strict: bool = False) -
     return both.where("end_s > start_s")
 
 
-def snippet_window(samples: DataFrame, start: float | None, duration: float | None, least: int = 2) -> DataFrame:
-    """Per trial, a snippet from `start` seconds after its first sample, cut to the trial; at least `least` samples."""
-    b = bounds(samples)
-    begin = F.greatest(F.col("first_t") + F.lit(start or 0.0), F.col("first_t"))
-    b = b.select(*TRIAL, F.least(begin, "last_t").alias("a"), F.least(begin + duration, F.col("last_t")).alias("z") if duration is not None else F.col("last_t").alias("z"))
-    return samples.join(b, list(TRIAL)).where(F.col("t").between(F.col("a"), F.col("z"))).groupBy(*TRIAL, "a", "z").count().where(F.col("count") >= least).withColumnRenamed("count", "n")
+def snippet_window(samples: DataFrame, start: float | None = None, duration: float | None = None, end: float | None = None, least: int = 2, strict: bool = False) -> DataFrame:
+    """Per trial the part [a, z] of its finite samples between the times `start` and `end`, with their number `n`.
+
+    `start` and `end` are times on the trial's own axis, its first and last time unless given; without `end` the part lasts `duration`. Both are
+    cut to the trial, which `start_clamped` and `end_clamped` tell. A trial whose part is empty or has fewer than `least` samples
+    drops out, or with `strict` is an error.
+    """
+    good = samples.where(finite("t") & finite("y"))
+    b = good.groupBy(*TRIAL).agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count("*").alias("_all"))
+    asked = F.lit(float(start)) if start is not None else F.col("first_t")
+    b = b.withColumn("a", F.greatest(asked, "first_t")).withColumn("start_clamped", asked < F.col("first_t"))
+    until = F.lit(float(end)) if end is not None else F.col("a") + float(duration) if duration is not None else F.col("last_t")
+    b = b.withColumn("_z", until).withColumn("z", F.least("_z", "last_t")).withColumn("end_clamped", F.col("_z") > F.col("last_t"))
+    parts = b.join(good.select(*TRIAL, "t"), list(TRIAL)).groupBy(*TRIAL, "a", "z", "start_clamped", "end_clamped").agg(F.count_if(F.col("t").between(F.col("a"), F.col("z"))).alias("n"))
+    bad = (F.col("z") <= F.col("a")) | (F.col("n") < least)
+    return parts.withColumn("n", strictly(bad, F.col("n"), "a snippet is empty or has too few samples", strict)).where(F.col("n") >= (least if strict else F.when(bad, None).otherwise(least)))
 
 
 def mask_to_windows(samples: DataFrame, windows: DataFrame) -> DataFrame:

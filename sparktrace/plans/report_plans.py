@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.functions import text as X
+from sparktrace.operators import artefacts as A
 from sparktrace.operators import frames as N
 from sparktrace.operators import match as M
 from sparktrace.operators import noise_bank as NB
@@ -26,7 +27,7 @@ add("d26_rank_series_at_anchor", lambda t: P.rank_at_anchor(P.corr_vs_sigma(t.tr
 PCT = ", ".join(f"round(quantile_cont(correlation, {q / 100}), 6) AS p{q}" for q in (5, 25, 50, 75, 95))
 DIS = "WITH r AS ({0}), pl AS (SELECT method, row_number() OVER (ORDER BY median(correlation) DESC, method) AS place FROM r GROUP BY method) SELECT r.method, smoothing, count(*) AS n, " + PCT + ", any_value(place) AS place FROM r JOIN pl ON pl.method = r.method GROUP BY r.method, smoothing"
 add("d27_score_distribution", lambda t: P.score_distribution(t.trialwise, ["method"], 30.0), "trialwise", DIS.format("SELECT * FROM trialwise WHERE correlation IS NOT NULL AND corr_sigma_ms = 30"))
-add("d27_score_distribution_by_dataset", lambda t: P.score_distribution(t.trialwise, ["method"], 30.0, "dataset"), "trialwise", DIS.format("SELECT method, smoothing, dataset, avg(correlation) AS correlation FROM trialwise WHERE correlation IS NOT NULL AND corr_sigma_ms = 30 GROUP BY ALL"))
+add("d27_score_distribution_by_dataset", lambda t: P.score_distribution(t.trialwise, ["method"], 30.0, "dataset"), "trialwise", DIS.format("SELECT method, smoothing, avg(correlation) AS correlation FROM trialwise WHERE correlation IS NOT NULL AND corr_sigma_ms = 30 GROUP BY method, smoothing, dataset, run"))
 add("d26_series_labels", lambda t: P.series_labels(t.trialwise.groupBy("method", "run").agg(F.count("*").alias("n")).where("not (method = 'cnn' and run <> 'A')"), "method", "run").select("method", "run", "shown"), "trialwise",
     "WITH m AS (SELECT DISTINCT method, run FROM trialwise WHERE NOT (method = 'cnn' AND run <> 'A')) SELECT method, run, CASE WHEN count(*) OVER (PARTITION BY method) > 1 THEN method || ' (' || run || ')' ELSE method END AS shown FROM m")
 add("d28_run_dotplot_stats", lambda t: P.dotplot_stats(t.trialwise, ["run", "method", "smoothing"]), "trialwise",
@@ -63,23 +64,44 @@ add("d33_timing_summary", lambda t: P.timing_summary(t.read("orders").select(F.c
        SELECT backend, n, round(mean, 6) AS mean, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, round(std, 6) AS std, round((SELECT mean FROM p WHERE backend = '5-LOW')/mean, 6) AS speed_up FROM p""")
 
 
-def imports(t):
-    """Counts of the status of tags of the suppliers: with and without an epoch of their own, artefacts and results."""
-    s = t.read("supplier")
-    stem = F.format_string("rec%d", F.col("s_nationkey"))
-    entries = s.select(F.concat(stem, F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("_epoch"), (F.col("s_suppkey") % 5 + 1).cast("string"))).otherwise(F.lit("_run")), F.lit("_s1_ms2_id"), F.col("s_suppkey").cast("string")).alias("tag"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_suppkey") % 4).alias("trial"))
-    nations = s.select("s_nationkey", stem.alias("stem")).distinct().where("s_nationkey % 6 <> 5")
-    epochs = nations.select("stem", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("e")).select(F.concat("stem", F.lit("_epoch"), F.col("e").cast("string")).alias("epoch"))
-    sets = entries.where(~F.col("tag").endswith("7")).select("tag", F.lit("p").alias("parent"))
-    return P.status_counts(M.reconcile(entries, epochs, nations, sets, epochs.where(F.col("epoch").endswith("2"))), [], F.col("status"))
-
-
-add("d42_import_reconciliation", imports, "",
-    """WITH e AS (SELECT s_suppkey AS k, s_nationkey AS n, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 + 1 END AS own, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey % 4 + 1 ELSE 1 END AS mapped FROM supplier),
-       v AS (SELECT DISTINCT s_nationkey AS n FROM supplier WHERE s_nationkey % 6 <> 5),
-       st AS (SELECT e.k, e.n, v.n IS NOT NULL AND own BETWEEN 1 AND 3 AS direct, (SELECT max(m.n) FROM v m WHERE starts_with('rec' || e.n, 'rec' || m.n)) AS stem, own, mapped FROM e LEFT JOIN v ON v.n = e.n),
-       f AS (SELECT *, CASE WHEN direct THEN own WHEN stem IS NOT NULL THEN CASE WHEN mapped <= 3 THEN mapped ELSE 1 END END AS epoch FROM st)
-       SELECT CASE WHEN epoch IS NULL THEN 'missing epoch' WHEN k % 10 = 7 THEN 'missing outputs' WHEN epoch = 2 THEN 'skipped existing' WHEN NOT coalesce(direct, false) THEN 'remapped' ELSE 'imported' END AS status, count(*) AS n FROM f GROUP BY ALL""")
+def _entries(t):
+    """Cache entries of the suppliers: tags with a valid epoch, with another one, and stems that only look alike (`rec1` and `rec12`)."""
+    s, k = t.read("supplier"), F.col("s_suppkey")
+    return s.select((k % 2).alias("folder"), F.concat(F.format_string("rec%d", "s_nationkey"), F.when(k % 3 == 0, F.concat(F.lit("_epoch"), (k % 5 + 1).cast("string"))).otherwise(F.lit("")), F.lit("_s1_ms2_id"), k.cast("string")).alias("tag"), F.concat(F.lit("k"), (k % 40).cast("string")).alias("key"), k.alias("k"))
+
+
+def _targets(t, need_outputs: bool = False):
+    """Files of the trials 0..3 of most entries, some without parameters; keys that exist already."""
+    rows = _entries(t)
+    kinds = F.explode(F.array(F.lit("traj"), F.lit("param"), F.lit("logp"))).alias("kind")
+    files = rows.where("k % 4 <> 1").select("tag", "k", F.explode(F.sequence(F.lit(0), (F.col("k") % 4).cast("int"))).alias("trial"), F.lit("/out").alias("parent")).select("*", kinds)
+    files = files.where("not (kind = 'param' and trial = 2 and k % 3 = 1)").select("tag", "parent", "kind", F.when(F.col("k") % 8 != 0, F.col("trial")).alias("trial"))
+    epochs = t.read("nation").where("n_nationkey % 6 <> 5").select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("e"), "n_nationkey").where("not (n_nationkey % 4 = 3 and e = 1)").select(F.format_string("rec%d_epoch%d", "n_nationkey", "e").alias("epoch"))
+    existing = t.read("nation").select(F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("folder"), F.format_string("k%d%s", "n_nationkey", F.when(F.col("n_nationkey") % 2 == 0, "").otherwise("_trial1")).alias("key"))
+    return A.import_targets(rows.drop("k"), epochs, files, existing, need_outputs)
+
+
+def targets_sql(need: str) -> str:
+    return f"""WITH e AS (SELECT s_suppkey AS k, s_nationkey AS n, s_suppkey % 2 AS folder, 'k' || s_suppkey % 40 AS key, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 5 + 1 END AS own, '_s1_ms2_id' || s_suppkey AS tail FROM supplier),
+  v AS (SELECT n_nationkey AS n, x AS e FROM nation, (VALUES (1), (2), (3)) v(x) WHERE n_nationkey % 6 <> 5 AND NOT (n_nationkey % 4 = 3 AND x = 1)), st AS (SELECT DISTINCT n FROM v),
+  t0 AS (SELECT k, unnest(range(0, k % 4 + 1)) AS trial FROM e WHERE k % 4 <> 1), f AS (SELECT k, kind, CASE WHEN k % 8 <> 0 THEN trial ELSE 0 END AS trial FROM t0, (VALUES ('traj'), ('param'), ('logp')) v(kind) WHERE NOT (kind = 'param' AND trial = 2 AND k % 3 = 1)),
+  total AS (SELECT k, count(*) AS n FROM f GROUP BY k), bt AS (SELECT k, trial, count(*) AS n FROM f GROUP BY ALL HAVING count_if(kind = 'traj') > 0 AND count_if(kind = 'param') > 0),
+  a AS (SELECT e.*, {need} AND total.k IS NULL AS unmatched, coalesce(total.n, 0) AS every, own IS NOT NULL AND EXISTS (SELECT 1 FROM v WHERE v.n = e.n AND v.e = own) AS direct, st.n IS NOT NULL AS stem FROM e LEFT JOIN total ON total.k = e.k LEFT JOIN st ON st.n = e.n),
+  m AS (SELECT a.k, bt.trial, bt.n FROM a JOIN bt ON bt.k = a.k JOIN v ON v.n = a.n AND v.e = bt.trial + 1 WHERE stem AND NOT direct AND NOT unmatched AND own IS NULL),
+  z AS (SELECT a.k, 0 AS trial, coalesce(bt.n, 0) AS n FROM a JOIN v ON v.n = a.n AND v.e = 1 LEFT JOIN bt ON bt.k = a.k AND bt.trial = 0 WHERE stem AND NOT direct AND NOT unmatched AND own IS NULL AND a.k NOT IN (SELECT k FROM m)),
+  om AS (SELECT a.k, bt.trial, bt.n FROM a JOIN bt ON bt.k = a.k JOIN v ON v.n = a.n AND v.e = bt.trial + 1 WHERE stem AND NOT direct AND NOT unmatched AND own IS NOT NULL), oz AS (SELECT a.k, 0 AS trial, coalesce(bt.n, 0) AS n FROM a JOIN v ON v.n = a.n AND v.e = 1 LEFT JOIN bt ON bt.k = a.k AND bt.trial = 0 WHERE stem AND NOT direct AND NOT unmatched AND own IS NOT NULL AND a.k NOT IN (SELECT k FROM om)),
+  tg AS (SELECT k, CAST(NULL AS BIGINT) AS trial, every AS n, false AS remapped FROM a WHERE direct AND NOT unmatched UNION ALL SELECT *, true FROM m UNION ALL SELECT *, true FROM z UNION ALL SELECT *, true FROM om UNION ALL SELECT *, true FROM oz),
+  ex AS (SELECT 'k' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '_trial1' END AS key FROM nation),
+  r AS (SELECT a.folder, 'rec' || a.n || CASE WHEN own IS NOT NULL THEN '_epoch' || own ELSE '' END || tail AS tag, a.key, unmatched, CASE WHEN tg.k IS NOT NULL THEN 'rec' || a.n || '_epoch' || CASE WHEN remapped THEN tg.trial + 1 ELSE own END END AS epoch, a.key || CASE WHEN remapped THEN '_trial' || tg.trial ELSE '' END AS target_key, tg.trial, tg.n AS outputs, remapped,
+        CASE WHEN remapped THEN 'rec' || a.n || '_epoch' || (tg.trial + 1) || CASE WHEN own IS NOT NULL THEN '_epoch' || own ELSE '' END || tail WHEN tg.k IS NOT NULL THEN 'rec' || a.n || '_epoch' || own || tail END AS target_tag FROM a LEFT JOIN tg ON tg.k = a.k),
+  res AS (SELECT *, CASE WHEN epoch IS NOT NULL THEN target_key IN (SELECT key FROM ex) END AS "exists" FROM r)"""
+
+
+add("d42_import_targets", lambda t: _targets(t).select("folder", "tag", "key", "unmatched", "epoch", "target_tag", "target_key", "trial", "remapped", "outputs", "exists"), "", f"{targets_sql('false')} SELECT folder, tag, key, unmatched, epoch, target_tag, CASE WHEN epoch IS NOT NULL THEN target_key END AS target_key, trial, remapped, outputs, \"exists\" FROM res")
+COUNTERS = """SELECT count(DISTINCT tag) AS scanned, count(DISTINCT CASE WHEN unmatched THEN tag END) AS unmatched, count(DISTINCT CASE WHEN epoch IS NULL AND NOT unmatched THEN tag END) AS missing_epoch, count(DISTINCT CASE WHEN remapped THEN tag END) AS remapped,
+  count(CASE WHEN "exists" THEN 1 END) AS skipped_existing, count(CASE WHEN NOT "exists" THEN 1 END) AS imported, count(CASE WHEN NOT "exists" AND outputs = 0 THEN 1 END) AS missing_outputs FROM res"""
+add("d42_import_reconciliation", lambda t: A.import_counters(_targets(t)), "", f"{targets_sql('false')} {COUNTERS}")
+add("d42_import_reconciliation_of_a_run", lambda t: A.import_counters(_targets(t, True)), "", f"{targets_sql('true')} {COUNTERS}")
 add("f1_latest_per_key", lambda t: P.latest_per_key(t.read("orders").select("o_custkey", "o_orderkey", "o_orderdate"), "o_custkey", F.col("o_orderdate"), "o_orderkey").select("o_custkey", "o_orderkey"), "",
     "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 add("f3_top_datasets", lambda t: R.select_datasets(t.samples, 4), "samples", "SELECT DISTINCT dataset FROM samples ORDER BY dataset LIMIT 4")
@@ -147,8 +169,28 @@ def catalogue(t):
 add("a13_epoch_catalogue", lambda t: catalogue(t)[0], "frames",
     "SELECT dataset, trial, count(*) OVER (PARTITION BY dataset) AS epochs, dataset || '_epoch' || (trial + 1) AS epoch_id, dataset || ' (epoch ' || (trial + 1) || ' of ' || count(*) OVER (PARTITION BY dataset) || ')' AS display, has_spikes FROM (SELECT dataset, trial, max(y) > 0.3e0 AS has_spikes FROM frames WHERE trial % 13 NOT IN (1, 2) GROUP BY ALL)")
 add("a13_epoch_errors", lambda t: catalogue(t)[1], "frames", "SELECT DISTINCT dataset, trial, CASE WHEN trial % 13 = 1 THEN 'no arrays' ELSE 'times and values differ in length' END AS reason FROM frames WHERE trial % 13 IN (1, 2)")
-add("a14_artefact_catalogue", lambda t: t.read("lineitem").select(F.format_string("/run/%s_%d_trial%d.dat", F.when(F.col("l_linenumber") % 2 == 0, "traj_samples").otherwise("param_samples"), "l_suppkey", F.col("l_orderkey") % 20).alias("p")).select(F.regexp_extract("p", "/([a-z]+)_samples_", 1).alias("kind"), F.regexp_extract("p", "_samples_(.+)_trial", 1).alias("tag"), F.regexp_extract("p", "_trial([0-9]+)", 1).cast("long").alias("trial")).groupBy("tag", "trial").pivot("kind", ["traj", "param"]).count(), "",
-    "SELECT CAST(l_suppkey AS VARCHAR) AS tag, l_orderkey % 20 AS trial, nullif(count_if(l_linenumber % 2 = 0), 0) AS traj, nullif(count_if(l_linenumber % 2 = 1), 0) AS param FROM lineitem GROUP BY ALL")
+def _artefact_files(t):
+    """Written files with names of all kinds, some without a trial, some of other names; the catalogue of their folder."""
+    path = IO.shared_path(t.spark, "artefacts")
+    rows = t.read("supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.array(*map(F.lit, ("traj_samples", "param_samples", "logp", "other")))).alias("kind")).where("not (kind = 'logp' and k % 3 = 0) and k <= 60")
+    name = F.format_string("d%d/%s_x_trial_%d%s.dat", F.col("k") % 4, "kind", F.col("k") % 20, F.when(F.col("k") % 5 > 0, F.concat(F.lit("_trial"), (F.col("k") % 7).cast("string"))).otherwise(F.lit("")))
+    IO.write_texts(rows.groupBy(name.alias("path")).agg(F.count("*").cast("string").alias("text")), path)
+    return A.catalogue(A.listed(t.spark, path))
+
+
+FILES = """f AS (SELECT DISTINCT s_suppkey % 4 AS d, kind, 'x_trial_' || s_suppkey % 20 AS tag, CASE WHEN s_suppkey % 5 > 0 THEN s_suppkey % 7 END AS trial FROM supplier, (VALUES ('traj'), ('param'), ('logp')) v(kind) WHERE s_suppkey <= 60 AND NOT (kind = 'logp' AND s_suppkey % 3 = 0))"""
+add("a14_artefact_catalogue", lambda t: A.index(_artefact_files(t)), "", f"WITH {FILES} SELECT tag, trial, count_if(kind = 'traj') AS traj, count_if(kind = 'param') AS param, count_if(kind = 'logp') AS logp FROM f GROUP BY ALL")
+
+
+def _newest(t):
+    """Files whose times of change are given by their folder; the newest of each tag by a pattern, the first path of equals."""
+    changed = F.timestamp_seconds(F.regexp_extract("path", "/d([0-9])/", 1).cast("int") % 2)
+    return A.newest(_artefact_files(t).withColumn("changed", changed), ["tag"], "traj_samples_*_trial*.dat").select("tag", F.regexp_extract("path", "(d[0-9]/[^/]*)$", 1).alias("file"))
+
+
+add("f1_newest_file_by_pattern", _newest, "",
+    f"""WITH {FILES}, p AS (SELECT tag, d, 'd' || d || '/traj_samples_' || tag || CASE WHEN trial IS NULL THEN '' ELSE '_trial' || trial END || '.dat' AS file FROM f WHERE kind = 'traj')
+       SELECT tag, file FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY d % 2 DESC, file) AS r FROM p) WHERE r = 1""")
 add("j1_run_methods_per_trial", lambda t: K.run_methods(t.wide, {"mean": lambda x, y: [sum(y) / len(y)] * len(y), "fail": lambda x, y: [1 / 0]}).select(*TRIAL, "method", F.size("prob").alias("n"), F.get("prob", 0).alias("first"), F.col("error").isNotNull().alias("failed")), "frames",
     "SELECT dataset, trial, 'mean' AS method, count(*) AS n, round(avg(y), 6) + 0 AS first, false AS failed FROM frames GROUP BY ALL UNION ALL SELECT DISTINCT dataset, trial, 'fail', CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), true FROM frames")
 MEMBERS = "(VALUES (2, 1, [0.1e0, 0.2e0, 0.3e0, 0.4e0]), (2, 2, [0.4e0, 0.3e0, 0.2e0, 0.1e0]), (3, 1, [1e0, 0e0, 0e0, 0e0]), (4, 1, [0e0, 0.5e0, -0.5e0, 1e0])) v(level, member, w)"

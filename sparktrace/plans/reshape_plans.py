@@ -20,9 +20,15 @@ add("b5_resolve_windows", lambda t: R.resolve_windows(t.samples, t.windows), "sa
 add("b6_clip_windows", lambda t: R.clip_windows(t.samples, t.windows.withColumn("end_s", F.col("end_s") + 500)), "samples windows",
     """SELECT dataset, trial, round(a, 6) AS start_s, round(z, 6) AS end_s FROM (
        SELECT dataset, trial, greatest(any_value(start_s), min(t)) AS a, least(any_value(end_s) + 500, max(t)) AS z FROM samples JOIN windows USING (dataset, trial) GROUP BY dataset, trial) WHERE z > a""")
-add("b7_snippet_window", lambda t: R.snippet_window(t.samples, 48.0, 120.0), "samples",
-    """WITH b AS (SELECT dataset, trial, min(t) AS f, max(t) AS l FROM samples GROUP BY ALL), c AS (SELECT dataset, trial, least(f + 48, l) AS a, least(greatest(f + 48, f) + 120, l) AS z FROM b)
-       SELECT dataset, trial, round(a, 6) AS a, round(z, 6) AS z, count(*) AS n FROM samples JOIN c USING (dataset, trial) WHERE t BETWEEN a AND z GROUP BY dataset, trial, a, z HAVING count(*) >= 2""")
+def own_axis(t):
+    """Samples with times from each trial's number on, so that one start lies before, in and after different trials; some values are missing."""
+    return t.samples.withColumn("t", F.col("t") - 1000.0 * F.col("trial") + F.col("trial") % 50).withColumn("y", F.when(F.col("event_id") % 9 > 0, F.col("y")))
+
+
+SNIP = """b AS (SELECT dataset, trial, t - 1e3*trial + trial % 50 AS t FROM samples WHERE event_id % 9 > 0), c AS (SELECT dataset, trial, min(t) AS f, max(t) AS l FROM b GROUP BY ALL), d AS (SELECT dataset, trial, greatest({start}, f) AS a, {start} < f AS start_clamped, {end} AS z0, l FROM c)
+  SELECT b.dataset, b.trial, round(a, 6) AS a, round(least(z0, l), 6) AS z, start_clamped, z0 > l AS end_clamped, count(*) AS n FROM b JOIN d ON d.dataset = b.dataset AND d.trial = b.trial WHERE t BETWEEN a AND least(z0, l) AND least(z0, l) > a GROUP BY b.dataset, b.trial, a, z0, l, start_clamped HAVING count(*) >= 2"""
+add("b7_snippet_window", lambda t: R.snippet_window(own_axis(t), 30.0, 120.0), "samples", "WITH " + SNIP.format(start="30e0", end="greatest(30e0, f) + 120"))
+add("b7_snippet_window_to_an_end", lambda t: R.snippet_window(own_axis(t), end=700.0), "samples", "WITH " + SNIP.format(start="f", end="700e0"))
 add("b8_mask_to_windows", lambda t: R.mask_to_windows(t.samples, t.windows), "samples windows",
     """SELECT dataset, trial, i, round(t, 6) AS t, CASE WHEN start_s IS NULL OR t BETWEEN start_s AND end_s THEN round(y, 6) END AS y FROM samples JOIN windows USING (dataset, trial)""")
 add("b9_spikes_in_windows", lambda t: R.spikes_in_windows(t.spikes, t.windows), "spikes windows",

@@ -4,6 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.functions import text as X
+from sparktrace.operators import artefacts as A
 from sparktrace.operators import match as M
 from sparktrace.operators import reshape as R
 from sparktrace.operators import series as S
@@ -39,6 +40,17 @@ add("c3_match_segment_to_window", lambda t: M.match_segment(S.segment_bounds(seg
        m AS (SELECT p.dataset, p.trial, p.k, sb.seg, row_number() OVER (PARTITION BY p.dataset, p.trial, p.k ORDER BY least(end_s, z) - greatest(start_s, a) DESC, seg) AS r
              FROM pieces p JOIN sb ON p.trial = sb.trial AND p.dataset = sb.dataset WHERE (ns = 3 AND sb.seg = p.k) OR (ns <> 3 AND least(end_s, z) - greatest(start_s, a) > 0))
        SELECT p.dataset, p.trial, p.k, m.seg FROM pieces p LEFT JOIN m ON p.trial = m.trial AND p.dataset = m.dataset AND p.k = m.k AND m.r = 1""")
+def shifted(t):
+    """Windows of thirds whose numbers are turned by one, so the segment of a window's place may not touch it; not set in some trials."""
+    w = pieces(t).withColumn("k", (F.col("k") + 1) % 3)
+    return w.withColumn("start_s", F.when(F.col("trial") % 11 > 0, F.col("start_s")))
+
+
+add("c3_match_touching_segment", lambda t: M.match_segment(S.segment_bounds(segments(t)), shifted(t), touching=True), "samples",
+    f"""WITH {SEG}, {PIECES}, sh AS (SELECT dataset, trial, (k + 1) % 3 AS k, CASE WHEN trial % 11 > 0 THEN start_s END AS start_s, end_s FROM pieces), sb AS (SELECT dataset, trial, seg, min(t) AS a, max(t) AS z, count(*) OVER (PARTITION BY dataset, trial) AS ns FROM seg GROUP BY dataset, trial, seg),
+       m AS (SELECT p.dataset, p.trial, p.k, sb.seg, ns = 3 AND sb.seg = p.k AND z >= start_s AND a <= end_s AS own, least(end_s, z) - greatest(start_s, a) AS o FROM sh p JOIN sb ON p.trial = sb.trial AND p.dataset = sb.dataset WHERE start_s IS NOT NULL),
+       r AS (SELECT *, row_number() OVER (PARTITION BY dataset, trial, k ORDER BY own DESC, o DESC, seg) AS r FROM m WHERE own OR o > 0)
+       SELECT p.dataset, p.trial, p.k, r.seg FROM sh p LEFT JOIN r ON p.trial = r.trial AND p.dataset = r.dataset AND p.k = r.k AND r.r = 1""")
 add("c4_snap_window_to_samples", lambda t: M.snap_windows(t.samples, t.windows), "samples windows",
     """WITH e AS (SELECT dataset, trial, 'a' AS e, start_s AS x FROM windows WHERE start_s IS NOT NULL UNION ALL SELECT dataset, trial, 'z', end_s FROM windows WHERE end_s IS NOT NULL),
        n AS (SELECT e.dataset, e.trial, e, arg_min(t, [abs(t - x), t]) AS t FROM e JOIN samples s ON s.trial = e.trial AND s.dataset = e.dataset GROUP BY ALL)
@@ -47,11 +59,11 @@ add("c5_missing_windows", lambda t: M.missing_windows(t.samples.select(*TRIAL).d
 
 
 def specs(t):
-    return t.spark.sql("SELECT * FROM VALUES ('sampler', 'A', 'first'), ('sampler', NULL, 'any'), ('unet', NULL, 'net') AS s(method, run, key)")
+    return M.parse_series(t.spark.createDataFrame([(s,) for s in ("first = sampler@A", " any=sampler", "unet ", "cnn@R", "")], "spec string"))
 
 
 add("c6_resolve_series", lambda t: M.resolve_series(t.trialwise, specs(t)).groupBy("method", "run", "key").agg(F.count("*").alias("n")), "trialwise",
-    "SELECT method, run, CASE WHEN method = 'sampler' AND run = 'A' THEN 'first' WHEN method = 'sampler' THEN 'any' ELSE 'net' END AS key, count(*) AS n FROM trialwise WHERE method IN ('sampler', 'unet') GROUP BY ALL")
+    "SELECT method, run, CASE WHEN method = 'sampler' AND run = 'A' THEN 'first' WHEN method = 'sampler' THEN 'any' WHEN method = 'cnn' THEN 'cnn@R' ELSE 'unet' END AS key, count(*) AS n FROM trialwise WHERE method IN ('sampler', 'unet') OR (method = 'cnn' AND run = 'R') GROUP BY ALL")
 add("c7_common_trials", lambda t: M.common_trials(t.trialwise.where("correlation is not null"), ["trial"], F.col("method"), 3), "trialwise", "SELECT trial FROM trialwise WHERE correlation IS NOT NULL GROUP BY trial HAVING count(DISTINCT method) = 3")
 
 
@@ -59,7 +71,7 @@ def noise_models(t):
     return t.spark.range(2, 9).select(F.lit("universal").alias("model"), F.col("id").alias("noise_level"))
 
 
-add("c8_route_by_noise_level", lambda t: M.route_by_noise(t.samples.groupBy(*TRIAL).agg((F.stddev_pop("y") / 4).alias("noise")), F.broadcast(noise_models(t))).select(*TRIAL, "noise_level"), "samples",
+add("c8_route_by_noise_level", lambda t: M.route_by_noise(t.samples.groupBy(*TRIAL).agg((F.stddev_pop("y") / 4).alias("noise")), noise_models(t)).select(*TRIAL, "noise_level"), "samples",
     "SELECT dataset, trial, CAST(least(8, greatest(2, floor(stddev_pop(y)/4 + 0.5))) AS BIGINT) AS noise_level FROM samples GROUP BY ALL")
 
 
@@ -79,25 +91,38 @@ add("c9_unresolved_entries", lambda t: M.unresolved(cached(t)).groupBy("dataset"
 
 
 def stored(t):
-    """Suppliers as stored results: some without a key, some of another tag that is also their own cache tag."""
-    config = F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string"))
-    return t.read("supplier").select(F.when(F.col("s_suppkey") % 3 != 0, X.config_signature(config)).alias("key"), config.alias("config"), F.when(F.col("s_suppkey") % 4 == 0, "other").otherwise("t").alias("tag"), F.when(F.col("s_suppkey") % 8 == 0, "other").alias("cache_tag"), F.when(F.col("s_suppkey") % 2 == 0, "BUILDING").otherwise("MACHINERY").alias("trace_hash"), F.col("s_name").alias("file"))
+    """Suppliers as files of two methods' folders: some without a key, some of another dataset that may be their own cache tag, some named like their key."""
+    config = F.create_map(F.lit("nation"), (F.col("s_nationkey") % 5).cast("string"))
+    k = F.col("s_suppkey")
+    own = X.config_signature(config)
+    return t.read("supplier").select(
+        F.when(k % 2 == 0, "sampler").otherwise("unet").alias("method"), (k % 3).cast("string").alias("folder"), F.when(k % 3 != 1, own).alias("key"), config.alias("config"), F.when(k % 4 == 0, "other").otherwise((k % 3).cast("string")).alias("dataset"),
+        F.when(k % 8 == 0, "other").alias("cache_tag"), F.when(k % 5 < 3, "BUILDING").otherwise("MACHINERY").alias("trace_hash"), F.when(k % 7 == 0, F.concat(own, F.lit(".json"))).otherwise(F.concat("s_name", F.lit(".json"))).alias("file"), k.alias("supplier"),
+    )
 
 
 def wanted(t):
-    return t.read("customer").select(F.col("c_custkey").alias("id"), X.config_signature(F.create_map(F.lit("nation"), F.col("c_nationkey").cast("string"))).alias("key"), F.lit("t").alias("tag"), F.col("c_mktsegment").alias("trace_hash"))
+    key = X.config_signature(F.create_map(F.lit("nation"), (F.col("c_nationkey") % 5).cast("string")))
+    return t.read("customer").select(F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, "sampler").otherwise("unet").alias("method"), (F.col("c_custkey") % 3).cast("string").alias("dataset"), key.alias("key"), F.col("c_mktsegment").alias("trace_hash"))
+
 
+def lookup_sql(trace: str) -> str:
+    sign = lambda c: f"substr(sha256('{{\"nation\":\"' || {c} % 5 || '\"}}'), 1, 16)"
+    return f"""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 2 AS m, s_suppkey % 3 AS folder, {sign("s_nationkey")} AS key, CASE WHEN s_suppkey % 7 = 0 THEN {sign("s_nationkey")} ELSE s_name END AS name, CASE WHEN s_suppkey % 5 < 3 THEN 'BUILDING' ELSE 'MACHINERY' END AS trace FROM supplier),
+       c AS (SELECT c_custkey AS id, c_custkey % 2 AS m, c_custkey % 3 AS folder, {sign("c_nationkey")} AS key, c_mktsegment AS trace FROM customer),
+       f AS (SELECT c.id, s.name, s.k, c.key, EXISTS (SELECT 1 FROM s x WHERE x.m = c.m AND x.folder = c.folder AND x.name = c.key) AS alone FROM c JOIN s ON s.m = c.m AND s.folder = c.folder AND s.key = c.key AND {trace} AND (s.k % 4 <> 0 OR s.k % 8 = 0))
+       SELECT id, min(name) || '.json' AS file FROM f WHERE NOT alone OR name = key GROUP BY id"""
 
-add("c10_lookup_result", lambda t: M.lookup_result(wanted(t), stored(t)).select("id", "file"), "",
-    """SELECT c_custkey AS id, min(s_name) AS file FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_mktsegment = CASE WHEN s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END WHERE s_suppkey % 4 <> 0 OR s_suppkey % 8 = 0 GROUP BY c_custkey""")
-add("c10_lookup_any_trace", lambda t: M.lookup_result(wanted(t), stored(t), True).select("id", "file"), "",
-    """SELECT c_custkey AS id, min(s_name) AS file FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE s_suppkey % 4 <> 0 OR s_suppkey % 8 = 0 GROUP BY c_custkey""")
+
+add("c10_lookup_result", lambda t: M.lookup_result(wanted(t), stored(t)).select("id", "file"), "", lookup_sql("s.trace = c.trace"))
+add("c10_lookup_any_trace", lambda t: M.lookup_result(wanted(t), stored(t), True).select("id", "file"), "", lookup_sql("true"))
 add("c11_match_run_overlay", lambda t: M.match_overlay(
-    t.read("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("tag"), (F.col("c_custkey") % 4).alias("trial"), F.col("c_mktsegment").alias("label")),
-    t.read("supplier").select(F.col("s_nationkey").alias("tag"), (F.col("s_suppkey") % 4).alias("trial"), F.when(F.col("s_suppkey") % 3 == 0, "BUILDING").otherwise(F.col("s_name")).alias("label"))), "",
-    """WITH b AS (SELECT s_nationkey AS tag, s_suppkey % 4 AS trial, CASE WHEN s_suppkey % 3 = 0 THEN 'BUILDING' ELSE s_name END AS label FROM supplier),
-       m AS (SELECT c_custkey AS id, b.label AS match, b.trial AS match_trial, CASE WHEN c_mktsegment = b.label THEN 0 WHEN c_custkey % 4 = b.trial THEN 1 ELSE 2 END AS how FROM customer JOIN b ON c_nationkey = b.tag)
-       SELECT id, match, match_trial, how FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY how, match, match_trial) AS r FROM m) WHERE r = 1""")
+    t.read("customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 3).alias("run"), F.col("c_mktsegment").alias("label"), F.format_string("n%d_epoch%d_s1_ms2", "c_nationkey", F.col("c_custkey") % 2).alias("tag"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_custkey") % 4).alias("trial"), F.when(F.col("c_custkey") % 6 == 0, F.lit("n1_epoch1")).alias("epoch")),
+    t.read("supplier").select((F.col("s_suppkey") % 3).alias("run"), F.when(F.col("s_suppkey") % 9 == 0, "BUILDING").otherwise(F.col("s_name")).alias("label"), F.format_string("n%d_epoch%d_s1_ms2", "s_nationkey", F.col("s_suppkey") % 2).alias("tag"), F.when(F.col("s_suppkey") % 4 > 0, F.col("s_suppkey") % 4).alias("trial"), F.when(F.col("s_suppkey") % 7 == 0, F.lit("n1_epoch1")).alias("epoch"), F.when(F.col("s_suppkey") % 2 == 0, F.col("s_name")).alias("display"))), "",
+    """WITH b AS (SELECT s_suppkey % 3 AS run, CASE WHEN s_suppkey % 9 = 0 THEN 'BUILDING' ELSE s_name END AS label, 'n' || s_nationkey || '_epoch' || s_suppkey % 2 AS tag, nullif(s_suppkey % 4, 0) AS trial, CASE WHEN s_suppkey % 7 = 0 THEN 'n1_epoch1' END AS epoch, CASE WHEN s_suppkey % 2 = 0 THEN s_name ELSE 'n' || s_nationkey || '_epoch' || s_suppkey % 2 || '_s1_ms2' END AS shown FROM supplier),
+       a AS (SELECT c_custkey AS id, c_custkey % 3 AS run, c_mktsegment AS label, 'n' || c_nationkey || '_epoch' || c_custkey % 2 AS tag, CASE WHEN c_custkey % 5 > 0 THEN c_custkey % 4 END AS trial, CASE WHEN c_custkey % 6 = 0 THEN 'n1_epoch1' END AS epoch FROM customer),
+       m AS (SELECT id, shown AS match, CASE WHEN a.label = b.label THEN 0 WHEN a.tag = b.tag AND a.trial IS NOT DISTINCT FROM b.trial AND a.epoch IS NOT DISTINCT FROM b.epoch THEN 1 WHEN coalesce(a.epoch, a.tag) = coalesce(b.epoch, b.tag) THEN 2 END AS how FROM a JOIN b ON a.run = b.run)
+       SELECT id, match, how FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY how, match) AS r FROM m WHERE how IS NOT NULL) WHERE r = 1""")
 
 
 def artefacts(t):
@@ -105,17 +130,16 @@ def artefacts(t):
     return t.read("lineitem").select(F.col("l_suppkey").alias("tag"), F.col("l_returnflag").alias("parent"), (F.col("l_orderkey") % 50).alias("trial"), kind.alias("kind"))
 
 
-add("c12_complete_artefact_set", lambda t: M.complete_sets(artefacts(t)), "",
-    """WITH s AS (SELECT l_suppkey AS tag, l_returnflag AS parent, l_orderkey % 50 AS trial, count_if(l_linenumber % 3 = 0) AS traj, count_if(l_linenumber % 3 = 1) AS param, count(*) AS n FROM lineitem GROUP BY ALL),
-       p AS (SELECT tag, parent, count_if(traj > 0 AND param > 0) AS complete, CAST(sum(n) AS BIGINT) AS files FROM s GROUP BY ALL)
-       SELECT tag, complete, files, parent FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY complete DESC, files DESC, parent DESC) AS r FROM p) WHERE r = 1 AND complete > 0""")
+add("c12_complete_artefact_set", lambda t: A.complete_sets(artefacts(t)), "",
+    """WITH p AS (SELECT l_suppkey AS tag, l_returnflag AS parent, count_if(l_linenumber % 3 = 0) AS traj, count_if(l_linenumber % 3 = 1) AS param, count(*) AS files FROM lineitem GROUP BY ALL)
+       SELECT tag, required, files, parent FROM (SELECT *, traj + param AS required, row_number() OVER (PARTITION BY tag ORDER BY traj + param DESC, files DESC, parent DESC) AS r FROM p WHERE traj > 0 AND param > 0) WHERE r = 1""")
 
 
 def tag_sets(t):
     """Complete sets of parts of the customers' tags with an epoch, looked up by tags that lack one, or its trial."""
     sets = t.read("customer").where("c_custkey % 3 <> 0").select(F.concat("c_name", F.when(F.col("c_custkey") % 2 == 0, F.lit("_epoch2")).otherwise(F.lit(""))).alias("tag"), F.col("c_custkey").alias("parent"))
     tags = t.read("customer").select(F.concat("c_name", F.when(F.col("c_custkey") % 4 < 2, F.lit("_epoch2_trial1")).otherwise(F.lit("_epoch2"))).alias("tag"))
-    return M.sets_of_tags(tags, sets)
+    return A.sets_of_tags(tags, sets)
 
 
 add("c12_sets_of_tags", tag_sets, "",
@@ -123,19 +147,27 @@ add("c12_sets_of_tags", tag_sets, "",
 
 
 def customer_tags(t):
-    return t.read("customer").select(F.col("c_name").alias("tag"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey") % 5).alias("trial"))
+    """Tags `Customer#000000_<number>_s1_ms2`, some the stem itself, some with the number run together."""
+    n, k = F.substring("c_name", 16, 3), F.col("c_custkey")
+    tail = F.when(k % 7 == 0, F.lit("")).when(k % 5 == 0, F.concat(n, F.lit("_x"))).otherwise(F.concat(F.lit("_"), n, F.lit("_s1_ms2")))
+    return t.read("customer").select(F.concat(F.substring("c_name", 1, 15), tail).alias("tag"), F.when(k % 2 == 0, k % 5).alias("trial"))
 
 
 def customer_stems(t):
+    """Stems that are whole parts of tags, and ones that end inside a part, which are no tag's."""
     names = t.read("customer")
-    return names.select(F.substring("c_name", 1, 15).alias("stem")).union(names.select(F.substring("c_name", 1, 17))).distinct()
-
-
-TAGS = "c AS (SELECT c_name AS tag, CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 5 END AS trial FROM customer), r AS (SELECT tag, substr(tag, 1, 17) AS stem, substr(tag, 1, 17) || '_epoch' || (coalesce(trial, 0) + 1) AS epoch FROM c)"
-add("c13_remap_tags_to_epochs", lambda t: M.remap_tags(customer_tags(t), customer_stems(t)), "", f"WITH {TAGS} SELECT tag, stem, epoch FROM r")
-add("c13_remap_tags_to_valid_epochs", lambda t: M.remap_tags(customer_tags(t), customer_stems(t), customer_stems(t).select(F.explode(F.array(*[F.concat("stem", F.lit(f"_epoch{k}")) for k in (1, 3)])).alias("epoch")).where(~F.col("epoch").endswith("7_epoch1"))), "",
-    f"""WITH {TAGS}, v AS (SELECT DISTINCT stem || '_epoch' || k AS epoch FROM (SELECT substr(tag, 1, 17) AS stem FROM c UNION SELECT substr(tag, 1, 15) FROM c), (VALUES (1), (3)) e(k) WHERE NOT ends_with(stem || '_epoch' || k, '7_epoch1'))
-       SELECT tag, stem, CASE WHEN epoch IN (SELECT epoch FROM v) THEN epoch ELSE stem || '_epoch1' END AS epoch FROM r WHERE epoch IN (SELECT epoch FROM v) OR stem || '_epoch1' IN (SELECT epoch FROM v)""")
+    stem = F.substring("c_name", 1, 15)
+    n = F.substring("c_name", 16, 3)
+    return names.select(stem.alias("stem")).union(names.select(F.substring("c_name", 1, 14))).union(names.select(F.concat(stem, F.lit("_"), F.substring("c_name", 16, 2)))).union(names.where("c_custkey % 3 = 0").select(F.concat(stem, F.lit("_"), n))).distinct()
+
+
+TAGS = """c AS (SELECT substr(c_name, 1, 15) AS s, substr(c_name, 16, 3) AS n, c_custkey AS k FROM customer), sm AS (SELECT s AS stem FROM c UNION SELECT substr(s, 1, 14) FROM c UNION SELECT s || '_' || substr(n, 1, 2) FROM c UNION SELECT s || '_' || n FROM c WHERE k % 3 = 0),
+  tg AS (SELECT s || CASE WHEN k % 7 = 0 THEN '' WHEN k % 5 = 0 THEN n || '_x' ELSE '_' || n || '_s1_ms2' END AS tag, CASE WHEN k % 2 = 0 THEN k % 5 END AS trial FROM c),
+  r AS (SELECT tag, trial, (SELECT stem FROM sm WHERE tag = stem OR starts_with(tag, stem || '_') ORDER BY length(stem) DESC LIMIT 1) AS stem FROM tg), e AS (SELECT *, stem || '_epoch' || (coalesce(trial, 0) + 1) AS epoch FROM r WHERE stem IS NOT NULL)"""
+add("c13_remap_tags_to_epochs", lambda t: A.remap_tags(customer_tags(t), customer_stems(t)), "", f"WITH {TAGS} SELECT tag, trial, stem, epoch FROM e")
+add("c13_remap_tags_to_valid_epochs", lambda t: A.remap_tags(customer_tags(t), customer_stems(t), customer_stems(t).select(F.explode(F.array(*[F.concat("stem", F.lit(f"_epoch{k}")) for k in (1, 3)])).alias("epoch")).where(~F.col("epoch").endswith("7_epoch1"))), "",
+    f"""WITH {TAGS}, v AS (SELECT stem || '_epoch' || k AS epoch FROM sm, (VALUES (1), (3)) x(k) WHERE NOT ends_with(stem || '_epoch' || k, '7_epoch1'))
+       SELECT tag, trial, stem, CASE WHEN epoch IN (SELECT epoch FROM v) THEN epoch ELSE stem || '_epoch1' END AS epoch FROM e WHERE epoch IN (SELECT epoch FROM v) OR stem || '_epoch1' IN (SELECT epoch FROM v)""")
 add("c14_align_components", lambda t: M.align_components(t.posterior.select("tag", "sample", "bin", "b"), t.posterior.where("bin < 10").select("tag", "sample", "bin", "c"), ["tag", "sample", "bin"]), "posterior",
     "SELECT tag, sample, bin, round(b, 6) AS b, round(c, 6) AS c FROM posterior WHERE bin < 10")
 add("c15_sweep_grid", lambda t: M.sweep_grid(t.read("region").select(F.col("r_regionkey").cast("double").alias("rate")), t.read("nation").where("n_nationkey < 3").select((F.col("n_nationkey") / 2).alias("smooth")), t.read("nation").where("n_nationkey < 4").select((F.col("n_nationkey") / 10).alias("duty")), t.read("supplier").select(F.col("s_suppkey").alias("cell")), 11000, 100), "",
