@@ -1,6 +1,7 @@
 """Operators 2, 3, 7, 8 and 10 and the pipeline against brute force, round trips and held-out labels."""
 
 import gzip
+import hashlib
 import random
 import re
 import zlib
@@ -141,7 +142,8 @@ def test_archives_round_trip(spark, split):
     rows = [(5, "http://a", "same"), (3, "http://b", "same"), (9, "http://c", "same"), (1, None, None), (2, "x y\r\nz", ""), (7, "http://n", noise), (8, "http://é", "é" * 3000), (3, "http://b", "same"), (None, "u", "same"), (11, "w", "WARC/1.1\r\nWARC-Type: response\r\n\r\n\x1f\x8b\x08")]
     folder = new_folder(spark, "warc")
     warc.write_archives(clashing(spark.createDataFrame(rows, PAGES)).repartition(3), folder)
-    got = warc.read_archives(spark, folder, split).collect()
+    got = warc.read_archives(spark, folder, split).withColumns({"page_id": warc.page_of("record_id"), "refers_to": warc.page_of("refers_to")}).collect()
+    assert all(r["damage"] is None for r in got)
     first = {}
     for p, _, h in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
         first.setdefault(h or "", p)
@@ -162,7 +164,69 @@ def test_archives_are_plain_gzip(spark, tmp_path):
 def test_small_payloads_are_all_responses(spark):
     folder = new_folder(spark, "warc")
     warc.write_archives(spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "longer"), (4, "d", "longer")], PAGES), folder, least_revisit=3)
-    assert {r["page_id"]: r["record_type"] for r in warc.read_archives(spark, folder).collect()} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+    rows = warc.read_archives(spark, folder).select(warc.page_of("record_id").alias("page_id"), "record_type").collect()
+    assert {r["page_id"]: r["record_type"] for r in rows} == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def archive(folder, *members):
+    folder.mkdir(exist_ok=True)
+    (folder / "x.warc.gz").write_bytes(b"".join(members))
+    return f"file://{folder}"
+
+
+def foreign(record_id, block, kind="response", more="", level=6):
+    head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id}\r\n{more}Content-Length: {len(block)}\r\n\r\n"
+    return gzip.compress(head.encode() + block + b"\r\n\r\n", level)
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", [50, 4096, 1 << 30])
+def test_archives_of_other_writers(spark, tmp_path, split):
+    """Any record ids and digests, other record types, folded and very long headers, records without a digest."""
+    sha256 = hashlib.sha256(b"two").hexdigest()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n0\r\n\r\n"
+    folder = archive(
+        tmp_path / "a",
+        foreign("<urn:uuid:0>", b"software: x", "warcinfo"),
+        foreign("<urn:uuid:1>", HTTP + b"one"),
+        foreign("<urn:uuid:2>", HTTP + b"two", more=f"WARC-Payload-Digest: sha256:{sha256}\r\n"),
+        foreign("<urn:uuid:3>", HTTP + b"three", more=f"WARC-Target-URI: http://x/{random.Random(2).randbytes(400_000).hex()}\r\nX-Folded: a\r\n  b\r\n"),
+        foreign("<urn:uuid:4>", chunked, more="WARC-Payload-Digest: sha1:OFTHEBODYWITHOUTCHUNKS\r\n"),
+        foreign("<urn:uuid:5>", HTTP, "revisit", "WARC-Refers-To: <urn:uuid:1>\r\nWARC-Payload-Digest: sha1:ABC\r\n"),
+        foreign("<urn:uuid:6>", b"\x00\x01", "resource", "Content-Type: image/png\r\n", level=0),
+    )
+    rows = {r["record_id"]: r for r in warc.read_archives(spark, folder, split).collect()}
+    assert {k: (r["record_type"], r["payload"]) for k, r in rows.items()} == {
+        "<urn:uuid:0>": ("warcinfo", b"software: x"), "<urn:uuid:1>": ("response", b"one"), "<urn:uuid:2>": ("response", b"two"), "<urn:uuid:3>": ("response", b"three"),
+        "<urn:uuid:4>": ("response", b"3\r\nabc\r\n0\r\n\r\n"), "<urn:uuid:5>": ("revisit", None), "<urn:uuid:6>": ("resource", b"\x00\x01"),
+    }
+    assert rows["<urn:uuid:1>"]["payload_digest"] == warc.digest(b"one") and rows["<urn:uuid:5>"]["refers_to"] == "<urn:uuid:1>" and rows["<urn:uuid:5>"]["payload_digest"] == "ABC"
+
+
+@pytest.mark.parametrize("split", [50, 1 << 30])
+def test_damage_is_never_silent(spark, tmp_path, split):
+    good, other = foreign("<a>", HTTP + random.Random(3).randbytes(3000)), foreign("<z>", HTTP + b"z")
+    flipped = bytearray(good)
+    flipped[-5] ^= 255  # in the checksum
+    inside = bytearray(good)
+    inside[len(good) // 2] ^= 255
+    short = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 99\r\n\r\nabc")
+    headless = gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\n\r\nabc")
+    wrong = foreign("<w>", HTTP + b"w", more=f"WARC-Payload-Digest: sha1:{warc.digest(b'v')}\r\n")
+    cases = {"checksum": bytes(flipped), "byte": bytes(inside), "short": short, "headless": headless, "digest": wrong, "other": gzip.compress(b"no record at all"), "noise": b"noise" * 9}
+    for name, bad in cases.items():
+        folder = archive(tmp_path / name, good, bad, other)
+        with pytest.raises(Exception, match="warc.gz"):
+            warc.read_archives(spark, folder, split).collect()
+        rows = warc.read_archives(spark, folder, split, "keep").collect()
+        assert {r["record_id"] for r in rows if r["damage"] is None} == {"<a>", "<z>"} and any(r["damage"] for r in rows), name
+    for cut in (3, 40, len(good) // 2):
+        rows = warc.read_archives(spark, archive(tmp_path / f"cut{cut}", other, good[:-cut]), split, "keep").collect()
+        assert [r["damage"] is None for r in sorted(rows, key=lambda r: r["damage"] or "")] == [True, False] and "inside a record" in max(r["damage"] or "" for r in rows)
+    rows = warc.read_archives(spark, archive(tmp_path / "lead", b"xx", good), split, "keep").collect()
+    assert sorted(bool(r["damage"]) for r in rows) == [False, True]
 
 
 def test_token_counts_and_cache(spark):
