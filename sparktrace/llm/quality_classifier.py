@@ -125,7 +125,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int
     """Trains on at most `sample` labelled documents outside the held-out fold; None if there are none.
 
     The labelled ids are narrowed by hash before their texts are joined. Texts are encoded whole, in tasks, and their
-    passage vectors written. In the order of the hash the driver takes documents whole while their passages are at most `passages` together.
+    passage vectors written. In the order of the hash the driver takes each document, whole, that
+    leaves the passages taken at most `passages` together.
     A row with a null id or label is left out, as is one whose id is no whole number; of a repeated id the greatest label and the smallest text count.
     """
     number = F.col("doc_id").cast("string").try_cast("long").alias("doc_id")
@@ -141,9 +142,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int
     picked = docs.select(number, "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max(F.col("y").cast("int")).alias("y"))
     encoded = written(picked.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, n long, x binary"), "passages")
     sizes = encoded.select("doc_id", "n").orderBy(order, "doc_id").collect()
-    held = np.cumsum([r["n"] for r in sizes])
-    some = sizes[: max(1, int((held <= passages).sum()))]
-    if not some or some[0]["n"] > passages:
+    some, room = [], passages
+    for r in sizes:  # one that does not fit is passed over, so no single document costs the model
+        if r["n"] <= room:
+            some.append(r)
+            room -= r["n"]
+    if not some:
         return None
     last = docs.sparkSession.createDataFrame([(r["doc_id"],) for r in some], "doc_id long")
     rows = sorted(encoded.join(F.broadcast(last), "doc_id", "left_semi").select("doc_id", "y", "x").collect())
