@@ -76,7 +76,8 @@ def count_tokens(docs: DataFrame, model_path: str, cache: str, limit: int = LIMI
     spark = docs.sparkSession
     version = version_of(model_path)
     keyed = docs.select(content_digest().alias("digest"), "text")
-    misses = keyed.join(known_counts(spark, cache, version).select("digest"), "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    # One copy of each text first, which tasks choose before they shuffle, so a very common text meets nowhere whole.
+    misses = keyed.groupBy("digest").agg(F.first("text").alias("text")).join(known_counts(spark, cache, version).select("digest"), "digest", "left_anti")
     encode_counts(misses, model_path, version).write.mode("append").partitionBy("tokenizer").option("compression", "zstd").parquet(cache)
     rows = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), content_digest().alias("digest"))
     # Written first, so that the join has a plain exchange on both sides and Spark can split a text with very many copies.
