@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from fixtures import FOLDER, SCHEMA, awkward, awkward_rows, clashing
 
@@ -264,11 +265,33 @@ def test_removed_tables_are_gone(spark):
 
 def test_mixture_of_a_repeated_row(spark, monkeypatch):
     monkeypatch.setattr(common, "PIECE", 3)
-    monkeypatch.setattr(mixing, "SLOTS", 10)  # so that blocks grow
+    monkeypatch.setattr(mixing, "BATCH", 4)
     rows = [(1, "same", "en", "hot", 0)] * 50 + [(i, f"t{i}", "en", "b", 0) for i in range(2, 30)]
     out = mixing.mix(spark.createDataFrame(rows, SCHEMA), block_docs=2).collect()
     assert Counter((r["doc_id"], r["text"]) for r in out) == Counter(r[:2] for r in rows)
-    assert len({(r["slot"], r["place"]) for r in out}) == len(rows) and max(r["slot"] for r in out) <= 11
+    assert len({(r["slot"], r["place"]) for r in out}) == len(rows) and max(r["slot"] for r in out) == 25 + 14 - 1
+
+
+def test_blocks_do_not_grow_with_the_input():
+    """A schedule of many blocks is made a batch at a time and stays as close to the ideal as a short one."""
+    n, seen = 0, Counter()
+    weights = {0: 0.55, 1: 0.3, 2: 0.15}
+    for sources, numbers in mixing.slots_in_order([550_000, 300_000, 150_000], list(weights.values())):
+        assert len(sources) <= mixing.BATCH
+        for k in weights:
+            mine = numbers[sources == k]
+            assert len(mine) == 0 or (mine[0] == seen[k] and (np.diff(mine) == 1).all())
+            seen[k] += len(mine)
+        n += len(sources)
+        assert all(abs(seen[k] - w * n) < 1 + 1e-6 for k, w in weights.items())
+    assert n == 1_000_000
+
+
+def test_epochs_have_a_bound(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", "en", "big" if i < 400 else f"s{i % 3}", 0) for i in range(403)], SCHEMA)
+    weights = spark.createDataFrame([("big", 1.0), ("s0", 0.5), ("s1", 0.0025), (None, 9.0)], "source string, weight double")
+    count = lambda **how: Counter(r["source"] for r in mixing.mix(docs, weights, 4, epochs=True, **how).collect())
+    assert count() == {"big": 400, "s0": 200, "s1": 1, "s2": 1} and count(most_epochs=3) == {"big": 400, "s0": 3, "s1": 1, "s2": 1}
 
 
 def base_spans(t):
