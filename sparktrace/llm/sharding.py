@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from sparktrace.llm.common import dealt, written
+from sparktrace.llm.common import dealt, new_folder, written
 
 OWN = ("shard", "slot", "grown_shard")
 SEED = 20240229
@@ -30,13 +30,19 @@ def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
     return F.array_max(F.array(*tickets))["i"]
 
 
+def bucket_counts(sizes: DataFrame, bucket_bytes: int) -> dict[int, int]:
+    """The number of buckets, a power of two, of each shard of `sizes(shard, bytes)`."""
+    per = sizes.groupBy("shard").agg(F.sum("bytes").alias("bytes")).collect()
+    return {r["shard"]: min(FINE, 1 << math.ceil(math.log2(max(1.0, r["bytes"] / bucket_bytes)))) for r in per}
+
+
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = BUCKET_BYTES, seed: int = SEED) -> DataFrame:
     """All columns of `docs` plus `shard`, `slot` (gapless from 0 in each shard) and `grown_shard`.
 
     `doc_id` and the number of shards alone decide `shard`; `grown_shard` is the one with a further shard.
     Bucket numbers come from the hash of (doc_id, text), so one hot id still spreads over all buckets of its
-    shard; rows that share both very often are dealt apart. The number of buckets follows from the bytes of the input, so a
-    bucket stays near `bucket_bytes` at any size; a longer single text makes a bucket of its own size.
+    shard; rows that share both very often are dealt apart. The number of a shard's buckets follows from its own bytes, so a
+    bucket stays near `bucket_bytes` at any size, also in a shard that one hot id makes large; a longer single text makes a bucket of its own size.
 
     A null `doc_id` is one more key, a null or empty text counts as empty, repeated rows each keep a slot of their
     own, an empty table gives no rows. Input columns named like the three new ones are replaced. Rows that differ only in map
@@ -54,8 +60,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = B
     )
     # One scan of the sizes of fine buckets gives the number of buckets and where each begins.
     sizes = written(spread.groupBy("shard", "fine").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")), "bucket-sizes")
-    total = sizes.agg(F.sum("bytes")).first()[0] or 0
-    subs = min(FINE, 1 << math.ceil(math.log2(max(1.0, total / (shards * bucket_bytes)))))
+    of_shard = bucket_counts(sizes, bucket_bytes)
+    subs = F.get(F.array(*[F.lit(of_shard.get(i, 1)) for i in range(shards)]), F.col("shard"))
     sub = (F.col("fine") % subs).alias("sub")
     before = W.partitionBy("shard").orderBy("sub").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.groupBy("shard", sub).agg(F.sum("n").alias("n")).select("shard", "sub", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
@@ -69,7 +75,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = B
         records = F.sort_array(records)
     buckets = (
         spread.select("record", "grown_shard", "shard", sub)
-        .repartition(min(shards * subs, MOST_PARTITIONS), "shard", "sub")
+        .repartition(min(max(1, sum(of_shard.values())), MOST_PARTITIONS), "shard", "sub")
         .groupBy("shard", "sub")
         .agg(records.alias("records"))
         .sortWithinPartitions("shard", "sub")
@@ -84,8 +90,11 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = B
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, **options) -> None:
-    """Writes each shuffled bucket as rows in slot order under `path/shard=<i>/`."""
-    shuffle_into_shards(docs, shards, **options).write.partitionBy("shard").parquet(path)
+    """Writes each shuffled bucket as rows in slot order under `path/shard=<i>/`, for all rows and columns as in `shuffle_into_shards`.
+
+    Nulls, empty and very long texts, repeated rows and clashing names are handled as there; an empty table writes no shard.
+    """
+    shuffle_into_shards(docs, shards, **options).write.partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def digest_columns(sharded: DataFrame) -> DataFrame:
@@ -102,7 +111,11 @@ def digest_columns(sharded: DataFrame) -> DataFrame:
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest_columns(shuffle_into_shards(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """Writes the shards and reads them back."""
+    folder = new_folder(spark, "shards")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    write_shards(docs, folder)
+    return digest_columns(spark.read.schema("doc_id long, text string, slot long, grown_shard int, shard int").parquet(folder))
 
 
 QUERIES = {"op1_sharding": op1_sharding}

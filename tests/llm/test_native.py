@@ -64,6 +64,28 @@ def test_shards_of_a_repeated_row_and_a_map(spark, monkeypatch):
         assert sorted(r["slot"] for r in out if r["shard"] == k) == list(range(sum(r["shard"] == k for r in out)))
 
 
+def test_a_hot_id_does_not_make_its_buckets_large(spark, monkeypatch):
+    """A third of the rows share an id; buckets of its shard stay as small as others."""
+    rows = [(7 if i % 3 == 0 else i, f"text {i} " * 9, None) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    seen, counted = {}, sharding.bucket_counts
+    monkeypatch.setattr(sharding, "bucket_counts", lambda *args: seen.update(counted(*args)) or seen)
+    rows_ = sharding.shuffle_into_shards(docs, shards=8, bucket_bytes=2000).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows_) == Counter(r[:2] for r in rows)
+    held = Counter()
+    for r in rows_:
+        held[r["shard"]] += len(r["text"]) + 1
+    assert len(seen) == 8 and max(seen.values()) >= 4 * min(seen.values()) and all(held[k] / n <= 2000 for k, n in seen.items())
+
+
+def test_a_bucket_is_a_permutation_that_keeps_no_order(spark):
+    docs = spark.createDataFrame([(i, f"t{i}", None) for i in range(2000)], "doc_id long, text string, other int")
+    rows = sharding.shuffle_into_shards(docs, shards=1).orderBy("slot").collect()
+    ids = np.array([r["doc_id"] for r in rows])
+    assert sorted(ids.tolist()) == list(range(2000)) and abs(np.corrcoef(ids, np.arange(2000))[0, 1]) < 0.1
+    assert np.abs(np.bincount(ids[:500] // 500, minlength=4) - 125).max() < 45  # all parts of the input in each part of the shard
+
+
 def test_written_shards_hold_all_rows(spark, tmp_path):
     sharding.write_shards(awkward(spark), str(tmp_path / "shards"), shards=3)
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(awkward_rows())
