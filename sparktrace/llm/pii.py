@@ -1,10 +1,10 @@
 """Personal data: identifiers by pattern, and terms that reveal them by information content.
 
-Identifiers (the protected entities) are matched by patterns. The corpus then tells how strongly a term in a text
-with an entity reveals it: the share of the entity's information content that their pointwise mutual information
-supplies, log(P(e | t) / P(e)) / -log P(e), where P(e) = c_e / N and P(e | t) = (c_et + a P(e)) / (c_t + a) are counted over
-documents and `a` prior observations smooth small counts. Terms at or above the disclosure threshold are
-sanitised wherever they stand in the texts that hold that entity, like the entity itself.
+Identifiers (the protected entities) are matched by patterns. The corpus then tells how strongly a term reveals an entity: of
+the c_t texts that hold the term, c_et hold the entity too, and -log2 P(e | t) bits of uncertainty about the entity are left to who knows
+the term. P(e | t) is not taken as c_et / c_t, which one observation would make certain, but as the lower end of its confidence interval
+(Wilson's, at Z deviations), so what a term reveals must be seen often enough, whatever the size of the corpus. Equal texts are one
+observation. Terms that leave at most BITS are sanitised wherever they stand in the texts that hold that entity, like the entity itself.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](
 REPLACED = {"email": "<EMAIL>", "ip": "<IP>", "card": "<CARD>", "phone": "<PHONE>", "term": "<TERM>"}
 #: A term is a run of letters and marks of any length, compared in lower case.
 WORD = "[\\p{L}\\p{M}]++"
-#: Least share of an entity's information that a term must reveal, and the weight of the prior in observations.
-DISCLOSURE, PRIOR = 0.9, 0.5
+#: A term is generalised when it leaves at most so many bits about an entity, and the deviations of the confidence interval (one-sided 95 %).
+BITS, Z = 1.0, 1.645
+#: Up to so many keys of repeated texts are broadcast (24 bytes each).
+BROADCAST_TEXTS = 500_000
 
 
 def matches(text: Column, pattern: str | Column) -> Column:
@@ -110,41 +112,51 @@ def term_set(text: Column) -> Column:
 
 def groups_of(holders: DataFrame) -> DataFrame:
     """Groups of entities that stand in the same texts, which terms reveal alike: text_key, group, c_e."""
-    of_text = holders.select("text_key", "copies", F.explode("entities").alias("entity"))
+    of_text = holders.select("text_key", F.explode("entities").alias("entity"))
     part = lambda k, c: F.sum(F.xxhash64(F.lit(k), "text_key").cast("decimal(20,0)")).alias(c)
-    alike = of_text.groupBy("entity").agg(part(1, "x"), part(2, "y"), F.count("*").alias("texts"), F.sum("copies").alias("c_e"))
-    alike = alike.select("entity", "c_e", row_key(F.col("x").cast("string"), F.col("y").cast("string"), F.col("texts")).alias("group"))
+    alike = of_text.groupBy("entity").agg(part(1, "x"), part(2, "y"), F.count("*").alias("c_e"))
+    alike = alike.select("entity", "c_e", row_key(F.col("x").cast("string"), F.col("y").cast("string"), F.col("c_e")).alias("group"))
     return of_text.join(alike, "entity").select("text_key", "group", "c_e").distinct()
 
 
-def shares(holders: DataFrame, docs: DataFrame, prior: float = PRIOR, least: float = 0.0) -> DataFrame:
-    """text_key, term, share: of each term of each of the texts `holders(text_key, copies, entities, blank)` the greatest share of
-    the information of one of the text's entities that it reveals, where that is at least `least`. Counted over whole texts.
+def lowest(hits: Column, n: Column, z: float = Z) -> Column:
+    """Lower end of the confidence interval of a probability of which `hits` of `n` observations are known."""
+    p, z2 = hits / n, z * z
+    return (p + z2 / (2 * n) - z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
 
-    Terms that are in too many documents to reach `least` for any entity are dropped before pairs are counted: with
-    P(e | t) <= 1 and c_et <= c_e a share of `least` needs (c_t + a) P(e)^(1 - least) <= c_e + a P(e).
+
+def term_counts(docs: DataFrame) -> DataFrame:
+    """term, c_t: the number of different texts that hold each term. A text that is repeated counts for a part in each of its rows."""
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(row_key(text).alias("text_key"), text.alias("text"))
+    again = written(rows.groupBy("text_key").agg(F.count("*").alias("copies")).where("copies > 1"), "pii-repeated")
+    again = F.broadcast(again) if again.count() <= BROADCAST_TEXTS else again
+    each = rows.join(again, "text_key", "left").select(F.coalesce("copies", F.lit(1)).alias("copies"), F.explode(term_set(F.col("text"))).alias("term"))
+    return each.groupBy("term").agg(F.round(F.sum(1 / F.col("copies"))).cast("long").alias("c_t"))
+
+
+def revealing(holders: DataFrame, docs: DataFrame, bits: float = BITS, z: float = Z) -> DataFrame:
+    """text_key, term, bits: of each term of each of the texts `holders(text_key, entities, blank)` the fewest bits that it leaves about
+    one of the text's entities, where these are at most `bits`. Counted over whole texts.
+
+    Pairs that cannot get there are dropped before they are counted: the bound lies below c_et / c_t, so below c_e / c_t, and
+    below c_et / (c_et + z^2), which both c_e and c_t have to allow. Such terms and entities are most, as most occur once.
     """
-    n = float(docs.count())
-    groups = written(groups_of(holders), "pii-groups")
-    counts = docs.select(F.explode(term_set(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("c_t"))
-    most = float(groups.agg(F.max("c_e")).first()[0] or 0)
-    # the bound grows with c_e, as (c_e + a c_e / n) (n / c_e)^(1 - least)
-    bound = (most + prior * most / max(n, 1)) * (n / max(most, 1)) ** (1 - least) - prior
-    counts = counts.where(F.col("c_t") <= bound * (1 + 1e-9))
-    here = holders.select("text_key", "copies", F.explode(term_set(F.col("blank"))).alias("term")).join(counts, "term")
-    here = written(here, "pii-terms")
-    p_e = F.col("c_e") / n
-    pairs = here.join(groups, "text_key").where((F.col("c_t") + prior) * F.pow(p_e, F.lit(1 - least)) <= (F.col("c_e") + prior * p_e) * (1 + 1e-9))
-    told = pairs.groupBy("group", "term").agg(F.sum("copies").alias("c_et"), F.max("c_e").alias("c_e"), F.max("c_t").alias("c_t"))
-    given = (F.col("c_et") + prior * p_e) / (F.col("c_t") + prior)
-    share = F.try_divide(F.log(given / p_e), -F.log(p_e))
-    told = told.select("group", "term", share.alias("share")).where(F.col("share") >= least)
-    return pairs.select("text_key", "group", "term").join(told, ["group", "term"]).groupBy("text_key", "term").agg(F.max("share").alias("share"))
+    least = 2.0**-bits
+    often = least * z * z / (1 - least) * (1 - 1e-9) if least < 1 else float("inf")
+    groups = written(groups_of(holders).where(F.col("c_e") >= often), "pii-groups")
+    counts = term_counts(docs).where(F.col("c_t") >= often)
+    near = holders.join(groups.groupBy("text_key").agg(F.max("c_e").alias("most")), "text_key")
+    here = near.select("text_key", "most", F.explode(term_set(F.col("blank"))).alias("term")).join(counts, "term").where(F.col("c_t") * least <= F.col("most") * (1 + 1e-9))
+    pairs = written(here.drop("most"), "pii-terms").join(groups, "text_key").where(F.col("c_t") * least <= F.col("c_e") * (1 + 1e-9))
+    told = pairs.groupBy("group", "term").agg(F.count("*").alias("c_et"), F.max("c_t").alias("c_t"))
+    told = told.select("group", "term", (-F.log2(lowest(F.col("c_et"), F.col("c_t"), z))).alias("bits")).where(F.col("bits") <= bits)
+    return pairs.select("text_key", "group", "term").join(told, ["group", "term"]).groupBy("text_key", "term").agg(F.min("bits").alias("bits"))
 
 
 def found_holders(base: DataFrame) -> DataFrame:
-    """The distinct texts with identifiers: text_key, copies (rows), entities, blank."""
-    return base.where(F.size("entities") > 0).groupBy("text_key").agg(F.count("*").alias("copies"), F.first("entities").alias("entities"), F.first("blank").alias("blank"))
+    """The distinct texts with identifiers: text_key, entities, blank."""
+    return base.where(F.size("entities") > 0).groupBy("text_key").agg(F.first("entities").alias("entities"), F.first("blank").alias("blank"))
 
 
 def word_places(texts: DataFrame) -> DataFrame:
@@ -159,18 +171,18 @@ def word_places(texts: DataFrame) -> DataFrame:
     return rows.withColumn("stop", stop.cast("int")).select("text_key", F.lower("word").alias("term"), (F.col("stop") - F.length("word")).alias("start"), "stop")
 
 
-def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, prior: float = PRIOR) -> DataFrame:
+def find_personal_data(docs: DataFrame, bits: float = BITS, z: float = Z) -> DataFrame:
     """One row per row of `docs`: doc_id, text_key (of the content), spans (array of kind, start, stop; kinds in order, then start).
 
-    Kinds are email, ip, card, phone and term. A null text is empty and has no spans; repeated rows each get a row and
-    count each as a document; an empty table gives no rows; equal shares are all kept, so no result depends on the order of rows.
+    Kinds are email, ip, card, phone and term. A null text is empty and has no spans; repeated rows each get a row, and
+    equal texts are one observation; an empty table gives no rows; all terms at the limit are kept, so no result depends on the order of rows.
     Only doc_id and text are read. Whole texts, however long; starts and stops are code points.
     A disclosing term is marked wherever it stands in a text that holds its entity.
     """
     docs = docs.select("doc_id", "text")
     base = written(base_table(docs), "pii-base")
     holders = written(found_holders(base), "pii-holders")
-    told = written(shares(holders, docs, prior, disclosure).select("text_key", "term"), "pii-told")
+    told = written(revealing(holders, docs, bits, z).select("text_key", "term"), "pii-told")
     placed = word_places(holders.join(told.select("text_key").distinct(), "text_key", "left_semi")).join(told, ["text_key", "term"])
     found = placed.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct(F.lit("term").alias("kind"), "start", "stop"))).alias("terms"))
     spans = F.concat("base", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,stop:int>>")))
@@ -192,7 +204,11 @@ def replaced(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, text and sanitised text of every row. Rows with equal texts are sanitised alike."""
+    """doc_id, text and sanitised text of every row, with the options of `find_personal_data`.
+
+    A null text becomes the empty one; rows with equal texts are sanitised alike; a null doc_id is kept; an empty table gives no rows; whole
+    texts, however long; spans that overlap are replaced once. Only doc_id and text are read, whatever other columns are called.
+    """
     spans = find_personal_data(docs, **options).where(F.size("spans") > 0).select("text_key", "spans").dropDuplicates(["text_key"])
     keyed = docs.select("doc_id", "text", row_key(F.coalesce("text", F.lit(""))).alias("text_key"))
     clean = F.coalesce("text", F.lit(""))
