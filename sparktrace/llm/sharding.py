@@ -16,9 +16,9 @@ from sparktrace.llm.common import dealt, new_folder, written
 
 OWN = ("shard", "slot", "grown_shard")
 SEED = 20240229
-#: Bytes of text of a bucket, which one task holds; the most partitions of a shuffle (beyond, a task holds several
-#: buckets); the most buckets of a shard.
-BUCKET_BYTES, MOST_PARTITIONS, FINE = 64 << 20, 100_000, 1 << 16
+#: Bytes of text of a bucket, which one task holds; partitions for each bucket, as those that hash to one partition are held together; the
+#: most partitions of a shuffle (beyond, a task holds several buckets); the most buckets of a shard.
+BUCKET_BYTES, SPREAD, MOST_PARTITIONS, FINE = 16 << 20, 2, 100_000, 1 << 16
 
 
 def shard_of(key: Column, shards: int, seed: int = SEED) -> Column:
@@ -75,7 +75,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, bucket_bytes: int = B
         records = F.sort_array(records)
     buckets = (
         spread.select("record", "grown_shard", "shard", sub)
-        .repartition(min(max(1, sum(of_shard.values())), MOST_PARTITIONS), "shard", "sub")
+        .repartition(min(max(1, SPREAD * sum(of_shard.values())), MOST_PARTITIONS), "shard", "sub")
         .groupBy("shard", "sub")
         .agg(records.alias("records"))
         .sortWithinPartitions("shard", "sub")
