@@ -6,10 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def smoothing_hz(label: Column, raw_hz: float | None = None) -> Column:
-    """Hz of a smoothing label (`raw`, `30Hz`, `12p5Hz`); raw and invalid labels give `raw_hz`."""
+def smoothing_hz(label: Column, raw_hz: float | None = None, strict: bool = False) -> Column:
+    """Hz of a smoothing label (`raw`, `30Hz`, `12p5Hz`); raw and invalid labels give `raw_hz`, but with `strict` invalid ones are an error.
+
+    Then a label that is empty, or whose rate is 0, is invalid too.
+    """
     text = F.replace(F.regexp_extract(F.lower(F.trim(label)), "^([0-9]+(?:[.p][0-9]+)?)(?:hz)?$", 1), F.lit("p"), F.lit("."))
-    return F.coalesce(F.when(text != "", text).try_cast("double"), F.lit(raw_hz).cast("double"))
+    hz = F.when(text != "", text).try_cast("double")
+    if strict:
+        wrong = (F.lower(F.trim(label)) != "raw") & ~F.coalesce(hz > 0, F.lit(False))
+        hz = F.when(F.coalesce(wrong, F.lit(True)), F.raise_error(F.concat(F.lit("invalid smoothing level: "), F.coalesce(label, F.lit("null"))))).otherwise(hz)
+    return F.coalesce(hz, F.lit(raw_hz).cast("double"))
 
 
 def smoothing_label(hz: Column) -> Column:
@@ -77,6 +84,70 @@ def tag_token(value: Column) -> Column:
     return F.replace(F.replace(value, F.lit("."), F.lit("p")), F.lit(" "), F.lit("_"))
 
 
+def number_text(value: Column, digits: int = 6) -> Column:
+    """A number in at most `digits` significant digits without trailing zeros, as tags have it: 9, 1.3, 0.35, 1e-05, 1e+06; null stays null.
+
+    A number whose decimal form lies half-way is rounded up.
+    """
+    v = value.cast("double")
+    exact = F.format_string(f"%.{digits - 1}e", v)
+    power = F.when(v == 0, F.lit(0)).otherwise(F.regexp_extract(exact, "e([+-][0-9]+)$", 1).try_cast("int"))
+    trim = lambda x: F.regexp_replace(F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, "0+$", "")).otherwise(x), "[.]$", "")
+    mantissa = trim(F.regexp_extract(exact, "^(.*)e", 1))
+    plain = F.lit(None).cast("string")
+    for p in range(-4, digits):
+        plain = F.when(power == p, trim(F.format_string(f"%.{max(0, digits - 1 - p)}f", v))).otherwise(plain)
+    return F.when(v.isNotNull(), F.coalesce(plain, F.concat(mantissa, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))))
+
+
+def sanitized(value: Column) -> Column:
+    """Text as part of a file name: trimmed, blanks and `/` as `_`, `.` as `p`."""
+    return F.translate(F.trim(value), " ./", "_p_")
+
+
+def float_text(value: Column) -> Column:
+    """A number as `12.5` or `30.0`, as run tags have it."""
+    return value.cast("double").cast("string")
+
+
+def run_tag(methods: Column, order: list[tuple[str, str]], rates: dict[str, Column], marks: dict[str, Column] | None = None) -> Column:
+    """Tag of a run from the `methods` array of its lower-case method names: a token for each of `order(method, name)` that is among them.
+
+    A method with a rate in `rates` has it in its token (`<name>30p0`), or `raw` (the text after `|` of the name, if it has one) without;
+    `marks` (method -> text) follow. `no_methods` without any.
+    """
+    tokens = []
+    for method, name in order:
+        name, _, none = name.partition("|")
+        token = F.lit(name)
+        if method in rates:
+            token = F.concat(token, F.coalesce(F.replace(float_text(rates[method]), F.lit("."), F.lit("p")), F.lit(none or "raw")))
+        if marks and method in marks:
+            token = F.concat(token, F.coalesce(marks[method], F.lit("")))
+        tokens.append(F.when(F.array_contains(methods, method), token))
+    return F.coalesce(F.nullif(F.concat_ws("_", *tokens), F.lit("")), F.lit("no_methods"))
+
+
+def cache_tag(dataset: Column, label: Column, most: Column, fs: Column, sigma: Column) -> Column:
+    """`<dataset>_s<label>_ms<most>_rs<fs or raw>_bm<sigma>`, numbers in six and three significant digits."""
+    rate = F.coalesce(tag_token(number_text(fs)), F.lit("raw"))
+    return F.concat(dataset, F.lit("_s"), tag_token(label), F.lit("_ms"), most.cast("string"), F.lit("_rs"), rate, F.lit("_bm"), tag_token(number_text(sigma, 3)))
+
+
+def combo_tag(run: Column, rate: Column, smooth: Column, duty: Column, seed: Column) -> Column:
+    """`<run>_r<rate>_s<smooth>_d<duty>_sb<seed>` of a sweep's combination, as `parse_combo` reads it."""
+    part = lambda x: sanitized(number_text(x))
+    return F.concat(sanitized(run), F.lit("_r"), part(rate), F.lit("_s"), part(smooth), F.lit("_d"), part(duty), F.lit("_sb"), seed.cast("long").cast("string"))
+
+
+def parse_combo(tag: Column) -> dict[str, Column]:
+    """run, rate, smooth, duty and seed of a tag of `combo_tag`; null without a match."""
+    pattern = "^(.*)_r([-+0-9pe]+)_s([-+0-9pe]+)_d([-+0-9pe]+)_sb(-?[0-9]+)$"
+    one = lambda g: F.nullif(F.regexp_extract(tag, pattern, g), F.lit(""))
+    number = lambda g: F.replace(one(g), F.lit("p"), F.lit(".")).try_cast("double")
+    return {"run": one(1), "rate": number(2), "smooth": number(3), "duty": number(4), "seed": one(5).try_cast("long")}
+
+
 def events_per_bin(target: Column, native: float) -> Column:
     """Greatest number of events a bin may hold at the target rate; null is the native rate. A rate of 0 or less is an error."""
     r = F.greatest(F.lit(native) / target, F.lit(1.0))

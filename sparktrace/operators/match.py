@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -239,6 +241,28 @@ def sweep_grid(rates: DataFrame, smooths: DataFrame, duties: DataFrame, cells: D
     return combos.crossJoin(cells).withColumn("seed", F.lit(first_seed) + F.col("combo") * stride + F.col("cell"))
 
 
+def parameter_specs(rates: list[float], smooths: list[float], duties: list[float], sets: DataFrame, run: str, first_seed: int = 0, stride: int = 1000, noise_fraction: float | None = None, prefix: str = "bio_ml") -> DataFrame:
+    """One row for each combination of the lists, in their order, and each of the parameter `sets(place, name)`: combo, combo_id, rate, smooth, duty,
+    seed_base, place, tag, noise_seed, noise_fraction.
+
+    The seed base is first_seed + combo * stride, a set's noise seed its place beyond that; the noise fraction is 1 / K for K sets unless given. Empty lists
+    and no sets are errors. Only the lists, which the caller holds, are combined on the driver.
+    """
+    if not (rates and smooths and duties):
+        raise ValueError("the lists of a sweep cannot be empty")
+    spark = sets.sparkSession
+    combos = [(k, float(r), float(s), float(d)) for k, (r, s, d) in enumerate(product(rates, smooths, duties))]
+    table = spark.createDataFrame(combos, "combo long, rate double, smooth double, duty double").withColumn("seed_base", F.lit(first_seed) + F.col("combo") * stride)
+    table = table.withColumn("combo_id", text.combo_tag(F.lit(run), F.col("rate"), F.col("smooth"), F.col("duty"), F.col("seed_base")))
+    n = sets.count()
+    if not n:
+        raise ValueError("no parameter sets")
+    share = 1.0 / n if noise_fraction is None else float(noise_fraction)
+    base = F.replace(F.regexp_replace(F.regexp_replace("name", "^.*/", ""), "[.][^.]*$", ""), F.lit("param_samples_"), F.lit(""))
+    tag = F.concat(text.sanitized(F.lit(prefix)), F.lit("_"), base, F.lit("__"), "combo_id")
+    return sets.crossJoin(F.broadcast(table)).select("combo", "combo_id", "rate", "smooth", "duty", "seed_base", "place", tag.alias("tag"), (F.col("seed_base") + F.col("place")).alias("noise_seed"), F.lit(share).alias("noise_fraction"))
+
+
 def model_by_tag(models: DataFrame, tag: str, one: bool = False) -> DataFrame:
     """Models(model, has_checkpoint, run_tag, synthetic) with a checkpoint whose name is the tag; if there is none, those that were trained
     under the tag or from synthetic data of it. With `one`, none or more than one is an error."""

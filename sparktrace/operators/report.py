@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -97,10 +99,17 @@ def best_by_k(models: DataFrame, baselines: DataFrame | None = None) -> DataFram
     return out.crossJoin(F.broadcast(baselines.where(agrees).agg(F.max("score").alias("baseline"))))
 
 
-def timing_summary(timings: DataFrame, baseline: str) -> DataFrame:
-    """n, mean, median, min, max, population deviation and speed-up against the baseline of each backend."""
+def timing_summary(timings: DataFrame, baseline: str | None = None) -> DataFrame:
+    """n, mean, median, min, max, population deviation and speed-up against the baseline of each backend.
+
+    Without a name the baseline is `cpu`, else the first backend by name; a name that no backend has is an error.
+    """
     per = timings.groupBy("backend").agg(F.count("*").alias("n"), F.avg("seconds").alias("mean"), F.median("seconds").alias("median"), F.min("seconds").alias("min"), F.max("seconds").alias("max"), F.when(F.count("*") > 1, F.stddev_pop("seconds")).otherwise(F.lit(0.0)).alias("std"))
-    base = per.where(F.col("backend") == baseline).select(F.col("mean").alias("base"))
+    if baseline is None:
+        base = per.agg(F.coalesce(F.max(F.when(F.col("backend") == "cpu", F.col("mean"))), F.min_by("mean", "backend")).alias("base"))
+    else:
+        base = per.agg(F.max(F.when(F.col("backend") == baseline, F.col("mean"))).alias("base"))
+        base = base.select(F.when(F.col("base").isNull(), F.raise_error(F.lit(f"no backend {baseline}"))).otherwise(F.col("base")).alias("base"))
     return per.crossJoin(F.broadcast(base)).withColumn("speed_up", F.try_divide("base", "mean")).drop("base")
 
 
@@ -108,8 +117,19 @@ def latest_per_key(rows: DataFrame, key: str, newest: Column, tie: str) -> DataF
     return rows.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(newest.desc(), tie))).where("r = 1").drop("r")
 
 
-def seeded_subset(rows: DataFrame, by: list[str], item: str, fraction: float, seed: int) -> DataFrame:
-    """max(1, ceil(fraction * n)) items of each group, the same for the same seed: those with the least MD5 of `<seed>:<item>`."""
+def default_seed(name: str, fraction: float) -> int:
+    """A seed for a named collection and a fraction: the first 32 bits of the SHA-256 of `name|fraction` with six decimals."""
+    return int(hashlib.sha256(f"{name}|{float(fraction):.6f}".encode()).hexdigest()[:8], 16)
+
+
+def seeded_subset(rows: DataFrame, by: list[str], item: str, fraction: float, seed: int | None = None, name: str = "") -> DataFrame:
+    """max(1, ceil(fraction * n)) items of each group, the same for the same seed: those with the least MD5 of `<seed>:<item>`.
+
+    Without a seed that of `name` and the fraction is taken; a fraction of 1 or more keeps all.
+    """
+    if fraction >= 1:
+        return rows
+    seed = default_seed(name, fraction) if seed is None else seed
     w = W.partitionBy(*by)
     r = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(item).cast("string"))), item))
     return rows.withColumn("n", F.count("*").over(w)).withColumn("r", r).where(F.col("r") <= F.greatest(F.lit(1), F.ceil(F.col("n") * fraction))).drop("n", "r")
@@ -125,8 +145,20 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: list[str], line: str, on_
     return both.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r", "_new")
 
 
-def union_families(main: DataFrame, single: DataFrame) -> DataFrame:
-    return main.withColumn("kind", F.lit("main")).unionByName(single.withColumn("kind", F.lit("single")))
+def union_families(main: DataFrame | None, single: DataFrame | None = None) -> DataFrame:
+    """Rows of both families of runs with their `kind`, main or single; either may be None, but not both."""
+    parts = [rows.withColumn("kind", F.lit(kind)) for rows, kind in ((main, "main"), (single, "single")) if rows is not None]
+    if not parts:
+        raise ValueError("both families are skipped")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def union_method_outputs(outputs: DataFrame, second: DataFrame, label: str, sep: str = "::") -> DataFrame:
+    """Outputs(method, ...) and those of a second model under the names `<method><sep><label>`. A name that the first outputs have is an error."""
+    named = second.withColumn("method", F.concat_ws(sep, "method", F.lit(label)))
+    taken = outputs.select("method").distinct().withColumn("_taken", F.lit(True))
+    checked = named.join(taken, "method", "left").withColumn("method", F.when(F.col("_taken"), F.raise_error(F.concat(F.lit("there are outputs of "), "method"))).otherwise(F.col("method"))).drop("_taken")
+    return outputs.unionByName(checked)
 
 
 def overridden(was: Column, now: Column) -> Column:

@@ -114,12 +114,14 @@ def spikes_in_windows(spikes: DataFrame, windows: DataFrame) -> DataFrame:
     return spikes.join(w, (F.col("dataset") == F.col("wd")) & (F.col("trial") == F.col("wt")) & F.col("s").between(F.col("start_s"), F.col("end_s")), "left_semi")
 
 
-def finite_rows(rows: DataFrame, arrays: list[str]) -> DataFrame:
-    """Rows whose arrays are finite throughout."""
+def finite_rows(rows: DataFrame, arrays: list[str], told: Observation | None = None) -> DataFrame:
+    """Rows whose arrays are finite throughout. `told` gets the numbers of `rows` and of those `dropped` when the result is computed."""
     keep = F.lit(True)
     for a in arrays:
-        keep = keep & F.forall(a, finite)
-    return rows.where(keep)
+        keep = keep & F.coalesce(F.forall(a, finite), F.lit(False))
+    if told is None:
+        return rows.where(keep)
+    return rows.withColumn("_keep", keep).observe(told, F.count("*").alias("rows"), F.count_if(~F.col("_keep")).alias("dropped")).where("_keep").drop("_keep")
 
 
 def pad_trials(wide: DataFrame, mode: str = "nan", fallback_dt: float = 1.0) -> DataFrame:
@@ -218,30 +220,51 @@ def refractory_filter(spikes: DataFrame, gap: float = 0.001) -> DataFrame:
     return spikes.withColumn("prev", prev).where(F.col("prev").isNull() | (F.col("s") - F.col("prev") >= gap)).drop("prev")
 
 
+def expand_places(counts: DataFrame, fs: float) -> DataFrame:
+    """A count c > 0 at place i becomes ceil(c) events at (i + 1) / fs; counts that are not finite become none."""
+    rows = counts.where(finite("c")).where("c > 0")
+    return rows.select(*TRIAL, F.explode(F.array_repeat((F.col("i") + 1) / F.lit(float(fs)), F.ceil("c").cast("int"))).alias("s"))
+
+
 def expand_counts(counts: DataFrame) -> DataFrame:
     """A count c at time t becomes rint(c) events at t."""
     return counts.where(finite("c")).select(*TRIAL, "t", F.rint("c").cast("int").alias("n")).where("n > 0").select(*TRIAL, F.explode(F.array_repeat("t", F.col("n"))).alias("s"))
 
 
-def display_snippet(samples: DataFrame, spikes: DataFrame, duration: float | None = None, anchor: str = "spikes", explicit: tuple[float, float] | None = None, segments: DataFrame | None = None, strict: bool = False) -> DataFrame:
-    """A window in each trial, inside the trial and inside all `segments(dataset, trial, seg_start, seg_end)` of its methods.
+def display_snippet(samples: DataFrame, spikes: DataFrame, duration: float | None = None, anchor: str = "spikes", explicit: tuple[float, float] | None = None, segments: DataFrame | None = None, start: float | None = None, strict: bool = False) -> DataFrame:
+    """A window in each trial, inside the trial and inside all `segments(dataset, trial, seg_start, seg_end)` of its methods; where these do
+    not meet in the trial, inside the trial alone.
 
-    Either the explicit one, clamped, or one of `duration` that begins at the start or is centred at the median event (spikes; at
-    the middle without events) or at the middle. What is empty after clamping drops out, or with `strict` is an error.
+    Either the explicit one, clamped, or one of `duration`, shortened to what there is: from the time `start` on, at the beginning (anchor
+    start), around the median of the events inside (spikes; the middle without any) or around the middle. What is empty after clamping
+    drops out, or with `strict` is an error.
     """
     b = bounds(samples)
     if segments is not None:
         common = segments.groupBy(*TRIAL).agg(F.max("seg_start").alias("_a"), F.min("seg_end").alias("_z"))
-        b = b.join(common, list(TRIAL), "left").select(*TRIAL, F.greatest("first_t", "_a").alias("first_t"), F.least("last_t", "_z").alias("last_t"))
+        b = b.join(common, list(TRIAL), "left").withColumn("_a", F.greatest("first_t", "_a")).withColumn("_z", F.least("last_t", "_z"))
+        meet = F.col("_z") > F.col("_a")
+        b = b.select(*TRIAL, F.when(meet, F.col("_a")).otherwise(F.col("first_t")).alias("first_t"), F.when(meet, F.col("_z")).otherwise(F.col("last_t")).alias("last_t"))
+    clip = lambda x, low, high: F.least(F.greatest(x, low), high)
     if explicit is not None:
-        out = b.select(*TRIAL, F.greatest(F.lit(float(explicit[0])), "first_t").alias("start_s"), F.least(F.lit(float(explicit[1])), "last_t").alias("end_s"))
+        if not explicit[1] > explicit[0]:
+            raise ValueError("an explicit window ends after its start")
+        out = b.select(*TRIAL, clip(F.lit(float(explicit[0])), F.col("first_t"), F.col("last_t")).alias("start_s"), clip(F.lit(float(explicit[1])), F.col("first_t"), F.col("last_t")).alias("end_s"))
     else:
+        if duration is None or not duration > 0:
+            raise ValueError("a duration above 0 is needed")
+        b = b.withColumn("_d", F.least(F.lit(float(duration)), F.col("last_t") - F.col("first_t")))
         middle = (F.col("first_t") + F.col("last_t")) / 2
-        if anchor == "spikes":
-            mid = spikes.groupBy(*TRIAL).agg(F.percentile("s", F.lit(0.5)).alias("mid"))
-            b = b.join(mid, list(TRIAL), "left").withColumn("mid", F.coalesce("mid", middle))
+        if start is not None:
+            begin = F.lit(float(start))
+        elif anchor == "start":
+            begin = F.col("first_t")
+        elif anchor == "spikes":
+            inside = spikes.join(b, list(TRIAL)).where(F.col("s").between(F.col("first_t"), F.col("last_t")))
+            b = b.join(inside.groupBy(*TRIAL).agg(F.percentile("s", F.lit(0.5)).alias("_mid")), list(TRIAL), "left")
+            begin = F.coalesce("_mid", middle) - F.col("_d") / 2
         else:
-            b = b.withColumn("mid", F.col("first_t") + duration / 2 if anchor == "start" else middle)
-        start = F.greatest(F.least(F.col("mid") - duration / 2, F.col("last_t") - duration), F.col("first_t"))
-        out = b.select(*TRIAL, start.alias("start_s"), F.least(start + duration, F.col("last_t")).alias("end_s"))
+            begin = middle - F.col("_d") / 2
+        begin = clip(begin, F.col("first_t"), F.col("last_t") - F.col("_d"))
+        out = b.select(*TRIAL, begin.alias("start_s"), (begin + F.col("_d")).alias("end_s"))
     return out.withColumn("end_s", strictly(F.col("end_s") <= F.col("start_s"), F.col("end_s"), "the snippet is empty", strict)).where("end_s > start_s")

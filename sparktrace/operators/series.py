@@ -19,17 +19,29 @@ def ordered() -> WindowSpec:
     return W.partitionBy(*TRIAL).orderBy("i")
 
 
-def sampling_rate(samples: DataFrame) -> DataFrame:
-    """1 / median of the positive differences of consecutive times."""
-    d = samples.withColumn("d", F.col("t") - F.lag("t").over(ordered())).where("d > 0")
-    return d.groupBy(*TRIAL).agg((1 / F.median("d")).alias("fs"))
+def sampling_rate(samples: DataFrame, strict: bool = False) -> DataFrame:
+    """1 / median of the positive differences of consecutive times. A trial without any drops out, or with `strict` is an error."""
+    d = samples.withColumn("d", F.col("t") - F.lag("t").over(ordered()))
+    if not strict:
+        return d.where("d > 0").groupBy(*TRIAL).agg((1 / F.median("d")).alias("fs"))
+    rates = d.groupBy(*TRIAL).agg((1 / F.median(F.when(F.col("d") > 0, F.col("d")))).alias("fs"))
+    name = F.concat_ws("/", *[F.col(c).cast("string") for c in TRIAL])
+    return rates.withColumn("fs", F.when(F.col("fs").isNull(), F.raise_error(F.concat(F.lit("no positive step in "), name))).otherwise(F.col("fs")))
+
+
+def without_rate(samples: DataFrame) -> DataFrame:
+    """Trials without a positive step, which have no sampling rate, with their number of samples."""
+    d = samples.withColumn("d", F.col("t") - F.lag("t").over(ordered()))
+    return d.groupBy(*TRIAL).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("_up")).where("_up = 0").drop("_up")
 
 
 def gap_segments(samples: DataFrame, rates: DataFrame | None = None, gap_factor: float = 4.0, by: tuple[str, ...] = TRIAL, name: str = "seg") -> DataFrame:
-    """Number of the segment of each sample; a new one starts where t - prev > gap_factor / fs. Without `rates` the samples have fs."""
+    """Number of the segment of each sample; a new one starts where t - prev > gap_factor / fs. Without `rates` the samples have fs. A rate that is
+    not above 0 is an error."""
     rows = samples if rates is None else samples.join(rates, list(TRIAL))
     order = W.partitionBy(*by).orderBy("i")
-    gap = F.col("t") - F.lag("t").over(order) > gap_factor / F.col("fs")
+    fs = F.when(F.col("fs") <= 0, F.raise_error(F.lit("a sampling rate must be above 0"))).otherwise(F.col("fs"))
+    gap = F.col("t") - F.lag("t").over(order) > gap_factor / fs
     return rows.withColumn("_new", F.coalesce(gap, F.lit(False)).cast("int")).withColumn(name, F.sum("_new").over(order)).drop("_new")
 
 
@@ -222,9 +234,9 @@ def align_piecewise(segments: DataFrame, grid: DataFrame, value: str = "y", by:
 
 
 def remap_timebase(samples: DataFrame, length: int) -> DataFrame:
-    """Times of each trial stretched to `length` points by relative position."""
+    """Times of each trial stretched to `length` points by relative position; a single time is repeated."""
     n = F.count("*").over(W.partitionBy(*TRIAL))
-    place = samples.withColumn("n", n).where("n > 1").select(*TRIAL, (F.col("i") / (F.col("n") - 1)).alias("t"), F.col("t").alias("y"))
+    place = samples.withColumn("n", n).select(*TRIAL, (F.col("i") / F.greatest(F.col("n") - 1, F.lit(1))).alias("t"), F.col("t").alias("y"))
     points = place.select(*TRIAL).distinct().select(*TRIAL, F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("k")).withColumn("q", F.col("k") / F.lit(float(length - 1)))
     return interpolate(place, points, "q").select(*TRIAL, "k", F.col("y").alias("t"))
 

@@ -195,9 +195,16 @@ def qc_overall(per_trial: DataFrame, least: float = 1.0) -> DataFrame:
 
 
 def dataset_profile(per_trial: DataFrame, samples: DataFrame, noise: DataFrame) -> DataFrame:
-    """Mean fs, noise(dataset, trial, noise) and rate, trials, samples and minutes of each dataset."""
+    """Mean fs, noise(dataset, trial, noise) and rate, neurons, trials, samples and minutes of each dataset.
+
+    Where the trials name their `neuron`, fs, noise and rate are first averaged over the trials of a neuron.
+    """
     n = samples.groupBy("dataset").agg(F.count("*").alias("samples"))
     per_trial = per_trial.join(noise, list(TRIAL), "left")
+    if "neuron" in per_trial.columns:
+        per = per_trial.groupBy("dataset", "neuron").agg(*[F.avg(c).alias(c) for c in ("fs", "noise", "rate")], F.count("*").alias("trials"), F.sum("duration").alias("duration"))
+        out = per.groupBy("dataset").agg(*[F.avg(c).alias(c) for c in ("fs", "noise", "rate")], F.count("*").alias("neurons"), F.sum("trials").alias("trials"), (F.sum("duration") / 60).alias("minutes"))
+        return out.join(n, "dataset")
     return per_trial.groupBy("dataset").agg(F.avg("fs").alias("fs"), F.avg("noise").alias("noise"), F.avg("rate").alias("rate"), F.count("*").alias("trials"), (F.sum("duration") / 60).alias("minutes")).join(n, "dataset")
 
 
@@ -256,6 +263,15 @@ def binary_agreement(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.coalesce(F.try_divide(F.count_if(x & y), F.count_if(x | y)), F.lit(1.0)).alias("jaccard"), F.avg((x == y).cast("double")).alias("same_flag"), F.avg((F.col("x") == F.col("y")).cast("double")).alias("same_value"))
 
 
+def max_abs_diff_of(left: DataFrame, right: DataFrame, by: list[str], place: str) -> DataFrame:
+    """Greatest absolute difference `d` of two arrays(*by, place, v) over places finite on both sides, of all groups of both: null where the
+    places differ, as the shapes do then, or none is finite on both sides."""
+    both = left.select(*by, place, F.col("v").alias("x"), F.lit(1).alias("_l")).join(right.select(*by, place, F.col("v").alias("y"), F.lit(1).alias("_r")), [*by, place], "full_outer")
+    d = F.abs(F.nanvl(F.col("x").cast("double"), F.lit(None)) - F.nanvl(F.col("y").cast("double"), F.lit(None)))
+    d = F.when(d < float("inf"), d)
+    return both.groupBy(*by).agg(F.when(F.count_if(F.col("_l").isNull() | F.col("_r").isNull()) == 0, F.max(d)).alias("d"))
+
+
 def max_abs_diff(pairs: DataFrame, by: list[str]) -> DataFrame:
     return pairs.groupBy(*by).agg(F.max(F.abs(F.col("x") - F.col("y"))).alias("d"))
 

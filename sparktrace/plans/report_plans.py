@@ -64,6 +64,12 @@ add("d33_timing_summary", lambda t: P.timing_summary(t.read("orders").select(F.c
        SELECT backend, n, round(mean, 6) AS mean, round(median, 6) AS median, round(min, 6) AS min, round(max, 6) AS max, round(std, 6) AS std, round((SELECT mean FROM p WHERE backend = '5-LOW')/mean, 6) AS speed_up FROM p""")
 
 
+add("d33_timing_against_the_first", lambda t: P.timing_summary(t.read("orders").select(F.col("o_orderpriority").alias("backend"), F.col("o_totalprice").alias("seconds"))).select("backend", "n", "speed_up"), "",
+    "WITH p AS (SELECT o_orderpriority AS backend, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY ALL) SELECT backend, n, round((SELECT mean FROM p ORDER BY backend LIMIT 1)/mean, 6) AS speed_up FROM p")
+add("f4_subset_by_name", lambda t: P.seeded_subset(t.read("part").select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 0.1, name="parts"), "",
+    f"SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5(CAST(('0x' || substr(sha256('parts|0.100000'), 1, 8))::BIGINT AS VARCHAR) || ':' || p_partkey), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE r <= greatest(1, ceil(n*0.1e0))")
+
+
 def _entries(t):
     """Cache entries of the suppliers: tags with a valid epoch, with another one, and stems that only look alike (`rec1` and `rec12`)."""
     s, k = t.read("supplier"), F.col("s_suppkey")
@@ -158,8 +164,10 @@ add("g5_upsert_method_entry", lambda t: method_entries(t)[0].select("o_custkey",
     f"""WITH {ENTRY} SELECT en.o_custkey, method, place, substr(sha256('{{"total":"' || CAST(o_totalprice AS VARCHAR) || '"}}'), 1, 16) AS cache_key FROM en JOIN orders ON o_orderkey = src""")
 add("g5_methods_run", lambda t: method_entries(t)[1].select("o_custkey", F.array_join("methods_run", ",").alias("methods")), "",
     f"WITH {ENTRY} SELECT o_custkey, string_agg(method, ',' ORDER BY place, method) AS methods FROM (SELECT o_custkey, method, min(place) AS place FROM en GROUP BY ALL) GROUP BY ALL")
-add("g6_union_method_outputs", lambda t: t.preds.where("method = 'unet'").unionByName(t.preds.where("method = 'unet'").withColumn("method", X.method_key(F.col("method"), F.lit("custom")))).groupBy("dataset", "method").agg(F.sum("prob").alias("total")), "preds",
-    "SELECT dataset, m AS method, round(sum(prob), 6) AS total FROM preds, (VALUES ('unet'), ('unet::custom')) v(m) WHERE method = 'unet' GROUP BY ALL")
+add("g6_union_method_outputs", lambda t: P.union_method_outputs(t.preds, t.preds.where("method <> 'sampler'").withColumn("prob", F.col("prob") * 2), "custom").select("dataset", "trial", "i", "t", "method", "prob"), "preds",
+    "SELECT dataset, trial, i, round(t, 6) AS t, method, round(prob, 6) AS prob FROM preds UNION ALL SELECT dataset, trial, i, round(t, 6), method || '::custom', round(2*prob, 6) FROM preds WHERE method <> 'sampler'")
+
+
 def catalogue(t):
     """Some trials without values, some with one too few."""
     y = F.when(F.col("trial") % 13 == 1, F.lit(None)).when(F.col("trial") % 13 == 2, F.slice("y", 1, 5)).otherwise(F.col("y"))

@@ -70,6 +70,8 @@ add("b21_smoothing_label", lambda t: t.trialwise.select("smoothing").union(t.rea
        SELECT smoothing, coalesce(x, 120e0) AS hz, CASE WHEN x IS NULL THEN 'raw' ELSE smoothing END AS again FROM h""")
 add("b22_expand_counts", lambda t: R.expand_counts(t.samples.select("dataset", "trial", "t", (F.col("y") / 10).alias("c"))), "samples",
     "SELECT dataset, trial, round(t, 6) AS s FROM (SELECT dataset, trial, t, unnest(range(0, CAST(round_even(y/10, 0) AS BIGINT))) FROM samples)")
+add("b22_expand_places", lambda t: R.expand_places(t.samples.select("dataset", "trial", "i", (F.col("y") / 20 - 1).alias("c")), 30.0), "samples",
+    "SELECT dataset, trial, round((i + 1)/30e0, 6) AS s FROM (SELECT dataset, trial, i, unnest(range(0, CAST(greatest(ceil(y/20 - 1), 0) AS BIGINT))) FROM samples)")
 add("b23_method_key", lambda t: t.trialwise.select("method", "smoothing").distinct().withColumn("key", X.method_key(F.col("method"), F.when(F.col("smoothing") != "raw", F.col("smoothing")))).select("key", X.method_base(F.col("key")).alias("base"), X.method_variant(F.col("key")).alias("variant"), X.method_rank(F.col("key"), ["sampler", "unet", "cnn"]).alias("rank")), "trialwise",
     """WITH k AS (SELECT DISTINCT method, CASE WHEN smoothing = 'raw' THEN '' ELSE smoothing END AS v FROM trialwise)
        SELECT method || CASE WHEN v = '' THEN '' ELSE '::' || v END AS key, method AS base, v AS variant, CAST(list_position(['sampler', 'unet', 'cnn'], method) AS BIGINT) AS rank FROM k""")
@@ -79,6 +81,23 @@ add("b24_display_snippet", lambda t: R.display_snippet(t.samples, t.spikes, 96.0
        SELECT dataset, trial, round(a, 6) AS start_s, round(least(a + 96, l), 6) AS end_s FROM d WHERE least(a + 96, l) > a""")
 
 
+def supports(t):
+    """Two segments of methods in most trials, which overlap in some and lie apart in others."""
+    b = R.bounds(t.samples)
+    a = F.when(F.col("trial") % 3 == 0, 400.0).otherwise(100.0)
+    one = F.array(F.struct((F.col("first_t") + a).alias("seg_start"), F.col("last_t").alias("seg_end")), F.struct(F.col("first_t").alias("seg_start"), (F.col("first_t") + 300).alias("seg_end")))
+    return b.where("trial % 5 > 0").select("dataset", "trial", F.explode(one).alias("s")).select("dataset", "trial", "s.*")
+
+
+COMMON = """b AS (SELECT dataset, trial, min(t) AS f0, max(t) AS l0 FROM samples GROUP BY ALL), m0 AS (SELECT *, CASE WHEN trial % 5 = 0 THEN f0 ELSE f0 + CASE WHEN trial % 3 = 0 THEN 400 ELSE 100 END END AS a, CASE WHEN trial % 5 = 0 THEN l0 ELSE least(l0, f0 + 300) END AS z FROM b),
+  m1 AS (SELECT dataset, trial, CASE WHEN z > a THEN a ELSE f0 END AS f, CASE WHEN z > a THEN z ELSE l0 END AS l FROM m0), m2 AS (SELECT *, least(150e0, l - f) AS d FROM m1)"""
+add("b24_snippet_inside_segments", lambda t: R.display_snippet(t.samples, t.spikes, 150.0, segments=supports(t)), "samples spikes",
+    f"""WITH {COMMON}, q AS (SELECT s.dataset, s.trial, quantile_cont(s, 0.5) AS mid FROM spikes s JOIN m2 ON m2.dataset = s.dataset AND m2.trial = s.trial WHERE s BETWEEN f AND l GROUP BY ALL), r AS (SELECT m2.*, greatest(f, least(coalesce(mid, (f + l)/2) - d/2, l - d)) AS a FROM m2 LEFT JOIN q ON q.dataset = m2.dataset AND q.trial = m2.trial)
+       SELECT dataset, trial, round(a, 6) AS start_s, round(a + d, 6) AS end_s FROM r""")
+add("b24_snippet_from_a_start", lambda t: R.display_snippet(t.samples, t.spikes, 150.0, segments=supports(t), start=25120.0), "samples spikes", f"WITH {COMMON}, r AS (SELECT *, least(greatest(25120e0, f), l - d) AS a FROM m2) SELECT dataset, trial, round(a, 6) AS start_s, round(a + d, 6) AS end_s FROM r")
+
+
+
 def config():
     return F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"), F.lit("size"), F.col("p_size").cast("string"))
 
@@ -120,5 +139,34 @@ add("h8_max_events_per_bin", lambda t: t.read("part").select("p_partkey", X.even
 add("h9_sample_units_to_seconds", lambda t: t.read("events").groupBy((F.col("user_id") % 10).alias("dataset")).agg(F.sort_array(F.collect_list("event_id")).alias("at")).select("dataset", F.posexplode(X.seconds(F.col("at"))).alias("k", "s")), "",
     "SELECT user_id % 10 AS dataset, row_number() OVER (PARTITION BY user_id % 10 ORDER BY event_id) - 1 AS k, round(event_id/1e4, 6) AS s FROM events")
 add("h10_json_to_rows", lambda t: t.samples.select("event_id", F.explode(F.from_json("props", "map<string,double>")).alias("key", "value")), "", "SELECT event_id, 'k' AS key, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS value FROM events")
+
+
+def combos(t):
+    rate, smooth, duty = F.col("p_retailprice") / 7, F.col("p_size") / 8, F.col("p_partkey") * 1e-6
+    made = t.read("part").select("p_partkey", X.combo_tag(F.col("p_name"), rate, smooth, duty, F.col("p_partkey") * 100).alias("tag"))
+    return made.select("p_partkey", "tag", *[c.alias(k) for k, c in X.parse_combo(F.col("tag")).items()])
+
+
+TOKEN = "replace(replace(replace(trim({0}), ' ', '_'), '.', 'p'), '/', '_')"
+add("h7_combo_tag_round_trip", combos, "",
+    f"""WITH p AS (SELECT p_partkey, {TOKEN.format("p_name")} AS run, printf('%g', p_retailprice/7) AS r, printf('%g', p_size/8e0) AS s, printf('%g', p_partkey*1e-6) AS d FROM part)
+       SELECT p_partkey, run || '_r' || replace(r, '.', 'p') || '_s' || replace(s, '.', 'p') || '_d' || replace(d, '.', 'p') || '_sb' || p_partkey*100 AS tag, run, CAST(r AS DOUBLE) AS rate, CAST(s AS DOUBLE) AS smooth, round(CAST(d AS DOUBLE), 6) AS duty, p_partkey*100 AS seed FROM p""")
+
+
+def tags_of_runs(t):
+    k = F.col("p_partkey")
+    methods = F.filter(F.array(F.when(k % 2 == 0, "sampler"), F.when(k % 3 == 0, "cnn"), F.when(k % 5 == 0, "unet")), lambda x: x.isNotNull())
+    rates = {"sampler": F.when(k % 4 != 0, F.col("p_size") / 4), "cnn": F.when(k % 9 != 0, F.col("p_size"))}
+    marks = {"sampler": F.concat(F.when(k % 8 == 0, F.concat(F.lit("_ms"), (k % 7).cast("string"))).otherwise(F.lit("")), F.when(k % 16 == 0, "_c0y").otherwise("")), "cnn": F.when(k % 6 == 0, "_nodisc")}
+    run = X.run_tag(methods, [("sampler", "sampler"), ("cnn", "cnn|in"), ("unet", "unet")], rates, marks)
+    cache = X.cache_tag(F.col("p_brand"), F.col("p_type"), F.col("p_size"), rates["sampler"], F.col("p_retailprice") / 7e4)
+    return t.read("part").select("p_partkey", run.alias("run"), cache.alias("cache"))
+
+
+add("h7_run_and_cache_tags", tags_of_runs, "",
+    """WITH p AS (SELECT *, CASE WHEN p_partkey % 4 <> 0 THEN p_size/4e0 END AS fs FROM part)
+       SELECT p_partkey, coalesce(nullif(concat_ws('_', CASE WHEN p_partkey % 2 = 0 THEN 'sampler' || coalesce(replace(CAST(fs AS VARCHAR), '.', 'p'), 'raw') || CASE WHEN p_partkey % 8 = 0 THEN '_ms' || p_partkey % 7 ELSE '' END || CASE WHEN p_partkey % 16 = 0 THEN '_c0y' ELSE '' END END,
+         CASE WHEN p_partkey % 3 = 0 THEN 'cnn' || CASE WHEN p_partkey % 9 <> 0 THEN p_size || 'p0' ELSE 'in' END || CASE WHEN p_partkey % 6 = 0 THEN '_nodisc' ELSE '' END END, CASE WHEN p_partkey % 5 = 0 THEN 'unet' END), ''), 'no_methods') AS run,
+         p_brand || '_s' || replace(replace(p_type, '.', 'p'), ' ', '_') || '_ms' || p_size || '_rs' || coalesce(replace(printf('%g', fs), '.', 'p'), 'raw') || '_bm' || replace(printf('%.3g', p_retailprice/7e4), '.', 'p') AS cache FROM p""")
 add("f2_natural_sort", lambda t: t.read("part").select("p_brand").distinct().select("p_brand", F.row_number().over(W.orderBy(X.natural_key(F.col("p_brand")))).alias("place")), "",
     "SELECT p_brand, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)) AS place FROM (SELECT DISTINCT p_brand FROM part)")

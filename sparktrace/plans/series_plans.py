@@ -173,6 +173,9 @@ add("c14_align_components", lambda t: M.align_components(t.posterior.select("tag
 add("c15_sweep_grid", lambda t: M.sweep_grid(t.read("region").select(F.col("r_regionkey").cast("double").alias("rate")), t.read("nation").where("n_nationkey < 3").select((F.col("n_nationkey") / 2).alias("smooth")), t.read("nation").where("n_nationkey < 4").select((F.col("n_nationkey") / 10).alias("duty")), t.read("supplier").select(F.col("s_suppkey").alias("cell")), 11000, 100), "",
     """SELECT *, 11000 + combo*100 + cell AS seed FROM (SELECT *, row_number() OVER (ORDER BY rate, smooth, duty) - 1 AS combo FROM
          (SELECT CAST(r_regionkey AS DOUBLE) AS rate FROM region), (SELECT n_nationkey/2e0 AS smooth FROM nation WHERE n_nationkey < 3), (SELECT n_nationkey/10e0 AS duty FROM nation WHERE n_nationkey < 4)), (SELECT s_suppkey AS cell FROM supplier)""")
+add("c15_parameter_specs", lambda t: M.parameter_specs([9.0, 12.5], [1.3, 2.0, 0.00001], [0.35], t.read("supplier").select((F.col("s_suppkey") - 1).alias("place"), F.concat(F.lit("/x/param_samples_"), F.regexp_replace("s_name", "#", "_"), F.lit(".dat")).alias("name")), "my run/1", 11000, 100), "",
+    """WITH c AS (SELECT *, row_number() OVER (ORDER BY a, b) - 1 AS combo FROM (VALUES (0, 9e0, '9'), (1, 125e-1, '12p5')) r(a, rate, rt), (VALUES (0, 13e-1, '1p3'), (1, 2e0, '2'), (2, 1e-5, '1e-05')) s(b, smooth, st)), i AS (SELECT *, 11000 + combo*100 AS seed_base, 'my_run_1_r' || rt || '_s' || st || '_d0p35_sb' || (11000 + combo*100) AS combo_id FROM c)
+       SELECT combo, combo_id, rate, round(smooth, 6) AS smooth, 35e-2 AS duty, seed_base, s_suppkey - 1 AS place, 'bio_ml_' || replace(s_name, '#', '_') || '__' || combo_id AS tag, seed_base + s_suppkey - 1 AS noise_seed, round(1/(SELECT count(*) FROM supplier), 6) AS noise_fraction FROM supplier, i""")
 add("c16_resolve_model_by_tag", lambda t: M.model_by_tag(t.read("orders").select(F.col("o_orderkey").alias("model"), (F.col("o_orderkey") % 4 != 0).alias("has_checkpoint"), F.col("o_orderstatus").alias("run_tag"), F.split("o_orderpriority", "-").alias("synthetic")), "LOW").select("model"), "",
     "SELECT o_orderkey AS model FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderpriority LIKE '%-LOW'")
 

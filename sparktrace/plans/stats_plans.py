@@ -10,6 +10,7 @@ from sparktrace.operators import series as S
 from sparktrace.operators import stats as D
 from sparktrace.plans.registry import add
 from sparktrace.plans.series_plans import FS, REFLECT, SEG, kernel, noise_models  # noqa: F401
+from sparktrace.sources import validate as V
 
 TRIAL = ["dataset", "trial"]
 STEP = "d AS (SELECT dataset, trial, i, t, y, y - lag(y) OVER (PARTITION BY dataset, trial ORDER BY i) AS d FROM {0})"
@@ -236,3 +237,42 @@ add("d44_rebinned_correlation_plain", lambda t: B.rebinned_correlation(flags(t,
 add("a12_validate_traces", lambda t: D.validate(t.samples, t.spikes), "samples spikes",
     """WITH d AS (SELECT dataset, trial, y, t - lag(t) OVER (PARTITION BY dataset, trial ORDER BY i) AS d FROM samples), e AS (SELECT dataset, count(*) AS events FROM spikes GROUP BY ALL), w AS (SELECT dataset, count_if(c = 0) AS warnings FROM (SELECT dataset, trial, count(y) AS c FROM samples GROUP BY ALL) GROUP BY ALL)
        SELECT d.dataset, count(DISTINCT trial) AS trials, count(*) AS samples, count_if(y IS NULL) AS nulls, round(min(y), 6) AS least, round(max(y), 6) AS most, round(median(d), 6) AS dt, count_if(d <= 0) AS errors, any_value(w.warnings) AS warnings, any_value(events) AS events FROM d JOIN w ON w.dataset = d.dataset JOIN e ON e.dataset = d.dataset GROUP BY d.dataset""")
+
+
+def spoilt(t):
+    """Trials with missing or unequal arrays, a time that goes back, one time or none, and datasets that lack all times."""
+    k, times = F.col("trial"), F.col("t")
+    short = F.slice("t", 1, 9)
+    t_ = F.when((F.col("dataset") == 7) | (k % 11 == 3), F.transform("t", lambda x: F.lit(float("nan")))).when(k % 11 == 4, F.slice("t", 1, 1)).when(k % 11 == 5, short).when(k % 11 == 6, F.transform("t", lambda x, i: F.when(i == 5, 0.0).otherwise(x))).when(k % 11 == 7, F.lit(None)).otherwise(times)
+    y = F.when(k % 11 == 8, F.transform("y", lambda x: F.lit(None).cast("double"))).when(k % 11 == 4, F.slice("y", 1, 1)).otherwise(F.col("y"))
+    return t.wide.withColumn("t", t_).withColumn("y", y)
+
+
+def few_spikes(t):
+    return t.frames.where("y > 0.3 and dataset <> 4").select("dataset", F.col("t").alias("s"))
+
+
+SPOILT = """w AS (SELECT DISTINCT dataset, trial, trial % 11 AS m FROM frames), c AS (SELECT *, CASE WHEN m = 4 AND dataset <> 7 THEN 1 WHEN m = 5 AND dataset <> 7 THEN 9 WHEN m = 7 AND dataset <> 7 THEN 0 WHEN m = 3 OR dataset = 7 THEN 0 ELSE 64 END AS finite, CASE WHEN m = 3 OR dataset = 7 THEN 64 WHEN m = 4 THEN 1 WHEN m = 5 THEN 9 WHEN m = 7 THEN 0 ELSE 64 END AS nt, CASE WHEN m = 4 THEN 1 ELSE 64 END AS ny FROM w),
+  fi AS (SELECT dataset, trial, 'warning' AS level, 'shape' AS code, nt || ' times, ' || ny || ' values' AS detail FROM c WHERE nt <> ny UNION ALL SELECT dataset, trial, 'note', 'no_times', NULL FROM c WHERE finite = 0 UNION ALL SELECT dataset, trial, 'note', 'single_time', '0.0' FROM c WHERE finite = 1
+         UNION ALL SELECT dataset, trial, 'warning', 'no_values', NULL FROM c WHERE m = 8 AND finite > 0 UNION ALL SELECT dataset, trial, 'error', 'step', '1' FROM c WHERE m = 6 AND dataset <> 7 UNION ALL SELECT 7, NULL, 'error', 'no_epochs', NULL UNION ALL SELECT 4, NULL, 'note', 'no_spikes', NULL)"""
+add("a12_trial_findings", lambda t: V.trial_findings(spoilt(t), few_spikes(t)), "frames", f"WITH {SPOILT} SELECT dataset, trial, level, code, detail FROM fi")
+add("a12_inspected", lambda t: V.inspected(spoilt(t), few_spikes(t), V.trial_findings(spoilt(t), few_spikes(t))), "frames",
+    f"""WITH {SPOILT}, f AS (SELECT f.dataset, f.trial, i, CASE WHEN m = 6 AND i = 5 THEN 0 ELSE t END AS t, y, m, CASE WHEN f.dataset = 7 OR m IN (3, 7) THEN false WHEN m = 4 THEN i = 0 WHEN m = 5 THEN i < 9 ELSE true END AS ok, NOT (m = 8 OR (m = 4 AND i > 0)) AS yok FROM frames f JOIN w ON w.dataset = f.dataset AND w.trial = f.trial),
+       st AS (SELECT dataset, t - lag(t) OVER (PARTITION BY dataset, trial ORDER BY i) AS d FROM f WHERE ok), h AS (SELECT dataset, median(d) AS dt FROM st GROUP BY dataset),
+       p AS (SELECT dataset, count(DISTINCT CASE WHEN ok THEN trial END) AS epochs, count_if(ok) AS samples, min(CASE WHEN ok THEN t END) AS first_t, max(CASE WHEN ok THEN t END) AS last_t, min(CASE WHEN yok THEN y END) AS least, max(CASE WHEN yok THEN y END) AS most FROM f GROUP BY dataset)
+       SELECT p.dataset, epochs, samples, round(first_t, 6) AS first_t, round(last_t, 6) AS last_t, round(least, 6) AS least, round(most, 6) AS most, round(dt, 6) AS dt, (SELECT count(*) FROM frames x WHERE x.dataset = p.dataset AND x.y > 0.3e0 AND x.dataset <> 4) AS events,
+         (SELECT count(*) FROM fi WHERE fi.dataset = p.dataset AND level = 'error') AS errors, (SELECT count(*) FROM fi WHERE fi.dataset = p.dataset AND level = 'warning') AS warnings FROM p LEFT JOIN h ON h.dataset = p.dataset""")
+
+
+def ragged(t):
+    """Two arrays of each trial: of unequal length in some, without a common finite value in others."""
+    both = t.frames.select(*TRIAL, "i", F.col("y").alias("v"))
+    other = both.where("not (trial % 7 = 2 and i > 40)").withColumn("v", F.when(F.col("trial") % 7 == 3, F.lit(float("nan"))).when(F.col("trial") % 7 == 4, F.lit(None)).otherwise(F.col("v") * 2))
+    return both, other
+
+
+add("d24_max_abs_diff_of_shapes", lambda t: D.max_abs_diff_of(*ragged(t), TRIAL, "i"), "frames", "SELECT dataset, trial, CASE WHEN trial % 7 NOT IN (2, 3, 4) THEN round(max(abs(y)), 6) END AS d FROM frames GROUP BY dataset, trial")
+add("d17_dataset_profile_by_neuron", lambda t: D.dataset_profile(qc(t).withColumn("neuron", F.col("trial") % 3), t.samples, D.noise_level(t.samples, S.sampling_rate(t.samples))), "samples spikes",
+    f"""WITH {QC}, {STEP.format('samples')}, no AS (SELECT d.dataset, d.trial, median(abs(d))/sqrt(any_value(fs))*100 AS noise FROM d JOIN fs ON fs.trial = d.trial AND fs.dataset = d.dataset GROUP BY ALL), n AS (SELECT dataset, count(*) AS samples FROM samples GROUP BY dataset),
+       ne AS (SELECT qc.dataset, qc.trial % 3 AS neuron, avg(fs) AS fs, avg(noise) AS noise, avg(rate) AS rate, count(*) AS trials, sum(duration) AS duration FROM qc LEFT JOIN no ON no.trial = qc.trial AND no.dataset = qc.dataset GROUP BY ALL)
+       SELECT ne.dataset, round(avg(fs), 6) AS fs, round(avg(noise), 6) AS noise, round(avg(rate), 6) AS rate, count(*) AS neurons, CAST(sum(trials) AS BIGINT) AS trials, round(sum(duration)/60, 6) AS minutes, any_value(samples) AS samples FROM ne JOIN n ON n.dataset = ne.dataset GROUP BY ne.dataset""")
