@@ -18,6 +18,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 SIMILAR = 80
 #: Words from which a benchmark item is evidence; shorter ones occur in clean documents by chance.
 EVIDENCE = 6
+#: Times that a document of a scarce source may appear in the mixture.
+MOST_EPOCHS = 4.0
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,26 +47,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str, percent:
     return left.select(*COLUMNS).unionByName(again.select(*COLUMNS))
 
 
-def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark: 12 words of an item of which up to two are changed, or a shorter item of EVIDENCE words or more.
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str, evidence: int = EVIDENCE) -> DataFrame:
+    """Documents without a passage of the benchmark: 12 words of an item of which up to two are changed, or a shorter item of `evidence` words or more.
 
     A null or empty text has none; repeated rows stay or go together; very long texts are searched whole; an empty benchmark
     or table takes nothing; columns other than those of documents are dropped.
     """
     docs = docs.select(*COLUMNS)
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = found.where(F.col("longest") >= EVIDENCE).select(row_key("doc_id", "text").alias("row")).distinct()
+    gone = found.where(F.col("longest") >= evidence).select(row_key("doc_id", "text").alias("row")).distinct()
     return docs.select(*COLUMNS, row_key("doc_id", "text").alias("row")).join(gone, "row", "left_anti").select(*COLUMNS)
 
 
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str, most_epochs: float = MOST_EPOCHS) -> DataFrame:
     """All documents in the order of the mixture, so any first part of the table has the target weights.
 
-    Documents of scarce sources are repeated until the table as a whole has these weights too; none is dropped. A null source is
-    the source ''. Null, empty and very long texts and repeated rows are documents like others; an empty table gives none; columns other than those of
+    Documents of scarce sources are repeated, at most `most_epochs` times, until the table as a whole has these weights too; what a source
+    cannot fill goes to the others; none is dropped. A null source is the source ''. Null, empty and very long texts and repeated rows are documents like others; an empty table gives none; columns other than those of
     documents are dropped.
     """
-    placed = written(mixing.mix(docs.select(*COLUMNS), epochs=True), "mixture")
+    placed = written(mixing.mix(docs.select(*COLUMNS), epochs=True, most_epochs=most_epochs), "mixture")
     return placed.orderBy("slot", "place").select(*COLUMNS)
 
 
