@@ -159,7 +159,7 @@ def tags_of_runs(t):
     rates = {"sampler": F.when(k % 4 != 0, F.col("p_size") / 4), "cnn": F.when(k % 9 != 0, F.col("p_size"))}
     marks = {"sampler": F.concat(F.when(k % 8 == 0, F.concat(F.lit("_ms"), (k % 7).cast("string"))).otherwise(F.lit("")), F.when(k % 16 == 0, "_c0y").otherwise("")), "cnn": F.when(k % 6 == 0, "_nodisc")}
     run = X.run_tag(methods, [("sampler", "sampler"), ("cnn", "cnn|in"), ("unet", "unet")], rates, marks)
-    cache = X.cache_tag(F.col("p_brand"), F.col("p_type"), F.col("p_size"), rates["sampler"], F.col("p_retailprice") / 7e4)
+    cache = X.cache_tag(F.col("p_brand"), F.col("p_type"), F.col("p_size"), rates["sampler"], F.col("p_retailprice") / 68731)
     return t.read("part").select("p_partkey", run.alias("run"), cache.alias("cache"))
 
 
@@ -167,6 +167,6 @@ add("h7_run_and_cache_tags", tags_of_runs, "",
     """WITH p AS (SELECT *, CASE WHEN p_partkey % 4 <> 0 THEN p_size/4e0 END AS fs FROM part)
        SELECT p_partkey, coalesce(nullif(concat_ws('_', CASE WHEN p_partkey % 2 = 0 THEN 'sampler' || coalesce(replace(CAST(fs AS VARCHAR), '.', 'p'), 'raw') || CASE WHEN p_partkey % 8 = 0 THEN '_ms' || p_partkey % 7 ELSE '' END || CASE WHEN p_partkey % 16 = 0 THEN '_c0y' ELSE '' END END,
          CASE WHEN p_partkey % 3 = 0 THEN 'cnn' || CASE WHEN p_partkey % 9 <> 0 THEN p_size || 'p0' ELSE 'in' END || CASE WHEN p_partkey % 6 = 0 THEN '_nodisc' ELSE '' END END, CASE WHEN p_partkey % 5 = 0 THEN 'unet' END), ''), 'no_methods') AS run,
-         p_brand || '_s' || replace(replace(p_type, '.', 'p'), ' ', '_') || '_ms' || p_size || '_rs' || coalesce(replace(printf('%g', fs), '.', 'p'), 'raw') || '_bm' || replace(printf('%.3g', p_retailprice/7e4), '.', 'p') AS cache FROM p""")
+         p_brand || '_s' || replace(replace(p_type, '.', 'p'), ' ', '_') || '_ms' || p_size || '_rs' || coalesce(replace(printf('%g', fs), '.', 'p'), 'raw') || '_bm' || replace(printf('%.3g', p_retailprice/68731e0), '.', 'p') AS cache FROM p""")
 add("f2_natural_sort", lambda t: t.read("part").select("p_brand").distinct().select("p_brand", F.row_number().over(W.orderBy(X.natural_key(F.col("p_brand")))).alias("place")), "",
     "SELECT p_brand, row_number() OVER (ORDER BY CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT)) AS place FROM (SELECT DISTINCT p_brand FROM part)")
