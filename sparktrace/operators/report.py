@@ -57,16 +57,18 @@ def score_distribution(scores: DataFrame, series: list[str], sigma: float, reduc
     if reduce == "dataset":
         runs = [c for c in ("run",) if c in rows.columns and c not in series]  # the run is part of the bucket, as runs of a series are scored apart
         rows = rows.groupBy(*series, "smoothing", "dataset", *runs).agg(F.avg("correlation").alias("correlation"))
-    by = [*series, "smoothing"]
-    out = rows.groupBy(*by).agg(F.count("*").alias("n")).join(stats.quantiles(rows, by, "correlation", [0.05, 0.25, 0.5, 0.75, 0.95]), by)
-    place = rank(stats.quantiles(rows, series, "correlation", [0.5]).select(*series, F.col("q")[0].alias("_m")), "_m", series).drop("_m")
-    return out.join(place, series).select(*by, "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("p5", "p25", "p50", "p75", "p95"))], "place")
+    # One pass for both: of each series and smoothing, and of each series over all smoothings (a null one).
+    both = rows.where("smoothing is not null").withColumn("_s", F.explode(F.array("smoothing", F.lit(None).cast("string"))))
+    q = stats.quantiles(both, [*series, "_s"], "correlation", [0.05, 0.25, 0.5, 0.75, 0.95], number="n")
+    median = F.max(F.when(F.col("_s").isNull(), F.col("q")[2])).over(W.partitionBy(*series))
+    placed = q.withColumn("_m", median).withColumn("place", F.dense_rank().over(W.orderBy(F.desc_nulls_last("_m"), *series))).where("_s is not null")
+    return placed.select(*series, F.col("_s").alias("smoothing"), "n", *[F.col("q")[i].alias(c) for i, c in enumerate(("p5", "p25", "p50", "p75", "p95"))], "place")
 
 
 def dotplot_stats(scores: DataFrame, by: list[str]) -> DataFrame:
     rows = scores.where("correlation is not null")
-    q = stats.quantiles(rows, by, "correlation", [0.25, 0.5, 0.75])
-    return rows.groupBy(*by).agg(F.count("*").alias("n")).join(q, by).select(*by, "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
+    q = stats.quantiles(rows, by, "correlation", [0.25, 0.5, 0.75], number="n")
+    return q.select(*by, "n", F.col("q")[1].alias("median"), F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"))
 
 
 def directory_eval(scores: DataFrame, model: str) -> DataFrame:

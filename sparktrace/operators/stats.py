@@ -53,22 +53,26 @@ def robust_diff_std(samples: DataFrame, low: float = 0.05, high: float = 0.95) -
     return per.select(*TRIAL, F.coalesce(F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd")), F.lit(0.0)).alias("spread"))
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], bins: int = 1024) -> DataFrame:
-    """Exact quantiles `q` (an array in the order of `probs`) of the finite values of each group, however few and large the groups are.
+def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], bins: int = 1024, number: str | None = None) -> DataFrame:
+    """Exact quantiles `q` (an array in the order of `probs`) of the finite values of each group, however few and large the groups are; `number`
+    names a column for how many there are.
 
-    Counts in `bins` equal stretches of a group's range tell in which stretches the ranks lie; only their values are ordered,
-    each stretch on its own.
+    Equal values of a group are counted before all else, in one pass over the rows. Counts in `bins` equal stretches of a group's range
+    then tell in which stretches the ranks lie; only their values are ordered, each stretch on its own.
     """
     keys = by or ["_all"]
     rows = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(*by, *([] if by else [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
-    span = rows.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.count("*").alias("_n"))
-    placed = rows.join(span, keys).withColumn("_bin", F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_a"), F.col("_z") - F.col("_a")) * bins), F.lit(0)), F.lit(bins - 1)))
-    counts = placed.groupBy(*keys, "_bin", "_n").agg(F.count("*").alias("_c"))
-    counts = counts.withColumn("_before", F.sum("_c").over(W.partitionBy(*keys).orderBy("_bin")) - F.col("_c"))
+    rows = rows.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    span = rows.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_z"), F.sum("_c").alias("_n"))
+    placed = rows.join(span.withColumnsRenamed({k: f"_of_{k}" for k in keys}), [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]).drop(*[f"_of_{k}" for k in keys])
+    placed = placed.withColumn("_bin", F.least(F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_a"), F.col("_z") - F.col("_a")) * bins), F.lit(0)), F.lit(bins - 1)))
+    counts = placed.groupBy(*keys, "_bin", "_n").agg(F.sum("_c").alias("_b"))
+    counts = counts.withColumn("_before", F.sum("_b").over(W.partitionBy(*keys).orderBy("_bin")) - F.col("_b"))
     ends = lambda p: (F.lit(p) * (F.col("_n") - 1), F.floor(F.lit(p) * (F.col("_n") - 1)), F.ceil(F.lit(p) * (F.col("_n") - 1)))
     wanted = F.array_distinct(F.flatten(F.array(*[F.array(lo, hi) for _, lo, hi in map(ends, probs)])))
-    needed = counts.withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).where(F.size("_ranks") > 0).select(*keys, "_bin", "_before", "_ranks")
-    values = placed.join(needed, [*keys, "_bin"]).groupBy(*keys, "_bin", "_v").agg(F.count("*").alias("_c"), F.first("_before").alias("_before"), F.first("_ranks").alias("_ranks"), F.first("_n").alias("_n"))
+    needed = counts.withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_b")))).where(F.size("_ranks") > 0)
+    needed = needed.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_bin").alias("_of_bin"), "_before", "_ranks")
+    values = placed.join(needed, [*[F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys], F.col("_bin") == F.col("_of_bin")]).select(*keys, "_bin", "_v", "_c", "_before", "_ranks", "_n")
     last = F.col("_before") + F.sum("_c").over(W.partitionBy(*keys, "_bin").orderBy("_v"))
     hits = values.withColumn("_last", last).select(*keys, "_n", "_v", F.explode(F.filter("_ranks", lambda r: (r >= F.col("_last") - F.col("_c")) & (r < F.col("_last")))).alias("_r"))
     per = hits.groupBy(*keys, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))
@@ -77,7 +81,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], bi
         at, lo, hi = ends(p)
         return F.element_at("_m", lo) + (F.element_at("_m", hi) - F.element_at("_m", lo)) * (at - lo)
 
-    return per.select(*by, F.array(*map(one, probs)).alias("q"))
+    return per.select(*by, F.array(*map(one, probs)).alias("q"), *([F.col("_n").alias(number)] if number else []))
 
 
 def drift_sigma(samples: DataFrame, rates: DataFrame, quiet: DataFrame) -> DataFrame:
