@@ -243,7 +243,7 @@ def searched(vectors: DataFrame, items: list[np.ndarray], weights: np.ndarray, n
             if out:
                 yield from pa.Table.from_pandas(pd.concat(out), preserve_index=False).to_batches()
 
-    ranked = vectors.where(F.length("terms") > 0).mapInArrow(run, "item long, doc_id long, score long")
+    ranked = vectors.mapInArrow(run, "item long, doc_id long, score long")
     return ranked.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
@@ -252,7 +252,7 @@ def search_block(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
     words = [sorted({w for part in terms_of((text or "").encode()) for w in part}) for _, text in items]
     vocabulary = {w: i for i, w in enumerate(sorted(set().union(*words)))}
     vectors = written(restricted(docs, vocabulary), "term-vectors")
-    n_docs, n_terms = vectors.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0))).first()
+    n_docs, n_terms, held = vectors.agg(F.count_if(F.col("n") > 0), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.length("terms") > 0)).first()
     df = frequencies(vectors, len(vocabulary)) if vocabulary else np.zeros(0, np.int64)
     by_rank = np.argsort(-df, kind="stable")
     rank_of = np.empty(len(df), dtype=np.int32)
@@ -265,7 +265,9 @@ def search_block(docs: DataFrame, items: list[tuple], k: int) -> DataFrame:
             yield batch.set_column(2, "terms", pa.array(terms, pa.binary()))
 
     weights = np.array([weight(n_docs, int(d)) for d in df[by_rank]], dtype=np.int64)
-    found = searched(vectors.mapInArrow(renumber, VECTOR), [rank_of[[vocabulary[w] for w in ws]] if ws else np.zeros(0, np.int32) for ws in words], weights, n_docs, max(n_terms, 1), k)
+    # The vectors are a small part of the texts; dealt out by their number, a task grows one tree whatever the input's size.
+    dealt = vectors.where(F.length("terms") > 0).repartition(held // TREE_ROWS + 1)
+    found = searched(dealt.mapInArrow(renumber, VECTOR), [rank_of[[vocabulary[w] for w in ws]] if ws else np.zeros(0, np.int32) for ws in words], weights, n_docs, max(n_terms, 1), k)
     best = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     return written(found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k), "ranked")
 
