@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.operators import match, series
@@ -14,46 +15,117 @@ TRIAL = ("dataset", "trial")
 PIECE = (*TRIAL, "method")
 
 
+#: A gap between time stamps longer than so many samples begins a new segment.
+GAP = 4.0
+
+
+def event_rate(start: float, end: float, events: np.ndarray, fs: float, kernel: np.ndarray, binning: str = "linear") -> tuple[np.ndarray, np.ndarray]:
+    """Grid of ceil(duration * fs) + 1 points from start to end and the smoothed number of events at each. linear: an event is split between
+    the floor and the next point; round: half-even; floor."""
+    n = int(np.ceil((end - start) * fs)) + 1
+    x = (events[(events >= start) & (events <= end)] - start) * fs
+    low = np.floor(x)
+    at, weight = (np.concatenate((low, low + 1)), np.concatenate((1 - (x - low), x - low))) if binning == "linear" else (np.rint(x) if binning == "round" else low, np.ones(len(x)))
+    inside = at < n
+    counts = np.bincount(at[inside].astype(np.int64), weights=weight[inside], minlength=n)
+    return start + np.arange(n) * (end - start) / max(n - 1, 1), series.convolved(counts, kernel)
+
+
 def reference(windows: DataFrame, spikes: DataFrame, fs: float, sigma_ms: float, binning: str = "linear") -> DataFrame:
-    """Smoothed event rate on the grid of each different window: dataset, trial, start_s, end_s, k, q, rate."""
-    spans = windows.select(*TRIAL, "start_s", "end_s").distinct()
-    rates = series.event_rates(series.event_grid(spans, fs), spikes, binning)
-    return series.smooth_rows(rates.select(*TRIAL, "start_s", "end_s", "k", "q", "rate"), [*TRIAL, "start_s", "end_s"], sigma_ms / 1000 * fs, "rate", ("q",))
+    """Smoothed event rate on the grid of each different window: dataset, trial, start_s, end_s, k, q, rate.
+
+    A trial's windows and events meet in one row, as arrays.
+    """
+    kernel = series.gaussian_kernel(sigma_ms / 1000 * fs)
+
+    @F.pandas_udf("array<array<struct<q:double,rate:double>>>")
+    def rates(start: pd.Series, end: pd.Series, events: pd.Series) -> pd.Series:
+        grid = lambda a, z, s: [{"q": q, "rate": r} for q, r in zip(*event_rate(a, z, s, fs, kernel, binning))]
+        return pd.Series([[grid(a, z, np.asarray(s, dtype=float)) for a, z in zip(aa, zz)] for aa, zz, s in zip(start, end, events)])
+
+    spans = windows.groupBy(*TRIAL).agg(F.collect_set(F.struct("start_s", "end_s")).alias("w"))
+    both = spans.join(spikes.groupBy(*TRIAL).agg(F.collect_list("s").alias("s")), list(TRIAL), "left")
+    found = both.select(*TRIAL, "w", rates("w.start_s", "w.end_s", F.coalesce("s", F.array().cast("array<double>"))).alias("g"))
+    each = found.select(*TRIAL, F.explode(F.arrays_zip("w", "g")).alias("p")).select(*TRIAL, "p.w.start_s", "p.w.end_s", F.posexplode("p.g").alias("k", "x"))
+    return each.select(*TRIAL, "start_s", "end_s", "k", "x.q", "x.rate")
 
 
 def usable(windows: DataFrame) -> DataFrame:
     return windows.where(finite("start_s") & finite("end_s") & (F.col("end_s") > F.col("start_s")))
 
 
-def smoothed_segments(rows: DataFrame, sigma_ms: float, right_labelled: tuple[str, ...]) -> DataFrame:
-    """Predictions `rows(.., i, t, prob, fs, seg)` smoothed inside each of their segments: .., seg, t, y, part.
+class Prediction:
+    """A method's values in a trial, cut at gaps and smoothed inside each segment.
 
     Values that are not finite are dropped first; values of right-labelled methods then move to the place before them, the last is
-    0; segments of fewer than two values drop out. `part` numbers the pieces between gaps that the dropped values left.
+    0; segments of fewer than two values have none. Pieces lie between the gaps that the dropped values left.
     """
-    whole = W.partitionBy(*PIECE, "seg")
-    kept = rows.where(finite("prob")).withColumn("n", F.count("*").over(whole)).where("n >= 2")
-    moved = F.lead("prob", 1, 0.0).over(whole.orderBy("i"))
-    kept = kept.withColumn("y", F.when(F.col("method").isin(list(right_labelled)), moved).otherwise(F.col("prob")))
-    kept = series.gap_segments(kept, by=(*PIECE, "seg"), name="part").withColumn("k", F.col("i"))
-    return series.smooth_rows(kept, [*PIECE, "seg"], sigma_ms / 1000 * F.col("fs"), "y", ("t", "part"))
+
+    def __init__(self, t: np.ndarray, values: np.ndarray, fs: float, sigma_ms: float, right_labelled: bool):
+        if not fs > 0:
+            raise ValueError("a sampling rate must be above 0")
+        self.t, self.values, self.step, self.right = t, values, GAP / fs, right_labelled
+        self.kernel, self.known = series.gaussian_kernel(sigma_ms / 1000 * fs), {}
+        self.first = np.concatenate(([0], np.flatnonzero(np.diff(t) > self.step) + 1)) if len(t) else np.zeros(0, np.int64)
+        self.bounds = [f.reduceat(t, self.first) if len(t) else t for f in (np.minimum, np.maximum)]
+
+    def segment(self, seg: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Times, smoothed values and piece of each value of a segment."""
+        if seg not in self.known:
+            part = slice(self.first[seg], self.first[seg + 1] if seg + 1 < len(self.first) else len(self.t))
+            t, y = self.t[part], self.values[part]
+            t, y = t[np.isfinite(y)], y[np.isfinite(y)]
+            if len(y) < 2:
+                t, y = t[:0], y[:0]
+            elif self.right:
+                y = np.append(y[1:], 0.0)
+            self.known[seg] = t, series.convolved(y, self.kernel), np.concatenate(([0], np.cumsum(np.diff(t) > self.step))) if len(t) else t
+        return self.known[seg]
+
+    def at(self, seg: int, q: np.ndarray) -> np.ndarray:
+        """Values of a segment at rising points, interpolated inside its pieces; NaN elsewhere."""
+        t, y, piece = self.segment(seg)
+        out = np.full(len(q), np.nan)
+        before, after = np.searchsorted(t, q, side="right") - 1, np.searchsorted(t, q, side="left")
+        ok = (before >= 0) & (after < len(t))
+        b, a = before[ok], after[ok]
+        same = t[b] == q[ok]
+        share = np.where(same, 0.0, (q[ok] - t[b]) / np.where(same, 1.0, t[a] - t[b]))
+        out[ok] = np.where(same, y[b], np.where(piece[b] == piece[a], y[b] + (y[a] - y[b]) * share, np.nan))
+        return out
 
 
 def window_pairs(preds: DataFrame, spikes: DataFrame, windows: DataFrame, rates: DataFrame, fs: float, sigma_ms: float, right_labelled: tuple[str, ...] = (), binning: str = "linear") -> DataFrame:
     """Pairs (rate, y) of the event rate and each prediction on the own grid of each window(dataset, trial, k, start_s, end_s).
 
-    A method's time stamps are cut at gaps; one segment answers for a window: that of its place if there are as many
+    A method's time stamps, which rise, are cut at gaps; one segment answers for a window: that of its place if there are as many
     segments as windows, else the one with the greatest overlap. `y` is null where it does not reach. Windows
     that are not finite or not longer than 0 give no pairs.
+
+    A trial's windows and events and each of its predictions meet in one row as arrays, so all is joined by the trial alone.
     """
-    ref = reference(usable(windows), spikes, fs, sigma_ms, binning).withColumnRenamed("k", "place")
-    rows = series.gap_segments(preds, rates, by=PIECE)
-    bounds = rows.groupBy(*PIECE, "seg").agg(F.min("t").alias("seg_start"), F.max("t").alias("seg_end"))
-    chosen = match.match_segment(bounds, windows.join(bounds.select(*PIECE).distinct(), list(TRIAL)), PIECE)
-    points = usable(windows).select(*TRIAL, "k", "start_s", "end_s").join(ref, [*TRIAL, "start_s", "end_s"]).join(chosen, [*TRIAL, "k"])
-    points = points.select(*PIECE, F.coalesce("seg", F.lit(-1)).alias("seg"), "k", "place", "q", "rate")
-    aligned = series.align_piecewise(smoothed_segments(rows, sigma_ms, right_labelled), points, by=(*PIECE, "seg"), piece="part")
-    return aligned.select(*PIECE, "k", "place", "rate", "y")
+    kernel = series.gaussian_kernel(sigma_ms / 1000 * fs)
+
+    @F.pandas_udf("array<struct<k:long,place:int,rate:double,y:double>>")
+    def pairs(method: pd.Series, t: pd.Series, values: pd.Series, own_fs: pd.Series, k: pd.Series, start: pd.Series, end: pd.Series, events: pd.Series) -> pd.Series:
+        out = []
+        for m, *arrays in zip(method, t, values, start, end, events, own_fs, k):
+            times, y, a, z, s = (np.asarray(x, dtype=float) for x in arrays[:5])
+            number, prediction, rows = np.asarray(arrays[6]), Prediction(times, y, arrays[5], sigma_ms, m in right_labelled), []
+            chosen = match.segments_of_windows(*prediction.bounds, np.arange(len(prediction.first)), a, z, number, False)
+            for w in np.flatnonzero(np.isfinite(a) & np.isfinite(z) & (z > a)):
+                q, rate = event_rate(a[w], z[w], s, fs, kernel, binning)
+                v = prediction.at(chosen[w], q) if chosen[w] is not None else np.full(len(q), np.nan)
+                rows += [{"k": number[w], "place": i, "rate": r, "y": None if np.isnan(x) else x} for i, (r, x) in enumerate(zip(rate, v))]
+            out.append(rows)
+        return pd.Series(out)
+
+    packed = preds.groupBy(*PIECE).agg(F.sort_array(F.collect_list(F.struct("i", "t", F.col("prob").cast("double").alias("prob")))).alias("a"))
+    wins = windows.groupBy(*TRIAL).agg(F.collect_list(F.struct(F.col("k").cast("long").alias("k"), "start_s", "end_s")).alias("w"))
+    fired = spikes.groupBy(*TRIAL).agg(F.collect_list("s").alias("s"))
+    both = packed.join(rates, list(TRIAL)).join(wins, list(TRIAL)).join(fired, list(TRIAL), "left")
+    found = pairs("method", "a.t", "a.prob", "fs", "w.k", "w.start_s", "w.end_s", F.coalesce("s", F.array().cast("array<double>")))
+    return both.select(*PIECE, F.inline(found)).withColumn("k", F.col("k").cast(windows.schema["k"].dataType))
 
 
 def corr_per_trial(pairs: DataFrame, windows: DataFrame, preds: DataFrame) -> DataFrame:
