@@ -86,6 +86,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict | None:
 
     Rows are chosen by id alone, one for each id (that with the smallest lang and text), then their whole texts are counted in
     tasks; the driver gets `sample` vectors at most. Rows with a null id, text or lang are left out, as are rows whose lang is the name for unknown.
+    Texts count whole, however long; an empty text is one without grams; no other column is read.
     """
     usable = F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN) & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))
     rows = docs.where(usable).select(F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
@@ -122,7 +123,8 @@ def identify(docs: DataFrame, model: dict | None) -> DataFrame:
     """One row per row of `docs`: doc_id, lang_pred, score, rejected. Whole texts.
 
     `und` with score 0 if the text is null or has no letter, or if there is no model. `rejected`: the calibrated
-    score is below the threshold at which 1 % of correct rows are lost, as text in no learned language would be.
+    score is below the threshold at which 1 % of correct rows are lost, as text in no learned language would be. A null id is kept; repeated rows are
+    predicted alike; of equal scores the first language by name counts; an empty table gives no rows. Only doc_id and text are read.
     """
 
     def run(batches):

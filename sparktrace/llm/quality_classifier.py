@@ -128,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int
     passage vectors written. In the order of the hash the driver takes each document, whole, that
     leaves the passages taken at most `passages` together.
     A row with a null id or label is left out, as is one whose id is no whole number; of a repeated id the greatest label and the smallest text count.
+    Null, empty and very long texts are encoded like any others; empty tables give no model; only doc_id, text and quality are read.
     """
     number = F.col("doc_id").cast("string").try_cast("long").alias("doc_id")
     marked = labels.select(number, "quality").where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y")).where(~held_out(F.col("doc_id")))
@@ -155,7 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int
 
 
 def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """All columns of `docs` and `quality_score` (double, 0 to 1). Whole texts; 0.5 for all without a model."""
+    """All columns of `docs` and `quality_score` (double, 0 to 1), one row for each; 0.5 for all without a model.
+
+    Null and empty texts are one passage of zeros; very long texts count whole; repeated rows are scored alike; an empty table gives no
+    rows. Only the text enters a score; a column named quality_score is replaced, whatever its case.
+    """
 
     def run(batches):
         for batch in batches:

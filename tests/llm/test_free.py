@@ -364,6 +364,30 @@ def test_temperature_and_rejection():
     assert abs((right < least).mean() - language_id.LOST) < 2e-3
 
 
+def test_predictions_equal_loops_over_the_model(spark):
+    """What the query returns for every row, from the model and the text alone: languages by grams, quality by passages."""
+    from math import exp
+
+    docs, labels = awkward(spark), spark.createDataFrame([(i, i % 2) for i in range(140)], "doc_id long, quality int")
+    model, found = language_id.fit(docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "de").otherwise("en"))), {}
+    for r in language_id.identify(docs, model).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        x = language_id.gram_counts(np.frombuffer(r["text"].encode(), dtype=np.uint8))
+        z = [sum(float(x[k]) * float(model["fold"][k, j]) for k in np.flatnonzero(x)) / model["temperature"] + float(model["bias"][j]) / model["temperature"] for j in range(len(model["langs"]))]
+        p = [exp(v - max(z)) for v in z]
+        assert abs(r["score"] - max(p) / sum(p)) < 1e-4
+        found[r["lang_pred"]] = True
+        assert p[model["langs"].index(r["lang_pred"])] > max(p) * (1 - 1e-4) and r["rejected"] == (r["score"] < model["least"])
+    assert found
+    fitted = quality_classifier.fit(docs, labels)
+    rows = quality_classifier.score(docs.where("length(text) < 2000 or text is null"), fitted).collect()
+    assert len(rows) > 30
+    for r in rows:
+        assert abs(r["quality_score"] - brute_score(fitted, quality_classifier.encode(np.frombuffer((r["text"] or "").encode(), dtype=np.uint8)))) < 1e-6
+
+
 def test_text_in_no_learned_language_is_rejected(spark):
     docs = spark.read.parquet(f"{FOLDER.replace('0.001', '0.01')}/documents.parquet")
     model = language_id.fit(docs)
