@@ -250,8 +250,8 @@ def high(t):
 
 
 add("k1_noise_calibration", calibration, "frames", f"WITH {CAL} SELECT dataset, trial, round(base, 6) AS base, CAST(replicas AS BIGINT) AS replicas, round(added, 6) AS added FROM ca")
-add("k2_noisy_replicas", lambda t: K.noisy_replicas(t.frames, high(t), calibration(t).withColumn("replicas", F.least("replicas", F.lit(3))), 30.0, 30.5).groupBy(*TRIAL, "replica").agg(F.count("*").alias("n"), F.sum("events").alias("events"), F.sum("y").alias("total")), "frames",
-    f"""WITH {CAL}, rp AS (SELECT dataset, trial, added, unnest(range(1, CAST(least(replicas, 3) AS BIGINT) + 1)) AS replica FROM ca WHERE added IS NOT NULL), sh AS (SELECT dataset, trial, median(sqrt(abs(y + 1))) AS shot FROM frames GROUP BY ALL),
+add("k2_noisy_replicas", lambda t: K.noisy_replicas(t.frames, high(t), calibration(t), 30.0, 30.5).groupBy(*TRIAL, "replica").agg(F.count("*").alias("n"), F.sum("events").alias("events"), F.sum("y").alias("total")), "frames",
+    f"""WITH {CAL}, rp AS (SELECT dataset, trial, added, unnest(range(1, CAST(replicas AS BIGINT) + 1)) AS replica FROM ca WHERE added IS NOT NULL), sh AS (SELECT dataset, trial, median(sqrt(abs(y + 1))) AS shot FROM frames GROUP BY ALL),
        ev AS (SELECT dataset, trial, count_if(y > 0.3e0) AS events FROM frames GROUP BY ALL), nr AS (SELECT f.dataset, f.trial, replica, y + added*sqrt(abs(y + 1))/shot*{normal(2, "f.dataset", "f.trial", "i", "replica")} AS y FROM frames f JOIN rp ON rp.trial = f.trial AND rp.dataset = f.dataset JOIN sh ON sh.trial = f.trial AND sh.dataset = f.dataset)
        SELECT nr.dataset, nr.trial, replica, count(*) AS n, any_value(events) AS events, round(sum(y), 6) + 0 AS total FROM nr JOIN ev ON ev.trial = nr.trial AND ev.dataset = nr.dataset GROUP BY nr.dataset, nr.trial, replica""")
 def hashed(seed: int, *keys: str) -> str:
@@ -409,10 +409,11 @@ add("a6_read_run_tree", _through_tree, "trialwise",
 
 
 def _through_posterior_files(t):
-    """Samples of eight bins each of every tag; the files of log-probabilities lack the last sample of odd tags."""
+    """All rows of a tag as up to four samples of equal length; the files of log-probabilities lack the last sample of odd tags."""
     path = IO.shared_path(t.spark, "posterior")
-    rows = t.posterior.where("bin < 8").withColumn("n", F.count("*").over(W.partitionBy("tag", "sample"))).where("n = 8")
-    rows = rows.withColumn("sample", F.dense_rank().over(W.partitionBy("tag").orderBy("sample")) - 1)
+    rows = t.posterior.withColumn("k", F.row_number().over(W.partitionBy("tag").orderBy("sample", "bin")) - 1).withColumn("n", F.count("*").over(W.partitionBy("tag")))
+    samples = F.when(F.col("n") % 4 == 0, 4).when(F.col("n") % 3 == 0, 3).when(F.col("n") % 2 == 0, 2).otherwise(1)
+    rows = rows.withColumn("bins", (F.col("n") / samples).cast("long")).withColumn("sample", F.floor(F.col("k") / F.col("bins"))).withColumn("bin", F.col("k") % F.col("bins"))
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("sample", "burst", "b", "s", "c", "y")])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sample", "bin", line.alias("line")))), lambda x: x["line"]), "\n")
     files = rows.groupBy("tag").agg(F.concat(F.lit("index,burst,B,S,C,Y\n"), text).alias("text"), F.max("sample").alias("last"))
@@ -423,10 +424,12 @@ def _through_posterior_files(t):
 
 
 add("a7_read_posterior", _through_posterior_files, "posterior",
-    """WITH r AS (SELECT tag, dense_rank() OVER (PARTITION BY tag ORDER BY sample) - 1 AS sample, bin, burst, b, s, c, y FROM (SELECT *, count(*) OVER (PARTITION BY tag, sample) AS n FROM posterior WHERE bin < 8) WHERE n = 8), l AS (SELECT *, max(sample) OVER (PARTITION BY tag) AS last FROM r)
+    """WITH k AS (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY sample, bin) - 1 AS k, count(*) OVER (PARTITION BY tag) AS n FROM posterior), c AS (SELECT *, n//CASE WHEN n % 4 = 0 THEN 4 WHEN n % 3 = 0 THEN 3 WHEN n % 2 = 0 THEN 2 ELSE 1 END AS bins FROM k),
+       l AS (SELECT tag, k//bins AS sample, k % bins AS bin, burst, b, s, c, y, max(k//bins) OVER (PARTITION BY tag) AS last FROM c)
        SELECT tag, 1 AS trial, sample, bin, burst, round(b, 6) AS b, s, round(c, 6) AS c, round(y, 6) AS y, CAST(-sample AS DOUBLE) AS logp FROM l WHERE NOT (tag % 2 = 1 AND last > 0 AND sample = last)""")
 
 
+
 def _shapes(t):
     """Predictions of each dataset as one array, with shared times and with times of each trial."""
     rows = t.wide.withColumn("t", F.transform("t", lambda x, i: F.when((i == 3) & (F.col("trial") % 5 == 0), F.lit(float("nan"))).otherwise(x)))

@@ -1,5 +1,6 @@
 """Queries of aggregates and scores."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.operators import binning as B
@@ -163,10 +164,15 @@ RET = "la AS (SELECT tag, max(sample) AS last FROM {0} GROUP BY tag), ret AS (SE
 add("d18_posterior_mean_std", lambda t: D.posterior_mean_std(t.posterior, 2), "posterior",
     "WITH " + RET.format("posterior", 2) + " SELECT tag, bin, " + ", ".join(f"round(avg({c}), 6) AS {c}_mean, round(stddev_pop({c}), 6) AS {c}_std" for c in ("burst", "b", "s", "c")) + ", round(avg(c) + avg(b), 6) AS reconstruction FROM ret GROUP BY ALL")
 add("d19_map_sample", lambda t: D.map_sample(t.logp, 2), "logp", "WITH " + RET.format("logp", 2) + " SELECT tag, sample, logp FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY logp DESC, sample) AS r FROM ret) WHERE r = 1")
+def chains(t):
+    """All rows of a tag as one chain of parameter samples."""
+    return t.posterior.withColumn("sample", F.row_number().over(W.partitionBy("tag").orderBy("sample", "bin")) - 1)
+
+
 SIX = ["burst", "b", "s", "c", "y", "bin"]
 for burn in (100, 2, -1):
-    add(f"d20_posterior_param_mean_{'reset' if burn < 0 else burn}", lambda t, burn=burn: D.posterior_param_mean(t.posterior.where("sample = 0").select("tag", F.col("bin").alias("sample"), *SIX), burn, SIX), "posterior",
-        f"WITH r AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n FROM posterior WHERE sample = 0) SELECT tag, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in SIX) + f" FROM r WHERE bin >= CASE WHEN {burn} < 0 OR {burn} > n THEN 0 ELSE {burn} END GROUP BY tag")
+    add(f"d20_posterior_param_mean_{'reset' if burn < 0 else burn}", lambda t, burn=burn: D.posterior_param_mean(chains(t), burn, SIX), "posterior",
+        f"WITH r AS (SELECT *, count(*) OVER (PARTITION BY tag) AS n, row_number() OVER (PARTITION BY tag ORDER BY sample, bin) - 1 AS k FROM posterior) SELECT tag, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in SIX) + f" FROM r WHERE k >= CASE WHEN {burn} < 0 OR {burn} > n THEN 0 ELSE {burn} END GROUP BY tag")
 add("d21_compare_param_chains", lambda t: D.compare_chains(t.trialwise.where("correlation is not null").select("dataset", F.when(F.col("run") == "A", "a").when(F.col("run") == "N", "b").alias("side"), F.col("correlation").alias("v")), ["dataset"], "side", "v"), "trialwise",
     """WITH v AS (SELECT dataset, run, correlation AS v FROM trialwise WHERE correlation IS NOT NULL AND run IN ('A', 'N')), n AS (SELECT dataset, count_if(run = 'A') AS na, count_if(run = 'N') AS nb FROM v GROUP BY ALL),
        g AS (SELECT v.dataset, v, run, na, nb, abs(count_if(run = 'A') OVER w / na - count_if(run = 'N') OVER w / nb) AS gap FROM v JOIN n ON n.dataset = v.dataset WHERE na > 0 AND nb > 0 WINDOW w AS (PARTITION BY v.dataset ORDER BY v RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
