@@ -23,7 +23,7 @@ def key(r):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_sql(spark, name):
     c = duckdb.connect()
-    for t in "documents pages benchmark labels".split():
+    for t in "documents embeddings pages benchmark labels".split():
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{FOLDER}/{t}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     order = sorted(df.columns)
@@ -444,7 +444,7 @@ def test_matches_of_many_pieces(spark):
 
 @pytest.mark.parametrize("name", ["op1_sharding", "op4_quality_rules", "op5_decontaminate", "op6_mixing", "op9_pii", "op2_warc", "op3_token_counts", "op7_quality_classifier", "op8_near_dedup", "op10_language_id", "pipeline"])
 def test_empty_tables(spark, tmp_path, name):
-    for t in "documents pages benchmark labels".split():
+    for t in "documents embeddings pages benchmark labels".split():
         spark.read.parquet(f"{FOLDER}/{t}.parquet").limit(0).write.parquet(str(tmp_path / f"{t}.parquet"))
     if name == "pipeline":
         import corpus_pipeline
