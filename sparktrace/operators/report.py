@@ -75,12 +75,16 @@ def directory_eval(scores: DataFrame, model: str) -> DataFrame:
     return scores.groupBy(model).agg(F.count("*").alias("datasets"), F.count("correlation").alias("finite"), F.avg("correlation").alias("mean"), F.median("correlation").alias("median"), F.min("correlation").alias("min"), F.max("correlation").alias("max"))
 
 
-def leaderboard(models: DataFrame, name: str, score: str, top: int = 10) -> DataFrame:
-    """The best models among those whose names parse, with their parameters; then the first `baseline...` by name, with `baseline` true."""
+def leaderboard(models: DataFrame, name: str, score: str, top: int = 10, key: str | None = None) -> DataFrame:
+    """The best models among those whose names parse, with their parameters; then the first `baseline...` by name, with `baseline` true.
+
+    Of models that share a name the first by `key` counts first.
+    """
+    ties = [key] if key else []
     p = text.model_parameters(F.col(name))
     rows = models.select("*", *[c.alias(k) for k, c in p.items()])
-    best = rows.where("k is not null").orderBy(F.desc_nulls_last(score), name).limit(top).withColumn("baseline", F.lit(False))
-    base = rows.where(F.col(name).startswith("baseline")).orderBy(name).limit(1).withColumn("baseline", F.lit(True))
+    best = rows.where("k is not null").orderBy(F.desc_nulls_last(score), name, *ties).limit(top).withColumn("baseline", F.lit(False))
+    base = rows.where(F.col(name).startswith("baseline")).orderBy(name, *ties).limit(1).withColumn("baseline", F.lit(True))
     return best.unionByName(base)
 
 

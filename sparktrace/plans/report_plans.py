@@ -42,7 +42,7 @@ def models(t):
 
 
 MODELS = f"md AS (SELECT p_partkey, {MODEL_SQL} AS name, CASE WHEN p_partkey % 13 <> 0 THEN (p_retailprice % 97)/97 END AS score, p_partkey % 9 <> 0 AS ok, CAST(p_size AS DOUBLE) AS k, CAST(p_partkey % 30 AS DOUBLE) AS rate, p_size % 5 + (p_partkey % 10)/10e0 AS smooth, (p_partkey % 7)/10e0 AS duty FROM part)"
-add("d30_leaderboard", lambda t: P.leaderboard(models(t), "name", "score").select("name", "score", "k", "rate", "baseline"), "",
+add("d30_leaderboard", lambda t: P.leaderboard(models(t), "name", "score", key="p_partkey").select("name", "score", "k", "rate", "baseline"), "",
     f"WITH {MODELS}, a AS (SELECT name, round(score, 6) AS score, k, rate, false AS baseline FROM md WHERE ok ORDER BY md.score DESC NULLS LAST, name LIMIT 10), b AS (SELECT name, round(score, 6) AS score, CAST(NULL AS DOUBLE) AS k, CAST(NULL AS DOUBLE) AS rate, true AS baseline FROM md WHERE NOT ok ORDER BY name LIMIT 1) SELECT * FROM a UNION ALL SELECT * FROM b")
 
 

@@ -444,3 +444,8 @@ def test_method_entries_need_the_key_of_their_config(spark):
     new = spark.createDataFrame([(1, "m", 0, {"a": "1"}, "wrong")], schema)
     with pytest.raises(Exception, match="not that of the config"):
         report.upsert_method_entries(new.limit(0), new, ["g"])[0].collect()
+
+
+def test_baselines_of_one_name(spark):
+    rows = spark.createDataFrame([(k, "baseline_x", k / 100) for k in range(40, 2, -1)], "id int, name string, score double").repartition(8)
+    assert report.leaderboard(rows, "name", "score", key="id").first()["id"] == 3
