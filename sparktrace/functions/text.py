@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,17 +88,14 @@ def tag_token(value: Column) -> Column:
 def number_text(value: Column, digits: int = 6) -> Column:
     """A number in at most `digits` significant digits without trailing zeros, as tags have it: 9, 1.3, 0.35, 1e-05, 1e+06; null stays null.
 
-    A number whose decimal form lies half-way is rounded up.
+    The binary value itself is rounded, as by `%g`: 1.000025 lies below its decimal form and gives 1.00002. Of two equally near, the even one.
     """
-    v = value.cast("double")
-    exact = F.format_string(f"%.{digits - 1}e", v)
-    power = F.when(v == 0, F.lit(0)).otherwise(F.regexp_extract(exact, "e([+-][0-9]+)$", 1).try_cast("int"))
-    trim = lambda x: F.regexp_replace(F.when(F.contains(x, F.lit(".")), F.regexp_replace(x, "0+$", "")).otherwise(x), "[.]$", "")
-    mantissa = trim(F.regexp_extract(exact, "^(.*)e", 1))
-    plain = F.lit(None).cast("string")
-    for p in range(-4, digits):
-        plain = F.when(power == p, trim(F.format_string(f"%.{max(0, digits - 1 - p)}f", v))).otherwise(plain)
-    return F.when(v.isNotNull(), F.coalesce(plain, F.concat(mantissa, F.lit("e"), F.when(power < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.length(F.abs(power).cast("string"))), "0"))))
+
+    @F.pandas_udf("string")
+    def general(values: pd.Series) -> pd.Series:
+        return pd.Series([f"{x:.{digits}g}" for x in values])
+
+    return F.when(value.isNotNull(), general(value.cast("double")))
 
 
 def sanitized(value: Column) -> Column:

@@ -143,3 +143,9 @@ def test_skipped_families_and_second_models(spark):
 def test_a_single_time_is_repeated(spark):
     rows = spark.createDataFrame([(0, 0, 0, 7.0, 1.0), (0, 1, 0, 1.0, 1.0), (0, 1, 1, 3.0, 1.0)], ROWS)
     assert {(r["trial"], r["k"], r["t"]) for r in series.remap_timebase(rows, 3).collect()} == {(0, k, 7.0) for k in range(3)} | {(1, 0, 1.0), (1, 1, 2.0), (1, 2, 3.0)}
+
+
+def test_numbers_with_half_way_decimals(spark):
+    values = [1.000025, 1.000055, 1.000085, 1.000015, 0.1234565, 2.5, 0.5, 1234565.0, 1234575.0, 0.015625, 0.0000152587890625]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select(text.number_text(F.col("v")).alias("a"), text.number_text(F.col("v"), 1).alias("b")).collect()
+    assert [(r["a"], r["b"]) for r in rows] == [(f"{v:g}", f"{v:.1g}") for v in values] and rows[0]["a"] == "1.00002"
