@@ -72,6 +72,19 @@ def complete_sets(files: DataFrame) -> DataFrame:
     return per.groupBy("tag").agg(F.max(F.struct("required", "files", "parent")).alias("best")).select("tag", "best.*")
 
 
+def complete_trials(files: DataFrame, by: list[str]) -> DataFrame:
+    """The trials (0 without one) of each group that have a trajectory and a parameter file: *by, trial, n (all files of the trial)."""
+    per = files.groupBy(*by, F.coalesce("trial", F.lit(0)).cast("long").alias("trial"))
+    per = per.agg(F.count_if(F.col("kind") == "traj").alias("a"), F.count_if(F.col("kind") == "param").alias("b"), F.count("*").alias("n"))
+    return per.where("a > 0 and b > 0").select(*by, "trial", "n")
+
+
+def sets_with_trials(files: DataFrame) -> DataFrame:
+    """`complete_sets` with `complete`: how many trials of the chosen parent have both kinds of files."""
+    whole = complete_trials(files, ["tag", "parent"]).groupBy("tag", "parent").agg(F.count("*").alias("complete"))
+    return complete_sets(files).join(whole, ["tag", "parent"], "left").withColumn("complete", F.coalesce("complete", F.lit(0)))
+
+
 def sets_of_tags(tags: DataFrame, sets: DataFrame) -> DataFrame:
     """The set of complete artefacts for each tag: under the tag itself, else its stem before `_epoch`, its epoch id, or that id's stem."""
     t = F.col("tag")
@@ -130,7 +143,7 @@ def import_targets(entries: DataFrame, epochs: DataFrame, files: DataFrame, exis
     sets = complete_sets(files)
     found = sets_of_tags(entries.select("tag").distinct(), sets).select("tag", "found_as", "parent")
     own = found.join(files.select(F.col("tag").alias("found_as"), "parent", "kind", F.coalesce("trial", F.lit(0)).cast("long").alias("trial")), ["found_as", "parent"])
-    by_trial = own.groupBy("tag", "trial").agg(F.count_if(F.col("kind") == "traj").alias("a"), F.count_if(F.col("kind") == "param").alias("b"), F.count("*").alias("n")).where("a > 0 and b > 0")
+    by_trial = complete_trials(own, ["tag"])
     outputs = own.groupBy("tag").agg(F.count("*").alias("all_outputs")).join(by_trial.groupBy("tag").agg(F.map_from_entries(F.collect_list(F.struct("trial", "n"))).alias("trials")), "tag", "left")
     valid = epochs.select("epoch").distinct()
     any_valid = not epochs.isEmpty()

@@ -130,9 +130,10 @@ def artefacts(t):
     return t.read("lineitem").select(F.col("l_suppkey").alias("tag"), F.col("l_returnflag").alias("parent"), (F.col("l_orderkey") % 50).alias("trial"), kind.alias("kind"))
 
 
-add("c12_complete_artefact_set", lambda t: A.complete_sets(artefacts(t)), "",
-    """WITH p AS (SELECT l_suppkey AS tag, l_returnflag AS parent, count_if(l_linenumber % 3 = 0) AS traj, count_if(l_linenumber % 3 = 1) AS param, count(*) AS files FROM lineitem GROUP BY ALL)
-       SELECT tag, required, files, parent FROM (SELECT *, traj + param AS required, row_number() OVER (PARTITION BY tag ORDER BY traj + param DESC, files DESC, parent DESC) AS r FROM p WHERE traj > 0 AND param > 0) WHERE r = 1""")
+add("c12_complete_artefact_set", lambda t: A.sets_with_trials(artefacts(t)), "",
+    """WITH s AS (SELECT l_suppkey AS tag, l_returnflag AS parent, l_orderkey % 50 AS trial, count_if(l_linenumber % 3 = 0) AS traj, count_if(l_linenumber % 3 = 1) AS param, count(*) AS n FROM lineitem GROUP BY ALL),
+       p AS (SELECT tag, parent, count_if(traj > 0 AND param > 0) AS complete, CAST(sum(traj) AS BIGINT) AS traj, CAST(sum(param) AS BIGINT) AS param, CAST(sum(n) AS BIGINT) AS files FROM s GROUP BY ALL)
+       SELECT tag, complete, required, files, parent FROM (SELECT *, traj + param AS required, row_number() OVER (PARTITION BY tag ORDER BY traj + param DESC, files DESC, parent DESC) AS r FROM p WHERE traj > 0 AND param > 0) WHERE r = 1""")
 
 
 def tag_sets(t):

@@ -128,3 +128,9 @@ def test_counters_of_an_import_overlap(spark):
     assert artefacts.import_counters(targets).first().asDict() == {"scanned": 4, "unmatched": 0, "missing_epoch": 1, "remapped": 2, "skipped_existing": 1, "imported": 3, "missing_outputs": 2}
     assert artefacts.import_counters(artefacts.import_targets(entries, epochs, files, existing, need_outputs=True, overwrite=True)).first().asDict() == {"scanned": 4, "unmatched": 3, "missing_epoch": 0, "remapped": 1, "skipped_existing": 0, "imported": 2, "missing_outputs": 0}
     assert artefacts.import_counters(artefacts.import_targets(entries, epochs.limit(0), files, existing)).first()["imported"] == 4
+
+
+def test_complete_trials_of_the_chosen_parent(spark):
+    files = [("t", "a", "traj", 1), ("t", "a", "param", 1), ("t", "a", "traj", 2), ("t", "a", "param", 3), ("t", "b", "traj", 1), ("t", "b", "param", 1), ("u", "c", "traj", 1), ("u", "c", "param", 2)]
+    rows = artefacts.sets_with_trials(spark.createDataFrame(files, "tag string, parent string, kind string, trial int")).collect()
+    assert {(r["tag"], r["parent"], r["required"], r["complete"]) for r in rows} == {("t", "a", 4, 1), ("u", "c", 2, 0)}
