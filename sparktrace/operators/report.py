@@ -39,9 +39,12 @@ def series_labels(rows: DataFrame, label: str, run: str) -> DataFrame:
     return rows.withColumn("shown", F.when(n > 1, F.concat(F.col(label), F.lit(" ("), F.col(run), F.lit(")"))).otherwise(F.col(label)))
 
 
-def rank(rows: DataFrame, score: str, key: list[str], by: list[str] | None = None) -> DataFrame:
-    """Place by score descending, nulls last, key as tie-break; in each group of `by`."""
-    order = [F.desc_nulls_last(score), *key]
+def rank(rows: DataFrame, score: str, key: list[str], by: list[str] | None = None, digits: int | None = None) -> DataFrame:
+    """Place by score descending, nulls last, key as tie-break; in each group of `by`.
+
+    Scores that agree in `digits` decimals are equal, so means that differ only by the order in which their values were added are.
+    """
+    order = [F.desc_nulls_last(score if digits is None else F.round(score, digits)), *key]
     return rows.withColumn("place", F.row_number().over(W.partitionBy(*(by or [])).orderBy(*order)))
 
 

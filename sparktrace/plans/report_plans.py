@@ -114,7 +114,7 @@ add("f3_top_datasets", lambda t: R.select_datasets(t.samples, 4), "samples", "SE
 add("f3_top_models", lambda t: P.leaderboard(models(t), "name", "score", 3).where("not baseline").select("name", "score"), "", f"WITH {MODELS} SELECT name, round(score, 6) AS score FROM md WHERE ok ORDER BY md.score DESC NULLS LAST, name LIMIT 3")
 add("f4_seeded_subset", lambda t: P.seeded_subset(t.read("part").select("p_brand", "p_partkey"), ["p_brand"], "p_partkey", 0.25, 123), "",
     "SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY md5('123:' || p_partkey), p_partkey) AS r, count(*) OVER (PARTITION BY p_brand) AS n FROM part) WHERE r <= greatest(1, ceil(n*0.25e0))")
-add("f5_rank_methods", lambda t: P.rank(t.trialwise.groupBy("run", "dataset", "method").agg(F.avg("correlation").alias("score")), "score", ["method"], ["run", "dataset"]).drop("score"), "trialwise",
+add("f5_rank_methods", lambda t: P.rank(t.trialwise.groupBy("run", "dataset", "method").agg(F.avg("correlation").alias("score")), "score", ["method"], ["run", "dataset"], digits=12).drop("score"), "trialwise",
     "SELECT run, dataset, method, row_number() OVER (PARTITION BY run, dataset ORDER BY s DESC NULLS LAST, method) AS place FROM (SELECT run, dataset, method, avg(correlation) AS s FROM trialwise GROUP BY ALL)")
 
 

@@ -449,3 +449,8 @@ def test_method_entries_need_the_key_of_their_config(spark):
 def test_baselines_of_one_name(spark):
     rows = spark.createDataFrame([(k, "baseline_x", k / 100) for k in range(40, 2, -1)], "id int, name string, score double").repartition(8)
     assert report.leaderboard(rows, "name", "score", key="id").first()["id"] == 3
+
+
+def test_means_that_differ_by_rounding_share_a_rank(spark):
+    rows = spark.createDataFrame([("b", 0.1 + 0.2), ("a", 0.3), ("c", None), ("d", 0.3 + 1e-9)], "method string, score double")
+    assert column(report.rank(rows, "score", ["method"], digits=12), "method", "place") == ["d", "a", "b", "c"]
