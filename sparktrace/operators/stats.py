@@ -37,8 +37,9 @@ def sorted_quantile(ordered: Column, q: float | Column) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
-def robust_diff_std(samples: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:
-    """1.4826 * MAD of the differences between two quantiles; their population deviation where the MAD is 0; 0 without any.
+def robust_diff_std(samples: DataFrame, low: float = 0.05, high: float = 0.95, empty: float | None = 0.0) -> DataFrame:
+    """1.4826 * MAD of the differences between two quantiles; their population deviation where the MAD is 0; `empty` without any, and no row
+    where that is None.
 
     All from one sorted array of the differences of a trial.
     """
@@ -50,7 +51,9 @@ def robust_diff_std(samples: DataFrame, low: float = 0.05, high: float = 0.95) -
     mad = 1.4826 * sorted_quantile(F.array_sort(F.transform("d", lambda x: F.abs(x - F.col("m")))), 0.5)
     sd = F.sqrt(F.aggregate("d", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))) / F.nullif(F.size("d"), F.lit(0)))
     per = per.select(*TRIAL, mad.alias("mad"), sd.alias("sd"))
-    return per.select(*TRIAL, F.coalesce(F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd")), F.lit(0.0)).alias("spread"))
+    spread = F.coalesce(F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd")), F.lit(empty))
+    # Not a filter, which would be moved down and work out all the above again.
+    return per.select(*TRIAL, spread.alias("spread")) if empty is not None else per.select(*TRIAL, F.explode(F.array_compact(F.array(spread))).alias("spread"))
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], bins: int = 1024, number: str | None = None) -> DataFrame:

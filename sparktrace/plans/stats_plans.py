@@ -28,7 +28,7 @@ add("d3_noise_level", lambda t: D.noise_level(t.frames, S.sampling_rate(t.frames
     f"WITH {STEP.format('frames')}, f AS (SELECT dataset, trial, 1/median(u) AS fs FROM (SELECT dataset, trial, t - lag(t) OVER (PARTITION BY dataset, trial ORDER BY i) AS u FROM frames) WHERE u > 0 GROUP BY ALL) SELECT d.dataset, d.trial, round(median(abs(d))/sqrt(any_value(fs))*100, 6) AS noise FROM d JOIN f ON f.trial = d.trial AND f.dataset = d.dataset GROUP BY ALL")
 ROBUST = """q AS (SELECT dataset, trial, quantile_cont(d, 0.05) AS lo, quantile_cont(d, 0.95) AS hi FROM d GROUP BY ALL), kept AS (SELECT d.dataset, d.trial, d.d FROM d JOIN q ON q.trial = d.trial AND q.dataset = d.dataset WHERE d.d BETWEEN lo AND hi),
        m AS (SELECT dataset, trial, median(d) AS m, stddev_pop(d) AS sd FROM kept GROUP BY ALL), r AS (SELECT kept.dataset, kept.trial, 1.4826e0*median(abs(d - m)) AS mad, max(sd) AS sd FROM kept JOIN m ON m.trial = kept.trial AND m.dataset = kept.dataset GROUP BY ALL)"""
-add("d4_robust_diff_std", lambda t: D.robust_diff_std(t.samples), "samples", f"WITH {STEP.format('samples')}, {ROBUST} SELECT dataset, trial, round(CASE WHEN mad > 0 THEN mad ELSE sd END, 6) AS spread FROM r")
+add("d4_robust_diff_std", lambda t: D.robust_diff_std(t.samples, empty=None), "samples", f"WITH {STEP.format('samples')}, {ROBUST} SELECT dataset, trial, round(CASE WHEN mad > 0 THEN mad ELSE sd END, 6) AS spread FROM r")
 add("d5_drift_sigma", lambda t: D.drift_sigma(t.samples.withColumn("y", F.col("y") / 1000), S.sampling_rate(t.samples), M.low_activity_mask(t.samples, t.spikes, 4.0)), "samples spikes",
     f"""WITH {FS}, low AS (SELECT x.dataset, x.trial, x.i, x.t, x.y/1000 AS y, coalesce(min(abs(x.t - s.s)) >= 4, true) AS low FROM samples x LEFT JOIN spikes s ON s.trial = x.trial AND s.dataset = x.dataset GROUP BY ALL),
        c AS (SELECT *, count_if(low) OVER (PARTITION BY dataset, trial) AS nl FROM low), base AS (SELECT * FROM c WHERE low OR nl < 2), {STEP.format('base')}, {ROBUST}

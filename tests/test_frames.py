@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sparktrace.operators import frames, noise_bank, series, train
+from sparktrace.operators import frames, noise_bank, series, stats, train
 
 ROWS = "dataset long, trial long, i int, t double, y double, n double"
 
@@ -101,3 +101,9 @@ def test_noise_bank_redoes_only_what_changed(spark, tmp_path):
         run([rows[0], rows[0]])
     with pytest.raises(ValueError, match="no traces"):
         run([])
+
+
+def test_trials_without_differences_between_the_quantiles(spark):
+    rows = spark.createDataFrame([(0, k, i, v) for k, vs in enumerate([[1.0], [0.0, 1.0, 3.0], [0.0, 1.0, 3.0, 6.0], [None, 2.0]]) for i, v in enumerate(vs)], "dataset long, trial long, i int, y double")
+    assert {r["trial"] for r in stats.robust_diff_std(rows, empty=None).collect()} == {2}
+    assert {r["trial"]: r["spread"] for r in stats.robust_diff_std(rows).collect() if r["trial"] != 2} == {0: 0.0, 1: 0.0, 3: 0.0}
