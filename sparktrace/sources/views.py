@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 TRIAL = ("dataset", "trial")
+#: Rows of a table in one partition of what is derived from it.
+PARTITION_ROWS = 250_000
 
 
 class Tables:
@@ -23,6 +26,14 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table in partitions of some `PARTITION_ROWS` rows by a key, so that what a task sorts does not grow with the table.
+
+        What is grouped by the key stays in its partition. Rows are counted from the files' footers.
+        """
+        rows = self.read(name)
+        return rows.repartition(max(self.spark.sparkContext.defaultParallelism, math.ceil(rows.count() / PARTITION_ROWS)), key)
+
     @cached_property
     def samples(self) -> DataFrame:
         """dataset, trial, event_id, event_type, props, y, t, i: one long row per sample, t in seconds."""
@@ -76,7 +87,7 @@ class Tables:
     def posterior(self) -> DataFrame:
         """tag, sample, bin, b, s, c, y: one row per bin of a posterior sample."""
         every = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-        rows = self.read("lineitem").withColumn("bin", F.row_number().over(W.partitionBy("l_suppkey", "l_linenumber").orderBy(*every)) - 1)
+        rows = self.dealt("lineitem", "l_suppkey").withColumn("bin", F.row_number().over(W.partitionBy("l_suppkey", "l_linenumber").orderBy(*every)) - 1)
         return rows.selectExpr("l_suppkey AS tag", "CAST(l_linenumber - 1 AS BIGINT) AS sample", "CAST(bin AS BIGINT) AS bin", "CAST(CAST(l_quantity AS INT) % 2 AS BIGINT) AS burst", "l_tax AS b", "CAST(CAST(l_quantity AS INT) % 3 AS BIGINT) AS s", "l_discount AS c", "l_tax + l_discount + 0.01D AS y")
 
     @cached_property

@@ -4,8 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparktrace.operators import binning
+from sparktrace.sources import views
 
 SAMPLES = "dataset long, trial long, i int, t double"
 
@@ -72,3 +74,16 @@ def test_rebinned_correlation(spark):
     assert binning.rebinned_correlation(frame(a), frame(b), ["g"], 10.0, 25.0, 0.3).first()["r"] == pytest.approx(np.corrcoef(k @ x, k @ y)[0, 1])
     with pytest.raises(Exception, match="number of bins"):
         binning.rebinned_correlation(frame(a), frame(b[:50]), ["g"], 10.0, 4.0).collect()
+
+
+def test_partitions_of_the_posterior_follow_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(views, "PARTITION_ROWS", 500, raising=False)
+    posterior = views.Tables(spark, "/root/testdata/sf0.001").posterior
+    assert posterior.rdd.getNumPartitions() >= posterior.count() / 500
+
+
+def test_rebinning_stays_in_the_partitions_of_a_series(spark):
+    posterior = views.Tables(spark, "/root/testdata/sf0.001").posterior
+    flags = [posterior.select("tag", "sample", F.col("bin").alias("i"), F.col(c).alias("x")) for c in ("s", "burst")]
+    plan = binning.rebinned_correlation(*flags, ["tag", "sample"], 10.0, 25.0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
