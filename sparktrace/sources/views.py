@@ -26,20 +26,19 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def dealt(self, name: str, key: str) -> DataFrame:
-        """A table in partitions of some `PARTITION_ROWS` rows by a key, so that what a task sorts does not grow with the table.
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """Rows of a table in partitions of some `PARTITION_ROWS` by keys, so that what a task sorts does not grow with the table.
 
-        What is grouped by the key stays in its partition. Rows are counted from the files' footers.
+        What is grouped by the keys stays in its partition. Rows are counted from the files' footers.
         """
-        rows = self.read(name)
-        return rows.repartition(max(self.spark.sparkContext.defaultParallelism, math.ceil(rows.count() / PARTITION_ROWS)), key)
+        return rows.repartition(max(self.spark.sparkContext.defaultParallelism, math.ceil(rows.count() / PARTITION_ROWS)), *keys)
 
     @cached_property
     def samples(self) -> DataFrame:
         """dataset, trial, event_id, event_type, props, y, t, i: one long row per sample, t in seconds."""
         hours = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2024-01-01 00:00:00', ts)/1E6/3600D"
         rows = self.read("events").selectExpr("user_id % 10 AS dataset", "user_id AS trial", "event_id", "event_type", "props", "value AS y", f"1E3*user_id + {hours} AS t")
-        return rows.withColumn("i", F.row_number().over(W.partitionBy(*TRIAL).orderBy("t", "event_id")) - 1)
+        return self.dealt(rows, *TRIAL).withColumn("i", F.row_number().over(W.partitionBy(*TRIAL).orderBy("t", "event_id")) - 1)
 
     @cached_property
     def spikes(self) -> DataFrame:
@@ -87,7 +86,7 @@ class Tables:
     def posterior(self) -> DataFrame:
         """tag, sample, bin, b, s, c, y: one row per bin of a posterior sample."""
         every = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-        rows = self.dealt("lineitem", "l_suppkey").withColumn("bin", F.row_number().over(W.partitionBy("l_suppkey", "l_linenumber").orderBy(*every)) - 1)
+        rows = self.dealt(self.read("lineitem"), "l_suppkey").withColumn("bin", F.row_number().over(W.partitionBy("l_suppkey", "l_linenumber").orderBy(*every)) - 1)
         return rows.selectExpr("l_suppkey AS tag", "CAST(l_linenumber - 1 AS BIGINT) AS sample", "CAST(bin AS BIGINT) AS bin", "CAST(CAST(l_quantity AS INT) % 2 AS BIGINT) AS burst", "l_tax AS b", "CAST(CAST(l_quantity AS INT) % 3 AS BIGINT) AS s", "l_discount AS c", "l_tax + l_discount + 0.01D AS y")
 
     @cached_property

@@ -87,3 +87,9 @@ def test_rebinning_stays_in_the_partitions_of_a_series(spark):
     flags = [posterior.select("tag", "sample", F.col("bin").alias("i"), F.col(c).alias("x")) for c in ("s", "burst")]
     plan = binning.rebinned_correlation(*flags, ["tag", "sample"], 10.0, 25.0)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2 and "Join" not in plan
+
+
+def test_partitions_of_the_samples_follow_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(views, "PARTITION_ROWS", 50, raising=False)
+    samples = views.Tables(spark, "/root/testdata/sf0.001").samples
+    assert samples.rdd.getNumPartitions() >= samples.count() / 50
