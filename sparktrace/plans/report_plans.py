@@ -417,9 +417,9 @@ def _through_posterior_files(t):
     line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("sample", "burst", "b", "s", "c", "y")])
     text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sample", "bin", line.alias("line")))), lambda x: x["line"]), "\n")
     files = rows.groupBy("tag").agg(F.concat(F.lit("index,burst,B,S,C,Y\n"), text).alias("text"), F.max("sample").alias("last"))
-    name = lambda kind: F.format_string(f"{kind}_%d_trial1.dat", "tag").alias("path")
+    file = lambda kind, text: F.struct(F.format_string(f"{kind}_%d_trial1.dat", "tag").alias("path"), text.alias("text"))
     logs = F.array_join(F.transform(F.sequence(F.lit(0), F.col("last").cast("int") - F.when((F.col("tag") % 2 == 1) & (F.col("last") > 0), 1).otherwise(0)), lambda k: (-k).cast("string")), "\n")
-    IO.write_texts(files.select(name("traj_samples"), "text").union(files.select(name("logp"), logs)), path)
+    IO.write_texts(files.select(F.inline(F.array(file("traj_samples", F.col("text")), file("logp", logs)))), path)
     return IO.read_posterior(t.spark, path, logp=True).withColumn("tag", F.col("tag").cast("long"))
 
 

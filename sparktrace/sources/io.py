@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from sparktrace.operators import binning, reshape, series
 from sparktrace.operators.reshape import finite
-from sparktrace.sources.lines import numbered_lines
+from sparktrace.sources.lines import BROADCAST_RANGES, numbered_lines
 
 TRIALWISE = "run string, dataset string, smoothing string, method string, label string, corr_sigma_ms double, trial int, start_s double, end_s double, correlation double"
 SUMMARY = (
@@ -238,30 +238,38 @@ def read_posterior(spark: SparkSession, path: str, bins: int | None = None, logp
 
     A sample has `bins` bins, or as many as the first one (index 0) has rows; none, or a row count that they do not divide, is an error.
     With `logp` the files `logp_<tag>_trial<n>.dat` are read too: their values stand beside the samples, and samples beyond
-    the shorter of both are left out; an empty or missing file is an error. Files are read in ranges, lines keep their place
-    by their number in a file; a row carries its own line only.
+    the shorter of both are left out; an empty or missing file is an error. Large files are read in ranges, lines keep their place
+    by their number in a file; a row carries its own line only. The files are read once, into a Parquet table.
     """
+    place = lambda g: F.regexp_extract("path", "/(traj_samples|logp)_(.+)_trial([0-9]+).dat$", g)
+    read = numbered_lines(spark, path, "{traj_samples,logp}_*.dat" if logp else "traj_samples_*.dat", {"kind": place(1), "tag": place(2), "trial": place(3).cast("int")})
+    read.write.parquet(table := shared_path(spark, "lines"))
+    stored = spark.read.schema("kind string, tag string, trial int, number long, value string").parquet(table)
 
     def lines(kind: str, header: int) -> DataFrame:
-        place = lambda g: F.regexp_extract("path", f"/{kind}_(.+)_trial([0-9]+).dat$", g)
-        rows = numbered_lines(spark, path, f"{kind}_*.dat").where(F.col("number") >= header)
-        return rows.select(place(1).alias("tag"), place(2).cast("int").alias("trial"), (F.col("number") - header).alias("k"), "value")
+        rows = stored.where((F.col("kind") == kind) & (F.col("number") >= header))
+        return rows.select("tag", "trial", (F.col("number") - header).alias("k"), "value")
 
     file = ["tag", "trial"]
     rows = lines("traj_samples", 1)
     first = F.count_if(F.split_part("value", F.lit(","), F.lit(1)).cast("double") == 0)
-    sizes = rows.groupBy(*file).agg(F.count("*").alias("lines"), (F.lit(bins) if bins is not None else first).alias("bins"))
+    sizes = rows.groupBy(*file).agg(F.count("*").alias("lines"), (F.lit(bins).cast("long") if bins is not None else first).alias("bins"))
     sizes = sizes.withColumn("bins", failing(F.col("bins") == 0, F.concat(F.lit("no rows of sample 0: "), "tag"), F.col("bins")))
     sizes = sizes.withColumn("samples", failing(F.col("lines") % F.col("bins") != 0, F.concat(F.lit("rows are no multiple of the bins: "), "tag"), F.floor(F.col("lines") / F.col("bins"))))
     if logp:
         beside = lines("logp", 0)
         sizes = sizes.join(beside.groupBy(*file).agg(F.count("*").alias("logs")), file, "left")
         sizes = sizes.withColumn("samples", failing(F.col("logs").isNull(), F.concat(F.lit("no log-probabilities: "), "tag"), F.least("samples", "logs")))
-    # A file each: a join with few rows, whose errors reach every row.
-    kept = rows.join(sizes.select(*file, "bins", "samples"), file).withColumn("sample", F.floor(F.col("k") / F.col("bins"))).where("sample < samples")
+    # A row for each file; stored, so that their number is known. The larger side, the lines, is never broadcast or sorted.
+    sizes.write.parquet(table := shared_path(spark, "sizes"))
+    sizes = spark.read.schema("tag string, trial int, lines long, bins long, samples long" + ", logs long" * logp).parquet(table)
+    files, logs = sizes.agg(F.count("*"), F.sum("logs") if logp else F.lit(0)).first()
+    beside_lines = lambda small, n: F.broadcast(small) if n <= BROADCAST_RANGES else small.hint("shuffle_hash")
+    kept = rows.join(beside_lines(sizes.select(*file, "bins", "samples"), files), file).withColumn("sample", F.floor(F.col("k") / F.col("bins"))).where("sample < samples")
     if logp:
-        kept = kept.join(beside.select(*file, F.col("k").alias("sample"), F.trim("value").cast("double").alias("logp")), [*file, "sample"])
-    kept = kept.withColumn("v", F.transform(F.split("value", ","), lambda c: F.trim(c).cast("double")))
+        values = beside.select(*file, F.col("k").alias("sample"), F.trim("value").cast("double").alias("logp"))
+        kept = kept.join(beside_lines(values, logs or 0), [*file, "sample"])
+    kept = kept.withColumn("v", F.split("value", ",").cast("array<double>"))
     at = lambda i, kind: F.get("v", i).cast(kind)
     return kept.select(
         "tag", "trial", F.col("sample").cast("int").alias("sample"), (F.col("k") % F.col("bins")).cast("int").alias("bin"),
@@ -296,9 +304,10 @@ def write_texts(rows: DataFrame, root: str) -> None:
     def run(frames):
         for f in frames:
             store, at = pafs.FileSystem.from_uri(root)
+            for folder in {f"{at}/{path}".rpartition("/")[0] for path in f["path"]}:
+                store.create_dir(folder, recursive=True)
             for path, text in zip(f["path"], f["text"]):
                 folder, _, name = f"{at}/{path}".rpartition("/")
-                store.create_dir(folder, recursive=True)
                 draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
                 with store.open_output_stream(draft, compression=None) as out:
                     out.write(text.encode())

@@ -43,6 +43,31 @@ def test_large_posterior_files(spark, tmp_path, splits):
     assert plain.count() == 280 and plain.columns[-1] == "y"
 
 
+def test_posterior_files_are_read_once(spark, tmp_path):
+    want = set()
+    for tag in range(40):
+        (tmp_path / f"traj_samples_{tag}_trial1.dat").write_text("\ufeffindex,burst,B,S,C,Y\r\n" + "".join(f"{s},{b},{tag}.5, 2 ,0.25,1\r\n\r\n" for s in range(2) for b in range(3)), newline="")
+        (tmp_path / f"logp_{tag}_trial1.dat").write_text("-1\n-2" if tag % 2 else "-1\n")
+        want |= {(str(tag), 1, s, b, b, tag + 0.5, 2, 0.25, 1.0, -1.0 - s) for s in range(1 + tag % 2) for b in range(3)}
+    rows = io.read_posterior(spark, str(tmp_path), logp=True)
+    for file in tmp_path.iterdir():
+        file.unlink()
+    found = rows.collect()
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_lines_of_the_posterior_are_never_broadcast(spark, tmp_path, monkeypatch, most):
+    for tag in range(3):
+        (tmp_path / f"traj_samples_{tag}_trial1.dat").write_text("index,burst,B,S,C,Y\n" + "0,1,2,3,4,5\n1,1,2,3,4,6\n" * 1)
+        (tmp_path / f"logp_{tag}_trial1.dat").write_text("-1\n-2\n")
+    monkeypatch.setattr(io, "BROADCAST_RANGES", most, raising=False)
+    rows = io.read_posterior(spark, str(tmp_path), logp=True)
+    assert sorted((r["tag"], r["sample"], r["y"], r["logp"]) for r in rows.collect()) == [(str(t), s, 5.0 + s, -1.0 - s) for t in range(3) for s in range(2)]
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "BuildLeft" not in plan and "SortMergeJoin" not in plan and ("ShuffledHashJoin" in plan) == (most == 1)
+
+
 def test_large_parameter_files(spark, tmp_path, splits):
     want = set()
     for name, columns in (("p.csv", ["a", "b"]), ("q.csv", ["b"])):
