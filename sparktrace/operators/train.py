@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 import traceback
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.operators import binning, match, reshape, series
-from sparktrace.operators.stats import sorted_quantile
 
 TRIAL = ["dataset", "trial"]
 
@@ -28,15 +30,24 @@ def hashed_normal(*keys, seed: int) -> Column:
     return F.sqrt(-2 * F.log(uniform(seed, *keys))) * F.cos(2 * 3.141592653589793 * uniform(seed + 1, *keys))
 
 
-def once(value: Column, body) -> Column:
-    """`body(v)` with `v` bound to `value`, which is evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def normals(seed: int, keys: str, places: list[str], last: str) -> np.ndarray:
+    """What `hashed_normal` gives for the keys (joined by colons), each place and the last key."""
 
+    def draws(k: int) -> np.ndarray:
+        start, end = f"{k}:{keys}:".encode(), f":{last}".encode()
+        digests = b"".join([hashlib.md5(start + i + end).digest()[:8] for i in map(str.encode, places)])
+        return ((np.frombuffer(digests, ">u8") >> 16) + 0.5) / float(1 << 48)
 
-def median_step(values: Column) -> Column:
-    """Median absolute difference of consecutive values of an array."""
-    steps = F.zip_with(F.slice(values, 2, F.size(values)), F.slice(values, F.lit(1), F.greatest(F.size(values) - 1, F.lit(0))), lambda b, a: F.abs(b - a))
-    return once(F.array_sort(steps), lambda o: sorted_quantile(o, 0.5))
+    return np.sqrt(-2 * np.log(draws(seed))) * np.cos(2 * 3.141592653589793 * draws(seed + 1))
+
+
+def median_step(values: np.ndarray, null: np.ndarray) -> float | None:
+    """Median absolute difference of consecutive values; null without any. NaN is greater than all numbers, null (true in `null`) than NaN."""
+    unknown = null[1:] | null[:-1]
+    steps = np.sort(np.abs(np.diff(values))[~unknown])
+    at = 0.5 * (len(unknown) - 1)
+    low, high = int(np.floor(at)), int(np.ceil(at))
+    return float(steps[low] + (steps[high] - steps[low]) * (at - low)) if 0 <= low and high < len(steps) else None
 
 
 def calibrate_noise(frames: DataFrame, fs: float, target: float, levels: int = 20, most: int = 500, rows: float = 8e5, replicas: bool = True, seed: int = 1) -> DataFrame:
@@ -47,15 +58,34 @@ def calibrate_noise(frames: DataFrame, fs: float, target: float, levels: int = 2
     target; and so few that the replicas of a dataset's trials, as long as this one, stay within `rows` samples.
     """
     root = fs**0.5
-    per = frames.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", "y"))).alias("a")).withColumn("trials", F.count("*").over(W.partitionBy("dataset")))
-
-    def at(level: Column) -> Column:
-        noisy = F.transform("a", lambda p: p["y"] + level / 100 * root * hashed_normal("dataset", "trial", p["i"], level, seed=seed))
-        return once(noisy, median_step) * 100 / root
-
-    measured = per.select(*TRIAL, "trials", F.size("a").alias("n"), F.transform(F.sequence(F.lit(0), F.lit(levels - 1)), at).alias("noise"))
-    # Filters on what follows stop at the aggregate (which needs no shuffle), so the levels are measured once.
-    n = measured.groupBy(*TRIAL).agg(*[F.first(c).alias(c) for c in ("trials", "n", "noise")]).withColumn("base", F.get("noise", 0))
+    keys = F.concat_ws(":", *[F.col(c).cast("string") for c in TRIAL]).alias("keys")
+    per = frames.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", F.col("y").cast("double").alias("y")))).alias("a"))
+    per = per.select(*TRIAL, keys, F.col("a.i").cast("array<string>").alias("i"), F.transform("a", lambda p: F.coalesce(p["y"], F.lit(0.0))).alias("y"), F.transform("a", lambda p: p["y"].isNull()).alias("null"))
+
+    def measured(places, y, null, name):
+        """Noise at each level, up to the first that is above the target after one that is not; later ones do not count."""
+        noise = []
+        for level in range(levels):
+            noisy = y + level / 100 * root * normals(seed, name, places, str(level)) if level else y
+            x = median_step(noisy, null)
+            noise.append(None if x is None else x * 100 / root)
+            below = noise[-1] is not None and noise[-1] <= target
+            if not below and (level == 0 or noise[-1] is not None and noise[-2] is not None and noise[-2] <= target):
+                break
+        return noise
+
+    def run(batches):
+        for f in batches:
+            values = lambda c: (x.values.to_numpy(zero_copy_only=False) for x in f[c])
+            with np.errstate(invalid="ignore"):
+                noise = [measured(*trial) for trial in zip(f["i"].to_pylist(), values("y"), values("null"), f["keys"].to_pylist())]
+            # Arrow, as pandas would make NaN null.
+            yield pa.RecordBatch.from_arrays([f["dataset"], f["trial"], pc.list_value_length(f["y"]), pa.array(noise, pa.list_(pa.float64()))], [*TRIAL, "n", "noise"])
+
+    kinds = dict(frames.dtypes)
+    n = per.mapInArrow(run, f"dataset {kinds['dataset']}, trial {kinds['trial']}, n int, noise array<double>")
+    # Trials are counted when they are short rows, so no arrays are dealt by dataset.
+    n = n.withColumn("trials", F.count("*").over(W.partitionBy("dataset"))).withColumn("base", F.get("noise", 0))
     found = F.get(F.filter(F.transform("noise", lambda x, i: F.when((x <= target) & (F.get("noise", i + 1) > target), i + (target - x) / (F.get("noise", i + 1) - x))), lambda x: x.isNotNull()), 0)
     copies = F.least(F.lit(most), F.ceil(1.2 * F.pow(target / F.col("base"), 2))) if replicas else F.lit(1)
     copies = F.when(F.col("base") > target, 0).otherwise(copies)
