@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparktrace.operators import binning, match, reshape, series
+from sparktrace.sources.io import shared_path
 
 TRIAL = ["dataset", "trial"]
 
@@ -96,14 +97,19 @@ def calibrate_noise(frames: DataFrame, fs: float, target: float, levels: int = 2
 def noisy_replicas(frames: DataFrame, spikes: DataFrame, calibration: DataFrame, fs: float, target_fs: float, seed: int = 2) -> DataFrame:
     """Each trial repeated with noise of the calibrated deviation, scaled by sqrt(|y + 1|) over its median, and `events` beside it: those
     around each time. Trials are first resampled, and the noise scaled by the root of the ratio, where the rates differ by more than 5 %.
+    Trials without replicas are left out first, by a stored table of the others.
     """
+    calibration.where("replicas > 0 and added is not null").select(*TRIAL, "replicas", "added").write.parquet(table := shared_path(frames.sparkSession, "calibration"))
+    kinds = dict(calibration.dtypes)
+    used = frames.sparkSession.read.schema(", ".join(f"{c} {kinds[c]}" for c in (*TRIAL, "replicas", "added"))).parquet(table)
+    frames, spikes = (rows.join(used.select(*TRIAL), TRIAL, "left_semi") for rows in (frames, spikes))
     scale = 1.0
     if abs(target_fs - fs) / fs > 0.05:
         wide = frames.groupBy(*TRIAL).agg(F.sort_array(F.collect_list(F.struct("i", "t", "y"))).alias("a")).select(*TRIAL, F.col("a.t").alias("t"), F.col("a.y").alias("y"))
         frames = series.fourier_resample(wide, fs, target_fs).select(*TRIAL, F.posexplode(F.arrays_zip("t", "y")).alias("i", "p")).select(*TRIAL, "i", "p.t", "p.y")
         scale, fs = (target_fs / fs) ** 0.5, target_fs
     events = binning.frame_histogram(frames, spikes, tail=0.0).withColumnRenamed("n", "events")
-    c = calibration.where("replicas > 0 and added is not null").select(*TRIAL, (F.col("added") * scale).alias("added"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("replicas"))).alias("replica"))
+    c = used.select(*TRIAL, (F.col("added") * scale).alias("added"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("replicas"))).alias("replica"))
     level = F.sqrt(F.abs(F.col("y") + 1))
     shot = frames.groupBy(*TRIAL).agg(F.median(level).alias("shot"))
     rows = frames.join(events, [*TRIAL, "i"]).join(shot, TRIAL).join(c, TRIAL)

@@ -1,9 +1,10 @@
-"""Noise calibration on odd trials, against loops over the definition."""
+"""Noise calibration and replicas on odd trials, against loops over the definition."""
 
 import hashlib
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from sparktrace.operators import train
 
@@ -70,3 +71,17 @@ def test_no_arrays_are_dealt_by_dataset(frames):
     plan = train.calibrate_noise(frames, FS, TARGET)._jdf.queryExecution().executedPlan().toString()
     window = plan.split("Exchange hashpartitioning(dataset")[1]
     assert window.index("MapInArrow") >= 0 and "collect_list" not in window.split("MapInArrow")[0]
+
+
+def test_replicas_of_few_trials_leave_the_others_out(frames, spark):
+    spikes = frames.where("i = 3").select("dataset", "trial", F.col("t").alias("s"))
+    calibration = spark.createDataFrame([(0, 1, 2, 0.1), (0, 2, 0, 0.1), (1, 9, 3, None)], "dataset long, trial long, replicas long, added double")
+    out = train.noisy_replicas(frames, spikes, calibration, FS, FS)
+    shot = sorted(math.sqrt(abs(v + 1)) for v in TRIALS[0, 1])
+    shot = (shot[19] + shot[20]) / 2
+    found = {(r["trial"], r["i"], r["replica"]): (r["y"], r["events"]) for r in out.collect()}
+    assert set(found) == {(1, i, k) for i in range(40) for k in (1, 2)}
+    for (t, i, k), (y, events) in found.items():
+        v = TRIALS[0, t][i]
+        assert y == pytest.approx(v + 0.1 * math.sqrt(abs(v + 1)) / shot * normal(2, 0, t, i, k)) and events == (i == 3)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2
