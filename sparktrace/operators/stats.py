@@ -30,11 +30,17 @@ def noise_level(samples: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def sorted_quantile(ordered: Column, q: float | Column) -> Column:
-    """Quantile of a sorted array, linear between the two nearest."""
+    """Quantile of a sorted array, linear between the two nearest: low * (1 - d) + high * d.
+
+    The first product is not rounded before it is added, as in DuckDB's quantile_cont: where neighbours are equal but for rounding, that
+    decides which of them lie between two quantiles.
+    """
     q = q if isinstance(q, Column) else F.lit(float(q))
     at = q * (F.size(ordered) - 1)
+    d = at - F.floor(at)
     low, high = F.get(ordered, F.floor(at).cast("int")), F.get(ordered, F.ceil(at).cast("int"))
-    return low + (high - low) * (at - F.floor(at))
+    between = F.java_method(F.lit("java.lang.Math"), F.lit("fma"), low, 1 - d, high * d).cast("double")
+    return F.when(d == 0, low).when(low.isNotNull() & high.isNotNull(), between)
 
 
 def robust_diff_std(samples: DataFrame, low: float = 0.05, high: float = 0.95, empty: float | None = 0.0) -> DataFrame:

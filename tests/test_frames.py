@@ -1,11 +1,14 @@
 """Training frames against loops over their definition; the noise bank over several runs."""
 
 from collections import Counter
+from datetime import datetime
 
+import duckdb
 import numpy as np
 import pytest
 
 from sparktrace.operators import frames, noise_bank, series, stats, train
+from sparktrace.plans import catalogue
 
 ROWS = "dataset long, trial long, i int, t double, y double, n double"
 
@@ -107,3 +110,14 @@ def test_trials_without_differences_between_the_quantiles(spark):
     rows = spark.createDataFrame([(0, k, i, v) for k, vs in enumerate([[1.0], [0.0, 1.0, 3.0], [0.0, 1.0, 3.0, 6.0], [None, 2.0]]) for i, v in enumerate(vs)], "dataset long, trial long, i int, y double")
     assert {r["trial"] for r in stats.robust_diff_std(rows, empty=None).collect()} == {2}
     assert {r["trial"]: r["spread"] for r in stats.robust_diff_std(rows).collect() if r["trial"] != 2} == {0: 0.0, 1: 0.0, 3: 0.0}
+
+
+def test_differences_that_equal_a_quantile_but_for_rounding(spark, tmp_path):
+    trials = [[13.19, 16.26, 15.26, 12.19, 15.26, 13.19], [32.01, 86.66, 85.66, 31.01, 85.66, 85.66, 53.44], [128.77, 189.99, 190.99, 128.77, 189.99, 127.77, 190.99, 128.77]]
+    rows = [(100 * k + i, datetime(2024, 1, 1, i), k, "view", v, "{}") for k, vs in enumerate(trials) for i, v in enumerate(vs)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    mine = catalogue.QUERIES["d4_robust_diff_std"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, mine)) == sorted(duck.execute(catalogue.SQL["d4_robust_diff_std"]).fetchall())
+    assert {r["trial"]: r["spread"] for r in mine} == {0: 3.017091, 1: 23.884686, 2: 46.864986}
