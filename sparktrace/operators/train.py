@@ -51,12 +51,13 @@ def median_step(values: np.ndarray, null: np.ndarray) -> float | None:
     return float(steps[low] + (steps[high] - steps[low]) * (at - low)) if 0 <= low and high < len(steps) else None
 
 
-def calibrate_noise(frames: DataFrame, fs: float, target: float, levels: int = 20, most: int = 500, rows: float = 8e5, replicas: bool = True, seed: int = 1) -> DataFrame:
+def calibrate_noise(frames: DataFrame, fs: float, target: float, levels: int = 20, most: int | None = 500, rows: float | None = 8e5, replicas: bool = True, seed: int = 1) -> DataFrame:
     """Per trial: base noise, the deviation `added` that reaches the target noise, and the number of noisy replicas.
 
     Normal noise of level / 100 sqrt(fs) is added at each level, the noise measured and the level interpolated at the target; null where the
-    levels do not reach it. Replicas are min(most, ceil(1.2 (target / base)^2)), one with `replicas` off, none where the base is above the
-    target; and so few that the replicas of a dataset's trials, as long as this one, stay within `rows` samples.
+    levels do not reach it. Replicas are ceil(1.2 (target / base)^2), one with `replicas` off, none where the base is above the target; at
+    most `most`, and so few that the replicas of a dataset's trials, as long as this one, stay within `rows` samples. Without `most` and
+    `rows` (None) there are as many as that, however many; null where the base is 0, as no number is enough.
     """
     root = fs**0.5
     keys = F.concat_ws(":", *[F.col(c).cast("string") for c in TRIAL]).alias("keys")
@@ -85,13 +86,15 @@ def calibrate_noise(frames: DataFrame, fs: float, target: float, levels: int = 2
 
     kinds = dict(frames.dtypes)
     n = per.mapInArrow(run, f"dataset {kinds['dataset']}, trial {kinds['trial']}, n int, noise array<double>")
-    # Trials are counted when they are short rows, so no arrays are dealt by dataset.
-    n = n.withColumn("trials", F.count("*").over(W.partitionBy("dataset"))).withColumn("base", F.get("noise", 0))
+    n = n.withColumn("base", F.get("noise", 0))
     found = F.get(F.filter(F.transform("noise", lambda x, i: F.when((x <= target) & (F.get("noise", i + 1) > target), i + (target - x) / (F.get("noise", i + 1) - x))), lambda x: x.isNotNull()), 0)
-    copies = F.least(F.lit(most), F.ceil(1.2 * F.pow(target / F.col("base"), 2))) if replicas else F.lit(1)
-    copies = F.when(F.col("base") > target, 0).otherwise(copies)
-    fitting = F.floor(F.floor(F.least(F.lit(float(rows)), F.col("trials") * F.col("n") * copies) / F.col("n")) / F.col("trials"))
-    return n.select(*TRIAL, "base", fitting.cast("long").alias("replicas"), F.when(F.col("base") <= target, found / 100 * root).alias("added"))
+    copies = F.ceil(1.2 * F.pow(F.try_divide(F.lit(float(target)), "base"), 2)) if replicas else F.lit(1)
+    copies = F.when(F.col("base") > target, 0).otherwise(copies if most is None or not replicas else F.least(F.lit(most), copies))
+    if rows is not None:
+        # Trials are counted when they are short rows, so no arrays are dealt by dataset.
+        n = n.withColumn("trials", F.count("*").over(W.partitionBy("dataset")))
+        copies = F.floor(F.floor(F.least(F.lit(float(rows)), F.col("trials") * F.col("n") * copies) / F.col("n")) / F.col("trials"))
+    return n.select(*TRIAL, "base", copies.cast("long").alias("replicas"), F.when(F.col("base") <= target, found / 100 * root).alias("added"))
 
 
 def noisy_replicas(frames: DataFrame, spikes: DataFrame, calibration: DataFrame, fs: float, target_fs: float, seed: int = 2) -> DataFrame:
@@ -109,11 +112,11 @@ def noisy_replicas(frames: DataFrame, spikes: DataFrame, calibration: DataFrame,
         frames = series.fourier_resample(wide, fs, target_fs).select(*TRIAL, F.posexplode(F.arrays_zip("t", "y")).alias("i", "p")).select(*TRIAL, "i", "p.t", "p.y")
         scale, fs = (target_fs / fs) ** 0.5, target_fs
     events = binning.frame_histogram(frames, spikes, tail=0.0).withColumnRenamed("n", "events")
-    c = used.select(*TRIAL, (F.col("added") * scale).alias("added"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("replicas"))).alias("replica"))
     level = F.sqrt(F.abs(F.col("y") + 1))
     shot = frames.groupBy(*TRIAL).agg(F.median(level).alias("shot"))
-    rows = frames.join(events, [*TRIAL, "i"]).join(shot, TRIAL).join(c, TRIAL)
-    return rows.withColumn("y", F.col("y") + F.col("added") * level / F.col("shot") * hashed_normal(*TRIAL, "i", "replica", seed=seed)).drop("shot", "added")
+    # Trials become replicas last, so the joins see (and may broadcast) a row for each trial only.
+    rows = frames.join(events, [*TRIAL, "i"]).join(shot, TRIAL).join(used, TRIAL).withColumn("replica", F.explode(F.sequence(F.lit(1).cast("long"), F.col("replicas"))))
+    return rows.withColumn("y", F.col("y") + F.col("added") * scale * level / F.col("shot") * hashed_normal(*TRIAL, "i", "replica", seed=seed)).drop("shot", "added", "replicas")
 
 
 def run_methods(wide: DataFrame, methods: dict[str, Callable], done: DataFrame | None = None) -> DataFrame:

@@ -239,19 +239,21 @@ CAL = f"""nz AS (SELECT dataset, trial, l, i, y + l/100e0*sqrt(30e0)*{normal(1,
   tr AS (SELECT dataset, count(DISTINCT trial) AS m FROM frames GROUP BY ALL),
   ca AS (SELECT z.dataset, z.trial, z.base, CASE WHEN z.base > 8 THEN 0 ELSE floor(floor(least(3e5, m*z.n*least(500, ceil(1.2e0*power(8/z.base, 2))))/z.n)/m) END AS replicas, CASE WHEN z.base <= 8 THEN (h.l + (8 - h.x)/(h.x1 - h.x))/100*sqrt(30e0) END AS added
          FROM nx z JOIN tr ON tr.dataset = z.dataset JOIN ft ON ft.trial = z.trial AND ft.dataset = z.dataset LEFT JOIN nx h ON h.trial = z.trial AND h.dataset = z.dataset AND h.l = ft.l WHERE z.l = 0)"""
+#: The same without limits: all replicas of a trial, in a dataset of any size.
+ALL = CAL.replace("floor(floor(least(3e5, m*z.n*least(500, ceil(1.2e0*power(8/z.base, 2))))/z.n)/m) END AS replicas", "ceil(1.2e0*power(8/nullif(z.base, 0), 2)) END AS replicas")
 
 
-def calibration(t):
-    return K.calibrate_noise(t.frames, 30.0, 8.0, rows=3e5)
+def calibration(t, **limits):
+    return K.calibrate_noise(t.frames, 30.0, 8.0, **limits)
 
 
 def high(t):
     return t.frames.where("y > 0.3").select(*TRIAL, F.col("t").alias("s"))
 
 
-add("k1_noise_calibration", calibration, "frames", f"WITH {CAL} SELECT dataset, trial, round(base, 6) AS base, CAST(replicas AS BIGINT) AS replicas, round(added, 6) AS added FROM ca")
-add("k2_noisy_replicas", lambda t: K.noisy_replicas(t.frames, high(t), calibration(t), 30.0, 30.5).groupBy(*TRIAL, "replica").agg(F.count("*").alias("n"), F.sum("events").alias("events"), F.sum("y").alias("total")), "frames",
-    f"""WITH {CAL}, rp AS (SELECT dataset, trial, added, unnest(range(1, CAST(replicas AS BIGINT) + 1)) AS replica FROM ca WHERE added IS NOT NULL), sh AS (SELECT dataset, trial, median(sqrt(abs(y + 1))) AS shot FROM frames GROUP BY ALL),
+add("k1_noise_calibration", lambda t: calibration(t, rows=3e5), "frames", f"WITH {CAL} SELECT dataset, trial, round(base, 6) AS base, CAST(replicas AS BIGINT) AS replicas, round(added, 6) AS added FROM ca")
+add("k2_noisy_replicas", lambda t: K.noisy_replicas(t.frames, high(t), calibration(t, most=None, rows=None), 30.0, 30.5).groupBy(*TRIAL, "replica").agg(F.count("*").alias("n"), F.sum("events").alias("events"), F.sum("y").alias("total")), "frames",
+    f"""WITH {ALL}, rp AS (SELECT dataset, trial, added, unnest(range(1, CAST(replicas AS BIGINT) + 1)) AS replica FROM ca WHERE added IS NOT NULL), sh AS (SELECT dataset, trial, median(sqrt(abs(y + 1))) AS shot FROM frames GROUP BY ALL),
        ev AS (SELECT dataset, trial, count_if(y > 0.3e0) AS events FROM frames GROUP BY ALL), nr AS (SELECT f.dataset, f.trial, replica, y + added*sqrt(abs(y + 1))/shot*{normal(2, "f.dataset", "f.trial", "i", "replica")} AS y FROM frames f JOIN rp ON rp.trial = f.trial AND rp.dataset = f.dataset JOIN sh ON sh.trial = f.trial AND sh.dataset = f.dataset)
        SELECT nr.dataset, nr.trial, replica, count(*) AS n, any_value(events) AS events, round(sum(y), 6) + 0 AS total FROM nr JOIN ev ON ev.trial = nr.trial AND ev.dataset = nr.dataset GROUP BY nr.dataset, nr.trial, replica""")
 def hashed(seed: int, *keys: str) -> str:

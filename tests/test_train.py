@@ -3,10 +3,12 @@
 import hashlib
 import math
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from sparktrace.operators import train
+from sparktrace.plans import catalogue
 
 FS, TARGET = 30.0, 8.0
 
@@ -85,3 +87,28 @@ def test_replicas_of_few_trials_leave_the_others_out(frames, spark):
         v = TRIALS[0, t][i]
         assert y == pytest.approx(v + 0.1 * math.sqrt(abs(v + 1)) / shot * normal(2, 0, t, i, k)) and events == (i == 3)
     assert out._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") >= 2
+
+
+def test_replicas_without_limits(spark):
+    trials = {1: [0.0, 0.01] * 20, 2: [0.0, 0.2] * 20, 3: [1.0] * 40, 4: [0.0, 9.0] * 20, 5: [0.5]}
+    rows = spark.createDataFrame([(0, t, i, i / FS, v) for t, y in trials.items() for i, v in enumerate(y)], "dataset long, trial long, i int, t double, y double")
+    found = lambda **limits: {r["trial"]: r["replicas"] for r in train.calibrate_noise(rows, FS, TARGET, **limits).collect()}
+    wanted = {t: math.ceil(1.2 * (TARGET / (d * 100 / FS**0.5)) ** 2) for t, d in ((1, 0.01), (2, 0.2))}
+    assert found(most=None, rows=None) == {**wanted, 3: None, 4: 0, 5: None} and wanted[1] > 500
+    assert {t: found(most=500, rows=None)[t] for t in (1, 2, 3, 4)} == {1: 500, 2: wanted[2], 3: 500, 4: 0}
+    assert {t: found(most=500, rows=4000)[t] for t in (1, 2, 3, 4)} == {1: 20, 2: wanted[2], 3: 20, 4: 0}
+
+
+def test_query_gives_all_replicas(spark, tmp_path):
+    vectors = [[0.0, 0.0164] * 200, [0.3] * 64, [0.1 * math.sin(9 * k) for k in range(64)]]
+    spark.createDataFrame([(k, v, 3) for k, v in enumerate(vectors)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    cursor = duck.execute(catalogue.SQL["k2_noisy_replicas"])
+    columns = [c[0] for c in cursor.description]
+    mine = catalogue.QUERIES["k2_noisy_replicas"](spark, str(tmp_path)).select(columns).collect()
+    assert sorted(map(tuple, mine)) == sorted(cursor.fetchall())
+    # 857 replicas of 400 samples: more than 500, and than 300,000 samples.
+    number = math.ceil(1.2 * (8 / (0.0164 * 100 / 30**0.5)) ** 2)
+    assert number * 400 > 3e5 and [(r["trial"], r["n"]) for r in mine].count((0, 400)) == number
+    assert {r["trial"] for r in mine} == {0, 2}
